@@ -5,10 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import byte_bpe, line_dedup, mixing, queries, simhash
 from gridloom.session import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores as good."""
+    scored = queries.quality_scores(spark, docs, table(spark, sf_dir, "labels"), extra=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.where(F.col("score") >= queries.GOOD).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that repeat across documents."""
+    clean = line_dedup.dedup_lines(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates, with its whole row.
+
+    Documents with a null id stay: they can't be named as the one that stays or goes.
+    """
+    found = simhash.near_duplicates(docs)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by flattened weights, laid out block by block: every document at least once, no source more than 1.5 times on average."""
+    mixed = mixing.mix(docs, max_passes=1.5)
+    return mixed.repartition("mix_block").sortWithinPartitions("mix_block", "mix_order").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts, and whether decoding them gives the text back."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(queries.token_file("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, extra=("lang", "source", "text"))
+    decoded = byte_bpe.decode(encoded, ranks)
+    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", classify),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing", mix),
+    ("byte-level BPE", encode),
+]
+#: A fitted classifier, fingerprints and merges aren't SQL: the stages are tested one by one against brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -16,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks remembered by one Python worker in each of two generations, and the longest of them in characters: bounds of its memory.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Characters of one text that are encoded at once.
 SLICE = 1 << 18
 
@@ -207,13 +207,16 @@ def codec(data: bytes, pattern: str, differing: dict[int, int]) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids array<int>`` for every row; one pass without a shuffle.
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``extra`` and ``ids array<int>`` for every row; one pass without a shuffle.
 
     Null and empty texts have no ids; a null id, repeated rows and ties keep their rows; an empty table gives none.
-    Other columns of ``docs`` don't pass, so none can clash.
+    Columns of ``docs`` that aren't named don't pass, so none can clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast((ranks, stand_ins(pattern)))
+    docs = docs.select(id_col, *(c for c in extra if c != text_col), text_col)
+    passed = len(docs.columns) - (text_col not in extra)
+    schema = T.StructType([*docs.schema.fields[:passed], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, differing = shared.value
@@ -222,13 +225,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = own.encode([t or "" for t in part.columns[-1].to_pylist()])
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:passed], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))], names=schema.names)
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -81,13 +81,13 @@ def search(vectors: DataFrame, is_query: Column, *, scale: int = 256, id_col: st
         return F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
 
     left = entries.select("key", "vec", salt(n_blocks).alias("block"), copies(query_blocks).alias("query_block"))
-    right = asked.select(F.col("key").alias("query"), "vec", salt(query_blocks).alias("query_block"), copies(n_blocks).alias("block"))
+    right = asked.select(F.col("key").alias("query"), F.col("vec").alias("asked"), salt(query_blocks).alias("query_block"), copies(n_blocks).alias("block"))
 
     def meet(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(here) and len(there):
             keys, lists = here["key"].to_numpy(), Lists(np.stack(here["vec"].to_numpy()).astype(np.float64))
-            for key, vec in zip(there["query"], there["vec"], strict=True):
+            for key, vec in zip(there["query"], there["asked"], strict=True):
                 query = np.asarray(vec, dtype=np.float64)
                 if np.abs(query).sum() * np.abs(lists.points).max() >= 2**53:
                     raise OverflowError("inner products don't fit into 53 bits")

@@ -149,13 +149,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     empty table gives no rows. Columns not named don't pass, so none can clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(id_col, *extra, text_col)
-    schema = T.StructType([*docs.schema.fields[: len(extra) + 1], *([docs.schema.fields[-1]] if text_col in extra else []), T.StructField("score", T.DoubleType())])
+    docs = docs.select(id_col, *(c for c in extra if c != text_col), text_col)
+    passed = len(docs.columns) - (text_col not in extra)
+    schema = T.StructType([*docs.schema.fields[:passed], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, np.zeros(PLACES, dtype=bool)
         for batch in batches:
-            margins = np.array([m.margin(places(t.as_py() or b"", table)) for t in batch.column(batch.num_columns - 1).cast(pa.binary())], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(m.score(margins))], names=schema.names)
+            margins = np.array([m.margin(places(t.as_py() or b"", table)) for t in batch.columns[-1].cast(pa.binary())], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(m.score(margins))], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.session import written
 
+#: Different edges up to which one task joins the sets itself: a table of a few hundred kilobytes, whose size is checked.
+ONE_TASK_EDGES = 20_000
+
+
+def _joined_sets(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of a small table of edges (u, v) by union-find in one task."""
+    kind = edges.schema["u"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        arrow = None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=arrow), pa.array([root(n) for n in nodes], type=arrow)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -25,6 +57,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     now = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    if now.count() <= ONE_TASK_EDGES:
+        return _joined_sets(now)
     loops, now = now.where("u = v"), now.where("u > v")
     state = _state(now)
     for _ in range(max_rounds):

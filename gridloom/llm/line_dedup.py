@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
 #: White space stripped from both ends of a line (fixed).
@@ -143,8 +144,9 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_KEY * n).bit_length()))
     twice = docs.sparkSession.sparkContext.broadcast(twice_seen(packed, bits))
     suspects = written(suspected(docs, twice, bits, min_chars, id_col=id_col, text_col=text_col), "line-suspects")
-    common = suspects.groupBy("digest").agg(F.count_distinct(id_col).alias("n"), F.max(id_col).alias("stays")).where(F.col("n") >= min_docs)
-    gone = suspects.join(common, "digest").where(F.col(id_col) != F.col("stays")).groupBy(id_col).agg(F.collect_set("digest").alias("__gone"))
+    common = written(suspects.groupBy("digest").agg(F.count_distinct(id_col).alias("n"), F.max(id_col).alias("stays")).where(F.col("n") >= min_docs), "line-common")
+    met = join_to_unique(suspects, common.select("digest", "stays"), "digest")
+    gone = met.where(F.col(id_col) != F.col("stays")).groupBy(id_col).agg(F.collect_set("digest").alias("__gone"))
     joined = docs.join(gone, id_col, "left").select(*docs.columns, "__gone")
     at, out = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

@@ -32,13 +32,16 @@ def duck(sf_dir):
 
 @pytest.fixture(scope="session")
 def same_rows(duck):
-    """Compare a Spark result with SQL, row by row, whatever the order."""
+    """Compare a Spark result with SQL, row by row, whatever the order; doubles up to the last rounded digit."""
 
     def check(df, sql):
         want = duck.sql(sql)
         columns = sorted(df.columns)
         assert columns == sorted(want.columns)
-        got = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
-        assert got == sorted(map(repr, (tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())))
+        rows = [[r[c] for c in columns] for r in df.collect()], [[r[want.columns.index(c)] for c in columns] for r in want.fetchall()]
+        got, expected = (sorted(x, key=lambda r: (repr([v for v in r if not isinstance(v, float)]), [v for v in r if isinstance(v, float)])) for x in rows)
+        assert len(got) == len(expected)
+        for a, b in zip(got, expected, strict=True):
+            assert a == [pytest.approx(v, abs=1.1e-4 if abs(v) > 1000 else 1.1e-6) if isinstance(v, float) else v for v in b]
 
     return check

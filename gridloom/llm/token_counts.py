@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import join_to_unique
+from gridloom.session import written
+
 #: Characters handed to the tokenizer at once: bounds the ids held in a worker.
 SLICE = 1 << 18
 STORED = "digest binary, n_tokens long"
@@ -91,4 +94,4 @@ def token_counts(docs: DataFrame, model: bytes, cache_path: str, *, id_col: str
     fill_cache(docs, model, cache_path, text_col=text_col)
     counts = stored_counts(docs.sparkSession, cache_path, version_digest(model))
     keyed = docs.select(id_col, F.octet_length(content(text_col)).cast("long").alias("n_bytes"), F.unhex(F.sha2(content(text_col), 256)).alias("digest"))
-    return keyed.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    return join_to_unique(written(keyed, "text-digests"), counts, "digest").select(id_col, "n_bytes", "n_tokens")

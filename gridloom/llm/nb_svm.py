@@ -2,13 +2,14 @@
 
 Features are indicators of the byte 2-, 3- and 4-grams of the whole text (hashed into a fixed number of places), each
 scaled by its class log-count ratio, the row scaled to length one. A linear hinge-loss model is fitted to them by dual coordinate
-descent, and a logistic curve over margins of rows kept out of that fit turns margins into scores. The fit uses a bounded
+descent, and a logistic curve over rows kept out of that fit turns margins into scores; it knows how short
+a row is, as few n-grams can say less. The fit uses a bounded
 sample of the labelled rows, ``max_rows`` of them by order of a hash of the id; scoring covers every row of the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 PLACES = 1 << 18
 #: Bytes of one text looked at together.
 SLICE = 1 << 20
+#: Length, of log-count ratios before scaling, that counts as one unit of shortness.
+SHORT = 30.0
 
 
 def places(text: bytes, table: np.ndarray) -> np.ndarray:
@@ -44,18 +47,16 @@ class Model:
 
     weights: np.ndarray
     squares: np.ndarray
-    bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray
 
-    def margin(self, found: np.ndarray) -> float:
-        """The decision value of a row's places; the bias where no place counts."""
+    def evidence(self, found: np.ndarray) -> tuple[float, float, float]:
+        """The margin of a row's places, how short the row is (one over its length before scaling, by SHORT), and 1; 0, 0 and 1 where no place counts."""
         length = np.sqrt(self.squares[found].sum(dtype=np.float64))
-        return float(self.weights[found].sum(dtype=np.float64) / length + self.bias) if length > 0 else self.bias
+        return (float(self.weights[found].sum(dtype=np.float64) / length), float(SHORT / length), 1.0) if length > 0 else (0.0, 0.0, 1.0)
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
+    def score(self, rows: Iterable[np.ndarray]) -> np.ndarray:
         """Scores from 0 to 1."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(np.array([self.evidence(r) for r in rows]).reshape(-1, 3) @ self.curve, -500, 500)))
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -86,18 +87,18 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
     return w, bias
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of Platt's curve, by Newton steps on smoothed targets with a little ridge."""
+def logistic(x: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients of a logistic curve over rows of evidence, by Newton steps on Platt's smoothed targets."""
     positive = labels.sum()
     target = np.where(labels == 1, (positive + 1) / (positive + 2), 1 / (len(labels) - positive + 2))
-    x, theta = np.stack([margins, np.ones(len(margins))], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
+    theta = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * theta)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(theta)), x.T @ (p - target) + ridge * theta)
         theta -= step
         if abs(step).max() < 1e-8:
             break
-    return float(max(theta[0], 1e-3)), float(theta[1])
+    return theta
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> Model:
@@ -105,13 +106,13 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, cost: float = 1.0, e
     fold = np.arange(len(rows)) % 5 == 4
     if min(sum(labels[~fold] == 1), sum(labels[~fold] == 0)) == 0 or len(set(labels[fold])) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
-        return Model(np.zeros(PLACES, np.float32), np.zeros(PLACES, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(PLACES, np.float32), np.zeros(PLACES, np.float32), np.array([0.0, 0.0, np.log(share / (1 - share))]))
     own, y = [r for r, f in zip(rows, fold, strict=True) if not f], labels[~fold]
     ratio = log_count_ratios(own, y)
-    values = [v / max(np.sqrt(v @ v), 1e-12) for v in (ratio[r] for r in own)]
-    w, bias = dual_coordinate_descent(own, values, y, cost, epochs, seed)
-    model = Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
-    model.slope, model.offset = logistic(np.array([model.margin(r) for r, f in zip(rows, fold, strict=True) if f]), labels[fold])
+    values = [(v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32) for v in (ratio[r] for r in own)]
+    w, _ = dual_coordinate_descent(own, values, y, cost, epochs, seed)
+    model = Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), np.zeros(3))
+    model.curve = logistic(np.array([model.evidence(r) for r, f in zip(rows, fold, strict=True) if f]), labels[fold])
     return model
 
 
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``extra`` and ``score`` for every row; one pass without a shuffle.
 
-    Null and empty texts have no n-grams: their score is that of the bias alone. Null ids and repeated rows stay; an
+    Null and empty texts have no n-grams: their score is that of the curve's constant. Null ids and repeated rows stay; an
     empty table gives no rows. Columns not named don't pass, so none can clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, np.zeros(PLACES, dtype=bool)
         for batch in batches:
-            margins = np.array([m.margin(places(t.as_py() or b"", table)) for t in batch.columns[-1].cast(pa.binary())], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(m.score(margins))], names=schema.names)
+            scores = m.score(places(t.as_py() or b"", table) for t in batch.columns[-1].cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(scores)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -16,44 +16,47 @@ from pyspark.sql import functions as F
 from gridloom.llm.vectors import merged, ranked, usable
 
 #: Vectors and query vectors of one block.
-BLOCK, QUERY_BLOCK = 4096, 1024
-#: Share of each list read before the bounds are looked at again.
-DEPTHS = (0.5, 0.65, 0.75, 0.83, 0.89, 0.93, 0.96, 0.98, 1.0)
+BLOCK, QUERY_BLOCK = 16384, 512
+#: Part of the lists read before the bounds are first looked at, and the part of what is left that is still left at the next look.
+FIRST, STILL = 0.5, 0.65
 
 
 class Lists:
-    """The sorted lists of one block, rising and falling."""
+    """The sorted lists of one block, read from either end."""
 
     def __init__(self, points: np.ndarray):
-        self.points, self.size = points, len(points)
+        self.points, self.size, self.first = points, len(points), FIRST
+        self.most = np.abs(points).max(initial=0)
         rising = np.argsort(points, axis=0, kind="stable").T.copy()
-        values = np.take_along_axis(points.T, rising, axis=1)
-        self.order = np.stack([rising, rising[:, ::-1]])
-        self.values = np.stack([values, values[:, ::-1]])
-        self.component = np.arange(points.shape[1])
+        self.order, self.values = rising, np.take_along_axis(points.T, rising, axis=1)
 
     def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Places and exact scores of all vectors that can be among the first ``k`` of this block, ties included, and the entries read."""
-        falling = (query > 0).astype(int)
-        order, values = self.order[falling, self.component], self.values[falling, self.component] * query[:, None]
-        least = values[:, -1].astype(np.float64)
-        known, unseen, done = np.zeros(self.size), np.ones((self.size, len(query)), dtype=np.float32), 0
-        for depth in DEPTHS:
+        """Places and exact scores of all vectors that can be among the first ``k`` of this block, ties included, and the entries read.
+
+        The bounds are whole numbers, exact in the type chosen for them. They are first looked at a little before where the last query's reading stopped.
+        """
+        kind = np.float32 if np.abs(query).sum() * self.most < 1 << 24 else np.float64
+        lists = [(o, v * x) if x <= 0 else (o[::-1], v[::-1] * x) for o, v, x in zip(self.order, self.values, query, strict=True)]
+        least = np.array([v[-1] for _, v in lists], dtype=kind)
+        known, unseen, done, depth = np.zeros(self.size), np.ones((len(query), self.size), dtype=kind), 0, self.first
+        while True:
             stop = min(self.size, int(np.ceil(depth * self.size)))
-            read = order[:, done:stop]
-            known += np.bincount(read.ravel(), weights=values[:, done:stop].ravel(), minlength=self.size)
-            unseen[read, self.component[:, None]] = 0
+            for row, (o, v) in zip(unseen, lists, strict=True):
+                read = o[done:stop]
+                known[read] += v[done:stop]
+                row[read] = 0
             done = stop
             if done == self.size:
                 candidates = np.arange(self.size)
                 break
-            last = values[:, done - 1].astype(np.float64)
-            lower = known + unseen @ least
-            upper = known + unseen @ last
+            last = np.array([v[done - 1] for _, v in lists], dtype=kind)
+            lower = known + least @ unseen
             bar = np.partition(lower, -k)[-k] if self.size > k else -np.inf
-            candidates = np.flatnonzero(upper >= bar - 1e-6)
+            candidates = np.flatnonzero(known + last @ unseen >= bar)
             if len(candidates) <= 8 * k:
                 break
+            depth = 1 - (1 - depth) * STILL if self.size * (1 - depth) > 8 else 1.0
+        self.first = max(FIRST, 1 - (1 - depth) / STILL * 1.1)
         scores = self.points[candidates] @ query  # resolves the scores of those left
         if len(candidates) > k:
             kept = scores >= np.partition(scores, -k)[-k]

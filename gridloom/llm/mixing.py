@@ -25,7 +25,7 @@ from gridloom.session import written
 #: Sources up to which totals are bisected on the driver; beyond, each step is one aggregation on the executors.
 DRIVER_SOURCES = 100_000
 #: Documents of one source and pass in one range of the order, about.
-RANGE = 20_000
+RANGE = 2_000
 
 
 def n_tokens(text_col: str) -> Column:

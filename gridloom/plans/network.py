@@ -10,7 +10,7 @@ from gridloom.operators import network
 from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
-from gridloom.session import table
+from gridloom.session import table, written
 from gridloom.sources import surrogates as S
 
 SIDE = 12
@@ -38,7 +38,7 @@ def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice's edges with risk and cost."""
     nodes, edges, grid = lattice(spark, sf_dir)
-    return network.edge_risk(edges, nodes, grid)
+    return written(network.edge_risk(edges, nodes, grid), "edge-risk")
 
 
 @query(f"{LATTICE_SQL} SELECT src, dst, round(length, 4) AS length, round(risk, 6) AS risk, round(risk_max, 6) AS risk_max, round(cost, 4) AS cost FROM edges")

@@ -10,6 +10,7 @@ from gridloom.functions.geo import cell_area_km2
 from gridloom.operators import weights as wt
 from gridloom.plans.layers import BANDS, WITH_NORM, normalised, rounded
 from gridloom.plans.registry import query
+from gridloom.session import written
 from gridloom.sources import surrogates as S
 
 AHP = wt.pairwise_weights(K.PAIRWISE)
@@ -36,9 +37,13 @@ RISK_SQL = (
 
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid with its composite risk; computed weights."""
-    grid = normalised(spark, sf_dir)
-    return wt.weighted_index(grid, wt.weight_table(spark, grid, BANDS, K.PAIRWISE), BANDS)
+    """The grid with its composite risk; computed weights.
+
+    The grid is written before the passes for weights and bounds, and the scored grid before those for breaks and
+    classes: both are small against the rows that they sum up, which are so read twice only.
+    """
+    grid = written(normalised(spark, sf_dir), "grid")
+    return written(wt.weighted_index(grid, wt.weight_table(spark, grid, BANDS, K.PAIRWISE), BANDS), "risk")
 
 
 def risk_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

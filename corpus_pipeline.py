@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns that it got, extra ones too (of extra columns named like those that a
+stage adds, such as ``n_lines`` or ``mix_block``, the stage's own values stay). Null, empty and very long texts, null
+ids, repeated rows and empty tables pass as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, line_dedup, mixing, queries, simhash
+from gridloom.llm import byte_bpe, line_dedup, mixing, nb_svm, queries, simhash
 from gridloom.session import table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores as good."""
-    scored = queries.quality_scores(spark, docs, table(spark, sf_dir, "labels"), extra=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("score") >= queries.GOOD).select(*docs.columns)
+    model = queries.quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = nb_svm.score(docs, model, extra=tuple(c for c in docs.columns if c != "doc_id"), out_col="__score")
+    return scored.where(F.col("__score") >= queries.GOOD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,8 +104,8 @@ def mix(
     """
     new = ["mix_tokens", "mix_weight", "mix_exponent", "mix_pass", "mix_block", "mix_order"]
     docs = docs.drop(*new)
-    sized = docs.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_tokens": n_tokens(text_col)})
-    totals = written(sized.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-totals")
+    sized = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_tokens": n_tokens(text_col)})
+    totals = written(sized.groupBy("__source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-totals")
     total, sources, most = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*"), F.coalesce(F.max("docs"), F.lit(0))).first()
     if not total:
         exponent, tokens, z = 1.0, 0.0, 1.0
@@ -115,23 +115,23 @@ def mix(
         z = shares.stats(exponent)[0]
     bits, blocks = (most // RANGE).bit_length(), max(1, math.ceil(tokens / block_tokens))
     weight = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(exponent)) / F.lit(z)
-    plan = totals.select("mix_source", "tokens", weight.alias("mix_weight"), F.round(weight * tokens).cast("long").alias("budget"))
+    plan = totals.select("__source", F.col("tokens").alias("__total"), weight.alias("mix_weight"), F.round(weight * tokens).cast("long").alias("__budget"))
 
     def showings(rows: DataFrame) -> DataFrame:
         """Rows repeated for each pass, with the place of the row in the pass."""
-        counted = rows.join(F.broadcast(plan) if sources <= DRIVER_SOURCES else plan, "mix_source")
-        last = F.ceil(F.col("budget") / F.col("tokens")).cast("int") - 1
-        passes = counted.where("budget > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
-        order = F.xxhash64(F.lit(seed), "mix_pass", id_col, "mix_source")
-        return passes.withColumn("mix_order", order).withColumn("part", F.shiftrightunsigned("mix_order", 64 - bits) if bits else F.lit(0).cast("long"))
-
-    by = ["mix_source", "mix_pass", "part"]
-    parts = showings(sized.select(id_col, "mix_source", "mix_tokens")).groupBy(*by).agg(F.sum("mix_tokens").alias("part_tokens"))
-    before = W.partitionBy("mix_source", "mix_pass").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select(*by, F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("offset"))
+        counted = rows.join(F.broadcast(plan) if sources <= DRIVER_SOURCES else plan, "__source")
+        last = F.ceil(F.col("__budget") / F.col("__total")).cast("int") - 1
+        passes = counted.where("__budget > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
+        order = F.xxhash64(F.lit(seed), "mix_pass", id_col, "__source")
+        return passes.withColumn("mix_order", order).withColumn("__part", F.shiftrightunsigned("mix_order", 64 - bits) if bits else F.lit(0).cast("long"))
+
+    by = ["__source", "mix_pass", "__part"]
+    parts = showings(sized.select(id_col, "__source", "mix_tokens")).groupBy(*by).agg(F.sum("mix_tokens").alias("__tokens"))
+    before = W.partitionBy("__source", "mix_pass").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(*by, F.coalesce(F.sum("__tokens").over(before), F.lit(0)).alias("__offset"))
     inside = W.partitionBy(*by).orderBy("mix_order", id_col).rowsBetween(W.unboundedPreceding, -1)
-    placed = showings(sized).join(offsets, by).withColumn("start", F.col("mix_pass") * F.col("tokens") + F.col("offset") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
-    return placed.where("start < budget").select(
+    placed = showings(sized).join(offsets, by).withColumn("__start", F.col("mix_pass") * F.col("__total") + F.col("__offset") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
+    return placed.where("__start < __budget").select(
         *docs.columns, "mix_tokens", "mix_weight", F.lit(exponent).alias("mix_exponent"), "mix_pass",
-        F.floor(F.col("start") / F.col("budget") * blocks).cast("long").alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_order").alias("mix_order"),
+        F.floor(F.col("__start") / F.col("__budget") * blocks).cast("long").alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_order").alias("mix_order"),
     )

@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit_rows([np.frombuffer(r["places"], dtype="<i4") for r in found], np.array([r["__label"] for r in found], dtype=int), **options)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``extra`` and ``score`` for every row; one pass without a shuffle.
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """``id_col``, the columns ``extra`` and the score ``out_col`` for every row; one pass without a shuffle.
 
     Null and empty texts have no n-grams: their score is that of the curve's constant. Null ids and repeated rows stay; an
     empty table gives no rows. Columns not named don't pass, so none can clash.
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(id_col, *(c for c in extra if c != text_col), text_col)
     passed = len(docs.columns) - (text_col not in extra)
-    schema = T.StructType([*docs.schema.fields[:passed], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields[:passed], T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, np.zeros(PLACES, dtype=bool)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, chat_tree, class_lm, exact_topk, line_dedup, mixing, multi_index, nb_svm, simhash, token_counts
@@ -26,11 +26,14 @@ def token_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Documents scored by a model that never sees the held-out quarter of the labels: ``held_out`` and ``score`` beside the id and ``extra``."""
-    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    model = nb_svm.fit(docs, labels.where(~out))
-    return nb_svm.score(docs, model, extra=extra).withColumn("held_out", out)
+def quality_model(docs: DataFrame, labels: DataFrame) -> nb_svm.Model:
+    """A model that never sees the held-out quarter of the labels."""
+    return nb_svm.fit(docs, labels.where(~held_out_quarter()))
+
+
+def held_out_quarter() -> Column:
+    """Whether an id's labels are held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 #: Score from which a document counts as good.
@@ -39,8 +42,9 @@ GOOD = 0.7
 
 @_query
 def op1_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    scored = nb_svm.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_quarter().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 @_query

@@ -244,8 +244,10 @@ def test_mixing_budgets_and_blocks(spark, monkeypatch):
     rnd = random.Random(6)
     rows = [(i, "big" if i % 2 else rnd.choice(["s1", "s2", None, ""]), " ".join(["w"] * rnd.randint(0, 40)), "x") for i in range(400)] + [(None, "s1", None, "x"), (7, "big", "w w", "x"), (7, "big", "w w", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_block string")
+    for clash in ("tokens", "budget", "part", "start", "docs", "offset"):
+        docs = docs.withColumn(clash, F.lit("x"))
     mixed = mixing.mix(docs, max_passes=1.5, block_tokens=500)
-    assert mixed.columns[:4] == ["doc_id", "source", "text", "mix_tokens"] and mixed.columns.count("mix_block") == 1
+    assert mixed.columns[:4] == ["doc_id", "source", "text", "tokens"] and mixed.columns.count("mix_block") == 1
     found = mixed.collect()
     shown = Counter((r.doc_id, r.source, r.text) for r in found)
     once = Counter((i, s, t) for i, s, t, _ in rows)

@@ -34,3 +34,17 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert set(corpus_pipeline.run(spark, sf_dir).columns) == {"doc_id", "lang", "source", "n_tokens", "ids", "decodes"}
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, held_out string, n_lines string, mix_block string, ids string, tokens string, fp string"
+    rows = [(1, None, None, None, None), (None, "no id at all", "en", "s", 3), (2, "", "en", None, 0), (3, "some words " * 20_000, "en", "s", 1), (4, "twice the same text here", "en", "t", 2), (4, "twice the same text here", "en", "t", 2)]
+    for own in (rows, []):
+        docs = spark.createDataFrame([(*r, "x", "x", "x", "x", "x", "x", "x") for r in own], schema)
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            out = written(stage(spark, docs, sf_dir), "odd")
+            gone = {2} if name == "SimHash near-dedup" else set()  # as empty as the first
+            assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - gone
+        kept = written(corpus_pipeline.classify(spark, docs, sf_dir), "odd")
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {r.doc_id for r in docs.collect()}
+        assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(own)

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import constants as K
 from gridloom.operators import network
 from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
 from gridloom.session import table, written
-from gridloom.sources import surrogates as S
 
 SIDE = 12
 LATTICE_SQL = (

@@ -1,0 +1,5 @@
+"""The registered queries; importing the package registers them all."""
+
+from gridloom.plans import layers, network, places, registry, scoring, zones
+
+__all__ = ["layers", "network", "places", "registry", "scoring", "zones"]

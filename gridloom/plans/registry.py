@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,3 @@ def query(sql: str | None = None) -> Callable:
         return fn
 
     return register
-
-
-for _module in ("layers", "scoring", "zones", "network", "places"):
-    importlib.import_module(f"gridloom.plans.{_module}")

@@ -50,9 +50,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(queries.token_file("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, extra=("lang", "source", "text"))
+    digested = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    encoded = byte_bpe.encode(digested, ranks, public_tokenizers.PATTERN, extra=("lang", "source", "digest"))
     decoded = byte_bpe.decode(encoded, ranks)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    whole = F.sha2("decoded", 256) == F.col("digest")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 
 

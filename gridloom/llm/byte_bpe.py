@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks remembered by one Python worker in each of two generations, and the longest of them in characters: bounds of its memory.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
 #: Characters of one text that are encoded at once.
 SLICE = 1 << 18
+#: Rows that Spark hands to Python at once: bounds the buffers on both sides.
+BATCH_ROWS = 1000
 
 
 def read_ranks(path: str) -> bytes:
@@ -211,8 +213,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
     """``id_col``, the columns ``extra`` and ``ids array<int>`` for every row; one pass without a shuffle.
 
     Null and empty texts have no ids; a null id, repeated rows and ties keep their rows; an empty table gives none.
-    Columns of ``docs`` that aren't named don't pass, so none can clash.
+    Columns of ``docs`` that aren't named don't pass, so none can clash. The session's Arrow batches are set to BATCH_ROWS.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, stand_ins(pattern)))
     docs = docs.select(id_col, *(c for c in extra if c != text_col), text_col)
     passed = len(docs.columns) - (text_col not in extra)
@@ -221,7 +224,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, differing = shared.value
         own = codec(data, pattern, differing)
-        gc.disable()  # millions of small objects without cycles
+        gc.set_threshold(200_000, 50, 50)  # millions of small objects without cycles
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

@@ -61,7 +61,9 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) for each place; p and q are smoothed counts of rows of the two classes. 0 where no row counts."""
-    p, q = (np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == side]), minlength=PLACES) for side in (1, 0))
+    q, p = counts = np.zeros((2, PLACES))
+    for r, y in zip(rows, labels, strict=True):
+        counts[y][r] += 1  # a row holds a place once
     ratio = np.log((p + smooth) / (p + smooth).sum()) - np.log((q + smooth) / (q + smooth).sum())
     return np.where(p + q > 0, ratio, 0.0)
 
@@ -139,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     joined = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("at"), id_col, "__label", text_col)
-    found = sorted(features(joined, text_col=text_col).limit(2 * max_rows).collect())
-    return fit_rows([np.frombuffer(r["places"], dtype="<i4") for r in found], np.array([r["__label"] for r in found], dtype=int), **options)
+    found = features(joined, text_col=text_col).limit(2 * max_rows).toArrow().sort_by([("at", "ascending"), (id_col, "ascending")])
+    rows = [np.frombuffer(r.as_buffer(), dtype="<i4") for r in found["places"]]  # views of the table's own memory
+    return fit_rows(rows, np.array(found["__label"].to_pylist(), dtype=int), **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:

@@ -10,7 +10,9 @@ from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
 from gridloom.session import table, written
+from gridloom.sources.surrogates import COLS, ROWS
 
+#: The corner of the grid that the queries with SQL use: their SQL is all-pairs or recursive. The queries named *_whole use the whole grid and every row, without SQL.
 SIDE = 12
 LATTICE_SQL = (
     RISK_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -23,19 +25,20 @@ edges AS (SELECT bare.src, bare.dst, length, er.risk, er.risk_max, length * (1 +
 )
 
 
-def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, bare edges and the risk grid."""
+def lattice(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, bare edges and the risk grid; nodes of the corner or of the whole grid."""
     grid = risk(spark, sf_dir).select("r", "c", "risk")
-    nodes = grid.where((F.col("r") < SIDE) & (F.col("c") < SIDE)).select((F.col("r") * SIDE + F.col("c")).alias("id"), "r", "c", (F.col("r") + 0.5).alias("y"), (F.col("c") + 0.5).alias("x"), F.col("risk").alias("node_risk"))
+    here, side = (grid, COLS) if whole else (grid.where((F.col("r") < SIDE) & (F.col("c") < SIDE)), SIDE)
+    nodes = here.select((F.col("r") * side + F.col("c")).alias("id"), "r", "c", (F.col("r") + 0.5).alias("y"), (F.col("c") + 0.5).alias("x"), F.col("risk").alias("node_risk"))
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
     ahead = nodes.withColumn("o", step).select(F.col("id").alias("src"), "node_risk", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
     edges = ahead.join(nodes.select("r", "c", F.col("id").alias("dst")), ["r", "c"])
     return nodes, edges.select("src", "dst", (1000 + (F.col("src") * 37 + F.col("dst") * 91) % 211 + F.col("node_risk") * 10).alias("length")), grid
 
 
-def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risky(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The lattice's edges with risk and cost."""
-    nodes, edges, grid = lattice(spark, sf_dir)
+    nodes, edges, grid = lattice(spark, sf_dir, whole)
     return written(network.edge_risk(edges, nodes, grid), "edge-risk")
 
 
@@ -48,6 +51,11 @@ def edge_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORIGINS = (0, 77, 143)
 
 
+def on_grid(node: int) -> int:
+    """The node of the whole grid at the place of a node of the corner."""
+    return node // SIDE * COLS + node % SIDE
+
+
 def _paths_sql(name: str, weight: str) -> str:
     origins = ", ".join(f"({o})" for o in ORIGINS)
     return f"""{name}(o, n, d) USING KEY (o, n) AS (
@@ -55,10 +63,10 @@ def _paths_sql(name: str, weight: str) -> str:
   UNION SELECT p.o, e.dst, min(p.d + e.{weight}) FROM {name} p JOIN edges e ON e.src = p.n LEFT JOIN recurring.{name} q ON q.o = p.o AND q.n = e.dst WHERE q.d IS NULL OR p.d + e.{weight} < q.d GROUP BY p.o, e.dst)"""
 
 
-def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The origins that are nodes."""
-    nodes, _, _ = lattice(spark, sf_dir)
-    return nodes.where(F.col("id").isin(*ORIGINS)).select(F.col("id").alias("origin"))
+def origins(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The origins that are nodes; on the whole grid the nodes at the same places."""
+    nodes, _, _ = lattice(spark, sf_dir, whole)
+    return nodes.where(F.col("id").isin(*(map(on_grid, ORIGINS) if whole else ORIGINS))).select(F.col("id").alias("origin"))
 
 
 @query(f"{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {_paths_sql('by_cost', 'cost')} SELECT CAST(a.o AS BIGINT) AS origin, CAST(a.n AS BIGINT) AS node, round(a.d, 4) AS shortest, round(b.d, 4) AS safest FROM by_length a JOIN by_cost b ON a.o = b.o AND a.n = b.n")
@@ -74,21 +82,22 @@ DEST_SQL = f"""spots AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_par
 dests AS (SELECT kind, node, arg_max(name, id) AS name FROM spots WHERE node IN (SELECT id FROM nodes) GROUP BY kind, node)"""
 
 
-def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``kind``, ``node`` and ``name`` of the places that lie on nodes."""
-    nodes, _, _ = lattice(spark, sf_dir)
-    k = F.col("p_partkey")
-    spots = table(spark, sf_dir, "part").where(k % 17 == 0).select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, "hospital").otherwise("shelter").alias("kind"), ((k * 11 % SIDE) * SIDE + k * 7 % SIDE).alias("node"))
+def destinations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """``kind``, ``node`` and ``name`` of the places that lie on nodes: of each 17th part row, or of all on the whole grid."""
+    nodes, _, _ = lattice(spark, sf_dir, whole)
+    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    rows, cols = (ROWS, COLS) if whole else (SIDE, SIDE)
+    spots = (parts if whole else parts.where(k % 17 == 0)).select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, "hospital").otherwise("shelter").alias("kind"), ((k * 11 % rows) * cols + k * 7 % cols).alias("node"))
     return spots.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").groupBy("kind", "node").agg(F.max_by("name", "id").alias("name"))
 
 
 NEAREST_SQL = f"""near AS (SELECT o AS origin, kind, arg_min(n, (round(d, 6), n)) AS dest, min(d) AS d FROM by_length JOIN dests ON dests.node = n WHERE n <> o GROUP BY o, kind)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Each origin with its nearest place of each kind by length: ``origin``, ``kind``, ``dest`` and ``name``."""
-    dests = destinations(spark, sf_dir)
-    reached = network.distances(risky(spark, sf_dir), origins(spark, sf_dir), "length").where("origin <> node")
+    dests = destinations(spark, sf_dir, whole)
+    reached = network.distances(risky(spark, sf_dir, whole), origins(spark, sf_dir, whole), "length").where("origin <> node")
     best = reached.join(dests, "node").groupBy("origin", "kind").agg(F.min(F.struct(F.round("distance", 6).alias("d"), F.col("node").alias("dest"))).alias("m"))
     return best.select("origin", "kind", F.col("m.dest").alias("dest")).join(dests.withColumnRenamed("node", "dest"), ["kind", "dest"])
 
@@ -98,6 +107,11 @@ def nearest_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("origin", "kind", "dest", "name")
 
 
+@query()
+def nearest_destination_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir, whole=True).select("origin", "kind", "dest", "name")
+
+
 def _routes_sql(name: str, weight: str) -> str:
     """Least-weight routes with the sums along them; a struct's first field decides."""
     start = ", ".join(f"({o})" for o in ORIGINS)
@@ -118,6 +132,12 @@ def route_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tradeoff(network.routes(edges, wanted, "length"), network.routes(edges, wanted, "cost")).drop("same_route"), 4)
 
 
+@query()
+def route_tradeoff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, wanted = risky(spark, sf_dir, whole=True), pairs(spark, sf_dir, whole=True).select("origin", "kind", "dest")
+    return rounded(tradeoff(network.routes(edges, wanted, "length"), network.routes(edges, wanted, "cost")).drop("same_route"), 4)
+
+
 def tradeoff(short: DataFrame, safe: DataFrame) -> DataFrame:
     """Shortest against least-risk routes of the same pairs; percentages are 0 where the base is not positive."""
     names = ("km", "mean_risk", "max_risk", "exposure", "path")
@@ -136,10 +156,10 @@ def tradeoff(short: DataFrame, safe: DataFrame) -> DataFrame:
 POINTS_SQL = "points AS (SELECT p_partkey AS id, (p_partkey * 17 % 200) / 10e0 AS x, (p_partkey * 13 % 190) / 10e0 AS y FROM part WHERE p_partkey % 5 = 0)"
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points around the lattice, in cell units."""
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(k % 5 == 0).select(k.alias("id"), (k * 17 % 200 / 10.0).alias("x"), (k * 13 % 190 / 10.0).alias("y"))
+def points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Points around the lattice, in cell units: of each fifth part row, or of all."""
+    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    return (parts if whole else parts.where(k % 5 == 0)).select(k.alias("id"), (k * 17 % 200 / 10.0).alias("x"), (k * 13 % 190 / 10.0).alias("y"))
 
 
 @query(f"""{LATTICE_SQL}, {POINTS_SQL}, d AS (SELECT points.id, nodes.id AS node, sqrt((points.x - nodes.x) * (points.x - nodes.x) + (points.y - nodes.y) * (points.y - nodes.y)) AS d FROM points, nodes)
@@ -149,6 +169,12 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.nearest(points(spark, sf_dir), nodes.select("id", "x", "y"), 2.5, "node"))
 
 
+@query()
+def nearest_node_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _ = lattice(spark, sf_dir, whole=True)
+    return rounded(network.nearest(points(spark, sf_dir, whole=True), nodes.select("id", "x", "y"), 2.5, "node"))
+
+
 @query(f"""WITH {POINTS_SQL}, places AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey * 7 % 20 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 19 AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 9 = 0),
 d AS (SELECT points.id, places.name, places.id AS place, sqrt((points.x - places.x) * (points.x - places.x) + (points.y - places.y) * (points.y - places.y)) AS d FROM points, places)
 SELECT points.id, coalesce(m.name, '') AS name FROM points LEFT JOIN (SELECT id, arg_min(name, (d, place)) AS name FROM d WHERE d <= 4 GROUP BY id) m ON m.id = points.id""")
@@ -159,6 +185,15 @@ def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(places.select(F.col("id").alias("place"), "name"), "place", "left").select("id", F.coalesce("name", F.lit("")).alias("name"))
 
 
+@query()
+def nearest_place_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the suppliers at one spot the least id answers, as in a tie: the join holds each spot once."""
+    k = F.col("s_suppkey")
+    places = table(spark, sf_dir, "supplier").groupBy((k * 7 % 20).cast("double").alias("x"), (k * 3 % 19).cast("double").alias("y")).agg(F.min(F.struct(k.alias("id"), F.col("s_name").alias("name"))).alias("p")).select("p.*", "x", "y")
+    found = network.nearest(points(spark, sf_dir, whole=True), places, 4.0, "place")
+    return found.join(places.select(F.col("id").alias("place"), "name"), "place", "left").select("id", F.coalesce("name", F.lit("")).alias("name"))
+
+
 @query(f"{LATTICE_SQL}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, length, risk FROM edges WHERE src <> dst AND length > 0) SELECT a, b, round(min(length), 4) AS length, round(arg_min(risk, length), 6) AS risk FROM u GROUP BY a, b")
 def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = network.undirected(risky(spark, sf_dir).select("src", "dst", "length", "risk"))
@@ -183,6 +218,13 @@ def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), "rank", "segments")
 
 
+@query()
+def contracted_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = network.undirected(risky(spark, sf_dir, whole=True).select("src", "dst", "length", "risk"))
+    found = network.contract(edges.withColumn("rank", (F.col("a") * 5 + F.col("b")) % 5))
+    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), "rank", "segments")
+
+
 ONEWAY_SQL = f"{LATTICE_SQL}, arcs AS (SELECT src, dst FROM edges WHERE (src * 3 + dst * 5) % 7 < 4)"
 
 
@@ -192,6 +234,12 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.strong_components(edges.where((F.col("src") * 3 + F.col("dst") * 5) % 7 < 4))
 
 
+@query()
+def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = lattice(spark, sf_dir, whole=True)
+    return network.strong_components(edges)
+
+
 LINE = ((2.0, 1.0), (6.0, 4.0), (11.0, 4.5), (15.0, 12.0), (8.0, 16.0))
 
 
@@ -200,18 +248,28 @@ long_ AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len
 hit AS (SELECT id, x, y, ax, ay, bx, by_, before, length, greatest(least(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 1e0), 0e0) AS t FROM points, run),
 near AS (SELECT id, sqrt(power(x - (ax + t * (bx - ax)), 2) + power(y - (ay + t * (by_ - ay)), 2)) AS d, before + t * length AS a FROM hit)
 SELECT id, round(min(d), 6) AS distance, round(arg_min(a, (d, a)), 6) AS along FROM near WHERE d <= 1.5e0 GROUP BY id""")
-def corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corridor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     line = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in LINE])], "line long, points array<struct<x: double, y: double>>")
-    return rounded(network.corridor(line, points(spark, sf_dir), 1.5).select("id", "distance", "along"))
+    return rounded(network.corridor(line, points(spark, sf_dir, whole), 1.5).select("id", "distance", "along"))
+
+
+@query()
+def corridor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corridor(spark, sf_dir, whole=True)
 
 
 @query(f"""WITH {POINTS_SQL}, ring AS (SELECT * FROM (VALUES {", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(LINE, LINE[1:] + LINE[:1], strict=True))}) t(ax, ay, bx, by_))
 SELECT id, count(*) FILTER (WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax) % 2 = 1 AS inside FROM points, ring GROUP BY id""")
-def points_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points_in_polygon(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from gridloom.functions.geo import in_ring
 
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in LINE])
-    return points(spark, sf_dir).select("id", in_ring(F.col("x"), F.col("y"), ring).alias("inside"))
+    return points(spark, sf_dir, whole).select("id", in_ring(F.col("x"), F.col("y"), ring).alias("inside"))
+
+
+@query()
+def points_in_polygon_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_in_polygon(spark, sf_dir, whole=True)
 
 
 @query()
@@ -223,10 +281,10 @@ def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point to point: snapped to the nearest nodes, the least-risk route, or a straight line where a point can't be snapped."""
-    nodes, edges, grid = lattice(spark, sf_dir)
-    here = points(spark, sf_dir).where("id % 50 = 0")
+    nodes, edges, grid = lattice(spark, sf_dir, whole=True)
+    here = points(spark, sf_dir, whole=True)
     snapped = network.nearest(here, nodes.select("id", "x", "y"), 2.5, "node").join(here, "id")
-    ends = snapped.select("id", F.col("node").alias("origin"), "x", "y").withColumn("dest", F.lit(143).cast("long"))
+    ends = snapped.select("id", F.col("node").alias("origin"), "x", "y").withColumn("dest", F.lit(on_grid(143)).cast("long"))
     found = network.routes(network.edge_risk(edges, nodes, grid), ends.where("origin IS NOT NULL"), "cost").select("id", "km", "mean_risk", "max_risk")
     straight = F.sqrt((F.col("x") - 11.5) * (F.col("x") - 11.5) + (F.col("y") - 11.5) * (F.col("y") - 11.5))
     both = ends.select("id", straight.alias("straight")).join(found, "id", "left")

@@ -202,3 +202,87 @@ def test_files(spark):
     assert files.untyped(payload["xy"], "<i4").tolist() == [100000, 200000, 300000, 400000] and files.untyped(payload["offsets"], "<u4").tolist() == [0, 1, 2] and files.untyped(payload["risk"], "<u1").tolist() == [127]
     with pytest.raises(ValueError):
         files.read_stack(spark, f"{path}/stage", ["risk"])
+
+
+def road_network(spark, folder):
+    """The whole grid's edges as src -> [(dst, length, cost)]."""
+    from gridloom.plans.network import risky
+
+    links = {}
+    for r in risky(spark, folder, whole=True).collect():
+        links.setdefault(r.src, []).append((r.dst, r.length, r.cost))
+    return links
+
+
+def brute_distances(links, origin, weight):
+    """Least sums by relaxing all edges until nothing changes."""
+    best, moved = {origin: 0.0}, True
+    while moved:
+        moved = False
+        for a in list(best):
+            for e in links[a]:
+                if best[a] + e[weight] < best.get(e[0], np.inf) - 1e-9:
+                    best[e[0]], moved = best[a] + e[weight], True
+    return best
+
+
+@pytest.fixture(scope="module")
+def whole_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    parts = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
+    suppliers = {r.s_suppkey: r.s_name for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+    return folder, parts, suppliers
+
+
+def test_point_queries_use_every_row(spark, whole_tables):
+    from gridloom.plans.network import LINE
+
+    folder, parts, suppliers = whole_tables
+    ids = np.array(sorted(parts))
+    xy = np.stack([ids * 17 % 200 / 10.0, ids * 13 % 190 / 10.0], axis=1)
+    r, c = np.divmod(np.arange(2000), 50)
+    d = np.hypot(xy[:, :1] - (c + 0.5), xy[:, 1:] - (r + 0.5))
+    got = {x.id: x for x in registry.QUERIES["nearest_node_whole"](spark, folder).collect()}
+    assert set(got) == set(parts) and all(got[i].node is not None and abs(got[i].distance - row.min()) < 1e-5 and abs(row[got[i].node] - row.min()) < 1e-9 for i, row in zip(ids.tolist(), d, strict=True))
+    keys = np.array(sorted(suppliers))
+    e = np.round((xy[:, :1] * 10 - keys * 7 % 20 * 10) ** 2 + (xy[:, 1:] * 10 - keys * 3 % 19 * 10) ** 2).astype(int)  # tenths, exact
+    want = {i: suppliers[int(keys[row.argmin()])] if row.min() <= 1600 else "" for i, row in zip(ids.tolist(), e, strict=True)}
+    names = {x.id: x.name for x in registry.QUERIES["nearest_place_whole"](spark, folder).collect()}
+    tied = {i for i, row in zip(ids.tolist(), e, strict=True) if len({(int(k * 7 % 20), int(k * 3 % 19)) for k in keys[row == row.min()]}) > 1}
+    assert set(names) == set(want) and all(names[i] == want[i] for i in want if i not in tied) and len(tied) < len(want) / 2
+    near = {}
+    for a, b in zip(map(np.array, LINE), map(np.array, LINE[1:]), strict=False):
+        t = np.clip((xy - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+        for i, dist in zip(ids.tolist(), np.hypot(*(xy - a - t[:, None] * (b - a)).T), strict=True):
+            near[i] = min(near.get(i, np.inf), dist)
+    got = {x.id: x.distance for x in registry.QUERIES["corridor_whole"](spark, folder).collect()}
+    edge = {i for i, v in near.items() if abs(v - 1.5) < 1e-9}  # the last bit decides
+    assert set(got) - edge == {i for i, v in near.items() if v <= 1.5} - edge and all(abs(got[i] - near[i]) < 1e-5 for i in got)
+    inside = {x.id: x.inside for x in registry.QUERIES["points_in_polygon_whole"](spark, folder).collect()}
+    cross = sum((((a[1] > xy[:, 1]) != (b[1] > xy[:, 1])) & (xy[:, 0] < (b[0] - a[0]) * (xy[:, 1] - a[1]) / (b[1] - a[1]) + a[0])).astype(int) for a, b in zip(LINE, LINE[1:] + LINE[:1], strict=True))
+    assert inside == dict(zip(ids.tolist(), (cross % 2 == 1).tolist(), strict=True))
+
+
+def test_network_queries_use_the_whole_grid(spark, whole_tables):
+    folder, parts, _ = whole_tables
+    links = road_network(spark, folder)
+    assert len(links) == 2000 and sum(map(len, links.values())) == 2 * 3910
+    spots = {}
+    for k in sorted(parts):
+        spots["hospital" if k % 2 == 0 else "shelter", (k * 11 % 40) * 50 + k * 7 % 50] = parts[k]
+    wanted = {}
+    for o in (0, 305, 561):
+        far = brute_distances(links, o, 1)
+        for kind in ("hospital", "shelter"):
+            dest = min((n for k, n in spots if k == kind and n != o), key=lambda n: (round(far[n], 6), n))
+            wanted[o, kind] = (dest, spots[kind, dest], far[dest] / 1000, brute_distances(links, o, 2)[dest])
+    got = {(x.origin, x.kind): (x.dest, x.name) for x in registry.QUERIES["nearest_destination_whole"](spark, folder).collect()}
+    assert got == {k: v[:2] for k, v in wanted.items()}
+    routes = {(x.origin, x.kind): x for x in registry.QUERIES["route_tradeoff_whole"](spark, folder).collect()}
+    assert set(routes) == set(wanted) and all(routes[k].dest == v[0] and abs(routes[k].shortest_km - v[2]) < 1e-3 for k, v in wanted.items())
+    found = registry.QUERIES["route_search"](spark, folder).collect()
+    assert {x.id for x in found} == set(parts) and {x.mode for x in found} == {"route"}
+    chains = registry.QUERIES["contracted_edges_whole"](spark, folder).collect()
+    lengths = sum({(min(a, e[0]), max(a, e[0])): min(e[1], next(f[1] for f in links[e[0]] if f[0] == a)) for a, es in links.items() for e in es}.values())
+    assert len(chains) == 3910 - 4 and sorted(x.segments for x in chains)[-5:] == [1, 2, 2, 2, 2] and abs(sum(x.length for x in chains) - lengths) < 1
+    assert {(x.node, x.component) for x in registry.QUERIES["strong_components_whole"](spark, folder).collect()} == {(n, 0) for n in range(2000)}

@@ -276,11 +276,12 @@ DISTANCE_SQL = f"""{ROADS_SQL}, near AS (SELECT r, c, least(coalesce(min(sqrt(po
 FROM (SELECT r, c, c * 1000 + 500e0 AS x, r * 1000 + 500e0 AS y, ax, ay, bx, by_, coalesce(greatest(least(((c * 1000 + 500e0 - ax) * (bx - ax) + (r * 1000 + 500e0 - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 1e0), 0e0), 0e0) AS t FROM norm, roads) GROUP BY r, c)"""
 
 
-def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments in metres over the grid, a kilometre a cell."""
-    k = F.col("s_suppkey")
+def roads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Segments in metres over the grid, a kilometre a cell: of the first 30 suppliers as in the SQL, or each different one of all suppliers."""
+    k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
     metres = lambda x: x.cast("double") * 1000
-    return table(spark, sf_dir, "supplier").where(k <= 30).select(metres(k % 50).alias("ax"), metres(k * 3 % 40).alias("ay"), metres(k % 50 + k % 5).alias("bx"), metres(k * 3 % 40 + k % 3).alias("by"))
+    found = (rows if whole else rows.where(k <= 30)).select(metres(k % 50).alias("ax"), metres(k * 3 % 40).alias("ay"), metres(k % 50 + k % 5).alias("bx"), metres(k * 3 % 40 + k % 3).alias("by"))
+    return found.distinct() if whole else found
 
 
 def road_distance(grid: DataFrame, lines: DataFrame) -> DataFrame:
@@ -294,11 +295,21 @@ def distance_to_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(road_distance(normalised(spark, sf_dir), roads(spark, sf_dir)), 4)
 
 
+@query()
+def distance_to_road_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(road_distance(normalised(spark, sf_dir), roads(spark, sf_dir, whole=True)), 4)
+
+
 @query(f"""{WITH_NORM}, {DISTANCE_SQL}, {DISC1}, b AS (SELECT x.r, x.c, avg(y.exposure) AS built FROM norm x CROSS JOIN offs JOIN norm y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY 1, 2),
 raw AS (SELECT b.r, b.c, 0.7e0 * built + 0.3e0 * (1500 - distance) / 1500 AS exposure FROM b JOIN near ON near.r = b.r AND near.c = b.c), {_norm_sql("raw", "exposure", "out_")} SELECT r, c, round(exposure, 6) AS exposure FROM out_""")
-def exposure_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposure_layer(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     grid = normalised(spark, sf_dir)
     built = rasters.focal(grid, "exposure", rasters.disc(1), out="built")
-    near = road_distance(grid, roads(spark, sf_dir))
+    near = road_distance(grid, roads(spark, sf_dir, whole))
     raw = built.join(near, ["r", "c"]).select("r", "c", (F.col("built") * K.EXPOSURE_PARTS[0] + (F.lit(K.ROAD_LIMIT_M) - F.col("distance")) * K.EXPOSURE_PARTS[1] / K.ROAD_LIMIT_M).alias("exposure"))
     return rounded(rasters.normalise(raw, ["exposure"]))
+
+
+@query()
+def exposure_layer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure_layer(spark, sf_dir, whole=True)

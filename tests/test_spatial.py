@@ -12,6 +12,7 @@ from gridloom.functions import geo
 from gridloom.operators import network, places, rasters, skew, weights, zones
 from gridloom.operators.components import ONE_TASK_EDGES, connected_components
 from gridloom.plans import registry
+from gridloom.plans.layers import normalised
 from gridloom.session import scratch_path
 from gridloom.sources import files
 
@@ -286,3 +287,21 @@ def test_network_queries_use_the_whole_grid(spark, whole_tables):
     lengths = sum({(min(a, e[0]), max(a, e[0])): min(e[1], next(f[1] for f in links[e[0]] if f[0] == a)) for a, es in links.items() for e in es}.values())
     assert len(chains) == 3910 - 4 and sorted(x.segments for x in chains)[-5:] == [1, 2, 2, 2, 2] and abs(sum(x.length for x in chains) - lengths) < 1
     assert {(x.node, x.component) for x in registry.QUERIES["strong_components_whole"](spark, folder).collect()} == {(n, 0) for n in range(2000)}
+
+
+def test_every_road_counts(spark, whole_tables):
+    folder, _, suppliers = whole_tables
+    k = np.array(sorted(suppliers))
+    a = np.stack([k % 50, k * 3 % 40], axis=1) * 1000.0
+    v = np.stack([k % 5, k % 3], axis=1) * 1000.0
+    r, c = np.divmod(np.arange(2000), 50)
+    rel = np.stack([c * 1000 + 500.0, r * 1000 + 500.0], axis=1)[:, None] - a
+    t = np.clip((rel * v).sum(axis=2) / np.maximum((v * v).sum(axis=1), 1), 0, 1)
+    want = np.minimum(np.hypot(*np.moveaxis(rel - t[..., None] * v, 2, 0)).min(axis=1), K.ROAD_LIMIT_M)
+    got = {(x.r, x.c): x.distance for x in registry.QUERIES["distance_to_road_whole"](spark, folder).collect()}
+    assert len(got) == 2000 and all(abs(got[p] - w) < 1e-3 for p, w in zip(zip(r.tolist(), c.tolist(), strict=True), want.tolist(), strict=True))
+    built = {(x.r, x.c): x.built for x in rasters.focal(normalised(spark, folder), "exposure", rasters.disc(1), out="built").collect()}
+    raw = np.array([0.7 * built[p] + 0.3 * (1500 - w) / 1500 for p, w in zip(zip(r.tolist(), c.tolist(), strict=True), want.tolist(), strict=True)])
+    low, high = raw.min(), np.quantile(raw, 0.99)
+    layer = {(x.r, x.c): x.exposure for x in registry.QUERIES["exposure_layer_whole"](spark, folder).collect()}
+    assert len(layer) == 2000 and all(abs(layer[p] - x) < 1e-5 for p, x in zip(zip(r.tolist(), c.tolist(), strict=True), np.clip((raw - low) / (high - low), 0, 1).tolist(), strict=True))

@@ -30,9 +30,9 @@ def merged(vectors: DataFrame, is_query: Column, least: int, name: str) -> tuple
 
     ``ids`` are the ``least`` smallest different ids that hold the vector and ``key`` the smallest. With ties going to smaller ids
     no other id can be among the first ``least`` answers, so no group of equal vectors is ever expanded. The
-    smallest ids are found in each task before the shuffle.
+    smallest ids are found in each task before the shuffle; repeated rows of an id have one rank.
     """
-    near = vectors.withColumn("n", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("n") <= least)
+    near = vectors.withColumn("n", F.dense_rank().over(W.partitionBy("vec").orderBy("id"))).where(F.col("n") <= least)
     entries = written(near.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("key"), "vec", "ids"), name)
     queries = written(vectors.where(is_query).distinct().join(entries.select("vec", "key"), "vec").select("id", "key"), f"{name}-queries")
     return entries, queries

@@ -100,6 +100,16 @@ def test_exact_topk_equals_brute_force(spark, monkeypatch):
     assert exact_topk.search(frame.where("vec_id = 20"), F.col("id") % 10 == 0).collect() == []
 
 
+def test_repeated_rows_inside_a_large_group_of_equal_vectors(spark):
+    rows = [(i, [0.5, 0.25]) for i in range(40) for _ in range(25 if i == 0 else 2)] + [(100 + i, [0.01 * i, 0.2]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search, k in ((multi_index.search, 20), (exact_topk.search, 5)):
+        got = {}
+        for r in search(frame, F.col("id").isin(0, 39)).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {0: list(range(1, k + 1)), 39: list(range(k))}
+
+
 def test_bounds_stop_before_the_lists_end():
     rng = np.random.default_rng(3)
     points = rng.integers(-50, 50, size=(3000, 4)).astype(float)

@@ -1,17 +1,19 @@
 """Brown class-based bigram language model: exchange clustering, class transitions, word emissions, smoothed log scores.
 
 ``P(text) = prod P(class_i | class_{i-1}) * P(word_i | class_i)`` over the words of a text and one end token; a text
-starts after an end token. Classes: the end; ``classes`` classes of the ``exchange_words`` most frequent words, found by
-exchange; a class for each octave of counts of the other frequent words; and one for rare words, which also holds all
-unseen words as one type. Every training token counts in all of this, whatever its class.
+starts after an end token. Classes: the end; ``classes`` classes that hold every word seen twice or more; and one for
+words seen once, which also holds all unseen words as one type. The ``exchange_words`` most frequent words move between
+the classes by exchange; then each other recurring word goes to the class that raises the bigram likelihood most, by
+its counts of neighbouring classes, gathered over all training tokens and merged by ranges of words on the executors. Every
+training token counts in all of this, whatever its class.
 
 * Transitions: ``(n(a, b) + prior * P(b)) / (n(a) + prior)`` with ``P(b)`` smoothed by add-one over classes in use. A word seen
   once stands once for itself and once for unseen words (Good-Turing), in the rare class's column and row.
 * Emissions: ``n(w) / n(class)``; in the rare class the unseen type takes the part of words seen once.
 
-Words are keyed by 64-bit hashes. Counts of all words are one distributed table. Its most frequent ``hot_words`` at most
-go to the executors (16 bytes each), so no frequent word is ever shuffled for a text; all others are joined by key. Only
-class-level and bounded word-level statistics reach the driver.
+Words are keyed by 64-bit hashes. Counts and classes of all words are one distributed table. Its most frequent ``hot_words``
+at most go to the executors (20 bytes each), so no frequent word is ever shuffled for a text; all others are joined by key, with
+their classes. Only class-level and bounded word-level statistics reach the driver.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from gridloom.session import written
 END = b"\n"
 #: Bytes of text whose words are held at once, by batch.
 SLICE = 1 << 21
-#: Numbers of a unit: the end, then exchange words, then octaves of counts, then rare and unseen words.
+#: Numbers of a unit: the end, then exchange words, then octaves of counts, then rare and unseen words. Units are only for the exchange.
 OCTAVES = 64
+#: Training tokens of one range of words whose neighbour counts are merged at once, and merged counts weighed at once.
+RANGE_TOKENS, WEIGHED = 1_000_000, 1 << 15
 
 
 def _keys(words: list[bytes]) -> np.ndarray:
@@ -218,85 +222,249 @@ def exchange_classes(pairs: np.ndarray, exchange: int, classes: int, sweeps: int
     return label
 
 
+def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, *, text_col: str = "text") -> DataFrame:
+    """``bucket`` and packed ``key``, ``code``, ``n`` of every word that is not an exchange word: how often it has a neighbour of a class.
+
+    ``code`` is the class of the next token, or the number of classes and the class of the token before. Summed in each task by slices.
+    """
+    shared, n_classes = train.sparkSession.sparkContext.broadcast((hot, label)), int(label[-1]) + 1
+    buckets = max(16, hot.n_tokens // RANGE_TOKENS)
+
+    def packed(keys: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        klass, mine = shared.value[1][unit], unit > shared.value[0].exchange
+        after, before = np.append(klass[1:], 0), np.concatenate([[0], klass[:-1]])
+        word = np.concatenate([keys[mine], keys[mine]])
+        words, at = np.unique(word, return_inverse=True)
+        pair, n = np.unique(at * (2 * n_classes) + np.concatenate([after[mine], n_classes + before[mine]]), return_counts=True)
+        found = words[pair // (2 * n_classes)]
+        bucket = (found.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        rows = [[], [], [], []]
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            part = order[a:b]
+            rows[0].append(int(bucket[order[a]]))
+            rows[1].append(found[part].tobytes())
+            rows[2].append((pair[part] % (2 * n_classes)).astype(np.uint8 if n_classes < 128 else np.int32).tobytes())
+            rows[3].append(n[part].astype(np.int32).tobytes())
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "key", "code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for keys, _ in tokens(batch.column(0)):
+                held.append((keys, shared.value[0].units_of(keys)[1]))
+                size += len(keys)
+                if size > 1 << 20:  # a slice ends with an end token, so slices follow on
+                    yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return train.select(text_col).mapInArrow(run, "bucket long, key binary, code binary, n binary")
+
+
+def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """``key`` and ``klass`` (1 to ``classes``) of every word of neighbour_counts() seen twice or more: the class that raises the likelihood most.
+
+    ``table`` has the counts of neighbouring classes before any of these words moves. A word weighs as in exchange_classes().
+    """
+    size = len(table)
+    double = table.astype(float)
+    own = slice(1, classes + 1)
+    base = np.concatenate([double[own].T, double[:, own]])  # by code: counts of each class beside that neighbour
+    base_log, outs, ins = _xlogx(base), double.sum(axis=1)[own], double.sum(axis=0)[own]
+    code_type = np.uint8 if size < 128 else np.int32
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [np.concatenate([np.frombuffer(x, dtype=t) for x in group.column(c).to_pylist()]) for c, t in (("key", np.int64), ("code", code_type), ("n", np.int32))]
+        order = np.lexsort((parts[1], parts[0]))
+        key, code, n = (x[order] for x in parts)
+        first = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(code.astype(np.int64), prepend=-1) != 0))
+        key, code, n = key[first], code[first].astype(np.int64), np.add.reduceat(n.astype(np.int64), first)
+        starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
+        times = np.add.reduceat(np.where(code < size, n, 0), starts)
+        best = np.empty(len(starts), dtype=np.int32)
+        w = 0
+        while w < len(starts):
+            v = max(w + 1, int(np.searchsorted(starts, starts[w] + WEIGHED)))
+            a, b = starts[w], starts[v] if v < len(starts) else len(key)
+            gain = np.add.reduceat(_xlogx(base[code[a:b]] + n[a:b, None]) - base_log[code[a:b]], starts[w:v] - a, axis=0)
+            beside = np.zeros((2, v - w, classes + 1))  # of its own class both before and after
+            row = np.repeat(np.arange(v - w), np.diff(np.append(starts[w:v], b)))
+            near = (code[a:b] % size > 0) & (code[a:b] % size <= classes)
+            beside[code[a:b][near] // size, row[near], code[a:b][near] % size] = n[a:b][near]
+            r, q = beside[:, :, 1:]
+            at = np.nonzero((r > 0) & (q > 0))
+            d = double[1 + at[1], 1 + at[1]]
+            gain[at] += _xlogx(d + r[at] + q[at]) - _xlogx(d + r[at]) - _xlogx(d + q[at]) + _xlogx(d)
+            for total in (outs, ins):
+                gain -= _xlogx(total + times[w:v, None]) - _xlogx(total)
+            best[w:v] = gain.argmax(axis=1) + 1
+            w = v
+        more = times > 1
+        return pa.table({"key": pa.array(key[starts][more]), "klass": pa.array(best[more], pa.int32())})
+
+    return neighbours.groupBy("bucket").applyInArrow(run, "key long, klass int")
+
+
 @dataclass
 class Model:
-    """What scoring needs on the executors: bounded by the frequent words and classes."""
+    """What scoring needs on the executors: bounded by the frequent words and classes. Units of the frequent words are their classes."""
 
     hot: Hot
     label: np.ndarray
     transition: np.ndarray
-    emission: np.ndarray
     unseen: float
     rare_tokens: int
+    in_class: np.ndarray
+
+
+def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, name: str, *, id_col: str | None = None, text_col: str = "text") -> DataFrame:
+    """Rows with ``codes`` of their tokens, written: the place of a frequent word, or below 0 the place (-1 the first) in ``found``.
+
+    ``found`` has ``j``, ``klass`` and ``n`` from the lexicon (``key``, ``klass``, ``n``) of the row's words that are not frequent; unseen words are missing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for keys, lengths in tokens(batch.column(batch.num_columns - 1)):
+                codes = shared.value.find(keys).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                other = np.flatnonzero(codes < 0)
+                cuts = np.searchsorted(other, ends)
+                words, sizes = [], [0]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    here = other[a:b]
+                    own, at = np.unique(keys[here], return_inverse=True)
+                    codes[here] = -1 - at
+                    words.append(own)
+                    sizes.append(sizes[-1] + len(own))
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(words)))]
+                yield pa.RecordBatch.from_arrays([*([batch.column(0).slice(done, len(lengths))] if id_col else []), *columns], names=[*([id_col] if id_col else []), "codes", "others"])
+                done += len(lengths)
+
+    fields = [*([docs.schema[id_col]] if id_col else []), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
+    rows = written(docs.select(*([id_col] if id_col else []), text_col).mapInArrow(run, T.StructType(fields)).withColumn("__row", F.monotonically_increasing_id()), name)
+    looked = rows.select("__row", F.posexplode("others").alias("j", "key")).join(lexicon, "key")
+    found = looked.groupBy("__row").agg(F.collect_list(F.struct("j", "klass", "n")).alias("found"))
+    return rows.drop("others").join(found, "__row", "left").drop("__row")
+
+
+def _read(batch: pa.RecordBatch, hot: Hot, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens per text; and of each token its class and count (0: unseen)."""
+    codes, found = batch.column("codes"), batch.column("found")
+    lengths = codes.value_lengths().to_numpy(zero_copy_only=False)
+    at = codes.flatten().to_numpy()
+    klass, n = (np.append(x, 0)[np.maximum(at, -1)] for x in (hot.units, hot.counts))
+    other = np.flatnonzero(at < 0)
+    if len(other):
+        text = np.repeat(np.arange(len(lengths)), lengths)[other]
+        widest = np.zeros(len(lengths), dtype=np.int64)
+        np.maximum.at(widest, text, -at[other].astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(widest)])
+        classes, counts = np.full(base[-1], rare), np.zeros(base[-1], dtype=np.int64)
+        flat = found.flatten()
+        place = np.repeat(base[:-1], found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + flat.field("j").to_numpy()
+        classes[place], counts[place] = flat.field("klass").to_numpy(), flat.field("n").to_numpy()
+        slot = base[text] - 1 - at[other]
+        klass[other], n[other] = classes[slot], counts[slot]
+    return lengths, klass, n
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of coded() in pieces of whole texts, about 2**18 tokens each."""
+    piece = np.cumsum(batch.column("codes").value_lengths().to_numpy(zero_copy_only=False)) >> 18
+    cuts = np.flatnonzero(np.diff(piece, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+        yield batch.slice(a, b - a)
+
+
+def class_pairs(rows: DataFrame, hot: Hot, size: int) -> np.ndarray:
+    """Counts of neighbouring classes over all tokens of coded() rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            for piece in _pieces(batch):
+                _, klass, _ = _read(piece, shared.value, size - 1)
+                total += np.bincount(np.concatenate([[0], klass[:-1]]) * size + klass, minlength=size * size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    out = np.zeros(size * size)
+    for pair, n in rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        out[pair] = n
+    return out.reshape(size, size)
 
 
 def fit(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 18, prior: float = 16.0, sweeps: int = 10) -> tuple[Model, DataFrame]:
-    """The model, and the written table of all word counts."""
+    """The model, and the written table of all words: ``key``, ``n`` and ``klass``."""
     counts = written(word_counts(train, text_col=text_col), "word-counts")
     hot = hot_words(counts, hot_limit, exchange_words)
     pairs = unit_pairs(train, hot, text_col=text_col)
-    label = exchange_classes(pairs, exchange_words, classes, sweeps)
-    member = np.zeros((len(label), label[-1] + 1))
+    label = np.minimum(exchange_classes(pairs, exchange_words, classes, sweeps), classes + 1)  # all other words: one class until they have theirs
+    member = np.zeros((len(label), classes + 2))
     member[np.arange(len(label)), label] = 1
-    table, rare = member.T @ pairs @ member, label[-1]
+    rare = classes + 1
+    assigned = best_classes(neighbour_counts(train, hot, label, text_col=text_col), member.T @ pairs @ member, classes)
+    moved = hot.units <= exchange_words
+    seeds = train.sparkSession.createDataFrame(pa.table({"key": pa.array(hot.keys[moved]), "seed": pa.array(label[hot.units[moved]].astype(np.int32))}))
+    kept = counts.join(assigned, "key", "left").join(F.broadcast(seeds), "key", "left")
+    klass = F.when(F.col("key") == END_KEY, 0).otherwise(F.coalesce("seed", F.when(F.col("n") > 1, F.col("klass")), F.lit(rare)))
+    lexicon = written(kept.select("key", "n", klass.cast("int").alias("klass")), "lexicon")
+    units = np.empty(len(hot.keys), dtype=np.int32)
+    if len(units):
+        known = lexicon.where(F.col("n") >= int(hot.counts.min())).select("key", "klass").toArrow()
+        units[np.searchsorted(hot.keys, known.column("key").to_numpy())] = known.column("klass").to_numpy()
+    keys, n = hot.keys, hot.counts
+    if END_KEY not in keys:  # the end is always among them, unseen too
+        end, at = counts.where(F.col("key") == END_KEY).first(), int(np.searchsorted(keys, END_KEY))
+        keys, n, units = np.insert(keys, at, END_KEY), np.insert(n, at, end["n"] if end else 0), np.insert(units, at, 0)
+    hot = Hot(keys, n, units, rare - 1 - OCTAVES, hot.n_tokens, hot.n_types, hot.n_once)
+    table = class_pairs(coded(train, hot, lexicon, "lm-train", text_col=text_col), hot, rare + 1)
     rare_tokens = int(table[:, rare].sum())
     unseen = hot.n_once / (rare_tokens + hot.n_once) if hot.n_once else (0.0 if rare_tokens else 1.0)
+    in_class = table.sum(axis=0)
     double = 1 + hot.n_once / max(rare_tokens, 1)
     table[:, rare] *= double
     table[rare] *= double
-    in_class = np.bincount(label[hot.units], weights=hot.counts, minlength=len(table))
     in_use = in_class > 0
-    in_use[[0, rare]] = True  # an octave without words has no probability
+    in_use[[0, rare]] = True  # a class without words has no probability
     share = (table.sum(axis=0) + 1) * in_use / (table.sum() + in_use.sum())
     with np.errstate(divide="ignore"):
         transition = np.log10((table + prior * share) / (table.sum(axis=1, keepdims=True) + prior))
-    emission = np.log10(hot.counts / in_class[label[hot.units]]) if len(hot.counts) else np.empty(0)
-    return Model(hot, label, transition, emission, max(unseen, 1 / (rare_tokens + 2)), rare_tokens), counts
+    return Model(hot, np.arange(rare + 1), transition, max(unseen, 1 / (rare_tokens + 2)), rare_tokens, in_class), lexicon
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score``, log10, for every row.
 
     Null and empty texts are the end token alone. Null ids and repeated rows stay. Other columns don't pass. With no
     training text every token is unseen and every score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_tokens, floor = model.hot.n_tokens, float(np.log10(model.hot.n_tokens + model.hot.n_types + 1))
+    n_tokens, floor, rare = model.hot.n_tokens, float(np.log10(model.hot.n_tokens + model.hot.n_types + 1)), len(model.label) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        base_of, emission = np.append(np.log10(m.hot.counts + 1), 0.0), np.append(m.emission, 0.0)
-        for batch in batches:
-            done = 0
-            for keys, lengths in tokens(batch.column(1)):
-                at, unit = m.hot.units_of(keys)
-                klass = m.label[unit]
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                part = np.add.reduceat(m.transition[np.concatenate([[0], klass[:-1]]), klass] + emission[at], starts)
-                base = np.add.reduceat(base_of[at], starts)
-                other = np.flatnonzero(at < 0)
-                ends = np.searchsorted(other, np.append(starts, len(keys)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(done, len(lengths)), pa.array(lengths.astype(np.int64)), pa.array((lengths - np.diff(ends)).astype(np.int64)), pa.array(part), pa.array(base),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[other])),
-                    ],
-                    names=[id_col, "n_tokens", "n_known", "part", "base", "others"],
-                )
-                done += len(lengths)
-
-    fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("part", "base")), T.StructField("others", T.ArrayType(T.LongType()))]
-    rows = written(docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    found = rows.select("row", F.explode("others").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(counts, "key", "left")
-    known, single_end = F.col("n").isNotNull(), F.col("key") == END_KEY
-    rare = F.when(known, F.log10(F.lit(1 - model.unseen) * F.col("n") / max(model.rare_tokens, 1))).otherwise(F.lit(float(np.log10(model.unseen))))
-    sums = found.groupBy("row").agg(
-        F.sum(F.when(known, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"),
-        F.sum(F.when(single_end, 0.0).otherwise(F.col("times") * rare)).alias("more"),
-    )
-    return rows.join(sums, "row", "left").select(
-        id_col, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+        mass = np.where(np.arange(rare + 1) == rare, 1 - m.unseen, 1.0)
+        for piece in (p for batch in batches for p in _pieces(batch)):
+            lengths, klass, n = _read(piece, m.hot, rare)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            emission = np.log10(np.where(n > 0, mass[klass] * np.maximum(n, 1) / np.maximum(m.in_class[klass], 1), m.unseen))
+            emission[klass == 0] = 0.0
+            part = np.add.reduceat(m.transition[np.concatenate([[0], klass[:-1]]), klass] + emission, starts)
+            base = np.add.reduceat(np.log10(n + 1.0), starts) - lengths * floor
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(id_col), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), n_tokens, dtype=np.int64)), pa.array(base), pa.array(part)],
+                names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
+    return coded(docs, model.hot, lexicon, "lm-rows", id_col=id_col, text_col=text_col).mapInArrow(run, T.StructType(fields))

@@ -244,6 +244,21 @@ def test_exchange_raises_likelihood():
     assert label[0] == 0 and len({(g, k) for g, k in zip(groups, label[1:31], strict=True)}) == 3  # finds the groups
 
 
+@pytest.mark.parametrize("hot", [8, 1 << 18])
+def test_every_recurring_word_has_the_class_of_its_neighbours(spark, monkeypatch, hot):
+    monkeypatch.setattr(class_lm, "RANGE_TOKENS", 50)
+    texts = ["aa m bb"] * 60 + ["cc n dd"] * 50 + [f"aa a{i} bb" for i in range(40) for _ in range(2 + i % 9)] + [f"cc b{i} dd" for i in range(40) for _ in range(2 + i % 9)] + ["aa once bb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, lexicon = class_lm.fit(docs, hot_limit=hot, exchange_words=6, classes=6, sweeps=0)
+    klass = {r.key: (r.klass, r.n) for r in lexicon.collect()}
+    of = lambda w: klass[int(class_lm._keys([w.encode()])[0])]
+    assert of("m")[0] != of("n")[0] and of("once") == (7, 1)
+    assert [of(f"a{i}") for i in range(40)] == [(of("m")[0], 2 + i % 9) for i in range(40)]
+    assert [of(f"b{i}") for i in range(40)] == [(of("n")[0], 2 + i % 9) for i in range(40)]
+    assert model.in_class.sum() == sum(n for _, n in klass.values())
+    assert model.in_class.tolist() == [sum(n for k, n in klass.values() if k == c) for c in range(8)]
+
+
 def test_class_model_beats_unigrams_on_held_out(spark):
     rows = queries.op9_class_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]

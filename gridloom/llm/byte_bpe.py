@@ -10,24 +10,22 @@ taken whole, as the rank tables' own library does. Decoding maps ids back to tok
 from __future__ import annotations
 
 import base64
-import gc
+import itertools
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Chunks remembered by one Python worker in each of two generations, and the longest of them in characters: bounds of its memory.
-CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
-#: Characters of one text that are encoded at once.
-SLICE = 1 << 18
-#: Rows that Spark hands to Python at once: bounds the buffers on both sides.
-BATCH_ROWS = 1000
+#: Bytes of texts, or ids, that are held at once, and pre-tokens merged by one call of the model.
+SLICE, GROUP = 1 << 22, 1000
+#: Stands between pre-tokens in the model's input; no token holds it.
+GAP = "\ue000"
 
 
 def read_ranks(path: str) -> bytes:
@@ -101,12 +99,21 @@ def stand_ins(pattern: str) -> dict[int, int]:
     return out
 
 
+def ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with up to ``most`` in sum; a larger row is a range of its own."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, stop
+        at = stop
+
+
 class Codec:
-    """Encoder and decoder of one rank table.
+    """Encoder and decoder of one rank table. It remembers nothing between slices, so its memory follows SLICE alone.
 
-    A text is first cut at each space that a visible character follows: no pre-token reaches over such a place, so
-    the chunks between can be encoded and remembered by themselves, each with the space before it. The cache has two
-    generations; when the young one is full it becomes the old one, so chunks in use stay.
+    A slice of texts is first cut at each space that a visible character follows: no pre-token reaches over such a place, so
+    the chunks between can be encoded by themselves, each with the space before it, and each different chunk once.
     """
 
     def __init__(self, data: bytes, pattern: str, differing: dict[int, int] | None = None):
@@ -114,87 +121,101 @@ class Codec:
         import sentencepiece
 
         self.tokens = parse_ranks(data)
-        self.chars = byte_characters()
-        self.mapped = {b: ord(c) for b, c in enumerate(self.chars)}
-        self.whole = {"".join(map(self.chars.__getitem__, t)): i for i, t in enumerate(self.tokens)}
+        self.pieces = pa.array(self.tokens, type=pa.binary())
+        chars = byte_characters()
+        self.mapped = np.array([*map(ord, chars[:0xFF]), ord(GAP)], dtype="<u2")  # no UTF-8 text holds the byte 0xFF
+        self.whole = {"".join(map(chars.__getitem__, t)): i for i, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.pattern, self.differing = regex.compile(pattern), differing or {}
+        self.unlike = frozenset(map(chr, self.differing))
         self.place = re.compile(r" (?=\S)")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
-        if text.isascii() or not self.differing or (same := text.translate(self.differing)) == text:
+        if text.isascii() or self.unlike.isdisjoint(text):
             return self.pattern.findall(text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(same)]
-
-    def merge(self, pre_tokens: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pre-tokens, as 32-bit integers side by side."""
-        ends = chr(0x2581)  # not among the mapped characters
-        raw = ends.join(p.encode().decode("latin-1").translate(self.mapped) for p in pre_tokens).split(ends) if pre_tokens else []
-        merged = self.model.encode(raw, num_threads=1) if raw else []
-        return {p: array("i", i if (one := self.whole.get(r)) is None else (one,)).tobytes() for p, r, i in zip(pre_tokens, raw, merged, strict=True)}
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, each read with a space before it."""
-        parts: dict[str, list[str]] = {}
-        for c in chunks:
-            if c.isalpha():  # letters only: one pre-token
-                parts[c] = [" " + c]
-            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
-                parts[c] = [" " + c[:-1], c[-1]]
-            else:
-                parts[c] = self.cut(" " + c)
-        known = self.merge(list({p for pre in parts.values() for p in pre}))
-        return {c: b"".join([known[p] for p in pre]) for c, pre in parts.items()}
-
-    def _slices(self, text: str) -> Iterator[str]:
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.differing))]
+
+    def merge(self, pre_tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, side by side, and where each one's begin (and the last ends)."""
+        if not pre_tokens:
+            return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        data = np.frombuffer("\udcff".join(pre_tokens).encode(errors="surrogateescape"), dtype=np.uint8)  # that surrogate is the byte 0xFF
+        raw = self.mapped[data].tobytes().decode("utf-16-le").split(GAP)
+        own = np.array(list(map(self.whole.get, raw, itertools.repeat(-1))), dtype=np.int32)
+        other, found = np.flatnonzero(own < 0), []
+        for at in range(0, len(other), GROUP):
+            found += self.model.encode(GAP.join([raw[i] for i in other[at : at + GROUP].tolist()]), num_threads=1)
+            found.append(len(self.tokens))  # what the gap gives: the unknown piece
+        merged, sizes = np.array(found, dtype=np.int32), np.ones(len(own), dtype=np.int64)
+        ends = np.flatnonzero(merged == len(self.tokens))
+        sizes[other] = np.diff(ends, prepend=-1) - 1
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids, single = np.empty(bounds[-1], dtype=np.int32), np.zeros(bounds[-1], dtype=bool)
+        single[bounds[:-1][own >= 0]] = True
+        ids[single], ids[~single] = own[own >= 0], np.delete(merged, ends)
+        return ids, bounds
+
+    def _chunks(self, chunks: list[str], heads: list[str]) -> pa.ListArray:
+        """Ids of chunks, each read with a space before it and cut in one go, and then of the starts of texts."""
+        pre_tokens = self.cut(" " + " ".join(chunks)) if chunks else []
+        starts = [i for i, p in enumerate(pre_tokens) if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        if len(starts) != len(chunks):
+            raise ValueError("the pattern has pre-tokens that reach over a space and a visible character")
+        for h in heads:
+            starts.append(len(pre_tokens))
+            pre_tokens += self.cut(h)
+        ids, bounds = self.merge(pre_tokens)
+        return pa.ListArray.from_arrays(pa.array(bounds[[*starts, len(pre_tokens)]].astype(np.int32)), pa.array(ids))
+
+    def _slice(self, texts: pa.Array) -> pa.ListArray:
+        pieces = pc.split_pattern(texts.fill_null(""), " ")
+        heads, found = pieces.offsets.to_numpy()[:-1], pieces.flatten().dictionary_encode()
+        values, at = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        blank = np.array([not v or v[0].isspace() for v in values], dtype=bool)
+        head = np.zeros(len(at), dtype=bool)
+        head[heads] = True
+        starts = np.flatnonzero(head | ~blank[at])  # a blank piece belongs to the chunk before it
+        sizes = np.diff(np.append(starts, len(at)))
+        number = np.cumsum(~blank) - 1
+        which, first = number[at[starts]], head[starts]
+        chunks = [v for v, b in zip(values, blank.tolist(), strict=True) if not b]
+
+        def joined(rows: np.ndarray) -> list[str]:
+            return [" ".join([values[i] for i in at[a : a + n]]) for a, n in zip(starts[rows].tolist(), sizes[rows].tolist(), strict=True)]
+
+        longer = np.flatnonzero((sizes > 1) & ~first)
+        which[longer] = len(chunks) + np.arange(len(longer))
+        chunks += joined(longer)
+        which[first] = len(chunks) + np.arange(len(heads))
+        ids = self._chunks(chunks, joined(np.flatnonzero(first))).take(pa.array(which))
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        return pa.ListArray.from_arrays(pa.array(ends[[*np.flatnonzero(first), len(which)]].astype(np.int32)), ids.flatten())
+
+    def _parts(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > SLICE and (m := self.place.search(text, at + SLICE)):
             yield text[at : m.start()]
             at = m.start()
         yield text[at:]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as 32-bit integers side by side; empty for an empty text."""
-        out, at = [], 0
-        while at < len(texts):
-            if len(texts[at]) > SLICE:
-                out.append(b"".join(self._encode([part])[0] for part in self._slices(texts[at])))
-                at += 1
-                continue
-            end, size = at, 0
-            while end < len(texts) and (size := size + len(texts[end])) <= SLICE:
-                end += 1
-            out += self._encode(texts[at:end])
-            at = end
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[str] = []
-        heads, ends = [], []
-        for t in texts:
-            first, *rest = self.place.split(t)
-            heads.append(first)
-            chunks += rest
-            ends.append(len(chunks))
-        found = list(map(self.young.get, chunks))
-        if None in found:
-            missing = {c for c, ids in zip(chunks, found, strict=True) if ids is None}
-            new = {c: ids for c in missing if (ids := self.old.get(c)) is not None}
-            new |= self._learn(missing - new.keys())
-            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            if len(self.young) + len(new) > CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young.update((c, ids) for c, ids in new.items() if len(c) <= CACHE_CHARS)
-        pre = [self.cut(h) for h in heads]
-        known = self.merge(list({p for x in pre for p in x}))
-        return [b"".join([*map(known.__getitem__, p), *found[a:b]]) for p, a, b in zip(pre, [0, *ends], ends, strict=False)]
-
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode(self, texts: pa.Array) -> Iterator[pa.ListArray]:
+        """Ids of whole texts, slice by slice: none for a null or empty text. A text longer than a slice is encoded in parts and is a slice of its own."""
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy()
+        for a, b in ranges(sizes, SLICE):
+            if sizes[a] > SLICE:
+                ids = pa.concat_arrays([self._slice(pa.array([part])).flatten() for part in self._parts(texts[a].as_py())])
+                yield pa.ListArray.from_arrays(pa.array([0, len(ids)], type=pa.int32()), ids)
+            else:
+                yield self._slice(texts.slice(a, b - a))
+
+
+def joined_tokens(tokens: pa.BinaryArray, ids: pa.ListArray) -> Iterator[pa.BinaryArray]:
+    """The bytes of rows of ids (null: none), slice by slice."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy()
+    for a, b in ranges(sizes, SLICE):
+        ends = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int32)
+        yield pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(ids.slice(a, b - a).flatten())), b"")
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
@@ -209,29 +230,28 @@ def codec(data: bytes, pattern: str, differing: dict[int, int]) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``extra`` and ``ids array<int>`` for every row; one pass without a shuffle.
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
+    """``id_col``, the columns ``extra`` and ``ids array<int>`` for every row; one pass without a shuffle. With ``decoded_col`` the ids are also decoded again in that pass, as decode() does.
 
-    Null and empty texts have no ids; a null id, repeated rows and ties keep their rows; an empty table gives none.
-    Columns of ``docs`` that aren't named don't pass, so none can clash. The session's Arrow batches are set to BATCH_ROWS.
+    Null and empty texts have no ids; a null id, repeated rows and ties keep their rows; an empty table gives none. A very
+    long text is encoded in parts that end where no pre-token can, with the ids of the whole. Columns of ``docs`` that aren't named don't pass, so none can clash.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, stand_ins(pattern)))
     docs = docs.select(id_col, *(c for c in extra if c != text_col), text_col)
     passed = len(docs.columns) - (text_col not in extra)
-    schema = T.StructType([*docs.schema.fields[:passed], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])]
+    schema = T.StructType([*docs.schema.fields[:passed], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, differing = shared.value
         own = codec(data, pattern, differing)
-        gc.set_threshold(200_000, 50, 50)  # millions of small objects without cycles
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = own.encode([t or "" for t in part.columns[-1].to_pylist()])
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([*part.columns[:passed], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))], names=schema.names)
+            at = 0
+            for ids in own.encode(batch.column(batch.num_columns - 1)):
+                for texts in joined_tokens(own.pieces, ids) if decoded_col else [None]:
+                    n = len(ids) if texts is None else len(texts)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns[:passed]), ids.slice(0, n), *([] if texts is None else [texts])], names=schema.names)
+                    at, ids = at + n, ids.slice(n)
 
     return docs.mapInArrow(run, schema)
 
@@ -239,17 +259,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
 def decode(encoded: DataFrame, ranks: bytes, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and ``out_col`` (binary): the token bytes of each row's ids, joined.
 
-    Null ids give empty bytes. A column already named ``out_col`` is replaced.
+    Null and empty ids give empty bytes; null ids of rows, repeated rows and empty tables pass. A column already named ``out_col`` is replaced.
     """
     encoded = encoded.drop(out_col)
-    shared, at = encoded.sparkSession.sparkContext.broadcast(ranks), encoded.columns.index(ids_col)
+    shared, place = encoded.sparkSession.sparkContext.broadcast(ranks), encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = parse_ranks(shared.value)
+        tokens = pa.array(parse_ranks(shared.value), type=pa.binary())
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                texts = [b"".join(map(tokens.__getitem__, i.values.to_numpy(zero_copy_only=False).tolist())) if i.is_valid else b"" for i in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.binary())], names=[*part.schema.names, out_col])
+            at = 0
+            for texts in joined_tokens(tokens, batch.column(place)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, texts], names=[*batch.schema.names, out_col])
+                at += len(texts)
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -35,21 +36,26 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
 
 
-def test_byte_bpe_equals_library_on_random_texts():
+def encoded_and_decoded(codec, texts):
+    """Ids and bytes of texts by one codec, all slices together."""
+    slices = list(codec.encode(pa.array(texts, type=pa.string())))
+    return [i for s in slices for i in s.to_pylist()], [t for s in slices for part in byte_bpe.joined_tokens(codec.pieces, s) for t in part.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [byte_bpe.SLICE, 300])
+def test_byte_bpe_equals_library_on_random_texts(monkeypatch, size):
+    monkeypatch.setattr(byte_bpe, "SLICE", size)
     codec, own, rnd = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN, byte_bpe.stand_ins(public_tokenizers.PATTERN)), library(), random.Random(3)
-    parts = ["the", " and", "'s", "'ll", "  ", " ", "\n", "\t", " ", "՘", "Ꟛ", "\U00018da0", "12", "٣", "!?", "üñ", "中", "\U0001f600", "\x00", "\x1c", "<|endoftext|>"]
-    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000)] + ["x" * 100_000, " " * 5000, "ab " * 200_000]
-    for text, ids in zip(texts, codec.encode(texts), strict=True):
-        found = np.frombuffer(ids, dtype="<i4").tolist()
-        assert found == own.encode_ordinary(text)
-        assert codec.decode(found) == text.encode()
+    parts = ["the", " and", "'s", "'ll", "  ", " ", "\n", "\t", "\u00a0", "\u3000", "՘", "Ꟛ", "\U00018da0", "12", "٣", "!?", "üñ", "中", "\U0001f600", "\x00", "\x1c", "\ue000", "ÿ", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000)] + ["x" * 100_000, " " * 5000, "ab " * 20_000, "", None]
+    for text, ids, back in zip(texts, *encoded_and_decoded(codec, texts), strict=True):
+        assert ids == own.encode_ordinary(text or "")
+        assert back == (text or "").encode()
 
 
-def test_byte_bpe_cache_turns_over(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 5)
-    codec, own = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN), library()
-    for text in ("one two three four five six seven", "eight nine ten one two", "one two three"):
-        assert np.frombuffer(codec.encode([text])[0], dtype="<i4").tolist() == own.encode_ordinary(text)
+def test_byte_bpe_rejects_patterns_over_spaces():
+    with pytest.raises(ValueError):
+        list(byte_bpe.Codec(RANKS, r"\S+ \S+|\s+|\S+").encode(pa.array(["one two three four"])))
 
 
 def test_byte_bpe_rejects_bad_ranks():
@@ -63,6 +69,8 @@ def test_byte_bpe_round_trip(spark, edge_rows):
     own = library()
     encoded = byte_bpe.encode(clashing(spark, edge_rows), RANKS, public_tokenizers.PATTERN)
     assert encoded.columns == ["doc_id", "ids"]
+    both = byte_bpe.encode(clashing(spark, edge_rows), RANKS, public_tokenizers.PATTERN, extra=("text", "fp"), decoded_col="back")
+    assert both.columns == ["doc_id", "fp", "text", "ids", "back"] and all(bytes(r.back) == (r.text or "").encode() and r.ids == own.encode_ordinary(r.text or "") for r in both.collect())
     found = byte_bpe.decode(encoded.withColumn("decoded", F.lit("old")), RANKS).collect()
     assert Counter((r.doc_id, bytes(r.decoded), tuple(r.ids)) for r in found) == Counter((i, (t or "").encode(), tuple(own.encode_ordinary(t or ""))) for i, t in edge_rows)
     assert byte_bpe.decode(byte_bpe.encode(clashing(spark, []), RANKS, public_tokenizers.PATTERN), RANKS).collect() == []

@@ -11,9 +11,9 @@ training token counts in all of this, whatever its class.
   once stands once for itself and once for unseen words (Good-Turing), in the rare class's column and row.
 * Emissions: ``n(w) / n(class)``; in the rare class the unseen type takes the part of words seen once.
 
-Words are keyed by 64-bit hashes. Counts and classes of all words are one distributed table. Its most frequent ``hot_words``
-at most go to the executors (20 bytes each), so no frequent word is ever shuffled for a text; all others are joined by key, with
-their classes. Only class-level and bounded word-level statistics reach the driver.
+Words are keyed by 64-bit hashes. Counts and classes of all words are one distributed table, the lexicon. Its most frequent
+``hot_limit`` words at most go to the executors (20 bytes each, 20 MB), so no frequent word is ever shuffled for a text; all others are
+joined by key, with their classes. Only class-level and bounded word-level statistics reach the driver.
 """
 
 from __future__ import annotations
@@ -311,21 +311,32 @@ def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> Data
 
 
 @dataclass
-class Model:
-    """What scoring needs on the executors: bounded by the frequent words and classes. Units of the frequent words are their classes."""
+class Known:
+    """What is known of words before transitions: the frequent words (their units are classes), tokens by class, and the part of words seen once that stands for unseen ones."""
 
     hot: Hot
-    label: np.ndarray
-    transition: np.ndarray
-    unseen: float
-    rare_tokens: int
+    rare: int
     in_class: np.ndarray
+    unseen: float
+
+    @property
+    def rare_tokens(self) -> int:
+        """Training tokens of words seen once."""
+        return int(self.in_class[self.rare])
 
 
-def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, name: str, *, id_col: str | None = None, text_col: str = "text") -> DataFrame:
-    """Rows with ``codes`` of their tokens, written: the place of a frequent word, or below 0 the place (-1 the first) in ``found``.
+@dataclass
+class Model(Known):
+    """What scoring needs on the executors: bounded by the frequent words and classes."""
+
+    transition: np.ndarray
+
 
-    ``found`` has ``j``, ``klass`` and ``n`` from the lexicon (``key``, ``klass``, ``n``) of the row's words that are not frequent; unseen words are missing.
+def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """Rows with the columns ``keep`` and the ``codes`` of their tokens: the place of a frequent word, or below 0 the place (-1 the first) in ``found``.
+
+    ``found`` has ``j``, ``klass`` and ``n`` from the lexicon (``key``, ``klass``, ``n``) of the row's different words that are not frequent; unseen words are
+    missing. A text names such a word once. Where one of them stands in very many texts, the adaptive skew join splits its rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -345,11 +356,11 @@ def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, name: str, *, id_col: s
                     words.append(own)
                     sizes.append(sizes[-1] + len(own))
                 columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(words)))]
-                yield pa.RecordBatch.from_arrays([*([batch.column(0).slice(done, len(lengths))] if id_col else []), *columns], names=[*([id_col] if id_col else []), "codes", "others"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, len(lengths)) for c in range(len(keep))), *columns], names=[*keep, "codes", "others"])
                 done += len(lengths)
 
-    fields = [*([docs.schema[id_col]] if id_col else []), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
-    rows = written(docs.select(*([id_col] if id_col else []), text_col).mapInArrow(run, T.StructType(fields)).withColumn("__row", F.monotonically_increasing_id()), name)
+    fields = [*(docs.schema[c] for c in keep), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
+    rows = written(docs.select(*keep, text_col).mapInArrow(run, T.StructType(fields)).withColumn("__row", F.monotonically_increasing_id()), "lm-codes")
     looked = rows.select("__row", F.posexplode("others").alias("j", "key")).join(lexicon, "key")
     found = looked.groupBy("__row").agg(F.collect_list(F.struct("j", "klass", "n")).alias("found"))
     return rows.drop("others").join(found, "__row", "left").drop("__row")
@@ -376,35 +387,71 @@ def _read(batch: pa.RecordBatch, hot: Hot, rare: int) -> tuple[np.ndarray, np.nd
     return lengths, klass, n
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch of coded() in pieces of whole texts, about 2**18 tokens each."""
-    piece = np.cumsum(batch.column("codes").value_lengths().to_numpy(zero_copy_only=False)) >> 18
+def _pieces(batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of whole texts, about 2**18 tokens each."""
+    piece = np.cumsum(lengths) >> 18
     cuts = np.flatnonzero(np.diff(piece, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
         yield batch.slice(a, b - a)
 
 
-def class_pairs(rows: DataFrame, hot: Hot, size: int) -> np.ndarray:
-    """Counts of neighbouring classes over all tokens of coded() rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
+def sequences(docs: DataFrame, known: Known, lexicon: DataFrame, keep: tuple[str, ...] = (), *, text_col: str = "text") -> DataFrame:
+    """Each row's columns ``keep``, ``n_tokens``, ``n_known``, ``base_score``, ``emission`` (log10) and packed ``classes`` of its tokens, written."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    names, kind = ["n_tokens", "n_known", "base_score", "emission", "classes"], _class_type(known.rare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        floor = float(np.log10(m.hot.n_tokens + m.hot.n_types + 1))
+        mass = np.where(np.arange(m.rare + 1) == m.rare, 1 - m.unseen, 1.0)
+        for batch in batches:
+            for piece in _pieces(batch, batch.column("codes").value_lengths().to_numpy(zero_copy_only=False)):
+                lengths, klass, n = _read(piece, m.hot, m.rare)
+                ends = np.cumsum(lengths)
+                starts = np.concatenate([[0], ends[:-1]])
+                emission = np.log10(np.where(n > 0, mass[klass] * np.maximum(n, 1) / np.maximum(m.in_class[klass], 1), m.unseen))
+                emission[klass == 0] = 0.0
+                base = np.add.reduceat(np.log10(n + 1.0), starts) - lengths * floor
+                packed = klass.astype(kind).tobytes()
+                classes = [packed[a * kind().itemsize : b * kind().itemsize] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)), pa.array(base), pa.array(np.add.reduceat(emission, starts)), pa.array(classes, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *columns], names=[*keep, *names])
+
+    fields = [*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in zip(names, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BinaryType()), strict=True))]
+    return written(coded(docs, known.hot, lexicon, keep, text_col).mapInArrow(run, T.StructType(fields)), "lm-rows")
+
+
+def _class_type(rare: int) -> type:
+    return np.uint8 if rare < 256 else np.int32
+
+
+def _class_steps(batch: pa.RecordBatch, rare: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of sequences(): the rows, their numbers of tokens, and of each token the class before it and its own."""
+    for piece in _pieces(batch, batch.column("n_tokens").to_numpy()):
+        klass = np.frombuffer(b"".join(piece.column("classes").to_pylist()), dtype=_class_type(rare)).astype(np.int64)
+        yield piece, piece.column("n_tokens").to_numpy(), np.concatenate([[0], klass[:-1]]), klass
+
+
+def class_pairs(rows: DataFrame, rare: int) -> np.ndarray:
+    """Counts of neighbouring classes over all tokens of sequences()."""
+    size = rare + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            for piece in _pieces(batch):
-                _, klass, _ = _read(piece, shared.value, size - 1)
-                total += np.bincount(np.concatenate([[0], klass[:-1]]) * size + klass, minlength=size * size)
+            for _, _, before, klass in _class_steps(batch, rare):
+                total += np.bincount(before * size + klass, minlength=size * size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
     out = np.zeros(size * size)
-    for pair, n in rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    for pair, n in rows.select("n_tokens", "classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
         out[pair] = n
     return out.reshape(size, size)
 
 
-def fit(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 18, prior: float = 16.0, sweeps: int = 10) -> tuple[Model, DataFrame]:
-    """The model, and the written table of all words: ``key``, ``n`` and ``klass``."""
+def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 20, sweeps: int = 10) -> tuple[Known, DataFrame]:
+    """What is known of the training words, and the written lexicon of all of them: ``key``, ``n`` and ``klass``."""
     counts = written(word_counts(train, text_col=text_col), "word-counts")
     hot = hot_words(counts, hot_limit, exchange_words)
     pairs = unit_pairs(train, hot, text_col=text_col)
@@ -420,51 +467,71 @@ def fit(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange
     lexicon = written(kept.select("key", "n", klass.cast("int").alias("klass")), "lexicon")
     units = np.empty(len(hot.keys), dtype=np.int32)
     if len(units):
-        known = lexicon.where(F.col("n") >= int(hot.counts.min())).select("key", "klass").toArrow()
-        units[np.searchsorted(hot.keys, known.column("key").to_numpy())] = known.column("klass").to_numpy()
+        found = lexicon.where(F.col("n") >= int(hot.counts.min())).select("key", "klass").toArrow()
+        units[np.searchsorted(hot.keys, found.column("key").to_numpy())] = found.column("klass").to_numpy()
+    in_class = np.zeros(rare + 1, dtype=np.int64)
+    for k, n in lexicon.groupBy("klass").agg(F.sum("n")).collect():
+        in_class[k] = n
     keys, n = hot.keys, hot.counts
     if END_KEY not in keys:  # the end is always among them, unseen too
-        end, at = counts.where(F.col("key") == END_KEY).first(), int(np.searchsorted(keys, END_KEY))
-        keys, n, units = np.insert(keys, at, END_KEY), np.insert(n, at, end["n"] if end else 0), np.insert(units, at, 0)
+        at = int(np.searchsorted(keys, END_KEY))
+        keys, n, units = np.insert(keys, at, END_KEY), np.insert(n, at, in_class[0]), np.insert(units, at, 0)
     hot = Hot(keys, n, units, rare - 1 - OCTAVES, hot.n_tokens, hot.n_types, hot.n_once)
-    table = class_pairs(coded(train, hot, lexicon, "lm-train", text_col=text_col), hot, rare + 1)
-    rare_tokens = int(table[:, rare].sum())
+    rare_tokens = int(in_class[rare])
     unseen = hot.n_once / (rare_tokens + hot.n_once) if hot.n_once else (0.0 if rare_tokens else 1.0)
-    in_class = table.sum(axis=0)
-    double = 1 + hot.n_once / max(rare_tokens, 1)
+    return Known(hot, rare, in_class, max(unseen, 1 / (rare_tokens + 2))), lexicon
+
+
+def with_transitions(known: Known, table: np.ndarray, prior: float) -> Model:
+    """The model with smoothed log10 transitions from counts of neighbouring classes."""
+    table, rare = table.copy(), known.rare
+    double = 1 + known.hot.n_once / max(known.rare_tokens, 1)
     table[:, rare] *= double
     table[rare] *= double
-    in_use = in_class > 0
+    in_use = known.in_class > 0
     in_use[[0, rare]] = True  # a class without words has no probability
     share = (table.sum(axis=0) + 1) * in_use / (table.sum() + in_use.sum())
     with np.errstate(divide="ignore"):
         transition = np.log10((table + prior * share) / (table.sum(axis=1, keepdims=True) + prior))
-    return Model(hot, np.arange(rare + 1), transition, max(unseen, 1 / (rare_tokens + 2)), rare_tokens, in_class), lexicon
+    return Model(known.hot, rare, known.in_class, known.unseen, transition)
+
+
+def fit(train: DataFrame, *, text_col: str = "text", prior: float = 16.0, **options) -> tuple[Model, DataFrame]:
+    """The model, and the written lexicon of all words: ``key``, ``n`` and ``klass``. For ``options`` see word_classes()."""
+    known, lexicon = word_classes(train, text_col=text_col, **options)
+    return with_transitions(known, class_pairs(sequences(train, known, lexicon, text_col=text_col), known.rare), prior), lexicon
+
+
+def scored(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """Rows of sequences() with their scores."""
+    shared, n_tokens = rows.sparkSession.sparkContext.broadcast(model.transition), model.hot.n_tokens
+    rare = model.rare
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, lengths, before, klass in _class_steps(batch, rare):
+                steps = np.add.reduceat(shared.value[before, klass], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                total = steps + piece.column("emission").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(id_col), piece.column("n_tokens"), piece.column("n_known"), pa.array(np.full(len(lengths), n_tokens, dtype=np.int64)), piece.column("base_score"), pa.array(total)],
+                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    fields = [rows.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def score(docs: DataFrame, model: Model, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score``, log10, for every row.
 
-    Null and empty texts are the end token alone. Null ids and repeated rows stay. Other columns don't pass. With no
-    training text every token is unseen and every score 0.
+    Null and empty texts are the end token alone. A very long text is read whole, its tokens in one row. Null ids and repeated
+    rows stay. Other columns don't pass. With no training text every token is unseen and every score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_tokens, floor, rare = model.hot.n_tokens, float(np.log10(model.hot.n_tokens + model.hot.n_types + 1)), len(model.label) - 1
+    return scored(sequences(docs, model, lexicon, (id_col,), text_col=text_col), model, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        mass = np.where(np.arange(rare + 1) == rare, 1 - m.unseen, 1.0)
-        for piece in (p for batch in batches for p in _pieces(batch)):
-            lengths, klass, n = _read(piece, m.hot, rare)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            emission = np.log10(np.where(n > 0, mass[klass] * np.maximum(n, 1) / np.maximum(m.in_class[klass], 1), m.unseen))
-            emission[klass == 0] = 0.0
-            part = np.add.reduceat(m.transition[np.concatenate([[0], klass[:-1]]), klass] + emission, starts)
-            base = np.add.reduceat(np.log10(n + 1.0), starts) - lengths * floor
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(id_col), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), n_tokens, dtype=np.int64)), pa.array(base), pa.array(part)],
-                names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
-    return coded(docs, model.hot, lexicon, "lm-rows", id_col=id_col, text_col=text_col).mapInArrow(run, T.StructType(fields))
+
+def fit_and_score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 16.0, **options) -> DataFrame:
+    """score() of all ``docs`` by the model that fit() finds on the rows where ``train`` holds; the words of a text are looked up once for both."""
+    known, lexicon = word_classes(docs.where(train), text_col=text_col, **options)
+    rows = sequences(docs.select(id_col, text_col, train.alias("__train")), known, lexicon, (id_col, "__train"), text_col=text_col)
+    return scored(rows, with_transitions(known, class_pairs(rows.where("__train"), known.rare), prior), id_col)

@@ -157,7 +157,7 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = class_lm.held_out("doc_id")
-    scored = class_lm.score(docs, *class_lm.fit(docs.where(~out)))
+    scored = class_lm.fit_and_score(docs, ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -229,7 +229,47 @@ def class_lm_first(model, counts, spark, word):
     total = class_lm.score(spark.createDataFrame([(1, word)], "doc_id long, text string"), model, counts).first().score
     key = class_lm._keys([word.encode()])
     _, unit = model.hot.units_of(key)
-    return total - model.transition[model.label[unit[0]], 0]
+    return total - model.transition[unit[0], 0]
+
+
+def test_class_scores_word_by_word(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices(["Aa", "bb", "cc", f"w{rnd.randrange(60)}", f"x{i}"], k=rnd.randint(0, 25)))) for i in range(150)] + [(None, "aa zz"), (700, None), (701, "bb " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = class_lm.held_out("doc_id")
+    _, lexicon = class_lm.word_classes(docs.where(~out), hot_limit=16, exchange_words=8, classes=3)
+    known = {r.key: (r.klass, r.n) for r in lexicon.collect()}
+    train = {tuple(r) for r in docs.where(~out).collect()}
+    rare, once = 4, sum(n == 1 for _, n in known.values())
+
+    def words(text):
+        keys = class_lm._keys([*(w.encode() for w in (text or "").lower().split()), class_lm.END]).tolist()
+        return [known.get(k, (rare, 0)) for k in keys]
+
+    table, in_class = np.zeros((rare + 1, rare + 1)), np.zeros(rare + 1)
+    for r in train:
+        before = 0
+        for k, _ in words(r[1]):
+            table[before, k] += 1
+            in_class[k] += 1
+            before = k
+    unseen, double = once / (in_class[rare] + once), 1 + once / in_class[rare]
+    table[:, rare] *= double
+    table[rare] *= double
+    use = (in_class > 0) | np.isin(np.arange(rare + 1), [0, rare])
+    share = (table.sum(axis=0) + 1) * use / (table.sum() + use.sum())
+    want = Counter()
+    for i, text in rows:
+        total, before = 0.0, 0
+        for k, n in words(text):
+            total += math.log10((table[before, k] + 16 * share[k]) / (table[before].sum() + 16))
+            total += math.log10(unseen if n == 0 else (1 - unseen if k == rare else 1) * n / in_class[k]) if k else 0.0
+            before = k
+        want[i, round(total, 6)] += 1
+    found = class_lm.fit_and_score(docs, ~out, hot_limit=16, exchange_words=8, classes=3).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in found) == want
+    apart = class_lm.score(docs, *class_lm.fit(docs.where(~out), hot_limit=16, exchange_words=8, classes=3)).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in apart) == want
 
 
 def test_exchange_raises_likelihood():

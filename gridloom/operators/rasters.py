@@ -10,26 +10,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import rescale
+from gridloom.operators.quantiles import quantiles
+from gridloom.session import written
 
 
 def bounds(cells: DataFrame, bands: Sequence[str], winsor: float | None = 0.99) -> DataFrame:
-    """One row: ``<band>_lo`` and ``<band>_hi`` of each band, in one aggregation.
+    """One row: ``<band>_lo`` and ``<band>_hi`` of each band. ``cells`` should be a written table: it is read more than once.
 
-    The high bound is the winsor percentile where that exceeds the minimum, else the maximum.
+    The high bound is the winsor quantile where that exceeds the minimum, else the maximum. A band without any value is an error: there is nothing to rescale.
     """
-    aggs = []
-    for b in bands:
-        low, high = F.min(b), F.max(b)
-        if winsor is not None:
-            top = F.percentile(F.col(b), winsor)
-            high = F.when(top > low, top).otherwise(high)
-        aggs += [low.cast("double").alias(f"{b}_lo"), high.cast("double").alias(f"{b}_hi")]
-    return cells.agg(*aggs)
+    ends = cells.agg(*[F.min(b).cast("double").alias(f"{b}_lo") for b in bands], *[F.max(b).cast("double").alias(f"{b}_hi") for b in bands])
+    known = [F.when(F.col(f"{b}_lo").isNull(), F.raise_error(F.lit(f"band {b} has no valid cell"))).otherwise(F.col(f"{b}_lo")).alias(f"{b}_lo") for b in bands]
+    if winsor is None:
+        return ends.select(*known, *[f"{b}_hi" for b in bands])
+    tops = quantiles(cells, {f"{b}_top": (b, [winsor]) for b in bands})
+    high = [F.when(F.col(f"{b}_top")[0] > F.col(f"{b}_lo"), F.col(f"{b}_top")[0]).otherwise(F.col(f"{b}_hi")).alias(f"{b}_hi") for b in bands]
+    return ends.join(F.broadcast(tops), how="cross").select(*known, *high)
 
 
 def normalise(cells: DataFrame, bands: Sequence[str], limits: DataFrame | None = None) -> DataFrame:
-    """The bands rescaled to 0 to 1 by their bounds; the bounds are one row, so the product with it moves no cells."""
-    limits = bounds(cells, bands) if limits is None else limits
+    """The bands rescaled to 0 to 1 by their bounds; the bounds are one row, so the product with it moves no cells.
+
+    Without ``limits`` the cells are written first: they are read for their number, for the bounds, and to be rescaled.
+    """
+    if limits is None:
+        cells = written(cells, "cells")
+        limits = bounds(cells, bands)
     both = cells.join(F.broadcast(limits), how="cross")
     return both.withColumns({b: rescale(F.col(b), F.col(f"{b}_lo"), F.col(f"{b}_hi")) for b in bands}).drop(*limits.columns)
 
@@ -123,9 +129,12 @@ def bilinear(points: DataFrame, cells: DataFrame, value: str, out: str = "value"
 
 
 def histogram(values: DataFrame, value: str, buckets: int = 255, least_width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
-    """``bin``, ``n`` and ``mean`` of equal-width buckets over each group's range, not narrower than ``least_width``."""
+    """``bin``, ``n`` and ``mean`` of equal-width buckets over each group's range, not narrower than ``least_width``.
+
+    Without groups the limits are one row; with groups their join is left to the planner, which knows how many there are.
+    """
     limits = values.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    both = values.join(F.broadcast(limits), list(by)) if by else values.join(F.broadcast(limits), how="cross")
+    both = values.join(limits, list(by)) if by else values.join(F.broadcast(limits), how="cross")
     width = F.greatest((F.col("hi") - F.col("lo")) / buckets, F.lit(least_width))
     bin_ = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(buckets - 1)).cast("long")
     return both.where(F.col(value).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

@@ -11,15 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
-from gridloom.functions.cells import rescale, risk_class
+from gridloom.functions.cells import risk_class
+from gridloom.operators.quantiles import quantiles
+from gridloom.operators.rasters import bounds, normalise
+from gridloom.session import written
 
 
 def pairwise_weights(matrix: Sequence[Sequence[float]], max_ratio: float = K.MAX_CONSISTENCY_RATIO) -> dict:
     """Weights, principal eigenvalue, consistency index and ratio of a reciprocal judgement matrix; an inconsistent one is refused."""
     a = np.array(matrix, dtype=float)
     n = len(a)
-    if a.shape != (n, n) or not np.allclose(a * a.T, 1, atol=1e-6):
-        raise ValueError("the matrix must be square and reciprocal")
+    if a.shape != (n, n):
+        raise ValueError("judgements must be a square matrix")
+    mirrored = 1 / a.T
+    if np.abs(a / mirrored - 1).max() > 1e-6:
+        raise ValueError("a judgement must be the reciprocal of its mirror image")
     w = np.full(n, 1 / n)
     for _ in range(10_000):
         last, w = w, a @ w
@@ -68,21 +74,24 @@ def weighted_index(cells: DataFrame, weights: DataFrame, criteria: Sequence[str]
     """``cells`` with the weighted index rescaled by its own bounds; null where the first criterion is null."""
     one = weights.agg(*[F.max(F.when(F.col("criterion") == c, F.col("combined"))).alias(f"w_{c}") for c in criteria])
     raw = sum((F.coalesce(c, F.lit(0.0)) * F.col(f"w_{c}") for c in criteria), F.lit(0.0))
-    scored = cells.join(F.broadcast(one), how="cross").withColumn("__raw", F.when(F.col(criteria[0]).isNotNull(), raw)).drop(*one.columns)
-    top = F.percentile("__raw", 0.99)
-    limits = scored.agg(F.min("__raw").alias("__lo"), F.when(top > F.min("__raw"), top).otherwise(F.max("__raw")).alias("__hi"))
-    return scored.join(F.broadcast(limits), how="cross").withColumn(out, rescale(F.col("__raw"), F.col("__lo"), F.col("__hi"))).drop("__raw", "__lo", "__hi")
+    scored = written(cells.join(F.broadcast(one), how="cross").withColumn(out, F.when(F.col(criteria[0]).isNotNull(), raw)).drop(*one.columns), "index")
+    return normalise(scored, [out], bounds(scored, [out]))
 
 
 def quantile_breaks(cells: DataFrame, value: str, at: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """One row ``breaks``: exact quantiles."""
-    return cells.agg(F.percentile(F.col(value), F.array(*[F.lit(q) for q in at])).alias("breaks"))
+    """One row ``breaks``: exact quantiles. ``cells`` should be a written table."""
+    return quantiles(cells, {"breaks": (value, at)})
 
 
 def natural_breaks(values: np.ndarray, k: int) -> list[float]:
-    """Upper edges of the first k - 1 of k classes of least squared deviation (Fisher's exact dynamic programme)."""
-    x = np.sort(values.astype(float))
+    """The least values of all but the lowest of k classes of least squared deviation (Fisher's exact dynamic programme); a break belongs to the class above it.
+
+    Values that aren't finite don't count; fewer values than classes are an error.
+    """
+    x = np.sort(values.astype(float)[np.isfinite(values.astype(float))])
     n = len(x)
+    if n < k:
+        raise ValueError(f"{n} values can't make {k} classes")
     s, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
 
     def cost(i: np.ndarray, j: int) -> np.ndarray:
@@ -102,20 +111,18 @@ def natural_breaks(values: np.ndarray, k: int) -> list[float]:
     out, j = [], n
     for cut in reversed(cuts):
         j = cut[j]
-        out.append(float(x[j - 1]))
+        out.append(float(x[j]))
     return out[::-1]
 
 
 def jenks(cells: DataFrame, value: str, k: int = 5, probes: int = 1500) -> DataFrame:
-    """One row ``breaks``: natural breaks of up to ``probes`` order statistics (a bounded stand-in for all values), found on an executor."""
-    some = F.percentile(F.col(value), F.array(*[F.lit(i / (probes - 1)) for i in range(probes)]))
-    every = F.array_sort(F.collect_list(value))
-    n = cells.where(F.col(value).isNotNull()).limit(probes + 1).count()
-    one = cells.where(F.col(value).isNotNull()).agg((every if n <= probes else some).alias("x"))
+    """One row ``breaks``: natural breaks of all finite values, or of ``probes`` quantiles at equal steps where there are more; found on an executor."""
+    fine = cells.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf")))
+    one = fine.agg(F.collect_list(value).alias("x")) if fine.limit(probes + 1).count() <= probes else quantiles(fine, {"x": (value, [i / (probes - 1) for i in range(probes)])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"breaks": [natural_breaks(np.array(x), min(k, len(x))) if len(x) else [] for x in f["x"]]})
+            yield pd.DataFrame({"breaks": [natural_breaks(np.array(x), k) for x in f["x"]]})
 
     return one.mapInPandas(run, "breaks array<double>")
 
@@ -137,7 +144,11 @@ def class_statistics(spark: SparkSession, cells: DataFrame, breaks: DataFrame, n
     )
 
 
-def hashed_sample(cells: DataFrame, criteria: Sequence[str], n: int, seed: int) -> DataFrame:
-    """The first n complete cells by a hash of place and seed: the same sample in every run."""
+def hashed_sample(cells: DataFrame, criteria: Sequence[str], n: int, seed: int, least: int = 100) -> DataFrame:
+    """The first n complete cells by a hash of place and seed: the same sample in every run. Fewer than ``least`` complete cells are an error."""
+    complete = cells.dropna(subset=list(criteria))
+    found = complete.limit(least).count()
+    if found < least:
+        raise ValueError(f"only {found} complete cells: weights need {least}")
     key = F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("c").cast("string"), F.lit(str(seed))))
-    return cells.dropna(subset=list(criteria)).orderBy(key).limit(n)
+    return complete.orderBy(key).limit(n)

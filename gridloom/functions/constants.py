@@ -34,6 +34,8 @@ NOT_DRIVABLE = (
 NOT_DRIVABLE_SERVICE = ("alley", "driveway", "emergency_access", "parking", "parking_aisle", "private")
 ROAD_RANK = {"motorway": 0, "trunk": 0, "primary": 0, "secondary": 1, "tertiary": 2, "unclassified": 3, "residential": 3, "living_street": 3, "service": 4, "road": 4}
 ONEWAY_FORWARD, ONEWAY_BACKWARD = ("yes", "true", "1"), ("-1", "reverse")
+CLIP_MARGIN_DEG, DISPLAY_SIMPLIFY_DEG, DISPLAY_CLASSES = 0.01, 0.0002, ("motorway", "trunk", "primary", "secondary", "tertiary")
+MERGE_CLASSES, MERGE_SIMPLIFY_M, MERGE_VERTICES, MERGE_DOUBLINGS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential"), 25.0, 60_000, 5
 ALPHA, SAMPLE_STEP_M, SNAP_LIMIT_M, PLACE_LIMIT_M, SEPARATION_M = 3.0, 50.0, 2500.0, 4000.0, 3000.0
 SETTLEMENT_THRESHOLDS = (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10)
 
@@ -57,4 +59,7 @@ HOSPITAL_EXCLUDED = r"dental|dentist|pharmac|laborator|diagnos|optical|physio|sc
 HOSPITAL_MAJOR = r"taluk|district|general hospital|medical college|medical (centre|center|institute|trust)|institute of medical|government hospital|govt\.? hospital|referral|co-?operative hospital"
 HOSPITAL_LEAST_MAJOR = 5
 SCHOOL_SHELTER = r"higher secondary|hss|ghss|high school|hs|ghs|college|public school|vidyalaya|residential"
+# --- fixed values: tags that name a facility's kind, in order of preference; two numbers as coordinates
+SUB_TYPE_TAGS = ("amenity", "healthcare", "tourism", "shop", "office", "emergency")
+TWO_NUMBERS = r"^\s*(-?\d+(?:\.\d+)?)\s*[,;\s]\s*(-?\d+(?:\.\d+)?)\s*$"
 LAT_RANGE, LON_RANGE = (5, 20), (70, 82)

@@ -38,8 +38,6 @@ def cell_index(coordinate: Column, origin: float, step: float) -> Column:
     return F.floor((coordinate - F.lit(origin)) / step).cast("long")
 
 
-
-
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point lies in a ring, by the parity of crossings of a ray along x."""
     crosses = F.zip_with(
@@ -49,11 +47,51 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def ring_area_km2(ring: Column) -> Column:
-    """Area of a lon/lat ring: shoelace degrees scaled at the mean latitude of its vertices."""
+    """Area of a lon/lat ring: shoelace degrees scaled at the latitude of the ring's centroid (of its vertices' mean where it has no area)."""
     closed = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    twice = F.aggregate(F.zip_with(ring, closed, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
-    latitude = F.aggregate(F.transform(ring, lambda p: p["y"]), F.lit(0.0), lambda s, v: s + v) / F.size(ring)
-    return F.abs(twice) / 2 * (KM_LON * KM_LON) * F.cos(F.radians(latitude))
+    crosses = F.zip_with(ring, closed, lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("w"), (a["y"] + b["y"]).alias("y")))
+    twice = F.aggregate(crosses, F.lit(0.0), lambda s, v: s + v["w"])
+    moment = F.aggregate(crosses, F.lit(0.0), lambda s, v: s + v["w"] * v["y"])
+    mean = F.aggregate(F.transform(ring, lambda p: p["y"]), F.lit(0.0), lambda s, v: s + v) / F.size(ring)
+    return F.abs(twice) / 2 * (KM_LON * KM_LON) * F.cos(F.radians(F.coalesce(F.try_divide(moment, twice * 3), mean)))
+
+
+def points_between(points: Column, metres: bool = True) -> Column:
+    """Lengths of a polyline's segments (array of struct x, y): metres on lon and lat, or plane units."""
+    ahead = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
+
+    def one(a: Column, b: Column) -> Column:
+        return planar_m(a["x"], a["y"], b["x"], b["y"]) if metres else F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+
+    return F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), ahead, one)
+
+
+def summed(values: Column) -> Column:
+    """The sum of an array of doubles; 0 for none."""
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def point_along(points: Column, part: Column) -> Column:
+    """The point (struct x, y) at a part (0 to 1) of a polyline's plane length, both ends included."""
+    lengths = points_between(points, metres=False)
+    goal = part * summed(lengths)
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(0).alias("i"), F.lit(True).alias("going"))
+    last = F.size(lengths) - 1
+    at = F.aggregate(lengths, start, lambda s, v: F.when(s["going"] & (s["i"] < last) & (s["done"] + v < goal), F.struct((s["done"] + v).alias("done"), (s["i"] + 1).alias("i"), F.lit(True).alias("going"))).otherwise(F.struct(s["done"], s["i"], F.lit(False).alias("going"))))
+    a, b = F.get(points, at["i"]), F.get(points, at["i"] + 1)
+    t = F.coalesce(F.least(F.try_divide(goal - at["done"], F.get(lengths, at["i"])), F.lit(1.0)), F.lit(0.0))
+    return F.when(F.size(points) < 2, F.get(points, F.lit(0))).otherwise(F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y")))
+
+
+def band(lat: Column, metres: float) -> Column:
+    """Number of the latitude band, ``metres`` high, that holds a latitude."""
+    return F.floor(lat * (KM_LAT * 1000) / metres).cast("long")
+
+
+def band_width(row: Column, metres: float) -> Column:
+    """Degrees of longitude that are at least ``metres`` wide anywhere in a band or in those beside it."""
+    farthest = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * (metres / (KM_LAT * 1000)), F.lit(89.0))
+    return F.lit(metres / 110_000) / F.cos(F.radians(farthest))  # a degree has more metres than that, on the plane and on the sphere
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:

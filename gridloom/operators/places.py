@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
+from gridloom.functions.geo import in_ring
 
 
 def tag(name: str) -> Column:
@@ -29,16 +33,17 @@ def named() -> Column:
 
 
 def facility_category() -> Column:
-    """The first category whose rule matches (rules for named places pass unnamed ones on); a named town or village is a place before all."""
+    """The first category whose rule matches (rules for named places pass unnamed ones on); a named town or village is a place before all, and shelters for transport or picnics have none."""
     out = F.when(tag("place").isin(*K.PLACE_TAGS) & named(), "place")
+    out = out.when((tag("amenity") == "shelter") & tag("shelter_type").isin(*K.SHELTER_EXCLUDED), F.lit(None).cast("string"))
     for name, named_only, rules in K.FACILITIES:
         out = out.when(matches(rules) & named() if named_only else matches(rules), name)
     return out
 
 
-def sub_type() -> Column:
-    """The value that names the kind within a category: the first tag that is there."""
-    return F.coalesce(*[F.nullif(tag(k), F.lit("")) for k in ("place", "amenity", "healthcare", "emergency", "shop", "tourism", "office")], F.lit(""))
+def sub_type(category: Column) -> Column:
+    """The value that names the kind within a category: the place's own, else the first tag that is there."""
+    return F.when(category == "place", tag("place")).otherwise(F.coalesce(*[F.nullif(tag(k), F.lit("")) for k in K.SUB_TYPE_TAGS], F.lit("")))
 
 
 def dedupe_facilities(rows: DataFrame, order: str) -> DataFrame:
@@ -63,9 +68,9 @@ def drivable() -> Column:
 
 
 def highway_values(value: Column) -> Column:
-    """Highway classes of a value that is one class, a ``;`` list or the text of a list."""
-    inner = F.regexp_replace(value, r"[\[\]'\"\s]", "")
-    return F.filter(F.split(inner, "[,;]"), lambda x: x != "")
+    """Highway classes of a value that is one class or the text of a list of them; a list that can't be read is one class."""
+    items = F.from_json(value, "array<string>", {"allowSingleQuotes": "true"})
+    return F.when(value.startswith("["), F.coalesce(items, F.array(value))).otherwise(F.array(value))
 
 
 def road_rank(value: Column) -> Column:
@@ -95,37 +100,73 @@ def hospitals(rows: DataFrame) -> DataFrame:
     return both.where(keep).drop("major", "majors", "fits")
 
 
-def shelter_fit(sub: Column, name: Column) -> Column:
-    """Whether a place can shelter: no transport shelters; schools only with a name of the larger kinds."""
-    return ~F.coalesce(sub, F.lit("")).isin(*K.SHELTER_EXCLUDED) & ((F.coalesce(sub, F.lit("")) != "school") | F.coalesce(name, F.lit("")).rlike(f"(?i){K.SCHOOL_SHELTER}"))
+def shelter_fit(shelter_type: Column, amenity: Column, name: Column) -> Column:
+    """Whether a place can shelter: none of the excluded types; schools only with a name of the larger kinds."""
+    large = F.coalesce(name, F.lit("")).rlike(f"(?i){K.SCHOOL_SHELTER}")
+    return ~F.coalesce(shelter_type, F.lit("")).isin(*K.SHELTER_EXCLUDED) & ((F.coalesce(amenity, F.lit("")) != "school") | large)
+
+
+def poi_frame(rows: DataFrame, ring: Column) -> DataFrame:
+    """Rows (``kind``, ``name``, ``lon``, ``lat``, others) inside a ring, one for each kind, name and point: the one of least ``id``."""
+    inside = rows.where(in_ring(F.col("lon"), F.col("lat"), ring))
+    others = [c for c in rows.columns if c not in ("kind", "name", "lon", "lat")]
+    return inside.groupBy("kind", "name", "lon", "lat").agg(F.min_by(F.struct(*others), "id").alias("o")).select("kind", "name", "lon", "lat", "o.*")
+
+
+def scan_facilities(rows: DataFrame, ring: Column) -> DataFrame:
+    """``id``, ``cat``, ``sub``, ``name``, ``lon`` and ``lat`` of tagged points (``id``, ``tags``, ``lon``, ``lat``) that have a category and lie in a ring, without repeats."""
+    category = facility_category()
+    found = rows.select("id", category.alias("cat"), sub_type(category).alias("sub"), F.coalesce(tag("name"), F.lit("")).alias("name"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+    return dedupe_facilities(found.where(F.col("cat").isNotNull() & in_ring(F.col("lon"), F.col("lat"), ring)), "id")
+
+
+@functools.cache
+def _bare_letters() -> dict[int, str | None]:
+    """Letters to the single letter that their canonical decomposition leaves without its marks, and marks to nothing; by rule, from the Unicode tables."""
+    marks = range(0x300, 0x370)
+    out: dict[int, str | None] = {}
+    for c in range(0xC0, 0x10000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        left = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if ord(x) not in marks)
+        if len(left) == 1 and left != chr(c):
+            out[c] = left
+    return out | dict.fromkeys(marks)
 
 
 def plain(name: Column) -> Column:
-    """Lower case without accents."""
-    letters = F.lower(name)
-    marks = {"àáâãäå": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "ñ": "n", "òóôõö": "o", "ùúûü": "u", "ýÿ": "y"}
-    return F.translate(letters, "".join(marks), "".join(v * len(k) for k, v in marks.items()))
+    """Lower case without combining marks (U+0300 to U+036F), also those of composed letters. Letters that decompose into several (Hangul syllables, two-part vowel signs) stay as they are."""
+    table = _bare_letters()
+    letters = sorted(c for c, to in table.items() if to is not None)
+    gone = "".join(chr(c) for c, to in table.items() if to is None)
+    return F.translate(F.lower(name), "".join(map(chr, letters)) + gone, "".join(table[c] for c in letters))
 
 
-def suggestions(names: DataFrame, text: str, limit: int = 8) -> DataFrame:
-    """The best names (``id``, ``name``, ``is_place``) that hold every word of a text: ``rank`` from 1, ``score`` ascending, ties by id.
+def plain_text(text: str) -> str:
+    """plain() of a Python string."""
+    return text.lower().translate(_bare_letters())
+
+
+def name_score(name: Column, query: Column, is_place: Column) -> Column:
+    """How well a plain name answers a plain query, best first: 0 where it starts with it, 1 where a word does, else 2; places gain 0.6; longer names lose 1/400 a letter."""
+    place = F.when(F.startswith(name, query), 0.0).when(F.contains(name, F.concat(F.lit(" "), query)), 1.0).otherwise(2.0)
+    return place - F.when(is_place, 0.6).otherwise(0.0) + F.length(name) / 400
+
 
-    0 for a name that starts with the text, 1 where a word does, else 2; places gain 0.6; longer names lose 1/400 a letter.
-    """
-    q = text.strip().lower()
-    n = plain(F.col("name"))
+def suggestions(names: DataFrame, text: str, limit: int = 8) -> DataFrame:
+    """The best names (``id``, ``name``, ``is_place``) that hold every word of a text, both without case and marks: ``rank`` from 1, ``score`` ascending, ties by id."""
+    q = plain_text(text).strip()
+    rows = names.withColumn("n", plain(F.col("name"))).where("length(n) > 0")
     fits = F.lit(len(q) >= 2)
     for word in q.split():
-        fits = fits & n.contains(word)
-    score = F.when(n.startswith(q), 0.0).when(n.contains(" " + q), 1.0).otherwise(2.0) - F.when(F.col("is_place"), 0.6).otherwise(0.0) + F.length("name") / 400
-    found = names.where(fits).select("id", "name", score.alias("score")).orderBy("score", "id").limit(limit)
+        fits = fits & F.contains(F.col("n"), F.lit(word))
+    found = rows.where(fits).select("id", "name", name_score(F.col("n"), F.lit(q), F.col("is_place")).alias("score")).orderBy("score", "id").limit(limit)
     return found.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("score", "id")).cast("long"))
 
 
 def coordinates(text: Column) -> Column:
     """A struct of lat and lon from two numbers in either order that lie in the region; else null."""
-    pattern = r"^\s*(-?\d+(?:\.\d+)?)\s*[,;\s]\s*(-?\d+(?:\.\d+)?)\s*$"
-    a, b = (F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("double") for i in (1, 2))
+    a, b = (F.nullif(F.regexp_extract(text, K.TWO_NUMBERS, i), F.lit("")).try_cast("double") for i in (1, 2))
     lat, lon = (lambda x: x.between(*K.LAT_RANGE)), (lambda x: x.between(*K.LON_RANGE))
     return F.when(lat(a) & lon(b), F.struct(a.alias("lat"), b.alias("lon"))).when(lat(b) & lon(a), F.struct(b.alias("lat"), a.alias("lon")))
 
@@ -140,3 +181,8 @@ def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def escape_script(text: Column) -> Column:
+    """JSON text that is safe inside a script element: nothing in it can end the element."""
+    return F.replace(text, F.lit("</"), F.lit("<\\/"))

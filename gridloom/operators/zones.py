@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import haversine_m
+from gridloom.functions.geo import EARTH_M, band, band_width, haversine_m
 from gridloom.operators.components import connected_components
-from gridloom.operators.rasters import diamond, focal, spread, square
+from gridloom.operators.rasters import diamond, spread
+from gridloom.operators.skew import numbered
 from gridloom.session import written
 
 
@@ -33,7 +37,7 @@ def zonal_statistics(cells: DataFrame, zones: DataFrame) -> DataFrame:
 def hotspots(cells: DataFrame, top: int, columns: int, least_km2: float) -> DataFrame:
     """Zones of the top class with at least ``least_km2``, ranked by area (ties: lower component)."""
     stats = zonal_statistics(cells, cell_components(cells.where(F.col("class") == top), columns)).where(F.col("area_km2") >= least_km2)
-    return stats.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("area_km2", 6).desc(), "component")).cast("long"))
+    return numbered(stats, [F.round("area_km2", 6).desc(), F.col("component")], "rank")
 
 
 def hotspot_summary(spots: DataFrame, study_km2: float | None, cells: DataFrame) -> DataFrame:
@@ -44,15 +48,15 @@ def hotspot_summary(spots: DataFrame, study_km2: float | None, cells: DataFrame)
 
 
 def discs(points: DataFrame, cells: DataFrame, radius_m: float) -> DataFrame:
-    """``points`` (``label``, ``plon``, ``plat``) with every cell (``lon``, ``lat``) within the radius: a range join on square buckets.
+    """``points`` (``label``, ``plon``, ``plat``) with every cell (``lon``, ``lat``) within the radius: a range join on buckets as high as the radius and, by latitude, as wide.
 
-    A point is copied to the buckets that its disc may touch, at least as wide as the radius; its own row stays if no cell is near.
+    A point is copied to the nine buckets that its disc may touch; its own row stays if no cell is near.
     """
-    degrees = radius_m / 111_000 * 1.2
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in square(1)]))
-    keyed = points.withColumn("o", around).select("label", "plon", "plat", (F.floor(F.col("plon") / degrees) + F.col("o.i")).alias("bx"), (F.floor(F.col("plat") / degrees) + F.col("o.j")).alias("by"))
-    there = cells.withColumns({"bx": F.floor(F.col("lon") / degrees), "by": F.floor(F.col("lat") / degrees)})
-    near = keyed.join(there, ["bx", "by"]).where(haversine_m(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat")) <= radius_m).drop("bx", "by", "plon", "plat")
+    rows = points.withColumn("band", F.explode(F.sequence(band(F.col("plat"), radius_m) - 1, band(F.col("plat"), radius_m) + 1)))
+    at = F.floor(F.col("plon") / band_width(F.col("band"), radius_m)).cast("long")
+    keyed = rows.withColumn("slot", F.explode(F.sequence(at - 1, at + 1)))
+    there = cells.withColumn("band", band(F.col("lat"), radius_m)).withColumn("slot", F.floor(F.col("lon") / band_width(F.col("band"), radius_m)).cast("long"))
+    near = keyed.join(there, ["band", "slot"]).where(haversine_m(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat")) <= radius_m).drop("band", "slot", "plon", "plat")
     return points.select("label").join(near, "label", "left")
 
 
@@ -69,52 +73,67 @@ def verdicts(zone_cells: DataFrame, high: tuple[int, ...] = (4, 5), least_share:
     return labels.join(found, "label", "left").withColumn("passed", F.coalesce(F.col("mode").isin(*high) & (F.col("high_share") >= least_share), F.lit(False)))
 
 
-def diagnosis(zone_cells: DataFrame, cells: DataFrame, factors: list[str]) -> DataFrame:
-    """``label``, the ``dominant`` factor (greatest mean in the disc) and the ``weakest`` (least ratio to the mean everywhere)."""
+def diagnosis(zone_cells: DataFrame, cells: DataFrame, factors: list[str], weights: dict[str, float] | None = None, step: float = 0.05) -> DataFrame:
+    """``label``, the ``dominant`` factor (greatest mean in the disc), the ``weakest`` (least ratio to the mean everywhere; infinite where that mean is 0 or missing) and its ``ratio``.
+
+    With ``weights`` also ``suggested``: the weakest factor's weight less ``step``, but not under it. Ties go to the earlier factor.
+    """
+    rank = F.create_map(*[F.lit(x) for i, f in enumerate(factors) for x in (f, -i)])
     zone = zone_cells.groupBy("label").agg(*[F.avg(f).alias(f) for f in factors]).unpivot("label", factors, "factor", "mean")
     everywhere = cells.agg(*[F.avg(f).alias(f) for f in factors]).unpivot([], factors, "factor", "all")
-    return zone.join(F.broadcast(everywhere), "factor").groupBy("label").agg(F.max_by("factor", F.struct("mean", "factor")).alias("dominant"), F.min_by("factor", F.struct(F.try_divide("mean", "all"), "factor")).alias("weakest"))
+    ratio = F.coalesce(F.try_divide("mean", F.nullif("all", F.lit(0.0))), F.lit(float("inf")))
+    rated = zone.where("mean IS NOT NULL").join(F.broadcast(everywhere), "factor").withColumns({"ratio": ratio, "place": rank[F.col("factor")]})
+    found = rated.groupBy("label").agg(F.max_by("factor", F.struct("mean", "place")).alias("dominant"), F.min_by(F.struct("factor", "ratio"), F.struct("ratio", -F.col("place"))).alias("w")).select("label", "dominant", F.col("w.factor").alias("weakest"), F.col("w.ratio").alias("ratio"))
+    if weights is None:
+        return found
+    known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    return found.withColumn("suggested", F.greatest(known[F.col("weakest")] - step, F.lit(step)))
 
 
-def greedy_apart(rows: list, n: int, apart_m: float) -> list:
+def greedy_apart(rows: list, n: int, apart_m: float, taken: Sequence = ()) -> list:
     """The first n rows, in their order, that are ``apart_m`` from all taken before; rows have lon and lat."""
-    import math
 
     def metres(a, b) -> float:
         dlat, dlon = math.radians(b.lat - a.lat) / 2, math.radians(b.lon - a.lon) / 2
-        return 2 * 6_371_000 * math.asin(math.sqrt(math.sin(dlat) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(dlon) ** 2))
+        return 2 * EARTH_M * math.asin(math.sqrt(math.sin(dlat) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(dlon) ** 2))
 
-    taken: list = []
+    out: list = []
     for row in rows:
-        if len(taken) < n and all(metres(row, t) >= apart_m for t in taken):
-            taken.append(row)
-    return taken
+        if len(out) < n and all(metres(row, t) >= apart_m for t in (*taken, *out)):
+            out.append(row)
+    return out
 
 
-def settlements(cells: DataFrame, n: int, thresholds: tuple[float, ...], least_cells: int, apart_m: float, columns: int) -> DataFrame:
-    """Up to n settlement origins: clusters of smoothed built cells, dilated by two, by mean risk, ``apart_m`` from each other.
+def settlements(cells: DataFrame, n: int, thresholds: tuple[float, ...], least_cells: int, apart_m: float, columns: int, page: int = 1000) -> DataFrame:
+    """n settlement origins: clusters of cells ``built`` up to a threshold, dilated by two, by mean risk, ``apart_m`` from each other.
 
-    The highest threshold that gives n is taken, else the one that gives most; all thresholds are worked out in one pass.
-    Clusters reach the driver as one row each, the best ``50 * n`` of a threshold.
+    ``cells`` have ``r``, ``c``, ``built``, ``risk``, ``lon`` and ``lat``; a missing band counts as 0. The highest threshold that gives n is taken; if none does it is an error.
+    Clusters come to the driver in pages, best first, until n are apart or none is left, so none is passed over.
     """
-    smooth = written(focal(cells, "exposure", square(1), out="built").join(cells, ["r", "c"]), "built-smooth")
+    known = cells.withColumns({"built": F.coalesce("built", F.lit(0.0)), "risk": F.coalesce("risk", F.lit(0.0))})
     level = F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("level", "threshold")
-    marked = smooth.select("*", level).where(F.col("built") >= F.col("threshold"))
+    marked = known.select("*", level).where(F.col("built") >= F.col("threshold"))
     size = F.lit(1 << 40)
     wide = spread(marked, diamond(2), ["level"]).distinct().join(cells.select("r", "c"), ["r", "c"])
     keyed = written(wide.select("r", "c", "level", (F.col("level") * size + F.col("r") * columns + F.col("c")).alias("id")), "built-wide")
     ahead = spread(keyed, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)], ["level", F.col("id").alias("other")])
     found = connected_components(ahead.join(keyed, ["r", "c", "level"]).select(F.col("other").alias("src"), F.col("id").alias("dst")))
     zones = keyed.join(found, F.col("id") == F.col("node")).select("r", "c", "level", "component")
-    inside = marked.join(zones, ["r", "c", "level"]).groupBy("level", "component").agg(
+    clusters = marked.join(zones, ["r", "c", "level"]).groupBy("level", "component").agg(
         F.count("*").alias("cells"), (F.sum(F.col("built") * F.col("lon")) / F.sum("built")).alias("lon"), (F.sum(F.col("built") * F.col("lat")) / F.sum("built")).alias("lat"), F.avg("risk").alias("mean_risk")
     )
-    order = W.partitionBy("level").orderBy(F.desc("mean_risk"), "component")
-    ranked = inside.where(F.col("cells") >= least_cells).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 50 * n).orderBy("level", "n").collect()
-    best: list = []
-    for i in range(len(thresholds)):
-        best = max(best, greedy_apart([r for r in ranked if r.level == i], n, apart_m), key=len)
-        if len(best) >= n:
-            break
-    rows = [(i + 1, r.component % (1 << 40), r.cells, r.lon, r.lat, r.mean_risk) for i, r in enumerate(best)]
-    return cells.sparkSession.createDataFrame(rows, "origin_id int, component long, cells long, lon double, lat double, mean_risk double")
+    ranked = written(clusters.where(F.col("cells") >= least_cells).withColumn("mean_risk", F.round("mean_risk", 12)), "clusters")
+    for i, threshold in enumerate(thresholds):
+        chosen: list = []
+        here = ranked.where(F.col("level") == i)
+        while len(chosen) < n:
+            rows = here.orderBy(F.desc("mean_risk"), "component").limit(page).collect()
+            chosen = chosen + greedy_apart(rows, n - len(chosen), apart_m, chosen)
+            if len(rows) < page:
+                break
+            last = rows[-1]
+            here = ranked.where(F.col("level") == i).where((F.col("mean_risk") < last.mean_risk) | ((F.col("mean_risk") == last.mean_risk) & (F.col("component") > last.component)))
+        if len(chosen) >= n:
+            out = [(k + 1, r.component % (1 << 40), r.cells, r.lon, r.lat, r.mean_risk, threshold) for k, r in enumerate(chosen)]
+            return cells.sparkSession.createDataFrame(out, "origin_id int, component long, cells long, lon double, lat double, mean_risk double, threshold double")
+    raise ValueError(f"no threshold gives {n} settlements {apart_m} m apart")

@@ -83,12 +83,9 @@ def first_that_works(sources: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     raise error or ValueError("no sources")
 
 
-def row_count(df: DataFrame) -> int:
-    """Number of rows, 0 if they can't be read."""
-    try:
-        return df.count()
-    except Exception:  # noqa: BLE001
-        return 0
+def row_count(spark: SparkSession, path: str, kind: str = "parquet") -> int:
+    """Number of rows stored at a path, 0 if nothing is there; any other failure is raised."""
+    return spark.read.format(kind).load(path).count() if exists(spark, path) else 0
 
 
 def mismatches(routes: DataFrame, metrics: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:

@@ -188,9 +188,8 @@ def season_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY 1""")
 def detection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = S.scenes(spark, sf_dir).where("ts >= timestamp_ntz '2024-01-05' AND ts < timestamp_ntz '2024-01-25'")
-    first = scenes.select("cell", ((F.col("band") == "click") & (F.col("value") >= K.FIRE_CONFIDENCE)).alias("hit"))
-    second = scenes.select("cell", ((F.col("band") == "view") & (F.col("value") >= K.FIRE_MASK)).alias("hit"))
-    return first.unionByName(second).groupBy("cell").agg(F.count_if("hit").alias("detections"))
+    hit = ((F.col("band") == "click") & (F.col("value") >= K.FIRE_CONFIDENCE)) | ((F.col("band") == "view") & (F.col("value") >= K.FIRE_MASK))
+    return scenes.groupBy("cell").agg(F.count_if(hit).alias("detections"))
 
 
 @query("SELECT user_id AS cell, round(avg(CASE WHEN value < 20 THEN 1e0 ELSE 0e0 END), 6) AS frequency, count(*) AS scenes FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -219,9 +218,11 @@ def _backscatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.lit(-25.0) + (F.col("l_discount") * 5 + F.col("l_tax") * 6) * 20.0 + F.col("l_quantity") / 50.0).alias("vv"), F.col("l_linenumber").alias("win"))
 
 
-@query(HIST_SQL + " SELECT win, bin, n, round(mean, 3) AS mean FROM bins")
+@query(HIST_SQL + " SELECT win, bin, n, CAST(round(mean * n * 100) AS BIGINT) AS hundredths FROM bins")
 def band_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rasters.histogram(_backscatter(spark, sf_dir), "vv", by=["win"]), 3)
+    """Sums in whole hundredths, as the values are: rounded means would hang on the order of addition where they fall between two digits."""
+    found = rasters.histogram(_backscatter(spark, sf_dir), "vv", by=["win"])
+    return found.select("win", "bin", "n", F.round(F.col("mean") * F.col("n") * 100).cast("long").alias("hundredths"))
 
 
 OTSU_SQL = HIST_SQL + """, s AS (
@@ -271,17 +272,16 @@ def fire_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rasters.normalise(dense.join(grid, ["r", "c"]).select("r", "c", (F.col("dense") * fuel).alias("fire")), ["fire"]))
 
 
-ROADS_SQL = "roads AS (SELECT CAST(s_suppkey % 50 AS DOUBLE) * 1000 AS ax, CAST(s_suppkey * 3 % 40 AS DOUBLE) * 1000 AS ay, CAST(s_suppkey % 50 + s_suppkey % 5 AS DOUBLE) * 1000 AS bx, CAST(s_suppkey * 3 % 40 + s_suppkey % 3 AS DOUBLE) * 1000 AS by_ FROM supplier WHERE s_suppkey <= 30)"
+ROADS_SQL = "roads AS (SELECT CAST(s_suppkey % 50 AS DOUBLE) * 1000 AS ax, CAST(s_suppkey * 3 % 40 AS DOUBLE) * 1000 AS ay, CAST(s_suppkey % 50 + s_suppkey % 5 AS DOUBLE) * 1000 AS bx, CAST(s_suppkey * 3 % 40 + s_suppkey % 3 AS DOUBLE) * 1000 AS by_ FROM supplier)"
 DISTANCE_SQL = f"""{ROADS_SQL}, near AS (SELECT r, c, least(coalesce(min(sqrt(power(x - (ax + t * (bx - ax)), 2) + power(y - (ay + t * (by_ - ay)), 2))), 1500e0), 1500e0) AS distance
 FROM (SELECT r, c, c * 1000 + 500e0 AS x, r * 1000 + 500e0 AS y, ax, ay, bx, by_, coalesce(greatest(least(((c * 1000 + 500e0 - ax) * (bx - ax) + (r * 1000 + 500e0 - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 1e0), 0e0), 0e0) AS t FROM norm, roads) GROUP BY r, c)"""
 
 
-def roads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Segments in metres over the grid, a kilometre a cell: of the first 30 suppliers as in the SQL, or each different one of all suppliers."""
-    k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments in metres over the grid, a kilometre a cell, of all suppliers, each different one once."""
+    k = F.col("s_suppkey")
     metres = lambda x: x.cast("double") * 1000
-    found = (rows if whole else rows.where(k <= 30)).select(metres(k % 50).alias("ax"), metres(k * 3 % 40).alias("ay"), metres(k % 50 + k % 5).alias("bx"), metres(k * 3 % 40 + k % 3).alias("by"))
-    return found.distinct() if whole else found
+    return table(spark, sf_dir, "supplier").select(metres(k % 50).alias("ax"), metres(k * 3 % 40).alias("ay"), metres(k % 50 + k % 5).alias("bx"), metres(k * 3 % 40 + k % 3).alias("by")).distinct()
 
 
 def road_distance(grid: DataFrame, lines: DataFrame) -> DataFrame:
@@ -295,21 +295,22 @@ def distance_to_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(road_distance(normalised(spark, sf_dir), roads(spark, sf_dir)), 4)
 
 
-@query()
-def distance_to_road_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(road_distance(normalised(spark, sf_dir), roads(spark, sf_dir, whole=True)), 4)
-
-
 @query(f"""{WITH_NORM}, {DISTANCE_SQL}, {DISC1}, b AS (SELECT x.r, x.c, avg(y.exposure) AS built FROM norm x CROSS JOIN offs JOIN norm y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY 1, 2),
 raw AS (SELECT b.r, b.c, 0.7e0 * built + 0.3e0 * (1500 - distance) / 1500 AS exposure FROM b JOIN near ON near.r = b.r AND near.c = b.c), {_norm_sql("raw", "exposure", "out_")} SELECT r, c, round(exposure, 6) AS exposure FROM out_""")
-def exposure_layer(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    grid = normalised(spark, sf_dir)
-    built = rasters.focal(grid, "exposure", rasters.disc(1), out="built")
-    near = road_distance(grid, roads(spark, sf_dir, whole))
-    raw = built.join(near, ["r", "c"]).select("r", "c", (F.col("built") * K.EXPOSURE_PARTS[0] + (F.lit(K.ROAD_LIMIT_M) - F.col("distance")) * K.EXPOSURE_PARTS[1] / K.ROAD_LIMIT_M).alias("exposure"))
-    return rounded(rasters.normalise(raw, ["exposure"]))
+def exposure_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exposure(normalised(spark, sf_dir), "exposure", roads(spark, sf_dir)))
+
+
+def exposure(grid: DataFrame, built: str, lines: DataFrame | None) -> DataFrame:
+    """The exposure layer: smoothed built-up share and nearness to roads, rescaled; of the built-up share alone where there are no roads."""
+    smooth = rasters.focal(grid, built, rasters.disc(1), out="smooth")
+    if lines is None:
+        return rasters.normalise(smooth.select("r", "c", F.col("smooth").alias("exposure")), ["exposure"])
+    near = road_distance(grid, lines)
+    raw = smooth.join(near, ["r", "c"]).select("r", "c", (F.col("smooth") * K.EXPOSURE_PARTS[0] + (F.lit(K.ROAD_LIMIT_M) - F.col("distance")) * K.EXPOSURE_PARTS[1] / K.ROAD_LIMIT_M).alias("exposure"))
+    return rasters.normalise(raw, ["exposure"])
 
 
-@query()
-def exposure_layer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure_layer(spark, sf_dir, whole=True)
+@query(f"""{WITH_NORM}, {DISC1}, raw AS (SELECT x.r, x.c, avg(y.exposure) AS exposure FROM norm x CROSS JOIN offs JOIN norm y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY 1, 2), {_norm_sql("raw", "exposure", "out_")} SELECT r, c, round(exposure, 6) AS exposure FROM out_""")
+def exposure_without_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exposure(normalised(spark, sf_dir), "exposure", None))

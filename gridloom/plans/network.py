@@ -1,23 +1,25 @@
-"""Queries on the road network: edge risk, contraction, shortest and least-risk routes, nearest nodes, corridors."""
+"""Queries on the road network: edge risk, contraction, shortest and least-risk routes, nearest nodes, search, corridors. All use the whole grid and every row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import network
+from gridloom.functions import constants as K
+from gridloom.functions.geo import cell_centre, in_ring
+from gridloom.operators import network, roads, search
 from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
 from gridloom.session import table, written
-from gridloom.sources.surrogates import COLS, ROWS
+from gridloom.sources.surrogates import COLS, NORTH, ROWS, STEP, WEST
 
-#: The corner of the grid that the queries with SQL use: their SQL is all-pairs or recursive. The queries named *_whole use the whole grid and every row, without SQL.
-SIDE = 12
+LON_SQL, LAT_SQL = f"({WEST}e0 + ({{}}) * {STEP}e0)", f"({NORTH}e0 - ({{}}) * {STEP}e0)"
 LATTICE_SQL = (
     RISK_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""", nodes AS (SELECT r * {SIDE} + c AS id, r, c, r + 0.5e0 AS y, c + 0.5e0 AS x, risk AS node_risk FROM risk WHERE r < {SIDE} AND c < {SIDE}),
-bare AS (SELECT a.id AS src, b.id AS dst, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1, 1000 + (a.id * 37 + b.id * 91) % 211 + 10 * a.node_risk AS length FROM nodes a JOIN nodes b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+    + f""", nodes AS (SELECT r * {COLS} + c AS id, r, c, r + 0.5e0 AS y, c + 0.5e0 AS x, {LON_SQL.format('c + 0.5e0')} AS lon, {LAT_SQL.format('r + 0.5e0')} AS lat, risk AS node_risk FROM risk),
+bare AS (SELECT a.id AS src, b.id AS dst, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1, 1000 + (a.id * 37 + b.id * 91) % 211 + 10 * a.node_risk AS length
+  FROM nodes a JOIN (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(dr, dc)) o ON true JOIN nodes b ON b.r = a.r + dr AND b.c = a.c + dc),
 samples AS (SELECT src, dst, CAST(floor(y0 + (i / (n - 1)) * (y1 - y0)) AS BIGINT) AS r, CAST(floor(x0 + (i / (n - 1)) * (x1 - x0)) AS BIGINT) AS c
   FROM (SELECT *, greatest(2, CAST(ceil(length / 50e0) AS INTEGER) + 1) AS n FROM bare) e, range(60) s(i) WHERE i < n),
 edges AS (SELECT bare.src, bare.dst, length, er.risk, er.risk_max, length * (1 + 3 * er.risk) AS cost FROM bare JOIN (
@@ -25,35 +27,32 @@ edges AS (SELECT bare.src, bare.dst, length, er.risk, er.risk_max, length * (1 +
 )
 
 
-def lattice(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, bare edges and the risk grid; nodes of the corner or of the whole grid."""
-    grid = risk(spark, sf_dir).select("r", "c", "risk")
-    here, side = (grid, COLS) if whole else (grid.where((F.col("r") < SIDE) & (F.col("c") < SIDE)), SIDE)
-    nodes = here.select((F.col("r") * side + F.col("c")).alias("id"), "r", "c", (F.col("r") + 0.5).alias("y"), (F.col("c") + 0.5).alias("x"), F.col("risk").alias("node_risk"))
-    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
-    ahead = nodes.withColumn("o", step).select(F.col("id").alias("src"), "node_risk", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    edges = ahead.join(nodes.select("r", "c", F.col("id").alias("dst")), ["r", "c"])
-    return nodes, edges.select("src", "dst", (1000 + (F.col("src") * 37 + F.col("dst") * 91) % 211 + F.col("node_risk") * 10).alias("length")), grid
+class Lattice:
+    """The grid as a road network, made once for a query: ``nodes``, ``edges`` with risk and cost, and the ``grid``."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.grid = risk(spark, sf_dir).select("r", "c", "risk")
+        self.nodes = self.grid.select(
+            (F.col("r") * COLS + F.col("c")).alias("id"), "r", "c", (F.col("r") + 0.5).alias("y"), (F.col("c") + 0.5).alias("x"), cell_centre(F.col("c"), WEST, STEP).alias("lon"), cell_centre(F.col("r"), NORTH, -STEP).alias("lat"), F.col("risk").alias("node_risk")
+        )
+        step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+        ahead = self.nodes.withColumn("o", step).select(F.col("id").alias("src"), "node_risk", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
+        joined = ahead.join(self.nodes.select("r", "c", F.col("id").alias("dst")), ["r", "c"])
+        self.bare = joined.select("src", "dst", (1000 + (F.col("src") * 37 + F.col("dst") * 91) % 211 + F.col("node_risk") * 10).alias("length"))
+        self.edges = written(network.edge_risk(self.bare, self.nodes.select("id", "x", "y"), self.grid), "edge-risk")
 
-def risky(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The lattice's edges with risk and cost."""
-    nodes, edges, grid = lattice(spark, sf_dir, whole)
-    return written(network.edge_risk(edges, nodes, grid), "edge-risk")
+    def origins(self) -> DataFrame:
+        """The origins that are nodes."""
+        return self.nodes.where(F.col("id").isin(*ORIGINS)).select(F.col("id").alias("origin"))
 
 
 @query(f"{LATTICE_SQL} SELECT src, dst, round(length, 4) AS length, round(risk, 6) AS risk, round(risk_max, 6) AS risk_max, round(cost, 4) AS cost FROM edges")
 def edge_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = risky(spark, sf_dir)
+    found = Lattice(spark, sf_dir).edges
     return found.select("src", "dst", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.round("risk_max", 6).alias("risk_max"), F.round("cost", 4).alias("cost"))
 
 
-ORIGINS = (0, 77, 143)
-
-
-def on_grid(node: int) -> int:
-    """The node of the whole grid at the place of a node of the corner."""
-    return node // SIDE * COLS + node % SIDE
+ORIGINS = (0, 305, 561, 1234, 1999)
 
 
 def _paths_sql(name: str, weight: str) -> str:
@@ -63,79 +62,64 @@ def _paths_sql(name: str, weight: str) -> str:
   UNION SELECT p.o, e.dst, min(p.d + e.{weight}) FROM {name} p JOIN edges e ON e.src = p.n LEFT JOIN recurring.{name} q ON q.o = p.o AND q.n = e.dst WHERE q.d IS NULL OR p.d + e.{weight} < q.d GROUP BY p.o, e.dst)"""
 
 
-def origins(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The origins that are nodes; on the whole grid the nodes at the same places."""
-    nodes, _, _ = lattice(spark, sf_dir, whole)
-    return nodes.where(F.col("id").isin(*(map(on_grid, ORIGINS) if whole else ORIGINS))).select(F.col("id").alias("origin"))
-
-
 @query(f"{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {_paths_sql('by_cost', 'cost')} SELECT CAST(a.o AS BIGINT) AS origin, CAST(a.n AS BIGINT) AS node, round(a.d, 4) AS shortest, round(b.d, 4) AS safest FROM by_length a JOIN by_cost b ON a.o = b.o AND a.n = b.n")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, start = risky(spark, sf_dir), origins(spark, sf_dir)
-    found = network.distances(edges, start, "length").withColumnRenamed("distance", "shortest").join(network.distances(edges, start, "cost").withColumnRenamed("distance", "safest"), ["origin", "node"])
+    net = Lattice(spark, sf_dir)
+    found = network.distances(net.edges, net.origins(), "length").withColumnRenamed("distance", "shortest").join(network.distances(net.edges, net.origins(), "cost").withColumnRenamed("distance", "safest"), ["origin", "node"])
     return rounded(found, 4)
 
 
-KINDS = ("hospital", "shelter")
-#: Places on the lattice by kind: of several on a node, the last name stays.
-DEST_SQL = f"""spots AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'hospital' ELSE 'shelter' END AS kind, (p_partkey * 11 % {SIDE}) * {SIDE} + p_partkey * 7 % {SIDE} AS node FROM part WHERE p_partkey % 17 = 0),
-dests AS (SELECT kind, node, arg_max(name, id) AS name FROM spots WHERE node IN (SELECT id FROM nodes) GROUP BY kind, node)"""
+#: Places on the lattice by kind: of several on a node, the last name stays; without a name it is called by its kind.
+DEST_SQL = f"""spots AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Hospital' ELSE 'Shelter' END AS kind, (p_partkey * 11 % {ROWS}) * {COLS} + p_partkey * 7 % {COLS} AS node FROM part),
+dests AS (SELECT kind, node, coalesce(nullif(arg_max(name, id), ''), kind || ' (unnamed)') AS name FROM spots WHERE node IN (SELECT id FROM nodes) GROUP BY kind, node)"""
 
 
-def destinations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """``kind``, ``node`` and ``name`` of the places that lie on nodes: of each 17th part row, or of all on the whole grid."""
-    nodes, _, _ = lattice(spark, sf_dir, whole)
-    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
-    rows, cols = (ROWS, COLS) if whole else (SIDE, SIDE)
-    spots = (parts if whole else parts.where(k % 17 == 0)).select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, "hospital").otherwise("shelter").alias("kind"), ((k * 11 % rows) * cols + k * 7 % cols).alias("node"))
-    return spots.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").groupBy("kind", "node").agg(F.max_by("name", "id").alias("name"))
+def destinations(net: Lattice, parts: DataFrame) -> DataFrame:
+    """``kind``, ``node`` and ``name`` of the places that lie on nodes."""
+    k = F.col("p_partkey")
+    spots = parts.select(k.alias("id"), F.when(k % 5 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(k % 2 == 0, "Hospital").otherwise("Shelter").alias("kind"), ((k * 11 % ROWS) * COLS + k * 7 % COLS).alias("node"))
+    found = spots.join(net.nodes.select(F.col("id").alias("node")), "node", "left_semi").groupBy("kind", "node").agg(F.max_by("name", "id").alias("name"))
+    return found.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat("kind", F.lit(" (unnamed)"))))
 
 
-NEAREST_SQL = f"""near AS (SELECT o AS origin, kind, arg_min(n, (round(d, 6), n)) AS dest, min(d) AS d FROM by_length JOIN dests ON dests.node = n WHERE n <> o GROUP BY o, kind)"""
+NEAREST_SQL = """near AS (SELECT o AS origin, kind, arg_min(n, (round(d, 6), n)) AS dest, min(d) AS d FROM by_length JOIN dests ON dests.node = n WHERE n <> o GROUP BY o, kind)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def pairs(net: Lattice, parts: DataFrame) -> DataFrame:
     """Each origin with its nearest place of each kind by length: ``origin``, ``kind``, ``dest`` and ``name``."""
-    dests = destinations(spark, sf_dir, whole)
-    reached = network.distances(risky(spark, sf_dir, whole), origins(spark, sf_dir, whole), "length").where("origin <> node")
+    dests = destinations(net, parts)
+    reached = network.distances(net.edges, net.origins(), "length").where("origin <> node")
     best = reached.join(dests, "node").groupBy("origin", "kind").agg(F.min(F.struct(F.round("distance", 6).alias("d"), F.col("node").alias("dest"))).alias("m"))
     return best.select("origin", "kind", F.col("m.dest").alias("dest")).join(dests.withColumnRenamed("node", "dest"), ["kind", "dest"])
 
 
 @query(f"{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {DEST_SQL}, {NEAREST_SQL} SELECT CAST(origin AS BIGINT) AS origin, near.kind, CAST(dest AS BIGINT) AS dest, name FROM near JOIN dests ON dests.kind = near.kind AND dests.node = near.dest")
 def nearest_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("origin", "kind", "dest", "name")
-
-
-@query()
-def nearest_destination_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, whole=True).select("origin", "kind", "dest", "name")
+    return pairs(Lattice(spark, sf_dir), table(spark, sf_dir, "part")).select("origin", "kind", "dest", "name")
 
 
 def _routes_sql(name: str, weight: str) -> str:
-    """Least-weight routes with the sums along them; a struct's first field decides."""
+    """Least-weight routes with the sums and nodes along them; a struct's first field decides."""
     start = ", ".join(f"({o})" for o in ORIGINS)
-    step = "struct_pack(d := p.s.d + e.{w}, len := p.s.len + e.length, expo := p.s.expo + e.length * e.risk, mx := greatest(p.s.mx, e.risk_max))".format(w=weight)
+    step = "struct_pack(d := p.s.d + e.{w}, len := p.s.len + e.length, expo := p.s.expo + e.length * e.risk, mx := greatest(p.s.mx, e.risk_max), path := p.s.path || ' ' || e.dst)".format(w=weight)
     return f"""{name}(o, n, s) USING KEY (o, n) AS (
-  SELECT o, o, struct_pack(d := 0e0, len := 0e0, expo := 0e0, mx := 0e0) FROM (VALUES {start}) t(o) WHERE o IN (SELECT id FROM nodes)
+  SELECT o, o, struct_pack(d := 0e0, len := 0e0, expo := 0e0, mx := 0e0, path := o::VARCHAR) FROM (VALUES {start}) t(o) WHERE o IN (SELECT id FROM nodes)
   UNION SELECT p.o, e.dst, min({step}) FROM {name} p JOIN edges e ON e.src = p.n LEFT JOIN recurring.{name} q ON q.o = p.o AND q.n = e.dst WHERE q.s IS NULL OR p.s.d + e.{weight} < q.s.d GROUP BY p.o, e.dst)"""
 
 
-@query(f"""{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {DEST_SQL}, {NEAREST_SQL}, {_routes_sql('short', 'length')}, {_routes_sql('safe', 'cost')},
-both_ AS (SELECT near.origin, near.kind, near.dest, a.s.len / 1000 AS skm, b.s.len / 1000 AS lkm, a.s.expo / a.s.len AS sr, b.s.expo / b.s.len AS lr, a.s.mx AS smax, b.s.mx AS lmax, a.s.expo AS se, b.s.expo AS le
-  FROM near JOIN short a ON a.o = near.origin AND a.n = near.dest JOIN safe b ON b.o = near.origin AND b.n = near.dest)
+BOTH_SQL = f"""{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {DEST_SQL}, {NEAREST_SQL}, {_routes_sql('short', 'length')}, {_routes_sql('safe', 'cost')},
+both_ AS (SELECT near.origin, near.kind, near.dest, a.s.len / 1000 AS skm, b.s.len / 1000 AS lkm, a.s.expo / a.s.len AS sr, b.s.expo / b.s.len AS lr, a.s.mx AS smax, b.s.mx AS lmax, a.s.expo AS se, b.s.expo AS le, a.s.path AS sp, b.s.path AS lp
+  FROM near JOIN short a ON a.o = near.origin AND a.n = near.dest JOIN safe b ON b.o = near.origin AND b.n = near.dest)"""
+
+
+@query(f"""{BOTH_SQL}
 SELECT CAST(origin AS BIGINT) AS origin, kind, CAST(dest AS BIGINT) AS dest, round(skm, 4) AS shortest_km, round(lkm, 4) AS least_risk_km, round(coalesce(100 * (lkm - skm) / nullif(skm, 0), 0e0), 4) AS distance_increase_pct,
 round(sr, 4) AS shortest_mean_risk, round(lr, 4) AS least_risk_mean_risk, round(smax, 4) AS shortest_max_risk, round(lmax, 4) AS least_risk_max_risk,
-round(coalesce(100 * (sr - lr) / nullif(sr, 0), 0e0), 4) AS mean_risk_reduction_pct, round(coalesce(100 * (se - le) / nullif(se, 0), 0e0), 4) AS exposure_reduction_pct FROM both_""")
+round(coalesce(100 * (sr - lr) / nullif(sr, 0), 0e0), 4) AS mean_risk_reduction_pct, round(coalesce(100 * (se - le) / nullif(se, 0), 0e0), 4) AS exposure_reduction_pct, sp = lp AS same_route FROM both_""")
 def route_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, wanted = risky(spark, sf_dir), pairs(spark, sf_dir).select("origin", "kind", "dest")
-    return rounded(tradeoff(network.routes(edges, wanted, "length"), network.routes(edges, wanted, "cost")).drop("same_route"), 4)
-
-
-@query()
-def route_tradeoff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, wanted = risky(spark, sf_dir, whole=True), pairs(spark, sf_dir, whole=True).select("origin", "kind", "dest")
-    return rounded(tradeoff(network.routes(edges, wanted, "length"), network.routes(edges, wanted, "cost")).drop("same_route"), 4)
+    net = Lattice(spark, sf_dir)
+    wanted = written(pairs(net, table(spark, sf_dir, "part")).select("origin", "kind", "dest"), "pairs")
+    return rounded(tradeoff(network.routes(net.edges, wanted, "length"), network.routes(net.edges, wanted, "cost")), 4)
 
 
 def tradeoff(short: DataFrame, safe: DataFrame) -> DataFrame:
@@ -153,139 +137,263 @@ def tradeoff(short: DataFrame, safe: DataFrame) -> DataFrame:
     )
 
 
-POINTS_SQL = "points AS (SELECT p_partkey AS id, (p_partkey * 17 % 200) / 10e0 AS x, (p_partkey * 13 % 190) / 10e0 AS y FROM part WHERE p_partkey % 5 = 0)"
+def route_rows(net: Lattice, wanted: DataFrame) -> DataFrame:
+    """A row for each pair (``origin``, ``kind``, ``dest``, ``name``) and route type, with its sums, ``path`` and ``points``."""
+    edges = network.edge_points(net.edges, net.nodes.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")))
+    out = []
+    for kind, weight in (("shortest", "length"), ("least_risk", "cost")):
+        found = written(network.routes(net.edges, wanted, weight), "route-rows")
+        steps = network.path_steps(found.select("origin", "dest", "path").distinct(), edges, weight)
+        placed = steps.join(net.nodes.select(F.col("id").alias("src"), F.col("lon").alias("sx"), F.col("lat").alias("sy")), "src")
+        out.append(found.join(network.path_lines(placed), ["origin", "dest"], "left").withColumn("route_type", F.lit(kind)))
+    return out[0].unionByName(out[1])
 
 
-def points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Points around the lattice, in cell units: of each fifth part row, or of all."""
-    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
-    return (parts if whole else parts.where(k % 5 == 0)).select(k.alias("id"), (k * 17 % 200 / 10.0).alias("x"), (k * 13 % 190 / 10.0).alias("y"))
+_ROUTE = "CAST(origin AS BIGINT) AS origin, both_.kind AS destination_type, name AS destination, '{}' AS route_type, round({}, 3) AS distance_km, round({}, 4) AS mean_risk, round({}, 4) AS max_risk, {} AS path, len(string_split({}, ' ')) AS vertices"
 
 
-@query(f"""{LATTICE_SQL}, {POINTS_SQL}, d AS (SELECT points.id, nodes.id AS node, sqrt((points.x - nodes.x) * (points.x - nodes.x) + (points.y - nodes.y) * (points.y - nodes.y)) AS d FROM points, nodes)
-SELECT points.id, m.node, round(m.d, 6) AS distance FROM points LEFT JOIN (SELECT id, arg_min(node, (d, node)) AS node, min(d) AS d FROM d WHERE d <= 2.5e0 GROUP BY id) m ON m.id = points.id""")
-def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, _ = lattice(spark, sf_dir)
-    return rounded(network.nearest(points(spark, sf_dir), nodes.select("id", "x", "y"), 2.5, "node"))
+@query(f"""{BOTH_SQL}, named AS (SELECT both_.*, name FROM both_ JOIN dests ON dests.kind = both_.kind AND dests.node = both_.dest)
+SELECT {_ROUTE.format("shortest", "skm", "sr", "smax", "sp", "sp").replace("both_.", "named.")} FROM named UNION ALL SELECT {_ROUTE.format("least_risk", "lkm", "lr", "lmax", "lp", "lp").replace("both_.", "named.")} FROM named""")
+def route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = Lattice(spark, sf_dir)
+    found = route_rows(net, written(pairs(net, table(spark, sf_dir, "part")), "pairs"))
+    return found.select(
+        "origin", F.col("kind").alias("destination_type"), F.col("name").alias("destination"), "route_type", F.round("km", 3).alias("distance_km"), F.round("mean_risk", 4).alias("mean_risk"), F.round("max_risk", 4).alias("max_risk"),
+        F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), F.size("points").cast("long").alias("vertices"),
+    )
 
 
-@query()
-def nearest_node_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, _ = lattice(spark, sf_dir, whole=True)
-    return rounded(network.nearest(points(spark, sf_dir, whole=True), nodes.select("id", "x", "y"), 2.5, "node"))
+POINTS_SQL = f"""points AS (SELECT p_partkey AS id, p_type AS category, (p_partkey * 17 % 500) / 10e0 + 0.0317e0 AS x, (p_partkey * 13 % 400) / 10e0 + 0.0413e0 AS y,
+  {LON_SQL.format('(p_partkey * 17 % 500) / 10e0 + 0.0317e0')} AS lon, {LAT_SQL.format('(p_partkey * 13 % 400) / 10e0 + 0.0413e0')} AS lat FROM part)"""
 
 
-@query(f"""WITH {POINTS_SQL}, places AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey * 7 % 20 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 19 AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 9 = 0),
-d AS (SELECT points.id, places.name, places.id AS place, sqrt((points.x - places.x) * (points.x - places.x) + (points.y - places.y) * (points.y - places.y)) AS d FROM points, places)
-SELECT points.id, coalesce(m.name, '') AS name FROM points LEFT JOIN (SELECT id, arg_min(name, (d, place)) AS name FROM d WHERE d <= 4 GROUP BY id) m ON m.id = points.id""")
-def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    places = table(spark, sf_dir, "supplier").where(k % 9 == 0).select(k.alias("id"), F.col("s_name").alias("name"), (k * 7 % 20).cast("double").alias("x"), (k * 3 % 19).cast("double").alias("y"))
-    found = network.nearest(points(spark, sf_dir), places, 4.0, "place")
-    return found.join(places.select(F.col("id").alias("place"), "name"), "place", "left").select("id", F.coalesce("name", F.lit("")).alias("name"))
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point over the grid for each part row: ``id``, ``category``, and lon ``x`` and lat ``y``."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_type").alias("category"), (F.lit(WEST) + (k * 17 % 500 / 10.0 + 0.0317) * STEP).alias("x"), (F.lit(NORTH) - (k * 13 % 400 / 10.0 + 0.0413) * STEP).alias("y"))
 
 
-@query()
-def nearest_place_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _haversine_sql(a: str, b: str) -> str:
+    return f"2 * 6371000e0 * asin(sqrt(least(power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2), 1e0)))"
+
+
+def _planar_sql(a: str, b: str) -> str:
+    return f"sqrt(power(({b}.lon - {a}.lon) * cos(radians(({a}.lat + {b}.lat) / 2)) * 111320e0, 2) + power(({b}.lat - {a}.lat) * 110570e0, 2))"
+
+
+@query(f"""{LATTICE_SQL}, {POINTS_SQL}, d AS (SELECT points.id, nodes.id AS node, {_haversine_sql('points', 'nodes')} AS d FROM points, nodes)
+SELECT id, arg_min(node, (d, node)) AS node, round(min(d), 4) AS distance FROM d GROUP BY id""")
+def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = Lattice(spark, sf_dir).nodes.select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return rounded(network.nearest_any(points(spark, sf_dir), nodes, "node"), 4)
+
+
+SUPPLIERS_SQL = f"places AS (SELECT s_suppkey AS id, s_name AS name, {LON_SQL.format('CAST(s_suppkey * 7 % 50 AS DOUBLE)')} AS lon, {LAT_SQL.format('CAST(s_suppkey * 3 % 40 AS DOUBLE)')} AS lat FROM supplier)"
+
+
+@query(f"""WITH {POINTS_SQL}, {SUPPLIERS_SQL}, d AS (SELECT points.id, places.name, places.id AS place, {_haversine_sql('points', 'places')} AS d FROM points, places)
+SELECT points.id, coalesce(m.name, '') AS name FROM points LEFT JOIN (SELECT id, arg_min(name, (d, place)) AS name FROM d WHERE d <= {K.PLACE_LIMIT_M}e0 GROUP BY id) m ON m.id = points.id""")
+def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the suppliers at one spot the least id answers, as in a tie: the join holds each spot once."""
     k = F.col("s_suppkey")
-    places = table(spark, sf_dir, "supplier").groupBy((k * 7 % 20).cast("double").alias("x"), (k * 3 % 19).cast("double").alias("y")).agg(F.min(F.struct(k.alias("id"), F.col("s_name").alias("name"))).alias("p")).select("p.*", "x", "y")
-    found = network.nearest(points(spark, sf_dir, whole=True), places, 4.0, "place")
-    return found.join(places.select(F.col("id").alias("place"), "name"), "place", "left").select("id", F.coalesce("name", F.lit("")).alias("name"))
+    spots = table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), (F.lit(WEST) + (k * 7 % 50).cast("double") * STEP).alias("x"), (F.lit(NORTH) - (k * 3 % 40).cast("double") * STEP).alias("y"))
+    one = written(spots.groupBy("x", "y").agg(F.min(F.struct("id", "name")).alias("p")).select("p.*", "x", "y"), "places")
+    found = network.nearest(points(spark, sf_dir), one, K.PLACE_LIMIT_M, "place", network.haversine_m)
+    return found.join(one.select(F.col("id").alias("place"), "name"), "place", "left").select("id", F.coalesce("name", F.lit("")).alias("name"))
 
 
 @query(f"{LATTICE_SQL}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, length, risk FROM edges WHERE src <> dst AND length > 0) SELECT a, b, round(min(length), 4) AS length, round(arg_min(risk, length), 6) AS risk FROM u GROUP BY a, b")
 def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = network.undirected(risky(spark, sf_dir).select("src", "dst", "length", "risk"))
+    found = network.undirected(Lattice(spark, sf_dir).edges.select("src", "dst", "length", "risk"))
     return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"))
 
 
-CHAIN_SQL = f"""{LATTICE_SQL}, chain AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(risk, length) AS risk, min(length) AS length, (least(src, dst) * 5 + greatest(src, dst)) % 5 AS rank FROM edges WHERE (least(src, dst) * 7 + greatest(src, dst) * 3) % 5 < 3 GROUP BY 1, 2),
-inner_ AS (SELECT id FROM (SELECT a AS id FROM chain UNION ALL SELECT b FROM chain) GROUP BY id HAVING count(*) = 2),
-marked AS (SELECT chain.*, a IN (SELECT id FROM inner_) AS ia, b IN (SELECT id FROM inner_) AS ib FROM chain),
+#: A sparse road graph with long chains: each customer has a road to one other.
+LINKS_SQL = "links AS (SELECT c_custkey AS src, (c_custkey * 7 + c_nationkey + 1) % (SELECT count(*) FROM customer) AS dst, 100e0 + c_custkey % 37 AS length, c_nationkey % 10 / 10e0 AS risk, c_nationkey % 5 AS rank, c_nationkey < 8 AS both_ways FROM customer)"
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A road from each customer to another: ``src``, ``dst``, ``length``, ``risk``, ``rank`` and ``both_ways``."""
+    rows, k, n = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    return rows.select(k.alias("src"), ((k * 7 + n + 1) % rows.count()).alias("dst"), (k % 37 + 100.0).alias("length"), (n % 10 / 10.0).alias("risk"), (n % 5).alias("rank"), (n < 8).alias("both_ways"))
+
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, chain AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(struct_pack(risk := risk, rank := rank), (length, risk, rank)) AS v, min(length) AS length FROM links WHERE src <> dst GROUP BY 1, 2),
+flat AS (SELECT a, b, length, v.risk AS risk, v.rank AS rank FROM chain),
+inner_ AS (SELECT id FROM (SELECT a AS id FROM flat UNION ALL SELECT b FROM flat) GROUP BY id HAVING count(*) = 2),
+marked AS (SELECT flat.*, a IN (SELECT id FROM inner_) AS ia, b IN (SELECT id FROM inner_) AS ib FROM flat),
 link AS (SELECT a AS x, b AS y FROM marked WHERE ia AND ib UNION ALL SELECT b, a FROM marked WHERE ia AND ib),
 walk(x, y) AS (SELECT id, id FROM inner_ UNION SELECT walk.x, link.y FROM walk JOIN link ON link.x = walk.y),
 part_ AS (SELECT x AS id, min(y) AS k FROM walk GROUP BY x),
 keyed AS (SELECT marked.*, CASE WHEN part_.k IS NULL THEN a ELSE part_.k END AS k, CASE WHEN part_.k IS NULL THEN b END AS j FROM marked LEFT JOIN part_ ON part_.id = CASE WHEN ia THEN a WHEN ib THEN b END),
 done AS (SELECT list_sort(flatten(list(list_filter([CASE WHEN NOT ia THEN a END, CASE WHEN NOT ib THEN b END], lambda v: v IS NOT NULL)))) AS ends, sum(length) AS length, sum(length * risk) / sum(length) AS risk, min(rank) AS rank, count(*) AS segments FROM keyed GROUP BY k, j)
-SELECT ends[1] AS a, ends[2] AS b, round(length, 4) AS length, round(risk, 6) AS risk, CAST(rank AS BIGINT) AS rank, segments FROM done WHERE len(ends) = 2"""
-
-
-@query(CHAIN_SQL)
+SELECT ends[1] AS a, ends[2] AS b, round(length, 4) AS length, round(risk, 6) AS risk, CAST(rank AS BIGINT) AS rank, segments FROM done WHERE len(ends) = 2""")
 def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = network.undirected(risky(spark, sf_dir).select("src", "dst", "length", "risk")).where((F.col("a") * 7 + F.col("b") * 3) % 5 < 3)
-    found = network.contract(edges.withColumn("rank", (F.col("a") * 5 + F.col("b")) % 5))
-    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), "rank", "segments")
+    found = network.contract(network.undirected(links(spark, sf_dir).drop("both_ways")))
+    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.col("rank").cast("long").alias("rank"), "segments")
 
 
-@query()
-def contracted_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = network.undirected(risky(spark, sf_dir, whole=True).select("src", "dst", "length", "risk"))
-    found = network.contract(edges.withColumn("rank", (F.col("a") * 5 + F.col("b")) % 5))
-    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), "rank", "segments")
+@query(f"""WITH RECURSIVE {LINKS_SQL}, arcs AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links WHERE both_ways), nodes_ AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs),
+reach(a, b) AS (SELECT id, id FROM nodes_ UNION SELECT reach.a, arcs.dst FROM reach JOIN arcs ON arcs.src = reach.b) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = links(spark, sf_dir)
+    return network.strong_components(rows.select("src", "dst").union(rows.where("both_ways").select("dst", "src")))
 
 
-ONEWAY_SQL = f"{LATTICE_SQL}, arcs AS (SELECT src, dst FROM edges WHERE (src * 3 + dst * 5) % 7 < 4)"
+LINE = ((2.0, 1.0), (16.0, 4.0), (31.0, 14.5), (45.0, 32.0), (18.0, 36.0))
+_LINE_SQL = ", ".join(f"({i}, {LON_SQL.format(f'{a[0]}e0')}, {LAT_SQL.format(f'{a[1]}e0')}, {LON_SQL.format(f'{b[0]}e0')}, {LAT_SQL.format(f'{b[1]}e0')})" for i, (a, b) in enumerate(zip(LINE, LINE[1:], strict=False)))
+CORRIDOR_SQL = f"""WITH {POINTS_SQL}, seg AS (SELECT * FROM (VALUES {_LINE_SQL}) t(seg, ax, ay, bx, by_)),
+long_ AS (SELECT *, sqrt(power((bx - ax) * cos(radians((ay + by_) / 2)) * 111320e0, 2) + power((by_ - ay) * 110570e0, 2)) AS metres FROM seg), run AS (SELECT *, sum(metres) OVER (ORDER BY seg) - metres AS before FROM long_),
+plane AS (SELECT id, category, seg, before, (ax - lon) * cos(radians(lat)) * 111320e0 AS ax, (ay - lat) * 110570e0 AS ay, (bx - lon) * cos(radians(lat)) * 111320e0 AS bx, (by_ - lat) * 110570e0 AS by_ FROM points, run),
+hit AS (SELECT *, coalesce(greatest(least(-(ax * (bx - ax) + ay * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 1e0), 0e0), 0e0) AS t FROM plane),
+near_ AS (SELECT id, category, seg, sqrt(power(ax + t * (bx - ax), 2) + power(ay + t * (by_ - ay), 2)) AS d, before + t * sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS a FROM hit),
+found AS (SELECT id, category, min(d) AS distance, arg_min(a, (d, seg)) AS along FROM near_ WHERE d <= 1500e0 GROUP BY id, category)"""
 
 
-@query(f"{ONEWAY_SQL}, nodes_ AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs), reach(a, b) AS (SELECT id, id FROM nodes_ UNION SELECT reach.a, arcs.dst FROM reach JOIN arcs ON arcs.src = reach.b) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a")
-def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = lattice(spark, sf_dir)
-    return network.strong_components(edges.where((F.col("src") * 3 + F.col("dst") * 5) % 7 < 4))
+def corridor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within 1,500 m of a polyline over the grid."""
+    line = spark.createDataFrame([(1, [{"x": WEST + x * STEP, "y": NORTH - y * STEP} for x, y in LINE])], "line long, points array<struct<x: double, y: double>>")
+    here = points(spark, sf_dir)
+    return network.corridor(line, here.select("id", "x", "y"), 1500.0).join(here.select("id", "category"), "id")
 
 
-@query()
-def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = lattice(spark, sf_dir, whole=True)
-    return network.strong_components(edges)
+@query(f"{CORRIDOR_SQL} SELECT id, round(distance, 4) AS distance, round(along, 4) AS along, CAST(row_number() OVER (ORDER BY along, id) AS INTEGER) AS position FROM found")
+def corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(corridor_rows(spark, sf_dir).select("id", "distance", "along", "position"), 4)
 
 
-LINE = ((2.0, 1.0), (6.0, 4.0), (11.0, 4.5), (15.0, 12.0), (8.0, 16.0))
+@query(f"{CORRIDOR_SQL} SELECT category, count(*) AS n FROM found GROUP BY category")
+def corridor_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.category_hits(corridor_rows(spark, sf_dir).withColumn("query", F.lit(1))).select("category", "n")
 
 
-@query(f"""WITH {POINTS_SQL}, seg AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for i, (a, b) in enumerate(zip(LINE, LINE[1:], strict=False)))}) t(seg, ax, ay, bx, by_)),
-long_ AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS length FROM seg), run AS (SELECT *, sum(length) OVER (ORDER BY seg) - length AS before FROM long_),
-hit AS (SELECT id, x, y, ax, ay, bx, by_, before, length, greatest(least(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 1e0), 0e0) AS t FROM points, run),
-near AS (SELECT id, sqrt(power(x - (ax + t * (bx - ax)), 2) + power(y - (ay + t * (by_ - ay)), 2)) AS d, before + t * length AS a FROM hit)
-SELECT id, round(min(d), 6) AS distance, round(arg_min(a, (d, a)), 6) AS along FROM near WHERE d <= 1.5e0 GROUP BY id""")
-def corridor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    line = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in LINE])], "line long, points array<struct<x: double, y: double>>")
-    return rounded(network.corridor(line, points(spark, sf_dir, whole), 1.5).select("id", "distance", "along"))
+@query(f"""WITH {POINTS_SQL}, ring AS (SELECT * FROM (VALUES {", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(LINE, LINE[1:] + LINE[:1], strict=True))}) t(ax, ay, bx, by_))
+SELECT id, count(*) FILTER (WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax) % 2 = 1 AS inside FROM points, ring GROUP BY id""")
+def points_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in LINE])
+    return table(spark, sf_dir, "part").select(k.alias("id"), in_ring(k * 17 % 500 / 10.0 + 0.0317, k * 13 % 400 / 10.0 + 0.0413, ring).alias("inside"))
 
 
 @query()
-def corridor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridor(spark, sf_dir, whole=True)
+def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), F.col("o_totalprice").alias("y")))).alias("points"))
+    return network.simplify(moves, 50_000.0).select("line", F.size("points").cast("long").alias("kept"))
 
 
-@query(f"""WITH {POINTS_SQL}, ring AS (SELECT * FROM (VALUES {", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(LINE, LINE[1:] + LINE[:1], strict=True))}) t(ax, ay, bx, by_))
-SELECT id, count(*) FILTER (WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax) % 2 = 1 AS inside FROM points, ring GROUP BY id""")
-def points_in_polygon(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from gridloom.functions.geo import in_ring
+# ---------------------------------------------------------------- point-to-point search
+
+#: Segments between neighbouring nodes with a bend in the middle, and risk in 254ths as the search holds it.
+ROADS_SQL = f"""u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(length) AS length, round(arg_min(risk, length) * 254) / 254 AS risk FROM edges GROUP BY 1, 2),
+roads AS (SELECT u.a * {ROWS * COLS} + u.b AS edge, u.a, u.b, length, u.risk, n.lon AS lon0, n.lat AS lat0, (n.lon + m.lon) / 2 + 0.0011e0 AS lon1, (n.lat + m.lat) / 2 + 0.0007e0 AS lat1, m.lon AS lon2, m.lat AS lat2 FROM u JOIN nodes n ON n.id = u.a JOIN nodes m ON m.id = u.b),
+vertices AS (SELECT edge, 0 AS v, lon0 AS lon, lat0 AS lat FROM roads UNION ALL SELECT edge, 1, lon1, lat1 FROM roads UNION ALL SELECT edge, 2, lon2, lat2 FROM roads)"""
+TARGET = (WEST + 40.2 * STEP, NORTH - 33.3 * STEP)
+_M = "sqrt(power((r.lon{1} - r.lon{0}) * cos(radians((r.lat{0} + r.lat{1}) / 2)) * 111320e0, 2) + power((r.lat{1} - r.lat{0}) * 110570e0, 2))"
+SNAP_SQL = f"""target AS (SELECT {TARGET[0]!r}e0 AS lon, {TARGET[1]!r}e0 AS lat),
+far_points AS (SELECT id, lon, lat FROM points UNION ALL SELECT -1 - s_suppkey, 77e0 + s_suppkey * 0.001e0, 12.5e0 FROM supplier),
+pd AS (SELECT p.id, v.edge, v.v, {_planar_sql('p', 'v')} AS d FROM far_points p JOIN vertices v ON abs(p.lat - v.lat) <= 0.03e0 AND abs(p.lon - v.lon) <= 0.03e0),
+hits AS (SELECT id, arg_min(struct_pack(edge := edge, v := v), (d, edge, v)) AS h FROM pd WHERE d <= {K.SNAP_LIMIT_M}e0 GROUP BY id),
+td AS (SELECT v.edge, v.v, {_planar_sql('t', 'v')} AS d FROM target t, vertices v),
+offsets AS (SELECT edge, a, b, length, risk, {_M.format(0, 1)} AS m0, {_M.format(1, 2)} AS m1 FROM roads r),
+goal AS (SELECT o.edge, o.a, o.b, o.risk, CASE t.v WHEN 0 THEN 0e0 WHEN 1 THEN m0 ELSE m0 + m1 END * length / (m0 + m1) AS to_a, CASE t.v WHEN 0 THEN m0 + m1 WHEN 1 THEN m1 ELSE 0e0 END * length / (m0 + m1) AS to_b
+  FROM (SELECT arg_min(struct_pack(edge := edge, v := v), (d, edge, v)) AS h FROM td) g, LATERAL (SELECT g.h.v AS v, g.h.edge AS edge) t JOIN offsets o ON o.edge = t.edge),
+starts AS (SELECT hits.id, o.edge, o.a, o.b, o.risk, CASE h.v WHEN 0 THEN 0e0 WHEN 1 THEN m0 ELSE m0 + m1 END * length / (m0 + m1) AS to_a, CASE h.v WHEN 0 THEN m0 + m1 WHEN 1 THEN m1 ELSE 0e0 END * length / (m0 + m1) AS to_b FROM hits JOIN offsets o ON o.edge = h.edge),
+two_way AS (SELECT a AS src, b AS dst, length, risk FROM roads UNION ALL SELECT b, a, length, risk FROM roads)"""
+
+
+def _search_sql(name: str, alpha: float) -> str:
+    """Ways to the goal from every node, grown backwards from both ends of its segment, and their best continuation to each start."""
+    seed = "struct_pack(d := {m} * (1 + {al} * risk), len := {m}, expo := {m} * risk, mx := CASE WHEN {m} > 0 THEN risk ELSE 0e0 END)"
+    step = f"struct_pack(d := p.s.d + e.length * (1 + {alpha} * e.risk), len := p.s.len + e.length, expo := p.s.expo + e.length * e.risk, mx := greatest(p.s.mx, e.risk))"
+    out = f"struct_pack(d := w.s.d + s.{{m}} * (1 + {alpha} * s.risk), len := w.s.len + s.{{m}}, expo := w.s.expo + s.{{m}} * s.risk, mx := greatest(w.s.mx, CASE WHEN s.{{m}} > 0 THEN s.risk ELSE 0e0 END))"
+    return f"""{name}(n, s) USING KEY (n) AS (
+  SELECT n, min(s) FROM (SELECT a AS n, {seed.format(m='to_a', al=alpha)} AS s FROM goal UNION ALL SELECT b, {seed.format(m='to_b', al=alpha)} FROM goal) GROUP BY n
+  UNION SELECT e.dst, min({step}) FROM {name} p JOIN two_way e ON e.src = p.n LEFT JOIN recurring.{name} q ON q.n = e.dst WHERE q.s IS NULL OR p.s.d + e.length * (1 + {alpha} * e.risk) < q.s.d GROUP BY e.dst),
+{name}_far AS (SELECT id, min(x) AS s FROM (SELECT s.id, {out.format(m='to_a')} AS x FROM starts s JOIN {name} w ON w.n = s.a WHERE s.edge <> (SELECT edge FROM goal) UNION ALL SELECT s.id, {out.format(m='to_b')} FROM starts s JOIN {name} w ON w.n = s.b WHERE s.edge <> (SELECT edge FROM goal)) GROUP BY id),
+{name}_all AS (SELECT id, s.len AS len, CASE WHEN s.len > 0 THEN s.expo / s.len ELSE 0e0 END AS mean_risk, s.mx AS max_risk FROM {name}_far
+  UNION ALL SELECT s.id, abs(s.to_a - g.to_a), CASE WHEN s.to_a <> g.to_a THEN s.risk ELSE 0e0 END, CASE WHEN s.to_a <> g.to_a THEN s.risk ELSE 0e0 END FROM starts s JOIN goal g ON g.edge = s.edge)"""
+
+
+def road_segments(net: Lattice) -> DataFrame:
+    """The lattice's undirected segments with a bend in the middle, as search() takes them."""
+    pairs_ = network.undirected(net.edges.select("src", "dst", "length", "risk"))
+    spot = net.nodes.select("id", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"))
+    both = pairs_.join(spot.select(F.col("id").alias("a"), F.col("p").alias("p0")), "a").join(spot.select(F.col("id").alias("b"), F.col("p").alias("p2")), "b")
+    bend = F.struct(((F.col("p0.x") + F.col("p2.x")) / 2 + 0.0011).alias("x"), ((F.col("p0.y") + F.col("p2.y")) / 2 + 0.0007).alias("y"))
+    return written(both.select((F.col("a") * (ROWS * COLS) + F.col("b")).alias("edge"), "a", "b", "length", (F.round(F.col("risk") * 254) / 254).alias("risk"), F.array("p0", bend, "p2").alias("points")), "road-segments")
+
+
+def search_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search to one target from each part's point, and from each supplier's, which lies far from all roads."""
+    far = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), (F.col("s_suppkey") * 0.001 + 77.0).alias("ax"), F.lit(12.5).alias("ay"))
+    near = points(spark, sf_dir).select("id", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    return near.unionByName(far).withColumns({"bx": F.lit(TARGET[0]), "by": F.lit(TARGET[1])})
+
+
+@query(f"""{LATTICE_SQL}, {ROADS_SQL}, {POINTS_SQL}, {SNAP_SQL}, {_search_sql('safe', K.ALPHA)}, {_search_sql('short', 0)}
+SELECT p.id, CASE WHEN a.id IS NULL THEN 'straight' ELSE 'route' END AS mode, round(coalesce(a.len, {_planar_sql('p', 't')}), 3) AS least_risk_m, round(a.mean_risk, 6) AS least_risk_mean, round(a.max_risk, 6) AS least_risk_max,
+round(coalesce(b.len, {_planar_sql('p', 't')}), 3) AS shortest_m, round(b.mean_risk, 6) AS shortest_mean, round(b.max_risk, 6) AS shortest_max FROM far_points p JOIN target t ON true LEFT JOIN safe_all a ON a.id = p.id LEFT JOIN short_all b ON b.id = p.id""")
+def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point to point for every point: snapped to vertices, the least-risk and the shortest way, or a straight line where a point can't be snapped."""
+    segments, ends = road_segments(Lattice(spark, sf_dir)), search_ends(spark, sf_dir)
+    safe, short = (search.search(ends, segments, alpha).select("id", "mode", F.col("length").alias(f"{n}_m"), F.col("mean_risk").alias(f"{n}_mean"), F.col("max_risk").alias(f"{n}_max")) for alpha, n in ((K.ALPHA, "least_risk"), (0.0, "shortest")))
+    both = safe.join(short.drop("mode"), "id")
+    return both.select("id", "mode", *[F.round(c, 3 if c.endswith("_m") else 6).alias(c) for c in both.columns[2:]])
 
-    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in LINE])
-    return points(spark, sf_dir, whole).select("id", in_ring(F.col("x"), F.col("y"), ring).alias("inside"))
+
+@query(f"""{LATTICE_SQL}, {ROADS_SQL}, {POINTS_SQL}, {SNAP_SQL} SELECT p.id, s.edge, round(s.to_a, 4) AS to_a, round(s.to_b, 4) AS to_b FROM far_points p LEFT JOIN starts s ON s.id = p.id""")
+def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = search_ends(spark, sf_dir).select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
+    return search.snap(ends, road_segments(Lattice(spark, sf_dir))).select("id", "edge", F.round("to_a", 4).alias("to_a"), F.round("to_b", 4).alias("to_b"))
 
 
 @query()
-def points_in_polygon_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points_in_polygon(spark, sf_dir, whole=True)
+def search_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within a kilometre of the least-risk way of each supplier's search, and how many of each category."""
+    segments = road_segments(Lattice(spark, sf_dir))
+    k = F.col("s_suppkey")
+    ends = table(spark, sf_dir, "supplier").select(k.alias("id"), (F.lit(WEST) + (k * 7 % 50 + 0.3) * STEP).alias("ax"), (F.lit(NORTH) - (k * 3 % 40 + 0.2) * STEP).alias("ay"), F.lit(TARGET[0]).alias("bx"), F.lit(TARGET[1]).alias("by"))
+    return search.category_hits(search.along(written(search.search(ends, segments, K.ALPHA), "ways"), segments, points(spark, sf_dir), 1000.0))
 
 
-@query()
-def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), F.col("o_totalprice").alias("y")))).alias("points"))
-    return network.simplify(moves, 50_000.0).select("line", F.size("points").cast("long").alias("kept"))
+@query(f"""{LATTICE_SQL} SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN 'primary' ELSE 'secondary' END AS highway, round(risk, 3) AS risk, CAST(2 AS BIGINT) AS vertices FROM edges WHERE (src + dst) % 3 < 2""")
+def display_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice's displayed roads; a third are residential and not shown."""
+    net = Lattice(spark, sf_dir)
+    highway = F.when((F.col("src") + F.col("dst")) % 3 == 0, "primary").when((F.col("src") + F.col("dst")) % 3 == 1, "['tertiary', 'secondary']").otherwise("residential")
+    lined = network.edge_points(net.edges, net.nodes.select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))).withColumn("highway", highway)
+    return roads.display_roads(lined).select("src", "dst", "highway", "risk", F.size("points").cast("long").alias("vertices"))
 
 
 @query()
-def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point to point: snapped to the nearest nodes, the least-risk route, or a straight line where a point can't be snapped."""
-    nodes, edges, grid = lattice(spark, sf_dir, whole=True)
-    here = points(spark, sf_dir, whole=True)
-    snapped = network.nearest(here, nodes.select("id", "x", "y"), 2.5, "node").join(here, "id")
-    ends = snapped.select("id", F.col("node").alias("origin"), "x", "y").withColumn("dest", F.lit(on_grid(143)).cast("long"))
-    found = network.routes(network.edge_risk(edges, nodes, grid), ends.where("origin IS NOT NULL"), "cost").select("id", "km", "mean_risk", "max_risk")
-    straight = F.sqrt((F.col("x") - 11.5) * (F.col("x") - 11.5) + (F.col("y") - 11.5) * (F.col("y") - 11.5))
-    both = ends.select("id", straight.alias("straight")).join(found, "id", "left")
-    return rounded(both.select("id", F.when(F.col("km").isNull(), "straight").otherwise("route").alias("mode"), F.coalesce("km", "straight").alias("km"), "mean_risk", "max_risk"), 4)
+def merged_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' roads merged to polylines: their ends, pieces, length and vertices."""
+    rows = links(spark, sf_dir).where("src <> dst")
+    spot = lambda k: F.struct((F.lit(WEST) + k * 37 % 500 / 1000.0).alias("x"), (F.lit(NORTH) - k * 53 % 400 / 1000.0).alias("y"))
+    lines = roads.merged_lines(rows.select("src", "dst", "length", "risk", F.array(spot(F.col("src")), spot(F.col("dst"))).alias("points")))
+    return lines.select("line", "pieces", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.size("points").cast("long").alias("vertices"))
+
+
+@query(f"{LATTICE_SQL}, {POINTS_SQL} SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(sum(length), 2) FROM edges) AS metres FROM nodes")
+def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = Lattice(spark, sf_dir)
+    return net.nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(net.edges.agg(F.count("*").alias("edges"), F.round(F.sum("length"), 2).alias("metres"))), how="cross")
+
+
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier names as places."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), (k % 4 == 0).alias("is_place"), (k % 50 * 0.01 + 76.0).alias("x"), (k % 40 * 0.01 + 11.0).alias("y"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN (5 + c_custkey % 10) || ', 7' || (c_custkey % 10) || '.5' WHEN 1 THEN 'SUPPLIER  ' || lpad((c_custkey % 10)::VARCHAR, 2, '0') ELSE 'nothing like it ' || c_custkey END AS text FROM customer),
+n AS (SELECT s_suppkey AS id, s_name AS name, lower(s_name) AS n, s_suppkey % 4 = 0 AS is_place, s_suppkey % 50 * 0.01e0 + 76e0 AS x, s_suppkey % 40 * 0.01e0 + 11e0 AS y FROM supplier),
+m AS (SELECT t.id, arg_min(struct_pack(name := n.name, x := n.x, y := n.y), (CASE WHEN starts_with(n.n, lower(text)) THEN 0e0 WHEN contains(n.n, ' ' || lower(text)) THEN 1e0 ELSE 2e0 END - CASE WHEN is_place THEN 0.6e0 ELSE 0e0 END + length(n.n) / 400e0, n.id)) AS b
+  FROM t JOIN n ON contains(n.n, 'supplier') AND contains(n.n, lpad((t.id % 10)::VARCHAR, 2, '0')) WHERE t.id % 3 = 1 GROUP BY t.id)
+SELECT t.id, round(CASE WHEN t.id % 3 = 0 THEN ('7' || (t.id % 10) || '.5')::DOUBLE ELSE m.b.x END, 6) AS x, round(CASE WHEN t.id % 3 = 0 THEN (5 + t.id % 10)::DOUBLE ELSE m.b.y END, 6) AS y, m.b.name AS label FROM t LEFT JOIN m ON m.id = t.id""")
+def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are coordinates, names of places, or neither. Of coordinates the label is left out: it is made up of them."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat(k % 10 + 5, F.lit(", 7"), k % 10, F.lit(".5"))).when(k % 3 == 1, F.concat(F.lit("SUPPLIER  "), F.lpad((k % 10).cast("string"), 2, "0"))).otherwise(F.concat(F.lit("nothing like it "), k))
+    found = search.resolved(table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text")), resolve_names(spark, sf_dir))
+    return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.when(F.col("id") % 3 != 0, F.col("label")).alias("label"))

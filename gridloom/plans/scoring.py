@@ -39,10 +39,9 @@ RISK_SQL = (
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid with its composite risk; computed weights.
 
-    The grid is written before the passes for weights and bounds, and the scored grid before those for breaks and
-    classes: both are small against the rows that they sum up, which are so read twice only.
+    normalise() and weighted_index() write the grid before the passes over it; the scored grid is written before those for breaks and classes.
     """
-    grid = written(normalised(spark, sf_dir), "grid")
+    grid = normalised(spark, sf_dir)
     return written(wt.weighted_index(grid, wt.weight_table(spark, grid, BANDS, K.PAIRWISE), BANDS), "risk")
 
 
@@ -110,6 +109,20 @@ def layer_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wt.hashed_sample(normalised(spark, sf_dir), BANDS, 500, 42).select("r", "c", *BANDS))
 
 
-@query()
+#: Quantiles that stand for all values, and classes.
+PROBES, CLASSES = 1500, 5
+_COSTS = "cost AS (SELECT a.n AS i, b.n AS j, b.s2 - a.s2 - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) AS cost FROM prefix_ a JOIN prefix_ b ON b.n > a.n)"
+_LEVELS = ", ".join(
+    ["best1 AS (SELECT j AS n, cost AS d, CAST(0 AS BIGINT) AS cut FROM cost WHERE i = 0)"]
+    + [f"best{k} AS (SELECT j AS n, min(best{k - 1}.d + cost) AS d, arg_min(i, best{k - 1}.d + cost) AS cut FROM cost JOIN best{k - 1} ON best{k - 1}.n = cost.i GROUP BY j)" for k in range(2, CLASSES + 1)]
+)
+
+
+@query(f"""{RISK_SQL}, v AS (SELECT unnest(CASE WHEN count(risk) <= {PROBES} THEN list_sort(list(risk)) ELSE quantile_cont(risk, [{", ".join(f"{i}e0/{PROBES - 1}" for i in range(PROBES))}]) END) AS x FROM risk),
+numbered AS (SELECT x, row_number() OVER (ORDER BY x) AS n FROM v),
+prefix_ AS (SELECT n, sum(x) OVER (ORDER BY n) AS s, sum(x * x) OVER (ORDER BY n) AS s2 FROM numbered UNION ALL SELECT 0, 0e0, 0e0), {_COSTS}, {_LEVELS},
+c5 AS (SELECT cut FROM best5 WHERE n = (SELECT max(n) FROM numbered)), c4 AS (SELECT cut FROM best4 WHERE n = (SELECT cut FROM c5)), c3 AS (SELECT cut FROM best3 WHERE n = (SELECT cut FROM c4)), c2 AS (SELECT cut FROM best2 WHERE n = (SELECT cut FROM c3)),
+cuts AS (SELECT 0 AS k, cut FROM c2 UNION ALL SELECT 1, cut FROM c3 UNION ALL SELECT 2, cut FROM c4 UNION ALL SELECT 3, cut FROM c5)
+SELECT CAST(k AS INTEGER) AS n, round(x, 6) AS break_value FROM cuts JOIN numbered ON numbered.n = cut + 1""")
 def natural_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wt.jenks(risk(spark, sf_dir), "risk").select(F.posexplode("breaks").alias("n", "break_value"))
+    return rounded(wt.jenks(risk(spark, sf_dir), "risk", CLASSES, PROBES).select(F.posexplode("breaks").alias("n", "break_value")))

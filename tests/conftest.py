@@ -20,18 +20,17 @@ def sf_dir():
     return "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def duck(sf_dir):
+def connected(folder):
+    """DuckDB with the tables of a folder as views."""
     import duckdb
 
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
-@pytest.fixture(scope="session")
-def same_rows(duck):
+def comparer(duck):
     """Compare a Spark result with SQL, row by row, whatever the order; doubles up to the last rounded digit."""
 
     def check(df, sql):
@@ -45,3 +44,15 @@ def same_rows(duck):
             assert a == [pytest.approx(v, abs=1.1e-4 if abs(v) > 1000 else 1.1e-6) if isinstance(v, float) else v for v in b]
 
     return check
+
+
+@pytest.fixture(scope="session")
+def same_rows(sf_dir):
+    return comparer(connected(sf_dir))
+
+
+@pytest.fixture(scope="session")
+def more_rows():
+    """The next larger tables, and their comparison."""
+    folder = "/root/testdata/sf0.01"
+    return folder, comparer(connected(folder))

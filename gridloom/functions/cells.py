@@ -52,13 +52,25 @@ def dequantise(byte: Column) -> Column:
     return F.when(byte != 255, byte / 254.0)
 
 
-def ramp(x: Column, stops: Sequence[tuple[int, int, int]]) -> Column:
-    """Colour at [0, 1] along equally spaced stops, as a struct of red, green and blue; null where x is null."""
+def _along(x: Column, stops: Sequence[tuple[int, int, int]]) -> list[Column]:
+    """Red, green and blue, not rounded, at [0, 1] along equally spaced stops."""
     place = clamp(x) * (len(stops) - 1)
     at = F.least(F.floor(place).cast("int"), F.lit(len(stops) - 2))
     of = [F.array(*[F.lit(float(s[i])) for s in stops]) for i in range(3)]
-    parts = [F.floor(F.get(a, at) + (F.get(a, at + 1) - F.get(a, at)) * (place - at) + 0.5).cast("int") for a in of]
-    return F.when(x.isNotNull(), F.struct(*[p.alias(n) for p, n in zip(parts, ("red", "green", "blue"), strict=True)]))
+    return [F.get(a, at) + (F.get(a, at + 1) - F.get(a, at)) * (place - at) for a in of]
+
+
+def ramp(x: Column, stops: Sequence[tuple[int, int, int]]) -> Column:
+    """Colour at [0, 1] along equally spaced stops, as a struct of red, green and blue, rounded half to even; null where x is null."""
+    return F.when(x.isNotNull(), F.struct(*[F.bround(p).cast("int").alias(n) for p, n in zip(_along(x, stops), ("red", "green", "blue"), strict=True)]))
+
+
+def pixel(x: Column, stops: Sequence[tuple[int, int, int]], solid: float | None = None) -> Column:
+    """A raster's pixel along equally spaced stops: a struct of red, green, blue and alpha, cut to whole numbers. Low values stay see-through unless ``solid``; null is transparent and has the first colour."""
+    value = F.coalesce(clamp(x), F.lit(0.0))
+    alpha = F.when(x.isNull(), 0.0).otherwise(F.lit(float(solid)) if solid is not None else value * 0.70 + 0.30)
+    parts = [*_along(value, stops), alpha * 255]
+    return F.struct(*[F.floor(p).cast("int").alias(n) for p, n in zip(parts, ("red", "green", "blue", "alpha"), strict=True)])
 
 
 def hex_colour(rgb: Column) -> Column:

@@ -22,6 +22,9 @@ FACTOR_WEIGHTS = {"slope": 0.40, "rainfall": 0.25, "ndvi": 0.20, "elevation": 0.
 CLOUD_CLASSES = (3, 8, 9, 10, 11)
 
 # --- fixed values: flood, fire and exposure layers
+FLOOD_PERMANENT_OCCURRENCE, FLOOD_ZONE_OCCURRENCE, FLOOD_MAX_SLOPE_DEG = 50, 5, 5.0
+NDVI_FILL, MONSOON_MONTHS = 0.60, (6, 9)
+LEAST_PAIRS, PASS_CLASSES, PASS_SHARE = 5, (4, 5), 0.50
 FLOOD_FALLBACK_DB, FLOOD_RANGE_DB, FLOOD_PARTS = -16.0, (-22.0, -13.0), (0.7, 0.3)
 FIRE_CONFIDENCE, FIRE_MASK, FIRE_VEGETATION = 30, 7, (0.2, 0.8)
 EXPOSURE_PARTS, ROAD_LIMIT_M = (0.7, 0.3), 1500.0

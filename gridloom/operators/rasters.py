@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import rescale
+from gridloom.functions.cells import dequantise, rescale
 from gridloom.operators.quantiles import quantiles
 from gridloom.session import written
 
@@ -178,3 +179,53 @@ def season_max(scenes: DataFrame, months: tuple[int, int], keys: Sequence[str],
     """Greatest yearly sum over the months (both ends in), for each key."""
     seasons = scenes.where(F.month(ts).between(*months)).groupBy(*keys, F.year(ts).alias("year")).agg(F.sum(value).alias("total"))
     return seasons.groupBy(*keys).agg(F.max("total").alias("season_max"))
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The frame of a north-up grid: west and north edges, steps in degrees, rows and columns."""
+
+    west: float
+    north: float
+    dx: float
+    dy: float
+    rows: int
+    columns: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Rows and columns."""
+        return self.rows, self.columns
+
+    @property
+    def bounds(self) -> tuple[float, float, float, float]:
+        """West, south, east and north edges."""
+        return self.west, self.north - self.rows * self.dy, self.west + self.columns * self.dx, self.north
+
+    def aligned(self, other: Grid, part: float = 1e-3) -> bool:
+        """Whether both have the same shape, and edges that agree to a part of a cell."""
+        close = all(abs(a - b) <= part * min(self.dx, self.dy) for a, b in zip(self.bounds, other.bounds, strict=True))
+        return self.shape == other.shape and close
+
+    def cells(self, spark: SparkSession) -> DataFrame:
+        """``r`` and ``c`` of all cells."""
+        return spark.range(self.rows * self.columns).select(F.floor(F.col("id") / self.columns).cast("long").alias("r"), (F.col("id") % self.columns).alias("c"))
+
+
+def resample(cells: DataFrame, value: str, source: Grid, target: Grid) -> DataFrame:
+    """``r``, ``c`` and the value at the centres of the target's cells, bilinear between the source's; edges are held half a cell beyond the outer centres, null further out."""
+    x = (F.lit(target.west) + (F.col("c") + 0.5) * target.dx - F.lit(source.west)) / source.dx - 0.5
+    y = (F.lit(source.north) - (F.lit(target.north) - (F.col("r") + 0.5) * target.dy)) / source.dy - 0.5
+
+    def held(place: Column, n: int) -> Column:
+        return F.when((place >= -0.5) & (place <= n - 0.5), F.least(F.greatest(place, F.lit(0.0)), F.lit(float(n - 1))))
+
+    points = target.cells(cells.sparkSession).select(F.struct("r", "c").alias("id"), held(y, source.rows).alias("y"), held(x, source.columns).alias("x"))
+    found = bilinear(points.where("y IS NOT NULL AND x IS NOT NULL"), cells, value, value)
+    return points.select("id").join(found, "id", "left").select("id.r", "id.c", value)
+
+
+def lookup(points: DataFrame, cells: DataFrame, bands: Sequence[str], grid: Grid) -> DataFrame:
+    """``points`` (``id``, ``lon``, ``lat``) with the quantised ``bands`` of the cell that holds them, back as values; null outside the grid and where there is none."""
+    keyed = points.withColumns({"r": F.floor((F.lit(grid.north) - F.col("lat")) / grid.dy).cast("long"), "c": F.floor((F.col("lon") - F.lit(grid.west)) / grid.dx).cast("long")})
+    return keyed.join(cells.select("r", "c", *bands), ["r", "c"], "left").select("id", *[dequantise(F.col(b)).alias(b) for b in bands])

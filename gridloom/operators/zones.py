@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions import constants as K
 from gridloom.functions.geo import EARTH_M, band, band_width, haversine_m
 from gridloom.operators.components import connected_components
 from gridloom.operators.rasters import diamond, spread
@@ -66,13 +67,30 @@ def class_histogram(zone_cells: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label")))
 
 
-def verdicts(zone_cells: DataFrame, high: tuple[int, ...] = (4, 5), least_share: float = 0.5) -> DataFrame:
+def verdicts(zone_cells: DataFrame, high: tuple[int, ...] = K.PASS_CLASSES, least_share: float = K.PASS_SHARE) -> DataFrame:
     """``label``, ``mode`` (ties: lower class), ``high_share`` and ``passed``; a disc without cells did not pass."""
     labels, hist = zone_cells.select("label").distinct(), class_histogram(zone_cells)
     found = hist.groupBy("label").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("b"))).alias("mode"), F.sum(F.when(F.col("class").isin(*high), F.col("share")).otherwise(0.0)).alias("high_share"))
     return labels.join(found, "label", "left").withColumn("passed", F.coalesce(F.col("mode").isin(*high) & (F.col("high_share") >= least_share), F.lit(False)))
 
 
+def report(points: DataFrame, cells: DataFrame, radius_m: float, factors: Sequence[str], at_cell: tuple[Column, Column], names: Sequence[str] = K.CLASS_NAMES) -> DataFrame:
+    """A row for each point (``label``, ``plon``, ``plat``): the class and index of its own cell, and the zone around it: mean index, modal class, share of high classes, mean of each factor, ``passed``, ``outside``.
+
+    ``cells`` have ``r``, ``c``, ``lon``, ``lat``, ``class``, ``risk`` and the factors; ``at_cell`` gives row and column of a point. A zone without cells lies outside and did not pass.
+    """
+    labels = F.array(*[F.lit(n) for n in names])
+    zone = written(discs(points, cells, radius_m), "zone-cells")
+    verdict = verdicts(zone, K.PASS_CLASSES, K.PASS_SHARE)
+    means = zone.groupBy("label").agg(F.avg("risk").alias("zone_mean_index"), *[F.avg(f).alias(f"zone_{f}") for f in factors])
+    own = points.withColumns({"r": at_cell[0], "c": at_cell[1]}).join(cells.select("r", "c", "class", F.col("risk").alias("point_index")), ["r", "c"], "left")
+    both = own.join(verdict, "label").join(means, "label")
+    return both.select(
+        "label", F.col("class").alias("point_class"), F.get(labels, F.col("class") - 1).alias("point_class_name"), "point_index", "zone_mean_index", F.get(labels, F.col("mode") - 1).alias("zone_modal_class"),
+        F.round("high_share", 4).alias("zone_high_share"), *[f"zone_{f}" for f in factors], "passed", F.col("mode").isNull().alias("outside"),
+    )
+
+
 def diagnosis(zone_cells: DataFrame, cells: DataFrame, factors: list[str], weights: dict[str, float] | None = None, step: float = 0.05) -> DataFrame:
     """``label``, the ``dominant`` factor (greatest mean in the disc), the ``weakest`` (least ratio to the mean everywhere; infinite where that mean is 0 or missing) and its ``ratio``.
 

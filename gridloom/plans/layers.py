@@ -136,7 +136,8 @@ def quantised_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RAMP = [[c[i] for c in K.CLASS_COLOURS] for i in range(3)]
 _AT = "CAST(least(floor(flood * 4), 3) AS INTEGER)"
-_PART = [f"CAST(floor({v}[{_AT} + 1] + ({v}[{_AT} + 2] - {v}[{_AT} + 1]) * (flood * 4 - {_AT}) + 0.5e0) AS INTEGER)" for v in _RAMP]
+_EXACT = [f"({v}[{_AT} + 1] + ({v}[{_AT} + 2] - {v}[{_AT} + 1]) * (flood * 4 - {_AT}))" for v in _RAMP]
+_PART = [f"CAST(round_even({v}, 0) AS INTEGER)" for v in _EXACT]
 
 
 @query(f"{WITH_NORM} SELECT r, c, '#' || " + " || ".join(f"lower(lpad(to_hex({p}), 2, '0'))" for p in _PART) + " AS colour FROM norm")
@@ -144,6 +145,35 @@ def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(spark, sf_dir).select("r", "c", fc.hex_colour(fc.ramp(F.col("flood"), K.CLASS_COLOURS)).alias("colour"))
 
 
+@query(f"{WITH_NORM} SELECT r, c, " + ", ".join(f"CAST(floor({v}) AS INTEGER) AS {n}" for v, n in zip(_EXACT, ("red", "green", "blue"), strict=True)) + ", CAST(floor((flood * 0.70e0 + 0.30e0) * 255) AS INTEGER) AS alpha FROM norm")
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalised(spark, sf_dir).select("r", "c", fc.pixel(F.col("flood"), K.CLASS_COLOURS).alias("p")).select("r", "c", "p.*")
+
+
+GRID = rasters.Grid(S.WEST, S.NORTH, S.STEP, S.STEP, S.ROWS, S.COLS)
+
+
+@query(f"""{WITH_NORM}, at_ AS (SELECT p_partkey AS id, CAST(floor((11.8e0 - (11.81e0 - (p_partkey * 13 % 400) / 1000e0)) / 0.009e0) AS BIGINT) AS r, CAST(floor((75.99e0 + (p_partkey * 17 % 500) / 1000e0 - 76e0) / 0.009e0) AS BIGINT) AS c FROM part)
+SELECT id, {", ".join(f"round(round_even({b} * 254, 0) / 254, 6) AS {b}" for b in BANDS)} FROM at_ LEFT JOIN norm USING (r, c)""")
+def click_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a click on the map shows: the quantised bands of the cell, nothing outside."""
+    k = F.col("p_partkey")
+    points = table(spark, sf_dir, "part").select(k.alias("id"), (F.lit(75.99) + k * 17 % 500 / 1000.0).alias("lon"), (F.lit(11.81) - k * 13 % 400 / 1000.0).alias("lat"))
+    return rounded(rasters.lookup(points, quantised_grid(spark, sf_dir), BANDS, GRID))
+
+
+TARGET = rasters.Grid(S.WEST - 0.02, S.NORTH + 0.011, 0.0131, 0.0117, 33, 37)
+
+
+@query(f"""{WITH_NORM}, t AS (SELECT r, c, (({TARGET.west!r}e0 + (c + 0.5e0) * {TARGET.dx}e0) - {S.WEST}e0) / {S.STEP}e0 - 0.5e0 AS x, ({S.NORTH}e0 - ({TARGET.north!r}e0 - (r + 0.5e0) * {TARGET.dy}e0)) / {S.STEP}e0 - 0.5e0 AS y FROM range({TARGET.rows}) a(r), range({TARGET.columns}) b(c)),
+h AS (SELECT r, c, CASE WHEN x >= -0.5e0 AND x <= {S.COLS - 0.5}e0 THEN least(greatest(x, 0e0), {S.COLS - 1}e0) END AS x, CASE WHEN y >= -0.5e0 AND y <= {S.ROWS - 0.5}e0 THEN least(greatest(y, 0e0), {S.ROWS - 1}e0) END AS y FROM t),
+k AS (SELECT h.*, CAST(floor(y) AS BIGINT) + i AS cr, CAST(floor(x) AS BIGINT) + j AS cc FROM h, range(2) p(i), range(2) q(j)),
+w AS (SELECT k.r, k.c, (1 - abs(y - cr)) * (1 - abs(x - cc)) AS w, flood FROM k LEFT JOIN norm ON norm.r = cr AND norm.c = cc)
+SELECT r, c, CASE WHEN count(w) > 0 AND count(*) FILTER (WHERE w > 0 AND flood IS NULL) = 0 THEN round(sum(w * coalesce(flood, 0e0)), 6) END AS flood FROM w GROUP BY r, c""")
+def resampled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rasters.resample(normalised(spark, sf_dir), "flood", GRID, TARGET))
+
+
 @query(f"{WITH_NORM} SELECT r, c, round((flood - fire) / nullif(flood + fire, 0), 6) AS nd FROM norm WHERE CAST(floor(exposure * 12) AS BIGINT) NOT IN (3, 8, 9, 10, 11)")
 def normalised_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     clear = normalised(spark, sf_dir).where(~F.floor(F.col("exposure") * 12).isin(*K.CLOUD_CLASSES))

@@ -98,6 +98,21 @@ def class_area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wt.class_statistics(spark, grid, breaks))
 
 
+_COLOURS = ["#%02x%02x%02x" % c for c in K.CLASS_COLOURS]
+
+
+@query(f"""{RISK_SQL}, names AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{n}', '{c}')" for i, (n, c) in enumerate(zip(K.CLASS_NAMES, _COLOURS, strict=True)))}) t(class, class_name, colour)), areas AS (SELECT class, sum(area) AS area FROM classes GROUP BY class)
+SELECT names.class, class_name, colour, printf('%.3f-%.3f', ([0e0] || b || [1e0])[names.class], ([0e0] || b || [1e0])[names.class + 1]) AS index_range, printf('%.1f', coalesce(area, 0e0)) AS area, printf('%.1f%%', coalesce(area, 0e0) * 100 / sum(area) OVER ()) AS percent FROM names LEFT JOIN areas ON names.class = areas.class, breaks""")
+def class_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the class table as they are shown: names, colours and numbers as text."""
+    grid, breaks = risk_classes(spark, sf_dir)
+    colours = F.array(*[F.lit(c) for c in _COLOURS])
+    found = wt.class_statistics(spark, grid, breaks)
+    return found.select(
+        "class", "class_name", F.get(colours, F.col("class") - 1).alias("colour"), F.format_string("%.3f-%.3f", "index_min", "index_max").alias("index_range"), F.format_string("%.1f", "area_km2").alias("area"), F.format_string("%.1f%%", "percent").alias("percent")
+    )
+
+
 @query(f"{RISK_SQL} SELECT round(sum(area), 6) AS area_km2, round(sum(area) FILTER (WHERE class >= 4) * 100 / sum(area), 6) AS high_percent FROM classes")
 def risk_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, _ = risk_classes(spark, sf_dir)

@@ -74,6 +74,23 @@ def validation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(zones.verdicts(zone_cells(spark, sf_dir)[0]))
 
 
+@query(f"""{ZONE_SQL}, v AS (SELECT label, arg_max(class, (n, -class)) AS mode, sum(CASE WHEN class IN (4, 5) THEN share ELSE 0e0 END) AS high_share FROM hist GROUP BY label),
+zone2 AS (SELECT label, risk, {", ".join(BANDS)} FROM pts JOIN (SELECT *, 76e0 + (c + 0.5e0) * 0.009e0 AS lon, 11.8e0 - (r + 0.5e0) * 0.009e0 AS lat FROM classes) g
+  ON 2 * 6371000e0 * asin(sqrt(power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))) <= 2000),
+m AS (SELECT label, avg(risk) AS mean_index, {", ".join(f"avg({b}) AS zone_{b}" for b in BANDS)} FROM zone2 GROUP BY label),
+own AS (SELECT label, class, risk FROM pts LEFT JOIN classes ON classes.r = CAST(floor((plat - 11.8e0) / -0.009e0) AS BIGINT) AND classes.c = CAST(floor((plon - 76e0) / 0.009e0) AS BIGINT)),
+names AS (SELECT {list(K.CLASS_NAMES)!r} AS n)
+SELECT pts.label, own.class AS point_class, n[own.class] AS point_class_name, round(own.risk, 6) AS point_index, round(mean_index, 6) AS zone_mean_index, n[mode] AS zone_modal_class, round(high_share, 4) AS zone_high_share, {", ".join(f"round(zone_{b}, 6) AS zone_{b}" for b in BANDS)},
+coalesce(mode IN (4, 5) AND high_share >= 0.5e0, false) AS passed, mode IS NULL AS outside FROM names, pts LEFT JOIN v USING (label) LEFT JOIN m USING (label) LEFT JOIN own USING (label)""")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validation tells about each point; the headline is that of the verified one."""
+    from gridloom.functions.geo import cell_index
+
+    _, grid = zone_cells(spark, sf_dir)
+    points = spark.createDataFrame(list(POINTS), "label string, plon double, plat double")
+    return rounded(zones.report(points, grid, 2000.0, BANDS, (cell_index(F.col("plat"), S.NORTH, -S.STEP), cell_index(F.col("plon"), S.WEST, S.STEP))))
+
+
 #: Factors of the diagnosis and their weights; ``none`` is 0 everywhere, so its ratio is infinite and it is never the weakest.
 DIAGNOSED = {"flood": 0.40, "landslide": 0.25, "exposure": 0.20, "fire": 0.08, "none": 0.07}
 

@@ -41,6 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def check_session(spark: SparkSession) -> None:
+    """Raise, with what to do, where a session can't run the engine: no shared folder, another time zone than UTC, or adaptive execution off."""
+    problems = []
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        problems.append("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        problems.append("set spark.sql.session.timeZone to UTC: months and days of scenes depend on it")
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") != "true":
+        problems.append("set spark.sql.adaptive.enabled to true: skewed joins are split by it")
+    if problems:
+        raise RuntimeError("; ".join(problems))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -63,13 +64,42 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: str) -> DataF
     return spark.read.schema(schema).json(path).select("geometry", "properties.*")
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], resume: bool = True) -> DataFrame:
-    """A stage's table: read if it was finished before and ``resume``, else built and written."""
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], resume: bool = True, attempts: int = 1, wait_s: float = 5.0) -> DataFrame:
+    """A stage's table: read if it was finished before and ``resume``, else built and written, with up to ``attempts`` trials (a wait between them that doubles); the last failure is raised."""
     if not (resume and exists(spark, f"{path}/_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
+        for trial in range(attempts):
+            try:
+                build().write.mode("overwrite").parquet(path)
+                break
+            except Exception:  # noqa: BLE001  any failure of a remote source may pass
+                if trial + 1 == attempts:
+                    raise
+                time.sleep(wait_s * 2**trial)
     return spark.read.parquet(path)
 
 
+def study_area(spark: SparkSession, cache: str, providers: Sequence[Callable[[], DataFrame]], box: tuple[float, float, float, float]) -> tuple[DataFrame, str]:
+    """A row with the ``ring`` of the study area (array of struct x, y), and where it is from: the cache, the first provider that gives a ring of three points or more (cached then), or the box.
+
+    A cache that can't be read, and a provider that fails or gives none, pass on to the next.
+    """
+    ring = "ring array<struct<x: double, y: double>>"
+    tries = [("cache", lambda: spark.read.schema(ring).parquet(cache))] if exists(spark, cache) else []
+    for name, source in [*tries, *((f"provider {i + 1}", p) for i, p in enumerate(providers))]:
+        try:
+            row = source().select("ring").first()
+        except Exception:  # noqa: BLE001  any failure of a source passes on to the next
+            continue
+        if row is not None and row["ring"] is not None and len(row["ring"]) >= 3:
+            found = spark.createDataFrame([row], ring)
+            if name != "cache":
+                found.write.mode("overwrite").parquet(cache)
+            return found, name
+    west, south, east, north = box
+    corners = [{"x": x, "y": y} for x, y in ((west, south), (east, south), (east, north), (west, north))]
+    return spark.createDataFrame([(corners,)], ring), "box"
+
+
 def first_that_works(sources: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     """The first source that can be read and has rows' schema; if none, the last error."""
     error: Exception | None = None

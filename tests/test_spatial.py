@@ -11,11 +11,11 @@ from gridloom.functions import cells as fc
 from gridloom.functions import constants as K
 from gridloom.functions import geo
 from gridloom import session
-from gridloom.operators import network, places, quantiles, rasters, roads, search, skew, weights, zones
+from gridloom.operators import hazards, network, places, quantiles, rasters, roads, search, skew, weights, zones
 from gridloom.operators.components import ONE_TASK_EDGES, connected_components
 from gridloom.plans import registry
 from gridloom.session import scratch_path
-from gridloom.sources import files
+from gridloom.sources import files, graphml
 
 #: Queries whose results hang on ties, rounding or recursion: these also on the next larger tables.
 SENSITIVE = ("band_histogram", "otsu_threshold", "class_breaks", "natural_breaks", "settlement_origins", "zone_diagnosis", "route_search", "route_table", "nearest_node", "corridor", "contracted_edges", "strong_components", "name_search")
@@ -434,3 +434,63 @@ def test_files(spark):
     assert files.untyped(payload["xy"], "<i4").tolist() == [100000, 200000, 300000, 400000] and files.untyped(payload["offsets"], "<u4").tolist() == [0, 1, 2] and files.untyped(payload["risk"], "<u1").tolist() == [127]
     with pytest.raises(ValueError):
         files.read_stack(spark, f"{path}/stage", ["risk"])
+
+
+def test_grids(spark):
+    grid = rasters.Grid(76.0, 11.8, 0.1, 0.1, 3, 4)
+    assert grid.shape == (3, 4) and np.allclose(grid.bounds, (76.0, 11.5, 76.4, 11.8)) and grid.cells(spark).count() == 12
+    assert grid.aligned(rasters.Grid(76.00001, 11.8, 0.1, 0.1, 3, 4)) and not grid.aligned(rasters.Grid(76.05, 11.8, 0.1, 0.1, 3, 4)) and not grid.aligned(rasters.Grid(76.0, 11.8, 0.1, 0.1, 3, 5))
+    cells = grid.cells(spark).withColumn("v", F.col("r") * 10.0 + F.col("c"))
+    fine = {(x.r, x.c): x.v for x in rasters.resample(cells, "v", grid, rasters.Grid(75.95, 11.85, 0.05, 0.05, 8, 10)).collect()}
+    assert fine[0, 0] is None and fine[1, 1] == 0.0 and abs(fine[2, 2] - (0.25 * 10 + 0.25)) < 1e-9 and abs(fine[6, 8] - 23.0) < 1e-9 and fine[7, 9] is None
+
+
+def test_pixels(spark):
+    row = spark.createDataFrame([(None,), (0.0,), (1.5,)], "x double").select(fc.pixel(F.col("x"), ((0, 0, 0), (255, 255, 255))).alias("p"), fc.pixel(F.col("x"), ((0, 0, 0), (255, 255, 255)), 0.5).alias("s")).collect()
+    assert [tuple(r.p) for r in row] == [(0, 0, 0, 0), (0, 0, 0, 76), (255, 255, 255, 255)] and [r.s.alpha for r in row] == [0, 127, 127]
+
+
+def test_hazards_without_scenes(spark):
+    cells = spark.createDataFrame([(r, c, 1.0, 60.0 if c == 0 else 10.0 * c) for r in range(5) for c in range(5)], "r long, c long, slope double, occurrence double")
+    none = spark.createDataFrame([], "r long, c long, win int, vv double")
+    found = hazards.flood(none, cells, speckle=rasters.disc(1), zone=rasters.disc(1), smooth=rasters.disc(0))
+    assert found.thresholds.count() == 0 and {r.c: round(r.flood, 6) for r in found.layer.collect()} == {0: 0.0, 1: 0.25, 2: 0.5, 3: 0.75, 4: 1.0}
+    one = spark.createDataFrame([(r, c, 1, -30.0) for r in range(5) for c in range(5)], "r long, c long, win int, vv double")
+    far = hazards.flood(one, cells.withColumn("occurrence", F.lit(0.0)), speckle=rasters.disc(1), zone=rasters.disc(1), smooth=rasters.disc(0))
+    assert [tuple(r) for r in far.thresholds.collect()] == [(1, 25, -16.0)]  # no known water: the fallback
+    scenes = spark.createDataFrame([(0, 0, 3.0, 1.0, 4), (0, 0, 9.0, 1.0, 3), (0, 1, 1.0, 1.0, 8)], "r long, c long, b8 double, b4 double, scl int")
+    green = {(r.r, r.c): r.ndvi for r in hazards.greenness(scenes, cells, rasters.disc(1)).collect()}
+    assert green[0, 0] == 0.5 and green[0, 1] == 0.5 and green[4, 4] == K.NDVI_FILL
+
+
+def test_study_area_and_retries(spark):
+    path, tried = scratch_path(spark, "area"), []
+    ring = spark.createDataFrame([([{"x": float(i), "y": float(i * i)} for i in range(4)],)], f"ring {network.POINTS}")
+    broken = lambda: tried.append(1) or spark.read.parquet(f"{path}/none")
+    found, source = files.study_area(spark, f"{path}/cache", [broken], (75.0, 11.0, 76.0, 12.0))
+    assert source == "box" and [(p.x, p.y) for p in found.first().ring] == [(75.0, 11.0), (76.0, 11.0), (76.0, 12.0), (75.0, 12.0)]
+    found, source = files.study_area(spark, f"{path}/cache", [broken, lambda: ring], (75.0, 11.0, 76.0, 12.0))
+    assert source == "provider 2" and len(found.first().ring) == 4
+    assert files.study_area(spark, f"{path}/cache", [broken], (75.0, 11.0, 76.0, 12.0))[1] == "cache"
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return ring
+
+    assert files.stage(spark, f"{path}/stage", flaky, attempts=3, wait_s=0.01).count() == 1 and len(calls) == 3
+    with pytest.raises(OSError):
+        files.stage(spark, f"{path}/other", lambda: (_ for _ in ()).throw(OSError("never")), attempts=2, wait_s=0.01)
+    session.check_session(spark)
+
+
+def test_graphml(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text("""<?xml version="1.0"?><graphml><key id="d1" for="node" attr.name="x" attr.type="double"/><key id="d2" for="node" attr.name="y" attr.type="double"/><key id="d3" for="edge" attr.name="length" attr.type="double"/>
+<key id="d4" for="edge" attr.name="highway" attr.type="string"/><key id="d5" for="edge" attr.name="geometry" attr.type="string"/><graph edgedefault="directed"><node id="1"><data key="d1">76.1</data><data key="d2">11.5</data></node><node id="2"><data key="d1">76.2</data><data key="d2">11.6</data></node>
+<edge source="1" target="2" id="0"><data key="d3">12.5</data><data key="d4">['primary', 'secondary']</data><data key="d5">LINESTRING (76.1 11.5, 76.15 11.58, 76.2 11.6)</data></edge><edge source="2" target="1" id="0"><data key="d3">12</data><data key="d4">primary</data></edge></graph></graphml>""")
+    nodes, edges = graphml.read_graph(spark, f"file://{tmp_path}/g.graphml")
+    assert sorted(map(tuple, nodes.collect())) == [(1, 76.1, 11.5, None), (2, 76.2, 11.6, None)]
+    found = {r.src: r for r in edges.collect()}
+    assert [(p.x, p.y) for p in found[1].points] == [(76.1, 11.5), (76.15, 11.58), (76.2, 11.6)] and found[2].points is None and found[2].length == 12.0 and found[1].highway.startswith("[")

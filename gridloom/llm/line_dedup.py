@@ -1,10 +1,10 @@
 """Lines that repeat across documents, found with a once-seen and a twice-seen Bloom filter.
 
-Pass 1 hashes each document's keys (each key once a document). Each reduce task owns ranges of hashes and fills, for a
-range, a filter of what was seen once and one of what was seen again. Only the twice-seen filter goes to the executors;
-its size follows the number of keys up to ``MAX_BITS``. Pass 2 sends on just the keys that the filter suspects, as a
-128-bit digest and the document's id; a group-by confirms them exactly and finds the occurrence that stays. A false alarm
-of the filter costs a shuffled row, never a wrong result; a filter past its bound only raises false alarms.
+Pass 1 hashes each document's keys (each key once a document). Each reduce task owns ranges of hashes, their number growing with the
+documents, and fills for a range a filter of what was seen once, never kept; what it has seen already is seen twice. Those hashes fill the
+twice-seen filter, the only one that goes to the executors: its size follows the number of repeated keys, up to ``MAX_BITS``. Pass 2 sends on
+just the keys that the filter suspects, as a 128-bit digest and the document's id; a group-by confirms them exactly and finds the
+occurrence that stays. A false alarm of a filter costs a shuffled row, never a wrong result; one past its bound only raises false alarms.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from gridloom.session import written
 
 #: White space stripped from both ends of a line (fixed).
 BLANK = b" \t\n\x0b\x0c\r"
-#: Hash ranges of a filter, probes for a key, bits for a key, and bounds of a filter's bits (128 MB at most).
+#: Parts of the twice-seen filter, probes for a key, bits for a key, and bounds of a filter's bits (128 MB at most).
 RANGES, PROBES, BITS_A_KEY, MIN_BITS, MAX_BITS = 64, 2, 16, 1 << 20, 1 << 30
+#: Documents for each range of hashes in pass 1, about.
+RANGE_DOCS = 1 << 17
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -64,8 +66,8 @@ def _add(filled: np.ndarray, places: list[np.ndarray]) -> None:
         np.bitwise_or.at(filled, (p >> np.uint64(3)).astype(np.int64), np.left_shift(1, (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
 
-def hashed_keys(docs: DataFrame, min_chars: int, *, text_col: str) -> DataFrame:
-    """``hash_range``, ``n`` and ``hashes``: hashes of a batch's keys, packed; those in two of its documents stand twice."""
+def hashed_keys(docs: DataFrame, min_chars: int, range_bits: int, *, text_col: str) -> DataFrame:
+    """``hash_range`` (the top ``range_bits`` bits), ``n`` and ``hashes``: hashes of a batch's keys, packed; those in two of its documents stand twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +75,7 @@ def hashed_keys(docs: DataFrame, min_chars: int, *, text_col: str) -> DataFrame:
             if keys:
                 h = np.sort(_hashes(keys))
                 h = h[np.concatenate([[True, True], h[2:] != h[:-2]])[: len(h)]]  # up to two of each
-                which = (h >> np.uint64(58)).astype(np.int32)
+                which = (h >> np.uint64(64 - range_bits)).astype(np.int32)
                 cuts = np.flatnonzero(np.diff(which)) + 1
                 parts = np.split(h, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(which[[0, *cuts]]), pa.array([len(p) for p in parts], type=pa.int64()), pa.array([p.astype("<u8").tobytes() for p in parts], type=pa.binary())], names=["hash_range", "n", "hashes"])
@@ -81,25 +83,48 @@ def hashed_keys(docs: DataFrame, min_chars: int, *, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "hash_range int, n long, hashes binary")
 
 
-def twice_seen(packed: DataFrame, bits: int) -> bytes:
-    """The twice-seen filter over all ranges, ``bits`` long: a bounded result."""
+def _bits_for(n: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+
+
+def repeated_hashes(packed: DataFrame, range_bits: int) -> DataFrame:
+    """``part``, ``n`` and ``hashes``: hashes that a once-seen filter of their range had when they came, with its false alarms; ``part`` is the top 6 bits."""
+    sizes = packed.groupBy("hash_range").agg(F.sum("n").alias("keys"))
+    ranged = packed.join(sizes, "hash_range").select("hash_range", "keys", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, once, twice = None, None, None
+        current, once, bits = None, None, 0
         for batch in batches:
-            for r, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for r, keys, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if r != current:
-                    if current is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([current], type=pa.int32()), pa.array([twice.tobytes()], type=pa.binary())], names=["hash_range", "filter"])
-                    current, once, twice = r, np.zeros(bits // RANGES // 8, dtype=np.uint8), np.zeros(bits // RANGES // 8, dtype=np.uint8)
+                    current, bits = r, _bits_for(keys * RANGES)
+                    once = np.zeros(bits // RANGES // 8, dtype=np.uint8)
                 h = np.frombuffer(data, dtype="<u8")
-                again = np.concatenate([[False], h[1:] == h[:-1]]) | _seen(once, _probes(h, bits))
-                _add(once, _probes(h[~again], bits))
-                _add(twice, _probes(h[again], bits))
+                places = _probes(h, bits)
+                again = np.concatenate([[False], h[1:] == h[:-1]]) | _seen(once, places)
+                _add(once, [p[~again] for p in places])
+                if again.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([r >> (range_bits - 6)], type=pa.int32()), pa.array([int(again.sum())], type=pa.int64()), pa.array([h[again].tobytes()], type=pa.binary())], names=["part", "n", "hashes"])
+
+    return ranged.repartition("hash_range").sortWithinPartitions("hash_range").mapInArrow(run, "part int, n long, hashes binary")
+
+
+def twice_seen(repeated: DataFrame, bits: int) -> bytes:
+    """The twice-seen filter over all hashes, ``bits`` long: a bounded result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, twice = None, None
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != current:
+                    if current is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([current], type=pa.int32()), pa.array([twice.tobytes()], type=pa.binary())], names=["part", "filter"])
+                    current, twice = part, np.zeros(bits // RANGES // 8, dtype=np.uint8)
+                _add(twice, _probes(np.frombuffer(data, dtype="<u8"), bits))
         if current is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([current], type=pa.int32()), pa.array([twice.tobytes()], type=pa.binary())], names=["hash_range", "filter"])
+            yield pa.RecordBatch.from_arrays([pa.array([current], type=pa.int32()), pa.array([twice.tobytes()], type=pa.binary())], names=["part", "filter"])
 
-    parts = packed.repartition(RANGES, "hash_range").sortWithinPartitions("hash_range").mapInArrow(run, "hash_range int, filter binary")
+    parts = repeated.select("part", "hashes").repartition(RANGES, "part").sortWithinPartitions("part").mapInArrow(run, "part int, filter binary")
     out = bytearray(bits // 8)
     for r, part in parts.collect():
         out[r * (bits // RANGES // 8) : (r + 1) * (bits // RANGES // 8)] = part
@@ -136,18 +161,20 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents (different ids) lose all their
     lines but those in the largest id that holds them. Null and empty texts are one empty line and become the empty
     text. Rows with a null id are no documents: they don't count and keep their lines. Rows that share an id are one
-    document. Columns named ``n_lines`` or ``n_dropped`` are replaced; an empty table gives no rows.
+    document. A very long text is split in the task that holds its row. Columns named ``n_lines`` or ``n_dropped`` are replaced; an empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    packed = written(hashed_keys(docs.where(F.col(id_col).isNotNull()), min_chars, text_col=text_col), "line-hashes")
-    n = packed.agg(F.sum("n")).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_KEY * n).bit_length()))
-    twice = docs.sparkSession.sparkContext.broadcast(twice_seen(packed, bits))
+    named = docs.where(F.col(id_col).isNotNull())
+    range_bits = max(6, (docs.count() // RANGE_DOCS).bit_length())
+    repeated = written(repeated_hashes(written(hashed_keys(named, min_chars, range_bits, text_col=text_col), "line-hashes"), range_bits), "line-repeats")
+    bits = _bits_for(repeated.agg(F.sum("n")).first()[0] or 0)
+    twice = docs.sparkSession.sparkContext.broadcast(twice_seen(repeated, bits))
     suspects = written(suspected(docs, twice, bits, min_chars, id_col=id_col, text_col=text_col), "line-suspects")
     common = written(suspects.groupBy("digest").agg(F.count_distinct(id_col).alias("n"), F.max(id_col).alias("stays")).where(F.col("n") >= min_docs), "line-common")
     met = join_to_unique(suspects, common.select("digest", "stays"), "digest")
     gone = met.where(F.col(id_col) != F.col("stays")).groupBy(id_col).agg(F.collect_set("digest").alias("__gone"))
-    joined = docs.join(gone, id_col, "left").select(*docs.columns, "__gone")
+    found = named.join(gone, id_col, "left").select(*docs.columns, "__gone")
+    joined = found.unionByName(docs.where(F.col(id_col).isNull()).withColumn("__gone", F.lit(None).cast("array<binary>")))
     at, out = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

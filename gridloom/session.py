@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +62,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Where written() notes its paths while collecting() is open.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that written() uses inside, so that drop() can free them once nothing reads them any more."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables; the list is empty afterwards."""
+    while paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
@@ -66,6 +91,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,9 @@ gets its weight's part of the token budget: whole passes over its documents, eac
 one more pass. Documents fall into blocks by the part of their source's budget that comes before them, so every block holds the
 sources in about their weights; inside a block the order is a permutation.
 
-Prefix sums of a source run over ranges of the permuted order, so a source with a third of all rows is spread over
-many tasks. All of it is DataFrame operations; one shuffle carries the documents.
+Prefix sums of a source run over ranges of the permuted order, about as many as a range holds documents, so neither a
+source with a third of all rows nor the list of its ranges is one large task. All of it is DataFrame operations on a narrow table
+of ids and token counts, which are counted once; one join brings the places to the documents.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from gridloom.session import written
 
 #: Sources up to which totals are bisected on the driver; beyond, each step is one aggregation on the executors.
 DRIVER_SOURCES = 100_000
-#: Documents of one source and pass in one range of the order, about.
-RANGE = 2_000
 
 
 def n_tokens(text_col: str) -> Column:
@@ -94,18 +93,23 @@ def solve(shares: Shares, entropy: float | None, max_passes: float | None, budge
 
 
 def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy: float | None = None, max_passes: float | None = 1.5, budget: int | None = None, block_tokens: int = 100_000, seed: int = 5
+    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy: float | None = None, max_passes: float | None = 1.5, budget: int | None = None, block_tokens: int = 100_000, seed: int = 5, keep_text: bool = True
 ) -> DataFrame:
     """All columns of ``docs`` and ``mix_tokens``, ``mix_weight``, ``mix_exponent``, ``mix_pass`` (from 0), ``mix_block`` (from 0) and ``mix_order`` (the permutation in a block: ascending).
 
     One row for each showing of a document. A source's showings stop with the one that reaches its budget (rounded to
-    tokens). Null and empty sources are one source; null and empty texts have the end token only; rows with a null id or
-    repeated rows are documents of their own, in any order among equals. Columns named like the new ones are replaced; an empty table gives no rows.
+    tokens). Null and empty sources are one source; null and empty texts have the end token only, very long ones count whole. The order is drawn from id,
+    source and text; rows that agree in all of them, and rows with a null id, are documents of their own, told apart by the place where
+    they were written. Columns named like the new ones are replaced, and without ``keep_text`` the texts are only counted; an empty table gives no rows.
     """
     new = ["mix_tokens", "mix_weight", "mix_exponent", "mix_pass", "mix_block", "mix_order"]
     docs = docs.drop(*new)
-    sized = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_tokens": n_tokens(text_col)})
-    totals = written(sized.groupBy("__source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-totals")
+    sized = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_tokens": n_tokens(text_col), "__row": F.monotonically_increasing_id()})
+    drawn = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, "__row")).otherwise(F.xxhash64(id_col, text_col))
+    passed = [c for c in docs.columns if keep_text or c != text_col]
+    sized = written(sized.withColumn("__drawn", F.xxhash64(F.lit(seed), "__source", drawn)).select(*passed, "__source", "mix_tokens", "__row", "__drawn"), "mix-rows")
+    narrow = sized.select("__row", "__drawn", "__source", "mix_tokens")
+    totals = written(narrow.groupBy("__source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-totals")
     total, sources, most = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*"), F.coalesce(F.max("docs"), F.lit(0))).first()
     if not total:
         exponent, tokens, z = 1.0, 0.0, 1.0
@@ -113,25 +117,21 @@ def mix(
         shares = Shares(totals, total, sources)
         exponent, tokens = solve(shares, entropy, max_passes, budget)
         z = shares.stats(exponent)[0]
-    bits, blocks = (most // RANGE).bit_length(), max(1, math.ceil(tokens / block_tokens))
+    bits, blocks = (most.bit_length() + 1) // 2, max(1, math.ceil(tokens / block_tokens))
     weight = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(exponent)) / F.lit(z)
     plan = totals.select("__source", F.col("tokens").alias("__total"), weight.alias("mix_weight"), F.round(weight * tokens).cast("long").alias("__budget"))
-
-    def showings(rows: DataFrame) -> DataFrame:
-        """Rows repeated for each pass, with the place of the row in the pass."""
-        counted = rows.join(F.broadcast(plan) if sources <= DRIVER_SOURCES else plan, "__source")
-        last = F.ceil(F.col("__budget") / F.col("__total")).cast("int") - 1
-        passes = counted.where("__budget > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
-        order = F.xxhash64(F.lit(seed), "mix_pass", id_col, "__source")
-        return passes.withColumn("mix_order", order).withColumn("__part", F.shiftrightunsigned("mix_order", 64 - bits) if bits else F.lit(0).cast("long"))
-
+    counted = narrow.join(F.broadcast(plan) if sources <= DRIVER_SOURCES else plan, "__source")
+    last = F.ceil(F.col("__budget") / F.col("__total")).cast("int") - 1
+    shown = counted.where("__budget > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
+    shown = shown.withColumn("__order", F.xxhash64("mix_pass", "__drawn")).withColumn("__part", F.shiftrightunsigned("__order", 64 - bits) if bits else F.lit(0).cast("long"))
     by = ["__source", "mix_pass", "__part"]
-    parts = showings(sized.select(id_col, "__source", "mix_tokens")).groupBy(*by).agg(F.sum("mix_tokens").alias("__tokens"))
+    parts = shown.groupBy(*by).agg(F.sum("mix_tokens").alias("__tokens"))
     before = W.partitionBy("__source", "mix_pass").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.select(*by, F.coalesce(F.sum("__tokens").over(before), F.lit(0)).alias("__offset"))
-    inside = W.partitionBy(*by).orderBy("mix_order", id_col).rowsBetween(W.unboundedPreceding, -1)
-    placed = showings(sized).join(offsets, by).withColumn("__start", F.col("mix_pass") * F.col("__total") + F.col("__offset") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
-    return placed.where("__start < __budget").select(
-        *docs.columns, "mix_tokens", "mix_weight", F.lit(exponent).alias("mix_exponent"), "mix_pass",
-        F.floor(F.col("__start") / F.col("__budget") * blocks).cast("long").alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_order").alias("mix_order"),
-    )
+    inside = W.partitionBy(*by).orderBy("__order", "__row").rowsBetween(W.unboundedPreceding, -1)
+    placed = shown.join(offsets, by).withColumn("__start", F.col("mix_pass") * F.col("__total") + F.col("__offset") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
+    showings = placed.where("__start < __budget").select(
+        "__row", "mix_weight", "mix_pass", F.floor(F.col("__start") / F.col("__budget") * blocks).cast("long").alias("mix_block"), F.xxhash64(F.lit(seed + 1), "__order").alias("mix_order")
+    )
+    joined = sized.drop("__source", "__drawn").join(showings, "__row")
+    return joined.select(*passed, "mix_tokens", "mix_weight", F.lit(exponent).alias("mix_exponent"), "mix_pass", "mix_block", "mix_order")

@@ -149,7 +149,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), max_passes=1.5)
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), max_passes=1.5, keep_text=False)
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_exponent").alias("exponent"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block"), F.col("mix_order").alias("block_order"))
 
 

@@ -1,16 +1,17 @@
-"""SimHash near-duplicates through an inverted index of byte positions.
+"""SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``d`` bits differ in at most ``d`` of their eight bytes, so they share
-at least ``8 - d`` bytes at the same positions: the guaranteed minimum of matches. The index has one posting for each
-fingerprint and each choice of ``8 - d`` positions, keyed by the bytes there. Two fingerprints meet in a posting list
-if and only if their tally of shared positional bytes reaches the minimum, so no list of one single byte, which would
-hold 1/256 of all rows, is ever paired. A list holds only ``256 ** d`` different fingerprints at most, whatever the data;
-its members are verified bit by bit and leave as a spanning star for each linked set, not as pairs.
+at least ``8 - d`` bytes at the same positions: the guaranteed minimum of matches. A list of one single byte would hold 1/256 of
+all rows, so the index is parted: one posting for each fingerprint and each choice of ``8 - d`` positions, keyed by the bytes there. Two
+fingerprints that reach the minimum meet in a list. There the bytes shared by position are tallied for each pair, over all eight
+positions; pairs below the minimum go, and those retained are verified bit by bit. A list holds ``256 ** d`` different fingerprints at most,
+whatever the data; its members leave as a spanning star for each linked set, not as pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.operators.components import connected_components
+from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
 #: Posting lists up to this length are verified pair by pair, longer ones by probing each permitted change of bits.
@@ -45,16 +47,18 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """``id_col`` and ``fp`` (bigint: the 64 bits) of every row. Null text counts as empty: fingerprint zero."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``extra`` and ``fp`` (bigint: the 64 bits) of every row. Null text counts as empty: fingerprint zero. A very long text is hashed by SLICE shingles."""
+    docs = docs.select(id_col, *(c for c in extra if c not in (id_col, text_col)), text_col)
+    passed = [c for c in docs.columns if c != text_col or text_col in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             out = b"".join(simhash(t.as_py() or b"", words, seed) for t in texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(out, dtype=">i8").astype(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(passed))), pa.array(np.frombuffer(out, dtype=">i8").astype(np.int64))], names=[*passed, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in passed), T.StructField("fp", T.LongType())]))
 
 
 def _settle(step, n: int) -> np.ndarray:
@@ -68,34 +72,55 @@ def _settle(step, n: int) -> np.ndarray:
         label = new
 
 
-def star(fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of one posting list (different, ascending uint64) and the first of the set each is linked with, without the firsts."""
-    n = len(fps)
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that fingerprints (uint64) share by position."""
+    differing = a ^ b
+    return 8 - sum(((differing >> np.uint64(8 * p)) & np.uint64(0xFF) != 0).astype(np.int8) for p in range(8))
+
+
+def star(fps: np.ndarray, max_diff: int, counts: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of one posting list (different, ascending uint64) and the first of the set each is linked with, without the firsts.
+
+    Candidates are all pairs of a short list, and in a longer one the pairs that a permitted change of bits leads to. ``counts``, if
+    given, gets the numbers of candidate, retained and verified pairs.
+    """
+    n, least = len(fps), 8 - max_diff
+    nears: list[tuple[np.ndarray, np.ndarray]] = []
     if n <= PAIRWISE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_diff
-        label = _settle(lambda x: np.where(near, x[None, :], n).min(axis=1), n)
+        proposals = [np.triu_indices(n, 1)]
     else:
         free = np.bitwise_or.reduce(fps ^ fps[0])
         bits = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
         changes = [np.bitwise_or.reduce(np.array(c, dtype=np.uint64)) for k in range(1, max_diff + 1) for c in itertools.combinations(bits, k)]
-        nears = []
-        for c in changes:
-            at = np.minimum(np.searchsorted(fps, fps ^ c), n - 1)
-            hit = np.flatnonzero(fps[at] == fps ^ c)
-            if len(hit):
-                nears.append((hit, at[hit]))
-
-        def step(x: np.ndarray) -> np.ndarray:
-            x = x.copy()
-            for i, j in nears:
-                x[i] = np.minimum(x[i], x[j])
-            return x
-
-        label = _settle(step, n)
+        proposals = (_changed(fps, c) for c in changes)
+    for i, j in proposals:
+        kept = tally(fps[i], fps[j]) >= least
+        i, j = i[kept], j[kept]
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= max_diff
+        if counts is not None:
+            counts.update(candidates=len(kept), retained=len(i), verified=int(near.sum()))
+        if near.any():
+            nears.append((i[near], j[near]))
+
+    def step(x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        for i, j in nears:
+            np.minimum.at(x, i, x[j])
+            np.minimum.at(x, j, x[i])
+        return x
+
+    label = _settle(step, n)
     tied = np.flatnonzero(label != np.arange(n))
     return fps[tied], fps[label[tied]]
 
 
+def _changed(fps: np.ndarray, change: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that differ just by ``change``, each once."""
+    at = np.minimum(np.searchsorted(fps, fps ^ change), len(fps) - 1)
+    hit = np.flatnonzero((fps[at] == fps ^ change) & (at > np.arange(len(fps))))
+    return hit, at[hit]
+
+
 def links(distinct: DataFrame, max_diff: int = 2) -> DataFrame:
     """``src`` and ``dst`` fingerprints whose edges connect just what pairs differing in up to ``max_diff`` bits connect.
 
@@ -129,16 +154,16 @@ def links(distinct: DataFrame, max_diff: int = 2) -> DataFrame:
 
 
 def components(prints: DataFrame, max_diff: int = 2, *, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id``, the least non-null id that a row reaches over links, for every row.
+    """``prints`` (``id_col``, ``fp``, other columns) and ``component_id``, the least non-null id that a row reaches over links, for every row.
 
-    Equal fingerprints are one node. Rows with a null id link like others but lend no id; a set of such rows only has a
-    null component. Repeated rows stay; an empty table gives none. ``prints`` should be a written table: it is read twice.
+    Equal fingerprints are one node, and the rows of a frequent one stay where they are. Rows with a null id link like others but lend no id; a
+    set of such rows only has a null component. Repeated rows stay; an empty table gives none. ``prints`` should be a written table: it is read more than once.
     """
     firsts = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-fps")
     nodes = connected_components(links(firsts.select("fp"), max_diff)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = firsts.join(nodes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return join_to_unique(prints, rooted.join(least, "root").select("fp", "component_id"), "fp").select(*(c for c in prints.columns if c not in ("fp", "component_id")), "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, max_diff: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

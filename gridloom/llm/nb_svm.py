@@ -4,7 +4,8 @@ Features are indicators of the byte 2-, 3- and 4-grams of the whole text (hashed
 scaled by its class log-count ratio, the row scaled to length one. A linear hinge-loss model is fitted to them by dual coordinate
 descent, and a logistic curve over rows kept out of that fit turns margins into scores; it knows how short
 a row is, as few n-grams can say less. The fit uses a bounded
-sample of the labelled rows, ``max_rows`` of them by order of a hash of the id; scoring covers every row of the table.
+sample of the labelled rows, by order of a hash of the id: ``max_rows`` of them, and fewer where their features exceed ``max_bytes``. It runs in one task
+on an executor, so the driver gets the model alone; scoring covers every row of the table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.session import written
+
 #: Places for features: 2-grams have one each, 3- and 4-grams share the others by hash.
 PLACES = 1 << 18
 #: Bytes of one text looked at together.
@@ -133,17 +136,33 @@ def features(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000, **options) -> Model:
-    """Fit on up to ``max_rows`` labelled ids, by order of a hash of the id, so on the same rows in each run.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000, max_bytes: int = 96 << 20, **options) -> Model:
+    """Fit on up to ``max_rows`` labelled ids, by order of a hash of the id, and up to ``max_bytes`` of their packed features: on the same rows in each run.
 
-    Rows with a null id or a label other than 0 and 1 aren't used; of several labels of an id the largest counts.
+    Rows with a null id or a label other than 0 and 1 aren't used. Of several labels of an id the largest counts, of several texts the least.
+    A very long text counts whole; its features are bounded by PLACES.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    joined = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("at"), id_col, "__label", text_col)
-    found = features(joined, text_col=text_col).limit(2 * max_rows).toArrow().sort_by([("at", "ascending"), (id_col, "ascending")])
-    rows = [np.frombuffer(r.as_buffer(), dtype="<i4") for r in found["places"]]  # views of the table's own memory
-    return fit_rows(rows, np.array(found["__label"].to_pylist(), dtype=int), **options)
+    joined = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col)).join(F.broadcast(sample), id_col)
+    one = joined.groupBy(id_col, "__label").agg(F.min(text_col).alias(text_col))
+    found = written(features(one.select(F.xxhash64(id_col).alias("at"), id_col, "__label", text_col), text_col=text_col), "svm-sample")
+    upto, size = 0, 0
+    sizes = found.orderBy("at", id_col).select(F.octet_length("places")).limit(max_rows).collect()
+    while upto < len(sizes) and (size := size + sizes[upto][0]) <= max_bytes:
+        upto += 1
+    if not upto:
+        return fit_rows([], np.empty(0, dtype=int), **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)  # bounded by max_bytes
+        rows = [np.frombuffer(r.as_buffer(), dtype="<i4") for b in parts for r in b.column(1)]  # views of the batches' own memory
+        model = fit_rows(rows, np.array([y for b in parts for y in b.column(0).to_pylist()], dtype=int), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], type=pa.binary()) for x in (model.weights, model.squares, model.curve)], names=["weights", "squares", "curve"])
+
+    bounded = found.orderBy("at", id_col).limit(upto).select("__label", "places").coalesce(1)
+    row = bounded.mapInArrow(run, "weights binary, squares binary, curve binary").first()
+    return Model(np.frombuffer(row["weights"], np.float32), np.frombuffer(row["squares"], np.float32), np.frombuffer(row["curve"], np.float64))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:

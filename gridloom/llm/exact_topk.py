@@ -26,19 +26,26 @@ class Lists:
 
     def __init__(self, points: np.ndarray):
         self.points, self.size, self.first = points, len(points), FIRST
-        self.most = np.abs(points).max(initial=0)
+        self.most = max(int(points.max(initial=0)), -int(points.min(initial=0)))
         rising = np.argsort(points, axis=0, kind="stable").T.copy()
         self.order, self.values = rising, np.take_along_axis(points.T, rising, axis=1)
+        self.typed: dict[type, tuple[np.ndarray, np.ndarray]] = {}
 
     def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and exact scores of all vectors that can be among the first ``k`` of this block, ties included, and the entries read.
 
-        The bounds are whole numbers, exact in the type chosen for them. They are first looked at a little before where the last query's reading stopped.
+        Bounds and scores are whole numbers, exact in the type chosen for them: floating where it holds them, else 64-bit integers, else
+        Python's own. Bounds are first looked at a little before where the last query's reading stopped.
         """
-        kind = np.float32 if np.abs(query).sum() * self.most < 1 << 24 else np.float64
-        lists = [(o, v * x) if x <= 0 else (o[::-1], v[::-1] * x) for o, v, x in zip(self.order, self.values, query, strict=True)]
+        greatest = sum(abs(int(x)) for x in query) * self.most
+        kind = np.float32 if greatest < 1 << 24 else np.float64 if greatest < 1 << 53 else np.int64 if greatest < 1 << 63 else object
+        whole = np.float64 if kind == np.float32 else kind
+        if whole not in self.typed:
+            self.typed[whole] = self.points.astype(whole), self.values.astype(whole)
+        (points, values), query = self.typed[whole], query.astype(whole)
+        lists = [(o, v * x) if x <= 0 else (o[::-1], v[::-1] * x) for o, v, x in zip(self.order, values, query, strict=True)]
         least = np.array([v[-1] for _, v in lists], dtype=kind)
-        known, unseen, done, depth = np.zeros(self.size), np.ones((len(query), self.size), dtype=kind), 0, self.first
+        known, unseen, done, depth = np.zeros(self.size, dtype=whole), np.ones((len(query), self.size), dtype=kind), 0, self.first
         while True:
             stop = min(self.size, int(np.ceil(depth * self.size)))
             for row, (o, v) in zip(unseen, lists, strict=True):
@@ -51,13 +58,12 @@ class Lists:
                 break
             last = np.array([v[done - 1] for _, v in lists], dtype=kind)
             lower = known + least @ unseen
-            bar = np.partition(lower, -k)[-k] if self.size > k else -np.inf
-            candidates = np.flatnonzero(known + last @ unseen >= bar)
+            candidates = np.flatnonzero(known + last @ unseen >= np.partition(lower, -k)[-k]) if self.size > k else np.arange(self.size)
             if len(candidates) <= 8 * k:
                 break
             depth = 1 - (1 - depth) * STILL if self.size * (1 - depth) > 8 else 1.0
         self.first = max(FIRST, 1 - (1 - depth) / STILL * 1.1)
-        scores = self.points[candidates] @ query  # resolves the scores of those left
+        scores = points[candidates] @ query  # resolves the scores of those left
         if len(candidates) > k:
             kept = scores >= np.partition(scores, -k)[-k]
             candidates, scores = candidates[kept], scores[kept]
@@ -69,7 +75,7 @@ def search(vectors: DataFrame, is_query: Column, *, scale: int = 256, id_col: st
 
     Components are ``floor(scale * x)``. ``is_query`` is a condition on ``id``. See vectors.usable() for rows that take no part; zero vectors do.
     Equal vectors are one entry; repeated rows of an id and vector count once. Ties go to the smaller id; with too few candidates all are returned; an empty table gives no
-    rows. The stated queries meet all vectors block by block. Products beyond 2**53 would lose exactness and raise an error.
+    rows. The stated queries meet all vectors block by block. Scores are exact for all finite components; one that 64 bits can't hold is an error, as ``score`` is a long.
     """
     rows = usable(vectors, id_col, vec_col, nonzero=False)
     rows = rows.select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("long")).alias("vec"))
@@ -89,12 +95,9 @@ def search(vectors: DataFrame, is_query: Column, *, scale: int = 256, id_col: st
     def meet(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(here) and len(there):
-            keys, lists = here["key"].to_numpy(), Lists(np.stack(here["vec"].to_numpy()).astype(np.float64))
+            keys, lists = here["key"].to_numpy(), Lists(np.stack(here["vec"].to_numpy()))
             for key, vec in zip(there["query"], there["asked"], strict=True):
-                query = np.asarray(vec, dtype=np.float64)
-                if np.abs(query).sum() * np.abs(lists.points).max() >= 2**53:
-                    raise OverflowError("inner products don't fit into 53 bits")
-                at, scores, _ = lists.top(query, k + 1)
+                at, scores, _ = lists.top(np.asarray(vec), k + 1)
                 out.append(pd.DataFrame({"query": key, "key": keys[at], "score": scores.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []}).astype("int64")
 

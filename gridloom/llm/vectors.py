@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
 
@@ -34,7 +35,8 @@ def merged(vectors: DataFrame, is_query: Column, least: int, name: str) -> tuple
     """
     near = vectors.withColumn("n", F.dense_rank().over(W.partitionBy("vec").orderBy("id"))).where(F.col("n") <= least)
     entries = written(near.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("key"), "vec", "ids"), name)
-    queries = written(vectors.where(is_query).distinct().join(entries.select("vec", "key"), "vec").select("id", "key"), f"{name}-queries")
+    asked = written(vectors.where(is_query).distinct(), f"{name}-asked")
+    queries = written(join_to_unique(asked, entries.select("vec", "key"), "vec").select("id", "key"), f"{name}-queries")
     return entries, queries
 
 

@@ -24,8 +24,8 @@ from gridloom.session import written
 
 #: Entries and query entries that meet in one task call at most, about; both are split by hash beyond.
 BLOCK, QUERY_BLOCK = 8192, 4096
-#: Queries multiplied at once.
-STRIP = 256
+#: Queries multiplied at once, and queries whose cells one task looks for.
+STRIP, VISITS = 256, 128
 #: Shares of the entries that are tried for the wanted recall.
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 1.0)
 
@@ -58,19 +58,19 @@ class Codebooks:
         half = self.first.shape[1]
         return nearest(points[:, :half], self.first), nearest(points[:, half:], self.second)
 
-    def visit(self, query: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
-        """A boolean matrix of the cells taken, by ascending sum of distances, until they hold ``wanted`` entries."""
+    def visit(self, query: np.ndarray, sizes: list[list[int]], wanted: float) -> np.ndarray:
+        """A boolean matrix of the cells taken, by ascending sum of distances, until they hold ``wanted`` entries; ``sizes`` are the cells' entries."""
         half = self.first.shape[1]
         a, b = -(self.first @ query[:half]), -(self.second @ query[half:])
         at_a, at_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        a, b, size = a[at_a].tolist(), b[at_b].tolist(), sizes[at_a][:, at_b].tolist()
-        pairs, taken = [], np.zeros(sizes.shape, dtype=bool)
+        a, b, rows, columns = a[at_a].tolist(), b[at_b].tolist(), at_a.tolist(), at_b.tolist()
+        pairs, taken = [], np.zeros((len(a), len(b)), dtype=bool)
         heap, reached = [(a[0] + b[0], 0, 0)], [0] * len(a)  # reached: next column of each row
         while heap and wanted > 0:
             _, i, j = heapq.heappop(heap)
-            if size[i][j]:
+            if size := sizes[rows[i]][columns[j]]:
                 pairs.append((i, j))
-                wanted -= size[i][j]
+                wanted -= size
             reached[i] = j + 1
             if j + 1 < len(b) and (i == 0 or reached[i - 1] > j + 1):
                 heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
@@ -88,7 +88,7 @@ def fit(sample: np.ndarray, n: int, recall: float, k: int, seed: int, probes: in
     Among the sample's entries a query's nearest are farther than among all, so the measured recall errs to the low side.
     """
     rng, half = np.random.default_rng(seed), max(1, sample.shape[1] // 2)
-    codes = int(min(1024, max(1, len(sample) // 16), max(4, 2 ** round(math.log2(4 * n**0.25)))))
+    codes = int(min(1024, max(1, len(sample) // 16), max(4, 2 ** round(math.log2(8 * n**0.25)))))
     books = Codebooks(kmeans(sample[:, :half], codes, rng), kmeans(sample[:, half:], codes, rng))
     i, j = books.cells(sample)
     sizes = np.zeros((codes, len(books.second)), dtype=np.int64)
@@ -96,25 +96,29 @@ def fit(sample: np.ndarray, n: int, recall: float, k: int, seed: int, probes: in
     chosen = rng.permutation(len(sample))[:probes]
     scores = sample[chosen] @ sample.T
     near = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+    held = sizes.tolist()
     for share in SHARES:
-        hits = [books.visit(sample[q], sizes, share * len(sample))[i[x], j[x]].mean() for q, x in zip(chosen, near, strict=True)]
+        hits = [books.visit(sample[q], held, share * len(sample))[i[x], j[x]].mean() for q, x in zip(chosen, near, strict=True)]
         if np.mean(hits) >= recall:
             break
     return books, share
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, sample_bytes: int = 64 << 20, seed: int = 11) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (double): the ``k`` nearest found of each query row, itself left out.
 
     ``is_query`` is a condition on ``id``. See vectors.usable() for rows that take no part. Equal vectors are one entry; repeated
     rows of an id and vector count once. Ties go to the smaller id; with too few candidates all are returned; an empty table gives no rows.
+    Codebooks are fitted on ``sample_rows`` entries at most, and fewer of very long vectors: ``sample_bytes`` at most reach the driver.
     """
     spark = vectors.sparkSession
     entries, queries = merged(usable(vectors, id_col, vec_col, nonzero=True), is_query, k + 1, "index-entries")
     n = entries.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r["vec"] for r in entries.orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("vec").collect()])
+    width = len(entries.select("vec").first()["vec"])
+    drawn = entries.orderBy(F.xxhash64("key"), "key").limit(max(1, min(sample_rows, sample_bytes // (8 * width)))).select("vec").toArrow()
+    sample = drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, width)
     books, share = fit(sample, n, recall, k, seed)
     shared, codes = spark.sparkContext.broadcast(books), (len(books.first), len(books.second))
 
@@ -129,15 +133,16 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     sizes = np.zeros(codes, dtype=np.int64)
     for r in index.groupBy("i", "j").count().collect():  # as many rows as cells
         sizes[r["i"], r["j"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes.sum(axis=1) // BLOCK)).tolist()
+    blocks, held = np.maximum(1, -(-sizes.sum(axis=1) // BLOCK)).tolist(), sizes.tolist()
     asked = index.join(queries.select("key").distinct(), "key", "left_semi").select("key", "vec")
-    query_blocks = max(1, -(-queries.select("key").distinct().count() // QUERY_BLOCK))
+    n_asked = queries.select("key").distinct().count()
+    query_blocks = max(1, -(-n_asked // QUERY_BLOCK))
     every = F.array(*[F.lit(int(b)) for b in blocks])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                taken = shared.value.visit(np.frombuffer(vec), sizes, share * n)
+                taken = shared.value.visit(np.frombuffer(vec), held, share * n)
                 rows = np.flatnonzero(taken.any(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key)), pa.array(rows.astype(np.int32)), pa.array([vec] * len(rows), type=pa.binary()), pa.array([np.packbits(taken[r]).tobytes() for r in rows], type=pa.binary())], names=["query", "i", "vec", "cells"])
 
@@ -146,7 +151,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
 
     of_cell = F.element_at(every, F.col("i") + 1)
     left = index.withColumn("block", salt("key", of_cell)).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.repartition("key").mapInArrow(visits, "query long, i int, vec binary, cells binary")
+    right = asked.repartition(max(1, -(-n_asked // VISITS)), "key").mapInArrow(visits, "query long, i int, vec binary, cells binary")
     right = right.withColumn("query_block", salt("query", query_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
 
     def meet(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:

@@ -64,9 +64,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     leaves = ids.alias("a").join(hops[0].alias("b"), _same_tree("a", "b") & (F.col("a.node") == F.col("b.above")), "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(hops) - 1)):
-        higher = found.alias("a").join(hops[k].alias("b"), _same_tree("a", "b") & (F.col("a.node") == F.col("b.node")))
-        found = found.union(higher.select("a.tree", "leaf", "b.above", (F.col("up") + (1 << k)).alias("up")))
-        if k % 4 == 3:
+        higher = found.alias("a").join(hops[k].alias("b"), _same_tree("a", "b") & (F.col("a.node") == F.col("b.node")), "left")
+        own = F.struct(F.col("a.node").alias("node"), F.col("up").alias("up"))
+        beyond = F.when(F.col("b.above").isNotNull(), F.struct(F.col("b.above").alias("node"), (F.col("up") + (1 << k)).alias("up")))
+        found = higher.select("a.tree", "leaf", F.inline(F.array_compact(F.array(own, beyond))))
+        if k % 8 == 7:
             found = written(found, "reply-paths")
     return found
 
@@ -78,21 +80,22 @@ def format_trees(
 
     A branch's score is the sum of its messages' scores (null, or no ``score_col``: 0); the ``branches`` best of a tree
     are kept, ties to the smaller leaf. Null roles and texts are empty. Messages with a null id are left out, of repeated
-    (tree, message) ids one stays: the least by parent, role and text. A null tree id is a tree of its own. An empty table gives
-    no rows. Other columns don't pass, so none can clash.
+    (tree, message) ids one stays: the least by parent, role and text. A null tree id is a tree of its own. Messages on or below a cycle of
+    replies are on no branch. Very long texts pass whole. An empty table gives no rows. Other columns don't pass, so none can clash.
     """
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
     rows = messages.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).alias("parent"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"), score.alias("score"))
     one = rows.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
     nodes = written(one.select("tree", "node", "m.*"), "reply-nodes")
-    steps = paths(nodes.select("tree", "node", "parent"))
-    whole = steps.alias("p").join(nodes.alias("n"), _same_tree("p", "n") & (F.col("p.node") == F.col("n.node"))).select("p.tree", "leaf", "up", "role", "text", "score")
-    if score_col:
-        ranked = whole.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
+    steps = written(paths(nodes.select("tree", "node", "parent")), "reply-steps")
+    if score_col:  # branches are ranked by ids and scores; texts are joined to the chosen ones alone
+        scored = steps.alias("p").join(nodes.select("tree", "node", "score").alias("n"), _same_tree("p", "n") & (F.col("p.node") == F.col("n.node")))
+        ranked = scored.groupBy("p.tree", "leaf").agg(F.sum("score").alias("branch_score"))
     else:
         ranked = steps.where("up = 0").select("tree", "leaf", F.lit(0.0).alias("branch_score"))
     ranked = ranked.withColumn("branch_rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))).where(F.col("branch_rank") <= branches)
-    chosen = whole.alias("p").join(ranked.alias("r"), _same_tree("p", "r") & (F.col("p.leaf") == F.col("r.leaf"))).select("p.tree", "p.leaf", "up", "role", "text", "branch_score", "branch_rank")
+    picked = steps.alias("p").join(ranked.alias("r"), _same_tree("p", "r") & (F.col("p.leaf") == F.col("r.leaf"))).select("p.tree", "p.leaf", "node", "up", "branch_score", "branch_rank")
+    chosen = picked.alias("p").join(nodes.alias("n"), _same_tree("p", "n") & (F.col("p.node") == F.col("n.node"))).select("p.tree", "leaf", "up", "role", "text", "branch_score", "branch_rank")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     pieces = chosen.withColumns({"head": F.char_length(head).cast("long"), "body": F.char_length(escape(F.col("text"))).cast("long"), "piece": F.concat(head, escape(F.col("text")), F.lit(END))})
     before = W.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(W.unboundedPreceding, -1)

@@ -79,16 +79,16 @@ def fill_cache(docs: DataFrame, model: bytes, cache_path: str, *, text_col: str
     spark, version = docs.sparkSession, version_digest(model)
     keyed = docs.select(F.unhex(F.sha2(content(text_col), 256)).alias("digest"), content(text_col).alias("text"))
     known = stored_counts(spark, cache_path, version)
+    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     if not known.isEmpty():
-        wanted = keyed.select("digest").distinct().join(known, "digest", "left_anti")
-        keyed = keyed.join(wanted, "digest", "left_semi")
-    encode_misses(keyed.groupBy("digest").agg(F.first("text").alias("text")), model).write.mode("append").parquet(f"{cache_path}/version={version}")
+        distinct = distinct.join(known.select("digest"), "digest", "left_anti")  # merged texts lie by digest already: only digests move, or few are sent to all
+    encode_misses(distinct, model).write.mode("append").parquet(f"{cache_path}/version={version}")
 
 
 def token_counts(docs: DataFrame, model: bytes, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8) and ``n_tokens`` for every row, through the cache at ``cache_path``.
 
-    Null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows stay; an empty table gives no rows. Other
+    Null text counts as empty: 0 bytes, 0 tokens. A very long text is encoded whole, alone. Null ids and repeated rows stay; an empty table gives no rows. Other
     columns of ``docs`` don't pass, so none can clash. ``cache_path`` must be in a store that all executors share.
     """
     fill_cache(docs, model, cache_path, text_col=text_col)

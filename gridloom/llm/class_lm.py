@@ -4,8 +4,8 @@
 starts after an end token. Classes: the end; ``classes`` classes that hold every word seen twice or more; and one for
 words seen once, which also holds all unseen words as one type. The ``exchange_words`` most frequent words move between
 the classes by exchange; then each other recurring word goes to the class that raises the bigram likelihood most, by
-its counts of neighbouring classes, gathered over all training tokens and merged by ranges of words on the executors. Every
-training token counts in all of this, whatever its class.
+its counts of neighbouring classes, gathered over all training tokens and merged by ranges of words on the executors, and
+moves on in the same way in distributed sweeps of exchange. Every training token counts in all of this, whatever its class.
 
 * Transitions: ``(n(a, b) + prior * P(b)) / (n(a) + prior)`` with ``P(b)`` smoothed by add-one over classes in use. A word seen
   once stands once for itself and once for unseen words (Good-Turing), in the rare class's column and row.
@@ -222,21 +222,25 @@ def exchange_classes(pairs: np.ndarray, exchange: int, classes: int, sweeps: int
     return label
 
 
-def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """``bucket`` and packed ``key``, ``code``, ``n`` of every word that is not an exchange word: how often it has a neighbour of a class.
+def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.ndarray, *, text_col: str = "text") -> DataFrame:
+    """``bucket`` and packed ``key``, ``code``, ``n`` of every word that is not among the ``fixed`` keys (sorted) nor the end: how often it has a neighbour of a class.
 
-    ``code`` is the class of the next token, or the number of classes and the class of the token before. Summed in each task by slices.
+    ``code`` is the class of the next token, or the number of classes and the class of the token before; the last code counts the word after itself. Summed in each task by slices.
     """
-    shared, n_classes = train.sparkSession.sparkContext.broadcast((hot, label)), int(label[-1]) + 1
-    buckets = max(16, hot.n_tokens // RANGE_TOKENS)
+    shared, n_classes = train.sparkSession.sparkContext.broadcast((hot, label, fixed)), int(label[-1]) + 1
+    buckets, codes = max(16, hot.n_tokens // RANGE_TOKENS), 2 * n_classes + 1
 
     def packed(keys: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-        klass, mine = shared.value[1][unit], unit > shared.value[0].exchange
+        klass, fixed = shared.value[1][unit], shared.value[2]
+        mine = keys != END_KEY
+        if len(fixed):
+            mine &= fixed[np.minimum(np.searchsorted(fixed, keys), len(fixed) - 1)] != keys
         after, before = np.append(klass[1:], 0), np.concatenate([[0], klass[:-1]])
-        word = np.concatenate([keys[mine], keys[mine]])
+        again = np.append(keys[1:] == keys[:-1], False) & mine
+        word = np.concatenate([keys[mine], keys[mine], keys[again]])
         words, at = np.unique(word, return_inverse=True)
-        pair, n = np.unique(at * (2 * n_classes) + np.concatenate([after[mine], n_classes + before[mine]]), return_counts=True)
-        found = words[pair // (2 * n_classes)]
+        pair, n = np.unique(at * codes + np.concatenate([after[mine], n_classes + before[mine], np.full(again.sum(), codes - 1)]), return_counts=True)
+        found = words[pair // codes]
         bucket = (found.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -245,7 +249,7 @@ def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, *, text_col:
             part = order[a:b]
             rows[0].append(int(bucket[order[a]]))
             rows[1].append(found[part].tobytes())
-            rows[2].append((pair[part] % (2 * n_classes)).astype(np.uint8 if n_classes < 128 else np.int32).tobytes())
+            rows[2].append((pair[part] % codes).astype(_code_type(n_classes)).tobytes())
             rows[3].append(n[part].astype(np.int32).tobytes())
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "key", "code", "n"])
@@ -266,17 +270,52 @@ def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, *, text_col:
     return train.select(text_col).mapInArrow(run, "bucket long, key binary, code binary, n binary")
 
 
-def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
-    """``key`` and ``klass`` (1 to ``classes``) of every word of neighbour_counts() seen twice or more: the class that raises the likelihood most.
+def _code_type(n_classes: int) -> type:
+    return np.uint8 if n_classes < 127 else np.int32
 
-    ``table`` has the counts of neighbouring classes before any of these words moves. A word weighs as in exchange_classes().
+
+def gains(table: np.ndarray, classes: int, now: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each of len(now) words the likelihood that it adds to each class from 1 to ``classes``, taken out of its class ``now`` first while all others stay.
+
+    ``table`` counts neighbouring classes with all words in their classes. Entries (``word``, ``code``, ``n``) are those of neighbour_counts(), sorted by word.
     """
-    size = len(table)
-    double = table.astype(float)
+    size, words = len(table), len(now)
     own = slice(1, classes + 1)
-    base = np.concatenate([double[own].T, double[:, own]])  # by code: counts of each class beside that neighbour
-    base_log, outs, ins = _xlogx(base), double.sum(axis=1)[own], double.sum(axis=0)[own]
-    code_type = np.uint8 if size < 128 else np.int32
+    alone = np.zeros(words)  # after itself
+    repeat = code == 2 * size
+    alone[word[repeat]] = n[repeat]
+    word, code, n = word[~repeat], code[~repeat], n[~repeat].astype(float)
+    ahead, klass = code < size, code % size
+    n -= np.where(klass == now[word], alone[word], 0)
+    beside = np.zeros((2, words, size))
+    beside[(~ahead).astype(int), word, klass] = n
+    r, q = beside
+    base = np.where(ahead[:, None], table[own][:, klass].T, table[klass][:, own])
+    at_home = klass == now[word]
+    base[at_home] -= beside[ahead[at_home].astype(int), word[at_home]][:, own]  # what the other side of the word leaves there
+    inside = (now[word] >= 1) & (now[word] <= classes)
+    e = np.flatnonzero(inside)
+    base[e, now[word[e]] - 1] -= n[e] + np.where(at_home[e], alone[word[e]], 0)
+    starts = np.searchsorted(word, np.arange(words))
+    terms = _xlogx(base + n[:, None]) - _xlogx(base)
+    sums = np.concatenate([np.zeros((1, classes)), np.cumsum(terms, axis=0)])
+    gain = sums[np.append(starts[1:], len(word))] - sums[starts]
+    home = np.zeros((words, size))
+    home[np.arange(words), now] = 1
+    home = home[:, own]
+    rk, qk, s = r[:, own], q[:, own], alone[:, None]
+    d = np.diag(table)[own] - home * (rk + qk + s)
+    gain += _xlogx(d + rk + qk + s) - _xlogx(d + rk) - _xlogx(d + qk) + _xlogx(d)
+    for total, times in ((table.sum(axis=1)[own], r.sum(axis=1)[:, None] + s), (table.sum(axis=0)[own], q.sum(axis=1)[:, None] + s)):
+        rest = total - home * times
+        gain -= _xlogx(rest + times) - _xlogx(rest)
+    return gain
+
+
+def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int, hot: Hot, label: np.ndarray) -> DataFrame:
+    """``key`` and ``klass`` (1 to ``classes``) of every word of neighbour_counts() seen twice or more: the class that raises the likelihood most, by gains(); the one it has stays unless another is better."""
+    double, size, code_type = table.astype(float), len(table), _code_type(len(table))
+    shared = neighbours.sparkSession.sparkContext.broadcast((hot, label))
 
     def run(group: pa.Table) -> pa.Table:
         parts = [np.concatenate([np.frombuffer(x, dtype=t) for x in group.column(c).to_pylist()]) for c, t in (("key", np.int64), ("code", code_type), ("n", np.int32))]
@@ -286,22 +325,16 @@ def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> Data
         key, code, n = key[first], code[first].astype(np.int64), np.add.reduceat(n.astype(np.int64), first)
         starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
         times = np.add.reduceat(np.where(code < size, n, 0), starts)
+        now = shared.value[1][shared.value[0].units_of(key[starts])[1]]
         best = np.empty(len(starts), dtype=np.int32)
         w = 0
         while w < len(starts):
             v = max(w + 1, int(np.searchsorted(starts, starts[w] + WEIGHED)))
             a, b = starts[w], starts[v] if v < len(starts) else len(key)
-            gain = np.add.reduceat(_xlogx(base[code[a:b]] + n[a:b, None]) - base_log[code[a:b]], starts[w:v] - a, axis=0)
-            beside = np.zeros((2, v - w, classes + 1))  # of its own class both before and after
-            row = np.repeat(np.arange(v - w), np.diff(np.append(starts[w:v], b)))
-            near = (code[a:b] % size > 0) & (code[a:b] % size <= classes)
-            beside[code[a:b][near] // size, row[near], code[a:b][near] % size] = n[a:b][near]
-            r, q = beside[:, :, 1:]
-            at = np.nonzero((r > 0) & (q > 0))
-            d = double[1 + at[1], 1 + at[1]]
-            gain[at] += _xlogx(d + r[at] + q[at]) - _xlogx(d + r[at]) - _xlogx(d + q[at]) + _xlogx(d)
-            for total in (outs, ins):
-                gain -= _xlogx(total + times[w:v, None]) - _xlogx(total)
+            gain = gains(double, classes, now[w:v], np.repeat(np.arange(v - w), np.diff(np.append(starts[w:v], b))), code[a:b], n[a:b])
+            stays = (now[w:v] >= 1) & (now[w:v] <= classes)
+            here = np.flatnonzero(stays)
+            gain[here, now[w:v][here] - 1] += 1e-9
             best[w:v] = gain.argmax(axis=1) + 1
             w = v
         more = times > 1
@@ -310,6 +343,26 @@ def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> Data
     return neighbours.groupBy("bucket").applyInArrow(run, "key long, klass int")
 
 
+def token_pairs(train: DataFrame, hot: Hot, size: int, *, text_col: str = "text") -> np.ndarray:
+    """Counts of neighbouring classes over all training tokens, where the frequent words' units are their classes and all other words are of the last one."""
+    shared = train.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            for keys, _ in tokens(batch.column(0)):
+                at = shared.value.find(keys)
+                klass = np.where(keys == END_KEY, 0, np.where(at >= 0, shared.value.units[at] if len(shared.value.units) else 0, size - 1))
+                total += np.bincount(np.concatenate([[0], klass[:-1]]) * size + klass, minlength=size * size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    out = np.zeros(size * size)
+    for pair, n in train.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        out[pair] = n
+    return out.reshape(size, size)
+
+
 @dataclass
 class Known:
     """What is known of words before transitions: the frequent words (their units are classes), tokens by class, and the part of words seen once that stands for unseen ones."""
@@ -450,25 +503,42 @@ def class_pairs(rows: DataFrame, rare: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 20, sweeps: int = 10) -> tuple[Known, DataFrame]:
-    """What is known of the training words, and the written lexicon of all of them: ``key``, ``n`` and ``klass``."""
-    counts = written(word_counts(train, text_col=text_col), "word-counts")
-    hot = hot_words(counts, hot_limit, exchange_words)
-    pairs = unit_pairs(train, hot, text_col=text_col)
-    label = np.minimum(exchange_classes(pairs, exchange_words, classes, sweeps), classes + 1)  # all other words: one class until they have theirs
-    member = np.zeros((len(label), classes + 2))
-    member[np.arange(len(label)), label] = 1
-    rare = classes + 1
-    assigned = best_classes(neighbour_counts(train, hot, label, text_col=text_col), member.T @ pairs @ member, classes)
-    moved = hot.units <= exchange_words
-    seeds = train.sparkSession.createDataFrame(pa.table({"key": pa.array(hot.keys[moved]), "seed": pa.array(label[hot.units[moved]].astype(np.int32))}))
-    kept = counts.join(assigned, "key", "left").join(F.broadcast(seeds), "key", "left")
-    klass = F.when(F.col("key") == END_KEY, 0).otherwise(F.coalesce("seed", F.when(F.col("n") > 1, F.col("klass")), F.lit(rare)))
-    lexicon = written(kept.select("key", "n", klass.cast("int").alias("klass")), "lexicon")
+def _with_classes(hot: Hot, lexicon: DataFrame, rare: int) -> Hot:
+    """The frequent words with their classes in the lexicon as units."""
     units = np.empty(len(hot.keys), dtype=np.int32)
     if len(units):
         found = lexicon.where(F.col("n") >= int(hot.counts.min())).select("key", "klass").toArrow()
         units[np.searchsorted(hot.keys, found.column("key").to_numpy())] = found.column("klass").to_numpy()
+    return Hot(hot.keys, hot.counts, units, rare - 1 - OCTAVES, hot.n_tokens, hot.n_types, hot.n_once)  # words that aren't frequent: the class of rare ones
+
+
+def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 20, sweeps: int = 10, moves: int = 1) -> tuple[Known, DataFrame]:
+    """What is known of the training words, and the written lexicon of all of them: ``key``, ``n`` and ``klass``.
+
+    The ``exchange_words`` most frequent words are settled by ``sweeps`` of exchange in one process. Every other recurring word then takes its best class, and
+    may move again in ``moves`` distributed sweeps, in which all of them are weighed against the classes that the sweep began with.
+    """
+    counts = written(word_counts(train, text_col=text_col), "word-counts")
+    hot = hot_words(counts, hot_limit, exchange_words)
+    pairs = unit_pairs(train, hot, text_col=text_col)
+    rare = classes + 1
+    label = np.minimum(exchange_classes(pairs, exchange_words, classes, sweeps), rare)  # all other words: one class until they have theirs
+    member = np.zeros((len(label), rare + 1))
+    member[np.arange(len(label)), label] = 1
+    table = member.T @ pairs @ member
+    moved = (hot.units <= exchange_words) & (hot.units > 0)
+    fixed = hot.keys[moved]
+    seeds = train.sparkSession.createDataFrame(pa.table({"key": pa.array(fixed), "seed": pa.array(label[hot.units[moved]].astype(np.int32))}))
+    now, lexicon = hot, counts.withColumn("klass", F.lit(None).cast("int"))
+    for k in range(moves + 1):
+        assigned = best_classes(neighbour_counts(train, now, label, fixed, text_col=text_col), table, classes, now, label).withColumnRenamed("klass", "best")
+        kept = lexicon.join(assigned, "key", "left").join(F.broadcast(seeds), "key", "left")
+        klass = F.when(F.col("key") == END_KEY, 0).otherwise(F.coalesce("seed", F.when(F.col("n") > 1, F.coalesce("best", "klass")), F.lit(rare)))
+        lexicon = written(kept.select("key", "n", klass.cast("int").alias("klass")), "lexicon")
+        now = _with_classes(hot, lexicon, rare)
+        if k < moves:
+            label, table = np.arange(rare + 1), token_pairs(train, now, rare + 1, text_col=text_col)
+    hot, units = now, now.units
     in_class = np.zeros(rare + 1, dtype=np.int64)
     for k, n in lexicon.groupBy("klass").agg(F.sum("n")).collect():
         in_class[k] = n

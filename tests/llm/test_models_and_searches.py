@@ -51,6 +51,13 @@ def test_escaping_is_reversible(spark):
         assert all("<|" not in found.formatted[s.start : s.start + s.length] for s in found.loss_spans)
 
 
+def test_only_cycles_and_long_texts(spark):
+    assert chat_tree.format_trees(messages(spark, [(3, 1, 2, "user", "a", None, None, None), (3, 2, 1, "user", "b", None, None, None)])).collect() == []
+    long = "<|im_end|> word " * 100_000
+    (found,) = read(chat_tree.format_trees(messages(spark, [(1, 1, None, "user", long, None, None, None), (1, 2, 1, "assistant", long, None, None, None)]))).values()
+    assert [t.text for t in found.turns] == [long, long] and found.loss == [long]
+
+
 def test_deep_chain(spark):
     rows = [(1, k, k - 1 if k else None, "assistant", f"t{k}", None, None, None) for k in range(300)]
     (found,) = read(chat_tree.format_trees(messages(spark, rows))).values()
@@ -100,6 +107,27 @@ def test_exact_topk_equals_brute_force(spark, monkeypatch):
     assert exact_topk.search(frame.where("vec_id = 20"), F.col("id") % 10 == 0).collect() == []
 
 
+def test_exact_topk_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-300_000, 300_000, 64)]) for i in range(40)] + [(100, [3e5] * 64), (120, [0.0] * 64), (140, [2.0**44 + 1] * 2 + [0.0] * 62)]
+    quantised = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    frame = spark.createDataFrame([(i, v) for i, v in rows if i < 140], "vec_id long, embedding array<double>")
+    got = {}
+    for r in exact_topk.search(frame, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    score = lambda a, b: sum(x * y for x, y in zip(quantised[a], quantised[b], strict=True))
+    assert got == {q: sorted(((score(q, j), j) for j, _ in rows if j not in (q, 140)), key=lambda x: (-x[0], x[1]))[:5] for q in (0, 20, 100, 120)}
+    wide = exact_topk.Lists(np.array([quantised[140], quantised[100], quantised[3]], dtype=np.int64))
+    assert wide.top(np.array([1] * 64), 1)[1].tolist() == [2 * quantised[140][0]]
+    assert wide.top(np.array(quantised[140]), 1)[1].tolist() == [2 * quantised[140][0] ** 2]  # beyond 64 bits
+
+
+def test_commonest_length_takes_part(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in exact_topk.search(frame, F.col("id") % 20 == 0).collect()} == {(40, 1)}  # a tie of lengths: the longer
+    assert {(r.query_id, r.vec_id) for r in multi_index.search(frame, F.col("id") % 20 == 0).collect()} == {(40, 1)}
+
+
 def test_repeated_rows_inside_a_large_group_of_equal_vectors(spark):
     rows = [(i, [0.5, 0.25]) for i in range(40) for _ in range(25 if i == 0 else 2)] + [(100 + i, [0.01 * i, 0.2]) for i in range(30)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -145,7 +173,7 @@ def test_heap_visits_cells_in_order():
             if left > 0 and sizes[i, j]:
                 want[i, j] = True
                 left -= sizes[i, j]
-        assert (books.visit(query, sizes, wanted) == want).all()
+        assert (books.visit(query, sizes.tolist(), wanted) == want).all()
 
 
 def test_op5_recall(spark):
@@ -184,6 +212,41 @@ def test_classifier_edges(spark):
     assert nb_svm.score(docs.limit(0), nb_svm.fit(docs, labels.limit(0))).collect() == []
 
 
+def test_repeated_ids_and_bytes_bound_the_sample(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices(["good", "fine", "well"] if i % 2 else ["bad", "junk", "poor"], k=20))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = nb_svm.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_rows=100)
+    more = nb_svm.fit(spark.createDataFrame(rows * 3 + [(i, "zzz " + t) for i, t in rows], "doc_id long, text string").repartition(7), labels, max_rows=100)
+    assert all(np.array_equal(getattr(once, f), getattr(more, f)) for f in ("weights", "squares", "curve"))
+    few = nb_svm.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_bytes=1)
+    assert not few.weights.any() and few.score([np.array([1])])[0] == 0.5
+
+
+def test_ratios_and_weights_against_a_plain_fit():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 6) + (0 if i % 2 else 5)).astype(np.int32) for i in range(60)]
+    labels = np.arange(60) % 2
+    ratio = nb_svm.log_count_ratios(rows, labels)
+    for place in range(17):
+        p, q = (1 + sum(place in r for r, y in zip(rows, labels, strict=True) if y == c) for c in (1, 0))
+        if p + q > 2:
+            total = [nb_svm.PLACES + sum(len(r) for r, y in zip(rows, labels, strict=True) if y == c) for c in (1, 0)]
+            assert abs(ratio[place] - math.log(p / total[0] / (q / total[1]))) < 1e-9
+    values = [(ratio[r] / np.sqrt(ratio[r] @ ratio[r])).astype(np.float32) for r in rows]
+    w, bias = nb_svm.dual_coordinate_descent(rows, values, labels, 1.0, 2000, 7)
+    x, y = np.zeros((60, 18)), np.where(labels == 1, 1.0, -1.0)
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, r] = v
+    x[:, 17] = 1
+    primal = lambda u: 0.5 * u @ u + np.maximum(0, 1 - y * (x @ u)).sum()
+    found, best, u = np.append(w[:17], bias), np.inf, np.zeros(18)
+    for t in range(1, 20_001):  # subgradient steps on the same objective
+        u -= (u - (y * (y * (x @ u) < 1)) @ x) / (t + 10)
+        best = min(best, primal(u))
+    assert primal(found) <= 1.01 * best  # epochs end once no gradient exceeds 0.01
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 12) + (0 if i % 2 else 25)).astype(np.int32) for i in range(200)]
@@ -284,6 +347,56 @@ def test_exchange_raises_likelihood():
     assert label[0] == 0 and len({(g, k) for g, k in zip(groups, label[1:31], strict=True)}) == 3  # finds the groups
 
 
+def likelihood(text, of):
+    """Bigram log likelihood of classes, up to what no move changes."""
+    pairs, left, right = Counter(), Counter(), Counter()
+    before = 0
+    for w in text:
+        k = 0 if w == "." else of[w]
+        pairs[before, k] += 1
+        left[before] += 1
+        right[k] += 1
+        before = k
+    return sum(n * math.log(n) for n in pairs.values()) - sum(n * math.log(n) for c in (left, right) for n in c.values())
+
+
+def test_gains_equal_a_single_process():
+    rnd = random.Random(7)
+    names = [f"w{i}" for i in range(12)]
+    text = [rnd.choice([*names, "."]) for _ in range(900)] + ["w1"] * 9 + ["w2", "w2", "."]
+    classes, of = 4, {w: 1 + i % 5 for i, w in enumerate(names)}  # 5: a class that no word may choose
+    size = classes + 2
+    k = np.array([0] + [0 if w == "." else of[w] for w in text])
+    table = np.zeros((size, size))
+    np.add.at(table, (k[:-1], k[1:]), 1)
+    rows = Counter()
+    for i, w in enumerate(text):
+        if w != ".":
+            rows[names.index(w), int(k[i + 2]) if i + 2 < len(k) else 0] += 1
+            rows[names.index(w), size + int(k[i])] += 1
+            if i + 1 < len(text) and text[i + 1] == w:
+                rows[names.index(w), 2 * size] += 1
+    entries = np.array([(w, c, n) for (w, c), n in sorted(rows.items())])
+    gain = class_lm.gains(table, classes, np.array([of[w] for w in names]), *entries.T)
+    for i, w in enumerate(names):
+        moved = np.array([likelihood(text, of | {w: c}) for c in range(1, classes + 1)])
+        assert np.allclose(gain[i] - gain[i][0], moved - moved[0], atol=1e-6), w
+
+
+def test_a_sweep_moves_words_to_better_classes(spark):
+    rnd = random.Random(4)
+    kinds = [[f"{c}{i}" for i in range(25)] for c in "abcd"]
+    texts = [" ".join(rnd.choice(kinds[k % 4]) for k in range(rnd.randint(4, 14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [w for t in texts for w in (*t.split(), ".")]
+    scores = []
+    for moves in (0, 1, 2):
+        _, lexicon = class_lm.word_classes(docs, exchange_words=4, classes=6, sweeps=1, moves=moves)
+        klass = {r.key: r.klass for r in lexicon.collect()}
+        scores.append(likelihood(words, {w: klass[int(class_lm._keys([w.encode()])[0])] for w in set(words) - {"."}}))
+    assert scores[1] >= scores[0] and scores[2] >= scores[0]
+
+
 @pytest.mark.parametrize("hot", [8, 1 << 18])
 def test_every_recurring_word_has_the_class_of_its_neighbours(spark, monkeypatch, hot):
     monkeypatch.setattr(class_lm, "RANGE_TOKENS", 50)
@@ -304,8 +417,7 @@ def test_class_model_beats_unigrams_on_held_out(spark):
     assert rows[0] > rows[1]
 
 
-def test_mixing_budgets_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE", 4)
+def test_mixing_budgets_and_blocks(spark):
     rnd = random.Random(6)
     rows = [(i, "big" if i % 2 else rnd.choice(["s1", "s2", None, ""]), " ".join(["w"] * rnd.randint(0, 40)), "x") for i in range(400)] + [(None, "s1", None, "x"), (7, "big", "w w", "x"), (7, "big", "w w", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_block string")
@@ -338,6 +450,51 @@ def test_mixing_budgets_and_blocks(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def brute_mix(rows, exponent, weights, tokens, block_tokens):
+    """Showings by one pass over each source's rows (row key, order by pass, tokens) in order: key, pass and block."""
+    out, blocks = Counter(), max(1, math.ceil(tokens / block_tokens))
+    for source, own in rows.items():
+        total, budget = sum(n for _, _, n in own), round(weights[source] * tokens)
+        start, k = 0, 0
+        while start < budget:
+            for key, order, n in sorted(own, key=lambda r: (r[1][k], r[0])):
+                if start < budget:
+                    out[key, k, int(start / budget * blocks)] += 1
+                start += n
+            k += 1
+    return out
+
+
+def test_mixing_layout_equals_one_pass(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", "b", "b", "b", "c"]), " ".join(["w"] * rnd.randint(0, 60)) + f" {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix(docs, max_passes=1.5, block_tokens=700).collect()
+    weights, exponent = {r.source: r.mix_weight for r in found}, found[0].mix_exponent
+    orders = {}
+    for k in range(3):  # the order that the operator draws: a hash of pass, source, id and text
+        drawn = F.xxhash64(F.lit(k), F.xxhash64(F.lit(5), "source", F.xxhash64("doc_id", "text")))
+        for r in docs.select("doc_id", drawn.alias("o")).collect():
+            orders.setdefault(r.doc_id, []).append(r.o % (1 << 64))  # unsigned, as ranges are
+    by_source: dict[str, list] = {}
+    for i, s, t in rows:
+        by_source.setdefault(s, []).append((i, [o for o in orders[i]], len(t.split()) + 1))
+    total = sum(n for own in by_source.values() for _, _, n in own)
+    tokens = max(sum(n for _, _, n in own) / weights[s] for s, own in by_source.items())
+    assert abs(sum(weights.values()) - 1) < 1e-9 and tokens <= 1.5 * total
+    got = Counter((r.doc_id, r.mix_pass, r.mix_block) for r in found)
+    signed = {s: [(i, [o - (1 << 64) if o >> 63 else o for o in os], n) for i, os, n in own] for s, own in by_source.items()}
+    bits = (max(map(len, by_source.values())).bit_length() + 1) // 2
+    ranged = {s: [(i, [((o % (1 << 64)) >> (64 - bits), o) for o in os], n) for i, os, n in own] for s, own in signed.items()}
+    assert got == brute_mix(ranged, exponent, weights, tokens, 700)
+
+
+def test_mixing_tells_null_ids_apart(spark):
+    docs = spark.createDataFrame([(None, "s", "same")] * 300 + [(i, "s", f"t {i}") for i in range(100)], "doc_id long, source string, text string")
+    found = mixing.mix(docs, max_passes=1.0).collect()
+    assert len(found) == 400 and len({r.mix_order for r in found}) == 400
+
+
 def test_mixing_meets_entropy(spark):
     docs = spark.createDataFrame([(i, f"s{min(i // 50, 2)}", "w " * 9) for i in range(400)], "doc_id long, source string, text string")
     found = mixing.mix(docs, entropy=0.9, max_passes=None).select("source", "mix_weight").distinct().collect()

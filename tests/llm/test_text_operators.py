@@ -213,6 +213,28 @@ def test_simhash_links_lose_none(spark, monkeypatch, pairwise):
     assert {x: root(x) for x in prints} == want
 
 
+@pytest.mark.parametrize("pairwise", [256, 2])
+def test_tally_retains_and_verifies(monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    fps = np.array([0, 1, 3, 0x0100, 0x0F0F, 0x0103, 0x010101], dtype=np.uint64)
+    assert simhash.tally(fps[:1], fps).tolist() == [8, 7, 7, 7, 6, 6, 5]
+    counts = Counter()
+    simhash.star(np.sort(fps), 2, counts)
+    pairs = [(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :]]
+    shared = [sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8)) for a, b in pairs]
+    near = sum((a ^ b).bit_count() <= 2 for a, b in pairs)
+    assert counts["verified"] == near and counts["candidates"] >= counts["retained"] >= near
+    if pairwise == 256:
+        assert counts["candidates"] == len(pairs) and counts["retained"] == sum(n >= 6 for n in shared) < len(pairs)
+
+
+def test_frequent_fingerprint_stays_spread(spark):
+    rows = [(i, "the same text everywhere here") for i in range(3000)] + [(3000 + i, f"a text of its own {i} {i * 7}") for i in range(300)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert found.count() == 3300 and max(r["count"] for r in sizes) < 3000 and {r.component_id for r in found.where("doc_id < 3000").collect()} == {0}
+
+
 def test_star_of_long_list_equals_pairs(monkeypatch):
     rnd = np.random.default_rng(2)
     fps = np.unique(rnd.choice(1 << 16, size=700, replace=False).astype(np.uint64) | np.uint64(1 << 40))

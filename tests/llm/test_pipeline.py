@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from gridloom.llm import queries
+from gridloom.llm import mixing, queries
 from gridloom.session import table, written
 
 from .test_text_operators import brute_components, brute_lines, brute_simhash
@@ -27,13 +27,26 @@ def test_stages_against_brute_force(spark, sf_dir):
         least[group[f]] = min(least.get(group[f], i), i)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
     mixed = written(mix(spark, kept, sf_dir), "t4")
-    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == set(least.values())
+    assert mixed.columns == [*docs.columns, *corpus_pipeline.LAYOUT]
+    shown = mixed.collect()
+    assert Counter(map(tuple, mixed.where("mix_pass = 0").select(*docs.columns).collect())) == Counter(map(tuple, kept.select(*docs.columns).collect()))  # each once, whole
+    places = [(r.doc_id, r.mix_pass) for r in shown]
+    assert len(set(places)) == len(places) and all((i, k - 1) in set(places) for i, k in places if k)
+    wanted = mixing.mix(kept, max_passes=1.5).select("doc_id", *corpus_pipeline.LAYOUT).collect()
+    assert Counter(map(tuple, wanted)) == Counter((r.doc_id, r.mix_pass, r.mix_block, r.mix_order) for r in shown)
     final = encode(spark, mixed, sf_dir).collect()
-    assert len(final) == mixed.count() and all(r.decodes and r.n_tokens == len(r.ids) for r in final)
+    assert Counter((r.doc_id, r.mix_pass, r.mix_block, r.mix_order) for r in final) == Counter(map(tuple, wanted))
+    assert all(r.decodes and r.n_tokens == len(r.ids) for r in final)
 
 
 def test_run(spark, sf_dir):
-    assert set(corpus_pipeline.run(spark, sf_dir).columns) == {"doc_id", "lang", "source", "n_tokens", "ids", "decodes"}
+    assert set(corpus_pipeline.run(spark, sf_dir).columns) == {"doc_id", "lang", "source", *corpus_pipeline.LAYOUT, "n_tokens", "ids", "decodes"}
+
+
+def test_near_duplicates_by_row(spark, sf_dir):
+    same, other = "a text of several words that two rows share", "quite another text with words of its own"
+    docs = spark.createDataFrame([(1, same), (2, same), (2, other), (5, "one more text that stands alone here"), (5, "one more text that stands alone here"), (None, same), (None, None)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == Counter([(1, same), (2, other), (5, "one more text that stands alone here"), (None, same), (None, None)])
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
@@ -44,7 +57,8 @@ def test_stages_on_odd_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES[1:-1]:
             out = written(stage(spark, docs, sf_dir), "odd")
             gone = {2} if name == "SimHash near-dedup" else set()  # as empty as the first
-            assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - gone
+            added = [c for c in corpus_pipeline.LAYOUT if name == "mixing" and c not in docs.columns]
+            assert out.columns == [*docs.columns, *added] and {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - gone
         kept = written(corpus_pipeline.classify(spark, docs, sf_dir), "odd")
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {r.doc_id for r in docs.collect()}
         assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(own)

@@ -35,20 +35,19 @@ def flood(scenes: DataFrame, cells: DataFrame, *, speckle: Offsets, zone: Offset
     permanent = F.col("occurrence") > K.FLOOD_PERMANENT_OCCURRENCE
     flat = F.col("slope") <= K.FLOOD_MAX_SLOPE_DEG
     median = written(scenes.groupBy("win", "r", "c").agg(F.median("vv").alias("vv")), "flood-median")
-    around = rasters.spread(median, speckle, ["win", F.col("vv").alias("near")]).groupBy("win", "r", "c").agg(F.median("near").alias("vv"))
-    clean = written(median.select("win", "r", "c").join(around, ["win", "r", "c"]), "flood-clean")
-    known = rasters.focal(ground.withColumn("water", (F.col("occurrence") > K.FLOOD_ZONE_OCCURRENCE).cast("int")), "water", zone, F.max, "known")
+    clean = written(rasters.focal(median, "vv", speckle, "median", "vv", by=["win"]), "flood-clean")
+    known = rasters.focal(ground.withColumn("water", (F.col("occurrence") > K.FLOOD_ZONE_OCCURRENCE).cast("int")), "water", zone, "max", "known")
     sampled = clean.join(ground.where(flat).join(known.where("known = 1"), ["r", "c"]).select("r", "c"), ["r", "c"], "left_semi")
     found = rasters.otsu(rasters.histogram(sampled, "vv", buckets, by=["win"]), ["win"])
     counts = scenes.groupBy("win").agg(F.count("*").alias("scenes"))
     limits = written(counts.join(found, "win", "left").select("win", "scenes", rasters.guarded(F.col("threshold"), K.FLOOD_FALLBACK_DB, *K.FLOOD_RANGE_DB).alias("db")), "flood-limits")
-    history = rasters.focal(ground.withColumn("other", F.when(permanent, 0.0).otherwise(F.col("occurrence") / 100)), "other", smooth, F.avg, "history")
+    history = rasters.focal(ground.withColumn("other", F.when(permanent, 0.0).otherwise(F.col("occurrence") / 100)), "other", smooth, "mean", "history")
     if limits.isEmpty():
         raw = history.select("r", "c", F.col("history").alias("flood"))
     else:
         seen = clean.join(limits.select("win", "db"), "win").join(ground, ["r", "c"])
         wet = seen.groupBy("r", "c").agg(F.avg(((F.col("vv") < F.col("db")) & flat & ~permanent).cast("double")).alias("share"))
-        shares = rasters.focal(ground.select("r", "c").join(wet, ["r", "c"], "left"), "share", smooth, F.avg, "sar")
+        shares = rasters.focal(ground.select("r", "c").join(wet, ["r", "c"], "left"), "share", smooth, "mean", "sar")
         raw = shares.join(history, ["r", "c"]).select("r", "c", (F.col("sar") * K.FLOOD_PARTS[0] + F.col("history") * K.FLOOD_PARTS[1]).alias("flood"))
     return Flood(rasters.normalise(raw, ["flood"]), limits)
 
@@ -58,7 +57,7 @@ def greenness(scenes: DataFrame, cells: DataFrame, gap: Offsets, fill: float = K
     clear = scenes.where(~F.col("scl").isin(*K.CLOUD_CLASSES))
     median = clear.groupBy("r", "c").agg(F.median(normalised_difference(F.col("b8"), F.col("b4"))).alias("own"))
     known = written(cells.select("r", "c").join(median, ["r", "c"], "left"), "ndvi")
-    near = rasters.focal(known, "own", gap, F.median, "near")
+    near = rasters.focal(known, "own", gap, "median", "near")
     return known.join(near, ["r", "c"]).select("r", "c", F.coalesce("own", "near", F.lit(fill)).alias("ndvi"))
 
 

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.cells import dequantise, rescale
 from gridloom.operators.quantiles import quantiles
 from gridloom.session import written
 
 
+#: Rows and columns of a tile, the unit of work of windows.
+TILE = 256
+
+
 def bounds(cells: DataFrame, bands: Sequence[str], winsor: float | None = 0.99) -> DataFrame:
     """One row: ``<band>_lo`` and ``<band>_hi`` of each band. ``cells`` should be a written table: it is read more than once.
 
@@ -64,10 +73,60 @@ def spread(cells: DataFrame, offsets: Sequence[tuple[int, int]], columns: Sequen
     return moved.select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), *columns, *([F.col("o.weight").alias("weight")] if weights else []))
 
 
-def focal(cells: DataFrame, value: str, offsets: Sequence[tuple[int, int]], aggregate=F.avg, out: str = "value") -> DataFrame:
-    """An aggregate over each cell's window, for the cells that are there; null and missing neighbours don't count."""
-    around = spread(cells.where(F.col(value).isNotNull()), offsets, [F.col(value).alias("__v")]).groupBy("r", "c").agg(aggregate("__v").alias(out))
-    return cells.select("r", "c").join(around, ["r", "c"], "left")
+def _windowed(cells: DataFrame, value: str, halo: int, outs: Sequence[str], run: Callable[[np.ndarray], list[np.ndarray]], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``r``, ``c`` and ``outs`` of each cell from the square around its tile: ``run`` gets a tile's values with ``halo`` cells on each side (NaN where there is none) and returns arrays of the tile.
+
+    A cell goes to its tile and to those whose halo it lies in, about 1.1 copies in all, whatever the size of the window.
+    """
+
+    def reached(axis: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(axis) - halo) / TILE).cast("long"), F.floor((F.col(axis) + halo) / TILE).cast("long")))
+
+    copies = cells.select(*by, "r", "c", F.col(value).cast("double").alias("v")).withColumn("tr", reached("r")).withColumn("tc", reached("c"))
+    side = TILE + 2 * halo
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = (frame[x].to_numpy() - frame[f"t{x}"].to_numpy() * TILE for x in "rc")
+        grid = np.full((side, side), np.nan)
+        grid[r + halo, c + halo] = frame["v"].to_numpy(dtype=float)
+        own = (r >= 0) & (r < TILE) & (c >= 0) & (c < TILE)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # windows without any value
+            found = run(grid)
+        return frame.loc[own, [*by, "r", "c"]].assign(**{name: x[r[own], c[own]] for name, x in zip(outs, found, strict=True)})
+
+    fields = [*(cells.schema[x] for x in by), T.StructField("r", T.LongType()), T.StructField("c", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in outs)]
+    return copies.withColumns({"r": F.col("r").cast("long"), "c": F.col("c").cast("long")}).groupBy(*by, "tr", "tc").applyInPandas(tile, T.StructType(fields))
+
+
+def _shifted(grid: np.ndarray, halo: int, i: int, j: int) -> np.ndarray:
+    """The tile's neighbours at an offset."""
+    return grid[halo + i : halo + i + TILE, halo + j : halo + j + TILE]
+
+
+def _halo(offsets: Sequence[tuple[int, int]]) -> int:
+    return max((max(abs(i), abs(j)) for i, j in offsets), default=0)
+
+
+def focal(cells: DataFrame, value: str, offsets: Sequence[tuple[int, int]], how: str = "mean", out: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """The ``mean``, ``max`` or ``median`` of each cell's window, for the cells that are there (a grid for each value of ``by``); null and missing neighbours don't count, null without any."""
+    halo = _halo(offsets)
+
+    def run(grid: np.ndarray) -> list[np.ndarray]:
+        near = (_shifted(grid, halo, i, j) for i, j in offsets)
+        if how == "median":
+            return [np.nanmedian(np.stack(list(near)), axis=0)]
+        if how == "max":
+            return [functools.reduce(np.fmax, near)]
+        total, n = np.zeros((TILE, TILE)), np.zeros((TILE, TILE))
+        for x in near:
+            total += np.nan_to_num(x)
+            n += ~np.isnan(x)
+        return [np.where(n > 0, total / np.maximum(n, 1), np.nan)]
+
+    if how not in ("mean", "max", "median"):
+        raise ValueError(f"no window statistic {how}")
+    return _windowed(cells, value, halo, [out], run, by)
 
 
 def gaussian(radius: int, sigma: float) -> tuple[list[tuple[int, int]], list[float]]:
@@ -78,9 +137,19 @@ def gaussian(radius: int, sigma: float) -> tuple[list[tuple[int, int]], list[flo
 
 
 def density(cells: DataFrame, value: str, radius: int, sigma: float, out: str = "density") -> DataFrame:
-    """Kernel density: the weighted sum of values around each cell."""
+    """Kernel density: ``r``, ``c`` and the weighted sum of values around each cell; null without any."""
     offsets, weights = gaussian(radius, sigma)
-    return spread(cells.where(F.col(value).isNotNull()), offsets, [value], weights).groupBy("r", "c").agg(F.sum(F.col(value) * F.col("weight")).alias(out)).join(cells.select("r", "c"), ["r", "c"], "right")
+    halo = _halo(offsets)
+
+    def run(grid: np.ndarray) -> list[np.ndarray]:
+        total, seen = np.zeros((TILE, TILE)), np.zeros((TILE, TILE), dtype=bool)
+        for (i, j), w in zip(offsets, weights, strict=True):
+            x = _shifted(grid, halo, i, j)
+            total += np.nan_to_num(x) * w
+            seen |= ~np.isnan(x)
+        return [np.where(seen, total, np.nan)]
+
+    return _windowed(cells, value, halo, [out], run)
 
 
 def dilate(marked: DataFrame, steps: int = 2) -> DataFrame:
@@ -94,26 +163,27 @@ def downsample(cells: DataFrame, k: int, bands: Sequence[str]) -> DataFrame:
 
 
 def gradient(cells: DataFrame, value: str, step: float) -> DataFrame:
-    """``gr`` and ``gc``: central differences along rows and columns; a missing neighbour is replaced by the cell itself."""
-    v = F.col(value)
-    frames = {"gr": W.partitionBy("c").orderBy("r"), "gc": W.partitionBy("r").orderBy("c")}
-    out = {}
-    for name, w in frames.items():
-        axis = F.col("r" if name == "gr" else "c")
-        ahead = F.when(F.lead(axis).over(w) == axis + 1, F.lead(v).over(w))
-        behind = F.when(F.lag(axis).over(w) == axis - 1, F.lag(v).over(w))
-        span = F.when(ahead.isNotNull(), 1).otherwise(0) + F.when(behind.isNotNull(), 1).otherwise(0)
-        out[name] = F.coalesce(F.try_divide(F.coalesce(ahead, v) - F.coalesce(behind, v), span * step), F.lit(0.0))
-    return cells.withColumns(out)
+    """``r``, ``c``, ``gr`` and ``gc``: central differences along rows and columns; a missing neighbour is replaced by the cell itself, and without both there is no slope."""
+
+    def run(grid: np.ndarray) -> list[np.ndarray]:
+        own, out = _shifted(grid, 1, 0, 0), []
+        for i, j in ((1, 0), (0, 1)):
+            ahead, behind = _shifted(grid, 1, i, j), _shifted(grid, 1, -i, -j)
+            span = (~np.isnan(ahead)).astype(float) + ~np.isnan(behind)
+            rise = np.where(np.isnan(ahead), own, ahead) - np.where(np.isnan(behind), own, behind)
+            out.append(np.nan_to_num(np.where(span > 0, rise / np.maximum(span * step, 1e-300), 0.0)))
+        return out
+
+    return _windowed(cells, value, 1, ["gr", "gc"], run)
 
 
 def slope(cells: DataFrame, value: str, step: float) -> DataFrame:
-    """``slope`` in degrees from the gradient."""
+    """``r``, ``c`` and ``slope`` in degrees from the gradient."""
     return gradient(cells, value, step).withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("gr") * F.col("gr") + F.col("gc") * F.col("gc"))))).drop("gr", "gc")
 
 
 def hillshade(cells: DataFrame, value: str, step: float, light: tuple[float, float, float] = (-0.5, 0.8, -0.4)) -> DataFrame:
-    """``shade``: the diffuse part of a fixed light on the surface."""
+    """``r``, ``c`` and ``shade``: the diffuse part of a fixed light on the surface."""
     length = math.sqrt(sum(x * x for x in light))
     x, y, z = (v / length for v in light)
     dot = (-F.col("gc") * x + y - F.col("gr") * z) / F.sqrt(F.col("gr") * F.col("gr") + F.col("gc") * F.col("gc") + 1)

@@ -53,12 +53,12 @@ def focal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(focal_sql("exposure", "median", "dr * dr + dc * dc <= 4", 2))
 def focal_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rasters.focal(normalised(spark, sf_dir), "exposure", rasters.disc(2), F.median))
+    return rounded(rasters.focal(normalised(spark, sf_dir), "exposure", rasters.disc(2), "median"))
 
 
 @query(focal_sql("fire", "max", "dr * dr + dc * dc <= 9", 3))
 def focal_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rasters.focal(normalised(spark, sf_dir), "fire", rasters.disc(3), F.max))
+    return rounded(rasters.focal(normalised(spark, sf_dir), "fire", rasters.disc(3), "max"))
 
 
 @query(focal_sql("landslide", "avg", "true", 2))
@@ -285,8 +285,8 @@ def flood_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((((F.col("flood") < 0.5) & (F.col("exposure") < 0.9)).cast("double") + (F.col("fire") < 0.5).cast("double")) / 2).alias("mask"),
         F.when(F.col("landslide") < 0.8, F.col("landslide")).otherwise(0.0).alias("water"),
     )
-    around = rasters.spread(masks, rasters.disc(1), ["mask", "water"]).groupBy("r", "c").agg(F.avg("mask").alias("mask"), F.avg("water").alias("water"))
-    raw = masks.select("r", "c").join(around, ["r", "c"]).select("r", "c", (F.col("mask") * K.FLOOD_PARTS[0] + F.col("water") * K.FLOOD_PARTS[1]).alias("flood"))
+    around = rasters.focal(masks, "mask", rasters.disc(1), out="mask").join(rasters.focal(masks, "water", rasters.disc(1), out="water"), ["r", "c"])
+    raw = around.select("r", "c", (F.col("mask") * K.FLOOD_PARTS[0] + F.col("water") * K.FLOOD_PARTS[1]).alias("flood"))
     return rounded(rasters.normalise(raw, ["flood"]))
 
 

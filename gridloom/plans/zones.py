@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import cell_centre
-from gridloom.operators import zones
-from gridloom.plans.layers import BANDS, rounded
+from gridloom.operators import outlines, zones
+from gridloom.plans.layers import BANDS, GRID, rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk_classes
 from gridloom.sources import surrogates as S
@@ -48,6 +48,18 @@ def hotspot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(zones.hotspot_summary(zones.hotspots(grid, 5, S.COLS, 1.5), None, grid))
 
 
+@query(f"""{COMP_SQL}, t AS (SELECT top.r, top.c, component FROM top JOIN comp USING (id)), near_ AS (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) n(dr, dc)),
+sides AS (SELECT t.component, count(*) AS sides FROM t CROSS JOIN near_ LEFT JOIN t u ON u.r = t.r + dr AND u.c = t.c + dc WHERE u.r IS NULL GROUP BY 1)
+SELECT component, count(*) AS cells, any_value(sides) AS sides FROM t JOIN sides USING (component) GROUP BY component""")
+def hotspot_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rings around each zone of the top class: the area inside them in cells, and their length in sides."""
+    grid, _ = risk_classes(spark, sf_dir)
+    rings = outlines.outlines(zones.cell_components(grid.where("class = 5"), S.COLS), GRID)
+    steps = F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), lambda a, b: (F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])) / S.STEP)
+    length = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+    return rings.groupBy("component").agg(F.sum("cells").cast("long").alias("cells"), F.round(F.sum(length)).cast("long").alias("sides"))
+
+
 POINTS = (("verified", 76.2, 11.6), ("reported", 76.31, 11.52), ("outside", 79.0, 12.9))
 POINTS_SQL = "pts AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)" for n, x, y in POINTS) + ") t(label, plon, plat))"
 ZONE_SQL = f"""{RISK_SQL}, {POINTS_SQL}, zone AS (

@@ -11,7 +11,7 @@ from gridloom.functions import cells as fc
 from gridloom.functions import constants as K
 from gridloom.functions import geo
 from gridloom import session
-from gridloom.operators import hazards, network, places, quantiles, rasters, roads, search, skew, weights, zones
+from gridloom.operators import hazards, network, outlines, places, quantiles, rasters, roads, search, skew, weights, zones
 from gridloom.operators.components import ONE_TASK_EDGES, connected_components
 from gridloom.plans import registry
 from gridloom.session import scratch_path
@@ -494,3 +494,16 @@ def test_graphml(spark, tmp_path):
     assert sorted(map(tuple, nodes.collect())) == [(1, 76.1, 11.5, None), (2, 76.2, 11.6, None)]
     found = {r.src: r for r in edges.collect()}
     assert [(p.x, p.y) for p in found[1].points] == [(76.1, 11.5), (76.15, 11.58), (76.2, 11.6)] and found[2].points is None and found[2].length == 12.0 and found[1].highway.startswith("[")
+
+
+def test_outlines(spark):
+    grid = rasters.Grid(76.0, 11.8, 0.01, 0.01, 20, 20)
+    ringed = [(r, c, 1) for r in range(4) for c in range(4) if not (1 <= r <= 2 and c == 1)]  # a hole of two cells
+    touching = [(10, 10, 2), (11, 11, 2)]  # by a corner only
+    found = outlines.outlines(spark.createDataFrame(ringed + touching, "r long, c long, component long"), grid).orderBy("component", "ring").collect()
+    assert [(x.component, x.hole, x.cells, len(x.points)) for x in found] == [(1, False, 16.0, 5), (1, True, -2.0, 5), (2, False, 1.0, 5), (2, False, 1.0, 5)]
+    assert all(x.points[0] == x.points[-1] for x in found)
+    assert {(round(p.x, 4), round(p.y, 4)) for p in found[1].points} == {(76.01, 11.79), (76.02, 11.79), (76.01, 11.77), (76.02, 11.77)}
+    stairs = spark.createDataFrame([(r, c, 5) for r in range(12) for c in range(r + 1)], "r long, c long, component long")
+    rough, smooth = (outlines.outlines(stairs, grid, m).first() for m in (0.0, 2000.0))
+    assert rough.cells == 78 and len(smooth.points) < len(rough.points)

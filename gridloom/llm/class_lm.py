@@ -237,9 +237,9 @@ def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.nd
             mine &= fixed[np.minimum(np.searchsorted(fixed, keys), len(fixed) - 1)] != keys
         after, before = np.append(klass[1:], 0), np.concatenate([[0], klass[:-1]])
         again = np.append(keys[1:] == keys[:-1], False) & mine
-        word = np.concatenate([keys[mine], keys[mine], keys[again]])
-        words, at = np.unique(word, return_inverse=True)
-        pair, n = np.unique(at * codes + np.concatenate([after[mine], n_classes + before[mine], np.full(again.sum(), codes - 1)]), return_counts=True)
+        words, at = np.unique(keys[mine], return_inverse=True)
+        at *= codes
+        pair, n = np.unique(np.concatenate([at + after[mine], at + n_classes + before[mine], at[again[mine]] + codes - 1]), return_counts=True)
         found = words[pair // codes]
         bucket = (found.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -25,16 +25,19 @@ def connected(folder):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
-def comparer(duck):
-    """Compare a Spark result with SQL, row by row, whatever the order; doubles up to the last rounded digit."""
+def comparer(folder):
+    """Compare a Spark result with SQL over the tables of a folder, row by row, whatever the order; doubles up to the last rounded digit.
+
+    Each comparison has a connection of its own: a fault of one can't spoil the others.
+    """
 
     def check(df, sql):
-        want = duck.sql(sql)
+        want = connected(folder).sql(sql)
         columns = sorted(df.columns)
         assert columns == sorted(want.columns)
         rows = [[r[c] for c in columns] for r in df.collect()], [[r[want.columns.index(c)] for c in columns] for r in want.fetchall()]
@@ -48,11 +51,11 @@ def comparer(duck):
 
 @pytest.fixture(scope="session")
 def same_rows(sf_dir):
-    return comparer(connected(sf_dir))
+    return comparer(sf_dir)
 
 
 @pytest.fixture(scope="session")
 def more_rows():
     """The next larger tables, and their comparison."""
     folder = "/root/testdata/sf0.01"
-    return folder, comparer(connected(folder))
+    return folder, comparer(folder)

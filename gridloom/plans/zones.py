@@ -124,9 +124,10 @@ _TOWN = "r % 12 < 4 AND c % 12 < 4"
 
 @query(f"""{RISK_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, g AS (SELECT r, c, risk, CASE WHEN {_TOWN} THEN 0.3e0 + 0.7e0 * exposure ELSE 0e0 END AS built, 76e0 + (c + 0.5e0) * 0.009e0 AS lon, 11.8e0 - (r + 0.5e0) * 0.009e0 AS lat FROM classes),
 m AS (SELECT * FROM g WHERE built >= 0.5e0), offs AS (SELECT dr, dc FROM range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE abs(dr) + abs(dc) <= 2),
-wide AS (SELECT DISTINCT g.r, g.c, g.r * 50 + g.c AS id FROM m CROSS JOIN offs JOIN g ON g.r = m.r + dr AND g.c = m.c + dc),
-reach(a, b) AS (SELECT id, id FROM wide UNION SELECT reach.a, n.id FROM reach JOIN wide w ON w.id = reach.b JOIN wide n ON abs(n.r - w.r) <= 1 AND abs(n.c - w.c) <= 1),
-comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+offs_ AS (SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc)), wide AS (SELECT DISTINCT g.r, g.c, g.r * 50 + g.c AS id FROM m CROSS JOIN offs JOIN g ON g.r = m.r + dr AND g.c = m.c + dc),
+nbrs AS (SELECT w.id AS a, n.id AS b FROM wide w JOIN offs_ ON true JOIN wide n ON n.r = w.r + dr AND n.c = w.c + dc),
+reach(id, component) USING KEY (id) AS (SELECT id, id FROM wide UNION SELECT n.b, min(p.component) FROM reach p JOIN nbrs n ON n.a = p.id JOIN recurring.reach q ON q.id = n.b WHERE p.component < q.component GROUP BY n.b),
+comp AS (SELECT id, component FROM reach),
 clusters AS (SELECT component, count(*) AS cells, sum(built * lon) / sum(built) AS lon, sum(built * lat) / sum(built) AS lat, avg(risk) AS mean_risk FROM m JOIN comp ON comp.id = m.r * 50 + m.c GROUP BY component HAVING count(*) >= 3),
 ranked AS (SELECT *, row_number() OVER (ORDER BY round(mean_risk, 12) DESC, component) AS n FROM clusters)
 SELECT CAST(n AS INTEGER) AS origin_id, component, cells, round(lon, 6) AS lon, round(lat, 6) AS lat, round(mean_risk, 6) AS mean_risk, 0.5e0 AS threshold FROM ranked WHERE n <= 5""")

@@ -1,4 +1,4 @@
-"""Road networks: edge tables, risk along edges, contraction, shortest paths, nearest nodes, routes and corridors."""
+"""Road networks: edge tables, risk along edges, shortest paths, nearest nodes, routes and corridors."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import KM_LAT, KM_LON, band, band_width, haversine_m, in_ring, planar_m, point_along, points_between, segment_distance, summed
-from gridloom.operators.components import connected_components
 from gridloom.session import written
 
 #: Edges up to which packed adjacency goes to the executors (4 bytes an edge and 8 for each weight, 72 MB at most); beyond, paths are relaxed by joins.
@@ -117,25 +116,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.min_by(F.struct(*others), F.struct("length", *[c for c in others if c != "length"])).alias("e")).select("a", "b", "e.*")
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Chains of nodes with two edges as one edge: ``a``, ``b``, ``length``, length-weighted ``risk``, least ``rank`` and ``segments``.
-
-    ``edges`` are undirected (``a``, ``b``, ``length``, ``risk``, ``rank``). A chain is a component of its inner nodes; closed rings without a junction are dropped.
-    """
-    ends = edges.select(F.col("a").alias("id")).union(edges.select("b"))
-    inner = written(ends.groupBy("id").count().where("count = 2").select("id"), "chain-nodes")
-    marked = edges.join(inner.select(F.col("id").alias("a"), F.lit(True).alias("ia")), "a", "left").join(inner.select(F.col("id").alias("b"), F.lit(True).alias("ib")), "b", "left")
-    inside = marked.where("ia AND ib").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    chains = connected_components(inside.union(inner.select("id", "id")))
-    keyed = marked.withColumn("node", F.when(F.col("ia"), F.col("a")).when(F.col("ib"), F.col("b"))).join(chains, "node", "left")
-    key = F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("k"), F.lit(None).cast("long").alias("j"))).otherwise(F.struct(F.col("a").alias("k"), F.col("b").alias("j")))
-    junctions = F.array_compact(F.array(F.when(F.col("ia").isNull(), F.col("a")), F.when(F.col("ib").isNull(), F.col("b"))))
-    found = keyed.groupBy(key.alias("key")).agg(
-        F.array_sort(F.flatten(F.collect_list(junctions))).alias("ends"), F.sum("length").alias("length"), (F.sum(F.col("length") * F.col("risk")) / F.sum("length")).alias("risk"), F.min("rank").alias("rank"), F.count("*").alias("segments")
-    )
-    return found.where(F.size("ends") == 2).select(F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b"), "length", "risk", "rank", "segments")
-
-
 class Adjacency:
     """Edges packed by their start: sorted node ids, offsets, places of the ends, and weights."""
 

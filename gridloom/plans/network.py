@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import cell_centre, in_ring
-from gridloom.operators import network, roads, search
+from gridloom.operators import contraction, network, roads, search
 from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
@@ -218,19 +218,43 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(k.alias("src"), ((k * 7 + n + 1) % rows.count()).alias("dst"), (k % 37 + 100.0).alias("length"), (n % 10 / 10.0).alias("risk"), (n % 5).alias("rank"), (n < 8).alias("both_ways"))
 
 
-@query(f"""WITH RECURSIVE {LINKS_SQL}, chain AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(struct_pack(risk := risk, rank := rank), (length, risk, rank)) AS v, min(length) AS length FROM links WHERE src <> dst GROUP BY 1, 2),
-flat AS (SELECT a, b, length, v.risk AS risk, v.rank AS rank FROM chain),
-inner_ AS (SELECT id FROM (SELECT a AS id FROM flat UNION ALL SELECT b FROM flat) GROUP BY id HAVING count(*) = 2),
-marked AS (SELECT flat.*, a IN (SELECT id FROM inner_) AS ia, b IN (SELECT id FROM inner_) AS ib FROM flat),
-link AS (SELECT a AS x, b AS y FROM marked WHERE ia AND ib UNION ALL SELECT b, a FROM marked WHERE ia AND ib),
-walk(x, y) AS (SELECT id, id FROM inner_ UNION SELECT walk.x, link.y FROM walk JOIN link ON link.x = walk.y),
-part_ AS (SELECT x AS id, min(y) AS k FROM walk GROUP BY x),
-keyed AS (SELECT marked.*, CASE WHEN part_.k IS NULL THEN a ELSE part_.k END AS k, CASE WHEN part_.k IS NULL THEN b END AS j FROM marked LEFT JOIN part_ ON part_.id = CASE WHEN ia THEN a WHEN ib THEN b END),
-done AS (SELECT list_sort(flatten(list(list_filter([CASE WHEN NOT ia THEN a END, CASE WHEN NOT ib THEN b END], lambda v: v IS NOT NULL)))) AS ends, sum(length) AS length, sum(length * risk) / sum(length) AS risk, min(rank) AS rank, count(*) AS segments FROM keyed GROUP BY k, j)
-SELECT ends[1] AS a, ends[2] AS b, round(length, 4) AS length, round(risk, 6) AS risk, CAST(rank AS BIGINT) AS rank, segments FROM done WHERE len(ends) = 2""")
+#: Nodes of two edges are taken from a queue, as a program for one machine would: all that there are now, least first, then those that there are after it.
+_OWN, _FROM = "lambda x: x.a = todo[1] OR x.b = todo[1]", "CASE WHEN {e}.path[1] = {n} THEN {e}.path ELSE list_reverse({e}.path) END"
+CONTRACT_SQL = f"""chain AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(struct_pack(risk := risk, rank := rank), (length, risk, rank)) AS v, min(length) AS length FROM links WHERE src <> dst GROUP BY 1, 2),
+state(i, todo, e) AS (
+  SELECT 0, []::BIGINT[], list(struct_pack(a := a, b := b, length := length, risk := v.risk, rank := v.rank, path := [a, b])) FROM chain
+  UNION ALL
+  SELECT i + 1, CASE WHEN len(todo) > 0 THEN todo[2:] ELSE pairs END, CASE WHEN len(own) <> 2 THEN e WHEN len(old) > 0 AND old[1].length <= new.length THEN others ELSE list_append(list_filter(others, lambda x: x.a <> p OR x.b <> q), new) END
+  FROM (SELECT *, struct_pack(a := p, b := q, length := x.length + y.length, risk := (x.length * x.risk + y.length * y.risk) / (x.length + y.length), rank := least(x.rank, y.rank),
+      path := list_concat({_FROM.format(e='x', n='p')}, ({_FROM.format(e='y', n='todo[1]')})[2:])) AS new, list_filter(others, lambda z: z.a = p AND z.b = q) AS old
+    FROM (SELECT *, CASE WHEN p1 < p2 THEN own[1] ELSE own[2] END AS x, CASE WHEN p1 < p2 THEN own[2] ELSE own[1] END AS y, least(p1, p2) AS p, greatest(p1, p2) AS q
+      FROM (SELECT *, own[1].a + own[1].b - todo[1] AS p1, own[2].a + own[2].b - todo[1] AS p2
+        FROM (SELECT *, list_filter(e, {_OWN}) AS own, list_filter(e, lambda x: x.a <> todo[1] AND x.b <> todo[1]) AS others,
+            (SELECT list(id ORDER BY id) FROM (SELECT id FROM (SELECT unnest(list_concat(list_transform(e, lambda x: x.a), list_transform(e, lambda x: x.b))) AS id) GROUP BY id HAVING count(*) = 2)) AS pairs
+          FROM state WHERE todo IS NOT NULL) s) t) u) v
+), contracted AS (SELECT x.a AS a, x.b AS b, x.length AS length, x.risk AS risk, x.rank AS rank, x.path AS path FROM (SELECT unnest(e) AS x FROM state WHERE i = (SELECT max(i) FROM state)))"""
+
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, {CONTRACT_SQL}
+SELECT a, b, round(length, 4) AS length, round(risk, 6) AS risk, CAST(rank AS BIGINT) AS rank, CAST(len(path) - 1 AS BIGINT) AS segments, array_to_string(list_transform(path, lambda k: (k * 37 % 500) || ' ' || (k * 53 % 400)), ',') AS line FROM contracted""")
 def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = network.contract(network.undirected(links(spark, sf_dir).drop("both_ways")))
-    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.col("rank").cast("long").alias("rank"), "segments")
+    """The customers' roads without nodes of two edges, and the line of each road that is left."""
+    spot = lambda k: F.struct((k * 37 % 500).cast("double").alias("x"), (k * 53 % 400).cast("double").alias("y"))
+    lined = network.undirected(links(spark, sf_dir).drop("both_ways")).withColumn("points", F.array(spot(F.col("a")), spot(F.col("b"))))
+    found = contraction.contract(lined)
+    line = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ",")
+    return found.select("a", "b", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.col("rank").cast("long").alias("rank"), "segments", line.alias("line"))
+
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, {CONTRACT_SQL}, both_ AS (SELECT a AS x, b AS y FROM contracted UNION ALL SELECT b, a FROM contracted),
+label(id, component) USING KEY (id) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT n.y, min(p.component) FROM label p JOIN both_ n ON n.x = p.id JOIN recurring.label q ON q.id = n.y WHERE p.component < q.component GROUP BY n.y),
+best AS (SELECT component FROM label GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+number AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM label WHERE component = (SELECT component FROM best))
+SELECT row_number() OVER (ORDER BY u.n, v.n) - 1 AS edge, u.n AS u, v.n AS v, CAST(round(length) AS BIGINT) AS length, CAST(greatest(0, least(254, round(risk * 254))) AS INTEGER) AS risk, CASE WHEN rank <= 0 THEN 0 WHEN rank <= 2 THEN 1 ELSE 2 END AS class FROM contracted JOIN number u ON u.id = a JOIN number v ON v.id = b""")
+def web_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact graph of the largest component; its lines, made simpler, are tested by themselves."""
+    found = contraction.contract(network.undirected(links(spark, sf_dir).drop("both_ways")))
+    return contraction.web_graph(found, 0.0)[1].drop("points")
 
 
 @query(f"""WITH RECURSIVE {LINKS_SQL}, arcs AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links WHERE both_ways), nodes_ AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs),

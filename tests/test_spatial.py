@@ -194,11 +194,6 @@ def test_risk_follows_an_edge_line(spark):
     assert found[2].risk == 0.0 and found[1].risk_max == 1.0 and abs(found[1].risk - 5 / 11) < 1e-9
 
 
-def test_chain_contracts_to_one_edge(spark):
-    chain = spark.createDataFrame([(i, i + 1, 100.0, r, 2) for i, r in enumerate((0.5, 0.5, 0.1, 0.1))] + [(20, 21, 1.0, 0.0, 1), (21, 22, 1.0, 0.0, 1), (22, 20, 1.0, 0.0, 1)], "a long, b long, length double, risk double, rank int")
-    assert [(r.a, r.b, r.length, round(r.risk, 9), r.segments) for r in network.contract(chain).collect()] == [(0, 4, 400.0, 0.3, 4)]
-
-
 @pytest.mark.parametrize("limit", [0, 2_000_000])
 def test_strong_components(spark, monkeypatch, limit):
     monkeypatch.setattr(network, "ADJACENCY_EDGES", limit)

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from gridloom.functions import constants as K
 from gridloom.functions.geo import planar_m, points_between, summed
 from gridloom.operators import network
+from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
+#: Queries that one search serves; an end of more has several searches.
+SLICE_QUERIES = 500
 _FOUND = "id long, length double, mean_risk double, max_risk double, nodes array<long>, edges array<long>"
 
 
@@ -46,37 +49,48 @@ def _summary(parts: list[tuple[float, float]]) -> tuple[float, float, float]:
     return length, sum(n * r for n, r in parts) / length if length > 0 else 0.0, max((r for n, r in parts if n > 0), default=0.0)
 
 
+def _dealt(far: DataFrame) -> DataFrame:
+    """``far`` with ``slice``: the queries of one end are dealt to as many slices as hold about SLICE_QUERIES each, so an end that most queries share has many tasks."""
+    keyed = written(far.withColumn("end", F.concat_ws(":", "t.edge", "t.v")), "search-far")
+    slices = keyed.groupBy("end").agg(F.ceil(F.count("*") / SLICE_QUERIES).cast("int").alias("slices"))
+    return join_to_unique(keyed, slices, "end").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices"))).drop("slices")
+
+
 def _searched(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
-    """Least-cost ways between snapped ends on different segments, one heap search a query over the packed graph."""
+    """Least-cost ways between snapped ends on different segments over the packed graph.
+
+    The graph is the same in both directions: one search runs backwards from each different end until the starts of all its queries are settled, and each
+    query takes the better of its two nodes from it.
+    """
     both = roads.select(F.col("a").alias("src"), F.col("b").alias("dst"), "edge", "length", "risk").unionByName(roads.select(F.col("b").alias("src"), F.col("a").alias("dst"), "edge", "length", "risk"))
     links = both.withColumn("cost", F.col("length") * (1 + F.col("risk") * alpha))
     shared = roads.sparkSession.sparkContext.broadcast(network.Adjacency(links, ["cost", "length", "risk", "edge"]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own, out = shared.value, []
         _, lengths, risks, numbers = own.weights
-        for frame in frames:
-            out = []
-            for q in frame.itertuples(index=False):
-                cost = lambda risk, metres: metres * (1 + alpha * risk)
-                starts: dict[int, float] = {}
-                for node, metres in ((q.s_a, q.s_to_a), (q.s_b, q.s_to_b)):
-                    at = own.place(node)
-                    starts[at] = min(starts.get(at, float("inf")), cost(q.s_risk, metres))
-                ends = [(own.place(node), metres) for node, metres in ((q.t_a, q.t_to_a), (q.t_b, q.t_to_b))]
-                best = own.search(starts, goals={p for p, _ in ends})
-                reached = [(best[p][0] + cost(q.t_risk, metres), k) for k, (p, metres) in enumerate(ends) if p in best]
-                if not reached:
-                    continue
-                place, left = ends[min(reached)[1]]
-                places, taken = own.walk(best, place)
-                first = min((q.s_to_a, q.s_to_b) if q.s_a == q.s_b else ((q.s_to_a,) if places[0] == own.place(q.s_a) else (q.s_to_b,)))
-                parts = [(first, q.s_risk), *((float(lengths[e]), float(risks[e])) for e in taken), (left, q.t_risk)]
-                out.append((q.id, *_summary(parts), own.ids[places].tolist(), [int(numbers[e]) for e in taken]))
-            yield pd.DataFrame(out, columns=["id", "length", "mean_risk", "max_risk", "nodes", "edges"])
-
-    flat = far.select("id", *[F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "st" for c, n in (("a", "a"), ("b", "b"), ("to_a", "to_a"), ("to_b", "to_b"), ("edge_risk", "risk"))])
-    return flat.mapInPandas(run, _FOUND)
+        cost = lambda risk, metres: metres * (1 + alpha * risk)
+        t = next(frame.itertuples(index=False))
+        ends: dict[int, float] = {}
+        for node, metres in ((t.t_a, t.t_to_a), (t.t_b, t.t_to_b)):
+            at = own.place(node)
+            ends[at] = min(ends.get(at, float("inf")), cost(t.t_risk, metres))
+        starts = [[(own.place(q.s_a), q.s_to_a), (own.place(q.s_b), q.s_to_b)] for q in frame.itertuples(index=False)]
+        best = own.search(ends, goals={p for pair in starts for p, _ in pair})
+        for q, pair in zip(frame.itertuples(index=False), starts, strict=True):
+            reached = [(best[p][0] + cost(q.s_risk, metres), k) for k, (p, metres) in enumerate(pair) if p in best]
+            if not reached:
+                continue
+            place, first = pair[min(reached)[1]]
+            places, taken = own.walk(best, place)
+            places, taken = places[::-1], taken[::-1]
+            last = min(metres for node, metres in ((t.t_a, t.t_to_a), (t.t_b, t.t_to_b)) if own.place(node) == places[-1])
+            parts = [(first, q.s_risk), *((float(lengths[e]), float(risks[e])) for e in taken), (last, t.t_risk)]
+            out.append((q.id, *_summary(parts), own.ids[places].tolist(), [int(numbers[e]) for e in taken]))
+        return pd.DataFrame(out, columns=["id", "length", "mean_risk", "max_risk", "nodes", "edges"])
+
+    flat = _dealt(far).select("id", "end", "slice", *[F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "st" for c, n in (("a", "a"), ("b", "b"), ("to_a", "to_a"), ("to_b", "to_b"), ("edge_risk", "risk"))])
+    return flat.groupBy("end", "slice").applyInPandas(run, _FOUND)
 
 
 def _relaxed(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
@@ -101,12 +115,18 @@ def _relaxed(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
     return whole.select(F.col("origin").alias("id"), length.alias("length"), mean.alias("mean_risk"), top.alias("max_risk"), F.col("path").alias("nodes"), F.coalesce(F.transform("taken", lambda x: x["edge"]), F.array().cast("array<long>")).alias("edges"))
 
 
-def search(queries: DataFrame, roads: DataFrame, alpha: float, limit: float = K.SNAP_LIMIT_M) -> DataFrame:
+def snapped_ends(queries: DataFrame, roads: DataFrame, limit: float = K.SNAP_LIMIT_M) -> DataFrame:
+    """The snapped ends ``s`` and ``t`` of queries, for several search() calls."""
+    return written(_ends(queries, roads, limit), "search-ends")
+
+
+def search(queries: DataFrame, roads: DataFrame, alpha: float, limit: float = K.SNAP_LIMIT_M, ends: DataFrame | None = None) -> DataFrame:
     """``queries`` (``id``, ``ax``, ``ay``, ``bx``, ``by``) with ``mode``, ``length`` (metres), ``mean_risk``, ``max_risk`` and the way taken (``s``, ``t``: snapped ends, ``nodes``, ``edges``).
 
     ``route`` where both ends snap and are connected, else ``straight`` with the straight distance and null risks. ``alpha`` weighs risk: 0 gives the shortest way.
+    ``ends``: what snapped_ends() found for the same queries, roads and limit.
     """
-    ends = written(_ends(queries, roads, limit), "search-ends")
+    ends = snapped_ends(queries, roads, limit) if ends is None else ends
     near = ends.where("s.edge = t.edge")
     metres = F.abs(F.col("s.to_a") - F.col("t.to_a"))
     on_one = F.when(metres > 0, F.col("s.edge_risk")).otherwise(0.0)

@@ -359,8 +359,9 @@ SELECT p.id, CASE WHEN a.id IS NULL THEN 'straight' ELSE 'route' END AS mode, ro
 round(coalesce(b.len, {_planar_sql('p', 't')}), 3) AS shortest_m, round(b.mean_risk, 6) AS shortest_mean, round(b.max_risk, 6) AS shortest_max FROM far_points p JOIN target t ON true LEFT JOIN safe_all a ON a.id = p.id LEFT JOIN short_all b ON b.id = p.id""")
 def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point to point for every point: snapped to vertices, the least-risk and the shortest way, or a straight line where a point can't be snapped."""
-    segments, ends = road_segments(Lattice(spark, sf_dir)), search_ends(spark, sf_dir)
-    safe, short = (search.search(ends, segments, alpha).select("id", "mode", F.col("length").alias(f"{n}_m"), F.col("mean_risk").alias(f"{n}_mean"), F.col("max_risk").alias(f"{n}_max")) for alpha, n in ((K.ALPHA, "least_risk"), (0.0, "shortest")))
+    segments, wanted = road_segments(Lattice(spark, sf_dir)), search_ends(spark, sf_dir)
+    ends = search.snapped_ends(wanted, segments)
+    safe, short = (search.search(wanted, segments, alpha, ends=ends).select("id", "mode", F.col("length").alias(f"{n}_m"), F.col("mean_risk").alias(f"{n}_mean"), F.col("max_risk").alias(f"{n}_max")) for alpha, n in ((K.ALPHA, "least_risk"), (0.0, "shortest")))
     both = safe.join(short.drop("mode"), "id")
     return both.select("id", "mode", *[F.round(c, 3 if c.endswith("_m") else 6).alias(c) for c in both.columns[2:]])
 

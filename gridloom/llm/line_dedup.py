@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm.columns import by_place, named_again
 from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
@@ -163,7 +164,12 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     text. Rows with a null id are no documents: they don't count and keep their lines. Rows that share an id are one
     document. A very long text is split in the task that holds its row. Columns named ``n_lines`` or ``n_dropped`` are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    rows, names = by_place(docs.drop("n_lines", "n_dropped"))
+    return named_again(_deduped(rows, min_chars, min_docs, names[id_col], names[text_col]), names, list(names), ["n_lines", "n_dropped"])
+
+
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """dedup_lines() of columns named by_place()."""
     named = docs.where(F.col(id_col).isNotNull())
     range_bits = max(6, (docs.count() // RANGE_DOCS).bit_length())
     repeated = written(repeated_hashes(written(hashed_keys(named, min_chars, range_bits, text_col=text_col), "line-hashes"), range_bits), "line-repeats")

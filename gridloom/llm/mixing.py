@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.llm.columns import by_place, named_again
 from gridloom.session import written
 
 #: Sources up to which totals are bisected on the driver; beyond, each step is one aggregation on the executors.
@@ -103,7 +104,13 @@ def mix(
     they were written. Columns named like the new ones are replaced, and without ``keep_text`` the texts are only counted; an empty table gives no rows.
     """
     new = ["mix_tokens", "mix_weight", "mix_exponent", "mix_pass", "mix_block", "mix_order"]
-    docs = docs.drop(*new)
+    rows, named = by_place(docs.drop(*new))
+    mixed = _mixed(rows, named[id_col], named[source_col], named[text_col], entropy, max_passes, budget, block_tokens, seed, keep_text)
+    return named_again(mixed, named, [c for c in named if keep_text or c != text_col], new)
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, entropy: float | None, max_passes: float | None, budget: int | None, block_tokens: int, seed: int, keep_text: bool) -> DataFrame:
+    """mix() of columns named by_place()."""
     sized = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_tokens": n_tokens(text_col), "__row": F.monotonically_increasing_id()})
     drawn = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, "__row")).otherwise(F.xxhash64(id_col, text_col))
     passed = [c for c in docs.columns if keep_text or c != text_col]

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gridloom.llm import mixing, queries
 from gridloom.session import table, written
@@ -62,3 +64,30 @@ def test_stages_on_odd_rows(spark, sf_dir):
         kept = written(corpus_pipeline.classify(spark, docs, sf_dir), "odd")
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {r.doc_id for r in docs.collect()}
         assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(own)
+
+
+def test_stages_keep_columns_named_like_their_own(spark, sf_dir):
+    own = ["score", "__score", "__gone", "__row", "__source", "__drawn", "__order", "__part", "__offset", "__start", "__budget", "__total", "__tokens", "mix_tokens", "row_number", "fp", "c0", "c1", "digest", "stays", "component_id", "places"]
+    docs = table(spark, sf_dir, "documents").withColumns({c: F.concat(F.lit("kept "), F.col("doc_id")) for c in own})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "clash")
+        rows = docs.select("doc_id", *[c for c in own if c != "mix_tokens" or name != "mixing"]).collect()
+        assert rows and all(v == f"kept {r.doc_id}" for r in rows for v in r[1:]), name
+    encoded = corpus_pipeline.encode(spark, docs, sf_dir)
+    assert encoded.count() == docs.count()
+
+
+def test_a_stage_frees_what_the_one_before_left_once_its_result_is_read_from_files(spark, sf_dir):
+    def there(paths):
+        return [spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+
+    docs = table(spark, sf_dir, "documents")
+    made = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    left = made.schema[0].metadata["gridloom_scratch"]
+    assert left and all(there(left))
+    corpus_pipeline.mix(spark, made, sf_dir)  # not written yet: nothing goes
+    assert all(there(left))
+    again = corpus_pipeline.near_duplicates(spark, docs, sf_dir)  # a second pipeline doesn't disturb the first
+    assert all(there(left)) and made.count() == again.count()
+    corpus_pipeline.mix(spark, written(made, "result"), sf_dir)
+    assert not any(there(left)) and all(there(again.schema[0].metadata["gridloom_scratch"]))

@@ -4,7 +4,8 @@ Every stage but the last returns the columns that it got, extra ones too (of ext
 stage adds, such as ``n_lines`` or ``mix_block``, the stage's own values stay). Null, empty and very long texts, null
 ids, repeated rows and empty tables pass as the operators' docstrings say.
 
-A stage's result is to be written before the next stage is called: only then are the tables that it is made from deleted.
+A stage's result names the tables that it is made from; the next stage deletes them when it gets that result read from files, so a stage can be run again
+from its own input at any time.
 """
 
 from __future__ import annotations
@@ -16,22 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, line_dedup, mixing, nb_svm, queries, simhash
-from gridloom.session import collecting, drop, table, written
+from gridloom.llm.columns import by_place, named_again
+from gridloom.session import collecting, drop, shared_dir, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_LEFT: list[str] = []
+#: Key of the first column's metadata, which Parquet keeps: the tables that a stage's result is made from.
+_SCRATCH = "gridloom_scratch"
+
+
+def _free(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete what the stage before it wrote for itself, once ``docs`` is its whole result read from files (not one that is still to be computed)."""
+    paths = docs.schema[0].metadata.get(_SCRATCH, []) if docs.columns else []
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        drop(spark, [p for p in paths if p.startswith(f"{shared_dir(spark)}/gridloom/")])
 
 
 def _stage(stage: Stage) -> Stage:
-    """A stage that frees what the stage before it left in the shared folder."""
+    """A stage whose result names the tables that it is made from, so that the next stage can free them: no state outside the result, so pipelines can't disturb each other."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _LEFT)
+        _free(spark, docs)
         with collecting() as paths:
             out = stage(spark, docs, sf_dir)
-        _LEFT.extend(paths)
-        return out
+        return out.withMetadata(out.columns[0], {_SCRATCH: paths})
 
     return run
 
@@ -40,8 +49,9 @@ def _stage(stage: Stage) -> Stage:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores as good."""
     model = queries.quality_model(docs, table(spark, sf_dir, "labels"))
-    scored = nb_svm.score(docs, model, extra=tuple(c for c in docs.columns if c != "doc_id"), out_col="__score")
-    return scored.where(F.col("__score") >= queries.GOOD).select(*docs.columns)
+    rows, named = by_place(docs)
+    scored = nb_svm.score(rows, model, id_col=named["doc_id"], text_col=named["text"], extra=tuple(c for c in rows.columns if c != named["doc_id"]), out_col="score")
+    return named_again(scored.where(F.col("score") >= queries.GOOD), named, docs.columns)
 
 
 @_stage
@@ -114,6 +124,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = stage(spark, docs, sf_dir)
         with collecting() as paths:
             docs = written(made, name.replace(" ", "-"))
-        drop(spark, former)
+        drop(spark, former)  # the input of the stage whose result is complete now
         former = paths
     return STAGES[-1][1](spark, docs, sf_dir)

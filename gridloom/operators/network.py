@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import KM_LAT, KM_LON, band, band_width, haversine_m, in_ring, planar_m, point_along, points_between, segment_distance, summed
+from gridloom.operators import tiled
 from gridloom.session import written
 
 #: Edges up to which packed adjacency goes to the executors (4 bytes an edge and 8 for each weight, 72 MB at most); beyond, paths are relaxed by joins.
@@ -164,14 +165,21 @@ class Adjacency:
         return places[::-1], edges[::-1]
 
 
-def distances(edges: DataFrame, origins: DataFrame, weight: str) -> DataFrame:
+def distances(edges: DataFrame, origins: DataFrame, weight: str, nodes: DataFrame | None = None) -> DataFrame:
     """``origin``, ``node`` and ``distance`` for every reachable node, the origin itself always.
 
-    With a checked number of edges the packed adjacency goes to the executors and each origin is one heap search; beyond, distances are relaxed by joins.
+    With a checked number of edges the packed adjacency goes to the executors and each origin is one heap search. Beyond, the network is cut by tiles where the
+    places of its ``nodes`` (``id``, ``x``, ``y``) are given, and distances move from tile to tile; without them distances are relaxed by joins, a round for each edge of the longest way.
     """
     edges = written(best_edges(edges.select("src", "dst", weight), weight), "edges")
     if edges.count() > ADJACENCY_EDGES:
-        return relaxed(edges, origins, weight).select("origin", "node", "distance")
+        if nodes is None:
+            return relaxed(edges, origins, weight).select("origin", "node", "distance")
+        starts = origins.select("origin").distinct()
+        net = tiled.Tiled(edges, nodes, weight)
+        found = net.distances(net.search(starts.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("distance")))).select("origin", "node", "distance")
+        lost = starts.join(nodes.select(F.col("id").alias("origin")), "origin", "left_anti")
+        return found.unionByName(lost.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("distance")))
     shared = edges.sparkSession.sparkContext.broadcast(Adjacency(edges, [weight]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,11 +235,15 @@ def walked_back(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, done)
 
 
-def paths(edges: DataFrame, pairs: DataFrame, weight: str) -> DataFrame:
-    """``origin``, ``dest`` and ``path`` (nodes) of the least-weight path of each reachable pair; pairs of an origin share one search."""
+def paths(edges: DataFrame, pairs: DataFrame, weight: str, nodes: DataFrame | None = None) -> DataFrame:
+    """``origin``, ``dest`` and ``path`` (nodes) of the least-weight path of each reachable pair; pairs of an origin share one search. ``nodes`` as in distances()."""
     links = written(best_edges(edges.select("src", "dst", weight), weight), "edges")
     if links.count() > ADJACENCY_EDGES:
-        return relaxed_paths(links, pairs, weight)
+        if nodes is None:
+            return relaxed_paths(links, pairs, weight)
+        net = tiled.Tiled(links, nodes, weight)
+        state = net.search(pairs.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("distance")))
+        return net.paths(state, pairs)
     shared = links.sparkSession.sparkContext.broadcast(Adjacency(links, [weight]))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -256,12 +268,12 @@ def path_steps(routed: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     return routed.select("origin", "dest", F.posexplode(hops).alias("step", "hop")).select("origin", "dest", "step", "hop.*").join(best_edges(edges, weight), ["src", "dst"])
 
 
-def routes(edges: DataFrame, pairs: DataFrame, weight: str) -> DataFrame:
+def routes(edges: DataFrame, pairs: DataFrame, weight: str, nodes: DataFrame | None = None) -> DataFrame:
     """``pairs`` (``origin``, ``dest``, other columns) with ``km``, ``mean_risk`` (by length), ``max_risk``, ``exposure`` (risk kilometres) and ``path`` of the least-weight route; unreachable pairs are missing.
 
     ``edges`` have ``length``, ``risk``, ``risk_max`` and the weight. A route of one node has zeros.
     """
-    routed = written(paths(edges, pairs, weight), "routes")
+    routed = written(paths(edges, pairs, weight, nodes), "routes")
     steps = path_steps(routed, edges.select("src", "dst", "length", "risk", "risk_max", *([weight] if weight not in ("length", "risk", "risk_max") else [])), weight)
     exposure = F.sum(F.col("length") * F.col("risk"))
     sums = steps.groupBy("origin", "dest").agg((F.sum("length") / 1000).alias("km"), F.coalesce(F.try_divide(exposure, F.sum("length")), F.lit(0.0)).alias("mean_risk"), F.max("risk_max").alias("max_risk"), (exposure / 1000).alias("exposure"))

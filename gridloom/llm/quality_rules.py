@@ -18,6 +18,8 @@ PRIOR = 10.0
 #: Mean gain (nats for an n-gram) from which a text is kept: texts like the target's lie near 0, marked-up or shouted ones below -0.3.
 LEAST_RATIO = -0.25
 MICRO = 1_000_000
+#: Bits that ids of trusted texts are hashed to (2 MB): when they are many, more texts are shuffled to the ids, with the same result.
+BITS = 1 << 24
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -60,11 +62,28 @@ def buckets(found: Column) -> Column:
     return F.transform(F.array_compact(F.concat(found, pairs)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
 
 
-def bucket_counts(texts: DataFrame, *, text_col: str = "text", trusted_col: str = "trusted") -> DataFrame:
-    """``bucket``, ``raw`` and ``trusted``: n-grams of all texts, and of those whose boolean ``trusted_col`` holds (null: it does not)."""
-    rows = texts.select(words(F.col(text_col)).alias("words"), F.coalesce(trusted_col, F.lit(False)).alias("trusted"))
-    each = rows.select("trusted", F.explode(buckets(F.col("words"))).alias("bucket"))
-    return each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if(F.col("trusted")).alias("trusted"))
+def _perhaps(ids: DataFrame, key: Column) -> Column:
+    """False only where a key is not among ``ids`` (one column): a bit of BITS for each hash, packed to one array of longs, whose size is fixed."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    marked = ids.select(place(F.col(ids.columns[0])).alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, int(place % 64))").alias("bits"))
+    every = ids.sparkSession.range(BITS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = marked.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("words"))
+    at = place(key)
+    return key.isNotNull() & (F.getbit(F.get(words.scalar(), F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1)
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bucket``, ``raw`` and ``trusted``: n-grams of all texts, and of those whose id is in ``trusted`` (``id_col``).
+
+    Only texts whose id may be trusted are shuffled to the ids; all others are counted where they are read. Null ids are never trusted.
+    """
+    ids = trusted.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    perhaps = _perhaps(ids, F.col("id"))
+    some = rows.where(perhaps).join(ids.withColumn("trusted", F.lit(True)).hint("shuffle_hash"), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    each = some.unionByName(rows.where(~perhaps).select("text", F.lit(False).alias("trusted")))
+    found = each.select("trusted", F.explode(buckets(words(F.col("text")))).alias("bucket"))
+    return found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if(F.col("trusted")).alias("trusted"))
 
 
 def gains(counts: DataFrame, prior: float = PRIOR) -> DataFrame:

@@ -194,8 +194,7 @@ def crc_sql(text: str) -> str:
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trusted target is made of all documents labelled as good, but for the held-out quarter of the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.where((F.col("quality") == 1) & ~held_out_quarter()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    counts = quality_rules.bucket_counts(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+    counts = quality_rules.bucket_counts(docs, labels.where((F.col("quality") == 1) & ~held_out_quarter()))
     judged = quality_rules.judge(docs, quality_rules.gains(counts))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"))
 

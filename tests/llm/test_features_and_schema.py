@@ -55,8 +55,8 @@ def quality_rows(rows, trusted, least=quality_rules.LEAST_RATIO):
 
 @pytest.mark.parametrize("trusted", [{3, 10}, set(), {99}])
 def test_quality_rules_equal_brute_force(spark, trusted):
-    docs = spark.createDataFrame(EDGES, "doc_id long, text string").withColumns({"words": F.lit(1), "gains": F.lit("x"), "trusted": F.col("doc_id").isin(*trusted), "ratio": F.lit("x")})
-    counts = quality_rules.bucket_counts(docs)
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string").withColumns({"words": F.lit(1), "gains": F.lit("x"), "trusted": F.lit("x"), "ratio": F.lit("x"), "id": F.lit("x")})
+    counts = quality_rules.bucket_counts(docs, spark.createDataFrame([(i,) for i in (*trusted, *trusted, None)], "doc_id long"))
     found = quality_rules.judge(docs, quality_rules.gains(counts))
     got = [(*r[:7], r["kept"], round(r["ratio"], 9)) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(quality_rows(EDGES, trusted), key=repr)
@@ -65,8 +65,8 @@ def test_quality_rules_equal_brute_force(spark, trusted):
 
 
 def test_quality_rules_of_an_empty_table(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string, trusted boolean")
-    assert quality_rules.judge(docs, quality_rules.gains(quality_rules.bucket_counts(docs))).collect() == []
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert quality_rules.judge(docs, quality_rules.gains(quality_rules.bucket_counts(docs, docs))).collect() == []
 
 
 def test_quality_rules_keep_good_held_out_documents(spark):

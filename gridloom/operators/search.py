@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import planar_m, points_between, summed
-from gridloom.operators import network
+from gridloom.operators import network, tiled
 from gridloom.operators.skew import join_to_unique
 from gridloom.session import written
 
@@ -93,26 +93,33 @@ def _searched(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
     return flat.groupBy("end", "slice").applyInPandas(run, _FOUND)
 
 
-def _relaxed(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
-    """_searched() for graphs beyond the checked size: all queries relax together by joins."""
+def _tiled(far: DataFrame, roads: DataFrame, alpha: float) -> DataFrame:
+    """_searched() for graphs beyond the checked size, cut by tiles: one search from each different end, whose ways to the starts are walked back tile by tile."""
     both = roads.select(F.col("a").alias("src"), F.col("b").alias("dst"), "edge", "length", "risk").unionByName(roads.select(F.col("b").alias("src"), F.col("a").alias("dst"), "edge", "length", "risk"))
     links = written(network.best_edges(both.withColumn("cost", F.col("length") * (1 + F.col("risk") * alpha)), "cost"), "search-links")
+    at = lambda node, k: F.struct(F.col(node).alias("id"), F.element_at("points", k)["x"].alias("x"), F.element_at("points", k)["y"].alias("y"))
+    nodes = roads.select(F.inline(F.array(at("a", 1), at("b", -1)))).groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.*")
+    net = tiled.Tiled(links.select("src", "dst", "cost"), nodes, "cost")
     cost = lambda s, n: F.col(f"{s}.{n}") * (1 + F.col(f"{s}.edge_risk") * alpha)
     ends = lambda s: F.inline(F.array(*[F.struct(F.col(f"{s}.{n}").alias("node"), cost(s, f"to_{n}").alias("c"), F.col(f"{s}.to_{n}").alias("metres")) for n in "ab"]))
-    starts = far.select(F.col("id").alias("origin"), ends("s"))
-    tree = network.relaxed(links.select("src", "dst", "cost"), starts.select("origin", "node", F.col("c").alias("distance")), "cost")
-    exits = far.select(F.col("id").alias("origin"), ends("t")).join(tree, ["origin", "node"]).groupBy("origin").agg(F.min(F.struct((F.col("distance") + F.col("c")).alias("d"), F.col("node"), F.col("metres"))).alias("m"))
-    walked = network.walked_back(tree, exits.select("origin", F.col("m.node").alias("dest")))
-    first = starts.groupBy("origin", F.col("node").alias("start")).agg(F.min("metres").alias("first"))
-    steps = network.path_steps(walked, links, "cost").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("step", "edge", "length", "risk"))).alias("taken"))
-    whole = walked.withColumn("start", F.col("path")[0]).join(first, ["origin", "start"]).join(exits.select("origin", F.col("m.metres").alias("last")), "origin").join(steps, "origin", "left").join(far.select(F.col("id").alias("origin"), "s", "t"), "origin")
+    keyed = written(far.withColumn("end", F.concat_ws(":", "t.edge", "t.v")), "search-far")
+    last = keyed.groupBy("end").agg(F.first("t").alias("t")).select("end", ends("t"))
+    state = net.search(last.select(F.col("end").alias("origin"), "node", F.col("c").alias("distance")))
+    starts = keyed.select("id", F.col("end").alias("origin"), ends("s"))
+    tree = net.distances(state).join(starts.select("origin", "node").distinct(), ["origin", "node"])
+    exits = written(starts.join(tree, ["origin", "node"]).groupBy("id", "origin").agg(F.min(F.struct((F.col("distance") + F.col("c")).alias("d"), F.col("node"), F.col("metres"))).alias("m")), "search-exits")
+    ways = net.paths(state, exits.select("origin", F.col("m.node").alias("dest")))
+    walked = written(exits.select("id", "origin", F.col("m.node").alias("dest"), F.col("m.metres").alias("first")).join(ways, ["origin", "dest"]).withColumn("path", F.reverse("path")), "search-walked")
+    lasts = last.groupBy("end", "node").agg(F.min("metres").alias("last")).select(F.col("end").alias("origin"), F.col("node").alias("goal"), "last")
+    steps = network.path_steps(walked.select(F.col("id").alias("origin"), "dest", "path"), links, "cost").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("step", "edge", "length", "risk"))).alias("taken")).withColumnRenamed("origin", "id")
+    whole = walked.withColumn("goal", F.element_at("path", -1)).join(lasts, ["origin", "goal"]).join(steps, "id", "left").join(far.select("id", "s", "t"), "id")
     part = lambda n, r: F.struct(n.alias("n"), r.alias("r"))
     middle = F.transform(F.coalesce("taken", F.array().cast("array<struct<step: int, edge: long, length: double, risk: double>>")), lambda x: part(x["length"], x["risk"]))
     parts = F.concat(F.array(part(F.col("first"), F.col("s.edge_risk"))), middle, F.array(part(F.col("last"), F.col("t.edge_risk"))))
     length = summed(F.transform(parts, lambda p: p["n"]))
     mean = F.coalesce(F.try_divide(summed(F.transform(parts, lambda p: p["n"] * p["r"])), length), F.lit(0.0))
     top = F.coalesce(F.array_max(F.transform(F.filter(parts, lambda p: p["n"] > 0), lambda p: p["r"])), F.lit(0.0))
-    return whole.select(F.col("origin").alias("id"), length.alias("length"), mean.alias("mean_risk"), top.alias("max_risk"), F.col("path").alias("nodes"), F.coalesce(F.transform("taken", lambda x: x["edge"]), F.array().cast("array<long>")).alias("edges"))
+    return whole.select("id", length.alias("length"), mean.alias("mean_risk"), top.alias("max_risk"), F.col("path").alias("nodes"), F.coalesce(F.transform("taken", lambda x: x["edge"]), F.array().cast("array<long>")).alias("edges"))
 
 
 def snapped_ends(queries: DataFrame, roads: DataFrame, limit: float = K.SNAP_LIMIT_M) -> DataFrame:
@@ -132,7 +139,7 @@ def search(queries: DataFrame, roads: DataFrame, alpha: float, limit: float = K.
     on_one = F.when(metres > 0, F.col("s.edge_risk")).otherwise(0.0)
     same = near.select("id", metres.alias("length"), on_one.alias("mean_risk"), on_one.alias("max_risk"), F.array().cast("array<long>").alias("nodes"), F.array().cast("array<long>").alias("edges"))
     far = ends.where("s.edge <> t.edge")
-    found = same.unionByName(_searched(far, roads, alpha) if roads.count() * 2 <= network.ADJACENCY_EDGES else _relaxed(far, roads, alpha))
+    found = same.unionByName(_searched(far, roads, alpha) if roads.count() * 2 <= network.ADJACENCY_EDGES else _tiled(far, roads, alpha))
     whole = queries.join(ends, "id").join(found, "id", "left")
     straight = planar_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return whole.select(*queries.columns, F.when(F.col("length").isNull(), "straight").otherwise("route").alias("mode"), F.coalesce("length", straight).alias("length"), "mean_risk", "max_risk", "s", "t", "nodes", "edges")

@@ -40,6 +40,7 @@ class Lattice:
         joined = ahead.join(self.nodes.select("r", "c", F.col("id").alias("dst")), ["r", "c"])
         self.bare = joined.select("src", "dst", (1000 + (F.col("src") * 37 + F.col("dst") * 91) % 211 + F.col("node_risk") * 10).alias("length"))
         self.edges = written(network.edge_risk(self.bare, self.nodes.select("id", "x", "y"), self.grid), "edge-risk")
+        self.places = self.nodes.select("id", "x", "y")
 
     def origins(self) -> DataFrame:
         """The origins that are nodes."""
@@ -65,7 +66,7 @@ def _paths_sql(name: str, weight: str) -> str:
 @query(f"{LATTICE_SQL}, {_paths_sql('by_length', 'length')}, {_paths_sql('by_cost', 'cost')} SELECT CAST(a.o AS BIGINT) AS origin, CAST(a.n AS BIGINT) AS node, round(a.d, 4) AS shortest, round(b.d, 4) AS safest FROM by_length a JOIN by_cost b ON a.o = b.o AND a.n = b.n")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Lattice(spark, sf_dir)
-    found = network.distances(net.edges, net.origins(), "length").withColumnRenamed("distance", "shortest").join(network.distances(net.edges, net.origins(), "cost").withColumnRenamed("distance", "safest"), ["origin", "node"])
+    found = network.distances(net.edges, net.origins(), "length", net.places).withColumnRenamed("distance", "shortest").join(network.distances(net.edges, net.origins(), "cost", net.places).withColumnRenamed("distance", "safest"), ["origin", "node"])
     return rounded(found, 4)
 
 
@@ -88,7 +89,7 @@ NEAREST_SQL = """near AS (SELECT o AS origin, kind, arg_min(n, (round(d, 6), n))
 def pairs(net: Lattice, parts: DataFrame) -> DataFrame:
     """Each origin with its nearest place of each kind by length: ``origin``, ``kind``, ``dest`` and ``name``."""
     dests = destinations(net, parts)
-    reached = network.distances(net.edges, net.origins(), "length").where("origin <> node")
+    reached = network.distances(net.edges, net.origins(), "length", net.places).where("origin <> node")
     best = reached.join(dests, "node").groupBy("origin", "kind").agg(F.min(F.struct(F.round("distance", 6).alias("d"), F.col("node").alias("dest"))).alias("m"))
     return best.select("origin", "kind", F.col("m.dest").alias("dest")).join(dests.withColumnRenamed("node", "dest"), ["kind", "dest"])
 
@@ -119,7 +120,7 @@ round(coalesce(100 * (sr - lr) / nullif(sr, 0), 0e0), 4) AS mean_risk_reduction_
 def route_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Lattice(spark, sf_dir)
     wanted = written(pairs(net, table(spark, sf_dir, "part")).select("origin", "kind", "dest"), "pairs")
-    return rounded(tradeoff(network.routes(net.edges, wanted, "length"), network.routes(net.edges, wanted, "cost")), 4)
+    return rounded(tradeoff(network.routes(net.edges, wanted, "length", net.places), network.routes(net.edges, wanted, "cost", net.places)), 4)
 
 
 def tradeoff(short: DataFrame, safe: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def route_rows(net: Lattice, wanted: DataFrame) -> DataFrame:
     edges = network.edge_points(net.edges, net.nodes.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")))
     out = []
     for kind, weight in (("shortest", "length"), ("least_risk", "cost")):
-        found = written(network.routes(net.edges, wanted, weight), "route-rows")
+        found = written(network.routes(net.edges, wanted, weight, net.places), "route-rows")
         steps = network.path_steps(found.select("origin", "dest", "path").distinct(), edges, weight)
         placed = steps.join(net.nodes.select(F.col("id").alias("src"), F.col("lon").alias("sx"), F.col("lat").alias("sy")), "src")
         out.append(found.join(network.path_lines(placed), ["origin", "dest"], "left").withColumn("route_type", F.lit(kind)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,17 +18,55 @@ from gridloom.operators.rasters import diamond, spread
 from gridloom.operators.skew import numbered
 from gridloom.session import written
 
+#: Cells along a side of the tiles that components are labelled in.
+LABEL_TILE = 256
+
+
+def joined_sets(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that the pairs (a, b) join it to: roots hook onto smaller roots, then all take their root's root, until nothing changes."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if not (apart := x != y).any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (further := root[root] != root).any():
+            root[further] = root[root[further]]
+
+
+def _tile_labels(marked: DataFrame, columns: int) -> DataFrame:
+    """``r``, ``c`` and ``label``: the least cell number of a marked cell's 8-connected set inside its tile. One task labels a tile of LABEL_TILE squared cells at most."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame["r"].to_numpy(), frame["c"].to_numpy()
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        at = np.full((LABEL_TILE + 2, LABEL_TILE + 2), -1, np.int32)
+        i, j = r % LABEL_TILE + 1, c % LABEL_TILE + 1
+        at[i, j] = np.arange(len(r))
+        pairs = []
+        for di, dj in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            other = at[i + di, j + dj]
+            pairs.append((at[i, j][other >= 0], other[other >= 0]))
+        root = joined_sets(len(r), *(np.concatenate(p) for p in zip(*pairs, strict=True)))
+        return pd.DataFrame({"r": r, "c": c, "label": (r * columns + c)[root]})
+
+    tiled = marked.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct().withColumns({"tr": F.floor(F.col("r") / LABEL_TILE), "tc": F.floor(F.col("c") / LABEL_TILE)})
+    return tiled.groupBy("tr", "tc").applyInPandas(run, "r long, c long, label long")
+
 
 def cell_components(marked: DataFrame, columns: int) -> DataFrame:
     """``r``, ``c`` and ``component`` (least cell number ``r * columns + c``) of the 8-connected sets of marked cells.
 
-    Each cell is handed to half of its neighbours, which is enough to meet every pair of neighbours once.
+    Each tile is labelled in its own task; only cells along the borders of tiles are joined to their neighbours, and only labels are joined across the whole grid.
     """
-    number = F.col("r") * columns + F.col("c")
-    keyed = marked.select("r", "c", number.alias("id"))
-    ahead = spread(keyed, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)], [F.col("id").alias("other")])
-    edges = ahead.join(keyed, ["r", "c"]).select(F.col("other").alias("src"), F.col("id").alias("dst"))
-    return connected_components(edges).join(keyed, F.col("node") == F.col("id")).select("r", "c", "component")
+    labels = written(_tile_labels(marked, columns), "tile-labels")
+    edge = lambda x: F.pmod(x, F.lit(LABEL_TILE)).isin(0, LABEL_TILE - 1)
+    border = labels.where(edge("r") | edge("c"))
+    ahead = spread(border, [(0, 1), (1, -1), (1, 0), (1, 1)], [F.col("label").alias("src")])
+    links = ahead.join(border.withColumnRenamed("label", "dst"), ["r", "c"]).where("src <> dst").select("src", "dst").distinct()
+    parts = connected_components(links).withColumnRenamed("node", "label")
+    return labels.join(parts, "label", "left").select("r", "c", F.coalesce("component", "label").alias("component"))
 
 
 def zonal_statistics(cells: DataFrame, zones: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def _from(found: Column, n: int) -> Column:
     return F.slice(found, F.lit(n), F.size(found))
 
 
+def _part(found: Column, n: int, less: int) -> Column:
+    """As many elements from ``n`` (from 1) on as the array has, less ``less``."""
+    return F.slice(found, F.lit(n), F.greatest(F.size(found) - less, F.lit(0)))
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once, however often (and in whatever inner function) it is used, also where a filter is pushed below."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -57,9 +62,13 @@ def repeated_words(windows: Column) -> Column:
 
 
 def buckets(found: Column) -> Column:
-    """Buckets of words and of pairs of neighbouring words (joined by a space): the unsigned CRC-32 of the UTF-8 bytes, folded."""
-    pairs = F.zip_with(found, _from(found, 2), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last word
-    return F.transform(F.array_compact(F.concat(found, pairs)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
+    """Buckets of words and of pairs of neighbouring words: by c, the unsigned CRC-32 of a word's UTF-8 bytes, c mod BUCKETS and (1000003 c + c') mod BUCKETS."""
+
+    def both(sums: Column) -> Column:
+        pairs = F.zip_with(_part(sums, 1, 1), _part(sums, 2, 1), lambda a, b: ((a * 1_000_003 + b) % BUCKETS).cast("int"))
+        return F.concat(F.transform(sums, lambda c: (c % BUCKETS).cast("int")), pairs)
+
+    return _let(F.transform(found, lambda w: F.crc32(w.cast("binary"))), both)
 
 
 def _perhaps(ids: DataFrame, key: Column) -> Column:
@@ -121,8 +130,8 @@ def judge(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col
         "id", F.size(found).cast("long").alias("n_words"), F.aggregate(found, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         (F.size(F.split("text", r"[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"), lines.alias("lines"), hashes.alias("hashes"), buckets(found).alias("buckets"),
     )
-    pairs = F.zip_with("hashes", _from(F.col("hashes"), 2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    windows = F.filter(F.zip_with(pairs, _from(F.col("hashes"), 3), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c))), lambda h: h.isNotNull())
+    h = F.col("hashes")
+    windows = F.zip_with(F.zip_with(_part(h, 1, 2), _part(h, 2, 2), lambda a, b: F.xxhash64(a, b)), _part(h, 3, 2), lambda ab, c: F.xxhash64(ab, c))
     total = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + F.get("gains", b))
     dup_lines = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
     summed = counted.select("id", "n_words", "word_chars", "n_symbols", dup_lines.alias("n_dup_lines"), repeated_words(windows).alias("n_repeat_words"), "buckets", table.select("gains").scalar().alias("gains"))

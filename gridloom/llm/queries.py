@@ -202,12 +202,14 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op13_quality_rules"] = rf"""
 WITH {CRC_SQL}, docs AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), grams AS (
-  SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM docs
+), places AS (
+  SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS a FROM docs
 ), hashed AS (
-  SELECT g, {crc_sql('g')} % {quality_rules.BUCKETS} AS bucket FROM (SELECT DISTINCT g FROM grams), crc_table
+  SELECT a, {crc_sql('a')} AS c FROM (SELECT DISTINCT a FROM places), crc_table
+), sums AS (
+  SELECT k, c, lead(c) OVER (PARTITION BY k ORDER BY i) AS d FROM places JOIN hashed USING (a)
 ), placed AS (
-  SELECT k, bucket, count(*) AS n FROM grams JOIN hashed USING (g) GROUP BY k, bucket
+  SELECT k, bucket, count(*) AS n FROM (SELECT k, c % {quality_rules.BUCKETS} AS bucket FROM sums UNION ALL SELECT k, (1000003 * c + d) % {quality_rules.BUCKETS} FROM sums WHERE d IS NOT NULL) GROUP BY k, bucket
 ), good AS (
   SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND (SELECT {crc_sql('doc_id::VARCHAR')} FROM crc_table) % 4 <> 2
 ), counts AS (
@@ -216,8 +218,6 @@ WITH {CRC_SQL}, docs AS (
   SELECT bucket, floor(1000000 * ln((trusted + 10e0 * s) / ((raw + 10e0) * s))) AS gain FROM counts, (SELECT sum(trusted)::DOUBLE / sum(raw)::DOUBLE AS s FROM counts)
 ), ratios AS (
   SELECT k, sum(n * gain) / sum(n) / 1000000 AS ratio FROM placed JOIN gains USING (bucket) GROUP BY k
-), places AS (
-  SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS a FROM docs
 ), windows AS (
   SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM (SELECT k, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY k ORDER BY i)) WHERE c IS NOT NULL
 ), repeated AS (

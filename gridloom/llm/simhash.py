@@ -2,17 +2,18 @@
 
 Two 64-bit fingerprints that differ in at most ``d`` bits differ in at most ``d`` of their eight bytes, so they share
 at least ``8 - d`` bytes at the same positions: the guaranteed minimum of matches. A list of one single byte would hold 1/256 of
-all rows, so the index is parted: one posting for each fingerprint and each choice of ``8 - d`` positions, keyed by the bytes there. Two
-fingerprints that reach the minimum meet in a list. There the bytes shared by position are tallied for each pair, over all eight
-positions; pairs below the minimum go, and those retained are verified bit by bit. A list holds ``256 ** d`` different fingerprints at most,
-whatever the data; its members leave as a spanning star for each linked set, not as pairs.
+all rows, so the eight positions are cut into blocks (four of two bytes for two bits): at most ``d`` blocks are spoilt, so such a pair meets in one of the lists keyed by
+the bytes of all blocks but ``d``. There the bytes shared by position are tallied for each pair, over all eight
+positions; pairs below the minimum go, and those retained are verified bit by bit. The fingerprints of a list of more than LONG are dealt to lists
+keyed by all choices of ``8 - d`` positions that its blocks are part of, which hold ``256 ** d`` different ones at most, whatever the data. A list's members leave as a
+spanning star for each linked set, not as pairs.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from gridloom.session import written
 
 #: Posting lists up to this length are verified pair by pair, longer ones by probing each permitted change of bits.
 PAIRWISE = 256
+#: Fingerprints from which a list is dealt to lists of more positions: as many as those can hold for two bits.
+LONG = 1 << 16
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
 
@@ -121,6 +124,16 @@ def _changed(fps: np.ndarray, change: np.uint64) -> tuple[np.ndarray, np.ndarray
     return hit, at[hit]
 
 
+def blocks(max_diff: int) -> list[tuple[int, ...]]:
+    """The eight byte positions in blocks: twice as many as bits may differ, eight at most."""
+    return [tuple(int(p) for p in b) for b in np.array_split(np.arange(8), min(8, 2 * max_diff))]
+
+
+def mask(positions: Iterable[int]) -> int:
+    """The bits of byte positions."""
+    return sum(0xFF << 8 * p for p in positions)
+
+
 def links(distinct: DataFrame, max_diff: int = 2) -> DataFrame:
     """``src`` and ``dst`` fingerprints whose edges connect just what pairs differing in up to ``max_diff`` bits connect.
 
@@ -128,9 +141,16 @@ def links(distinct: DataFrame, max_diff: int = 2) -> DataFrame:
     """
     if not 0 < max_diff < 8:
         raise ValueError("max_diff must be 1 to 7")
-    masks = [sum(0xFF << 8 * p for p in c) for c in itertools.combinations(range(8), 8 - max_diff)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    postings = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("positions", "bytes"))
+    bytes_of = lambda masks: F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
+    keys = [sum(c, ()) for c in itertools.combinations(blocks(max_diff), len(blocks(max_diff)) - max_diff)]
+    postings = distinct.select("fp", F.posexplode(bytes_of([mask(k) for k in keys])).alias("positions", "bytes"))
+    long = written(postings.groupBy("positions", "bytes").count().where(F.col("count") > LONG).select("positions", "bytes", F.lit(True).alias("long")), "simhash-long")
+    if n_long := long.count():
+        rest = [[mask((*k, *more)) for more in itertools.combinations(set(range(8)) - set(k), 8 - max_diff - len(k))] for k in keys]
+        finer = F.when(F.col("long"), F.array(*[bytes_of(r) for r in rest])[F.col("positions")]).otherwise(F.array("bytes"))
+        marked = postings.join(F.broadcast(long) if n_long <= 100_000 else long, ["positions", "bytes"], "left")
+        each = marked.select("fp", "positions", F.posexplode(finer).alias("choice", "bytes"), "long")
+        postings = each.select("fp", F.when(F.col("long"), (F.col("positions") + 1) * 100 + F.col("choice")).otherwise(F.col("positions")).alias("positions"), "bytes")
     lists = postings.repartition("positions", "bytes").sortWithinPartitions("positions", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,8 @@ def quality_rows(rows, trusted, least=quality_rules.LEAST_RATIO):
     grams = []
     for _, text in rows:
         words = quality_counts(text)[0]
-        grams.append([zlib.crc32(g.encode()) % quality_rules.BUCKETS for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]])
+        sums = [zlib.crc32(w.encode()) for w in words]
+        grams.append([c % quality_rules.BUCKETS for c in [*sums, *(1_000_003 * a + b for a, b in zip(sums, sums[1:]))]])
     raw, good = Counter(b for g in grams for b in g), Counter(b for (i, _), g in zip(rows, grams) if i in trusted for b in g)
     share = sum(good.values()) / sum(raw.values()) if raw else 0
     gain = {b: math.floor(1e6 * math.log((good[b] + 10 * share) / ((raw[b] + 10) * share))) if share else 0 for b in raw}

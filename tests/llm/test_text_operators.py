@@ -228,6 +228,41 @@ def test_tally_retains_and_verifies(monkeypatch, pairwise):
         assert counts["candidates"] == len(pairs) and counts["retained"] == sum(n >= 6 for n in shared) < len(pairs)
 
 
+@pytest.mark.parametrize("max_diff", [1, 2, 3, 5])
+def test_near_fingerprints_share_a_list(max_diff):
+    rnd, kept = random.Random(max_diff), len(simhash.blocks(max_diff)) - max_diff
+    assert sorted(p for b in simhash.blocks(max_diff) for p in b) == list(range(8)) and kept > 0
+    for _ in range(200):
+        change = simhash.mask([])
+        for bit in rnd.sample(range(64), max_diff):
+            change |= 1 << bit
+        assert sum(change & simhash.mask(b) == 0 for b in simhash.blocks(max_diff)) >= kept
+
+
+@pytest.mark.parametrize("long", [1 << 16, 5])
+def test_tally_removes_candidates_and_long_lists_are_dealt(spark, monkeypatch, long):
+    monkeypatch.setattr(simhash, "LONG", long)
+    rnd = random.Random(long)
+    fps = {rnd.getrandbits(64) & ~0xFFFF | rnd.getrandbits(5) for _ in range(30)} | {0xABCD << 48 | 0x1234 << 32 | rnd.getrandbits(12) for _ in range(120)} | {rnd.getrandbits(32) << 32 | 7 for _ in range(40)}
+    fps |= {f ^ (1 << rnd.randrange(64)) for f in rnd.sample(sorted(fps), 30)} | {f ^ (3 << rnd.randrange(63)) for f in rnd.sample(sorted(fps), 30)}
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp long")
+    edges = [(r.src % (1 << 64), r.dst % (1 << 64)) for r in simhash.links(frame).collect()]
+    group = {f: f for f in fps}
+
+    def root(f):
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    for a, b in edges:
+        group[max(root(a), root(b))] = min(root(a), root(b))
+    want = brute_components(fps)
+    assert {f: root(f) for f in fps} == {f: min(g for g in fps if want[g] == want[f]) for f in fps}
+    counts = Counter()
+    simhash.star(np.array(sorted(f for f in fps if f >> 32 == 0xABCD1234), dtype=np.uint64), 2, counts)
+    assert counts["candidates"] > counts["retained"] > counts["verified"] > 0
+
+
 def test_frequent_fingerprint_stays_spread(spark):
     rows = [(i, "the same text everywhere here") for i in range(3000)] + [(3000 + i, f"a text of its own {i} {i * 7}") for i in range(300)]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))

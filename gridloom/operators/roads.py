@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import KM_LAT, KM_LON
-from gridloom.operators import network, places
+from gridloom.operators import network, noding, places
 from gridloom.operators.components import connected_components
 from gridloom.session import written
 
@@ -65,6 +65,11 @@ def merged_lines(edges: DataFrame) -> DataFrame:
     return rows.groupBy("line").applyInPandas(run, f"line string, points {network.POINTS}, length double, risk double, pieces long")
 
 
+def noded_lines(edges: DataFrame) -> DataFrame:
+    """merged_lines() of roads that are first split wherever they cross, touch or overlap, with or without a shared node; lines have no risk of their own."""
+    return merged_lines(noding.as_edges(noding.noded(noding.segments(one_way_each(edges))))).drop("risk")
+
+
 def simplify_metres(lines: DataFrame, tolerance: float, latitude: float) -> DataFrame:
     """network.simplify() with a tolerance in metres: on the plane that touches at a latitude, and back to degrees."""
     kx, ky = KM_LON * 1000 * float(np.cos(np.radians(latitude))), KM_LAT * 1000
@@ -82,7 +87,7 @@ def capped_lines(
     left = list(classes)
     while left:
         chosen = edges.where(places.shows(F.col("highway"), tuple(left)))
-        lines = written(merged_lines(chosen), "road-lines")
+        lines = written(noded_lines(chosen), "road-lines")
         metres = float(tolerance)
         for _ in range(doublings):
             simple = written(simplify_metres(lines, metres, latitude).where(F.size("points") >= 2), "road-simple")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import cell_centre, in_ring
-from gridloom.operators import contraction, network, roads, search
+from gridloom.operators import contraction, network, noding, roads, search
 from gridloom.plans.layers import rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk
@@ -391,7 +391,12 @@ def display_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.display_roads(lined).select("src", "dst", "highway", "risk", F.size("points").cast("long").alias("vertices"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINKS_SQL}, piece AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(struct_pack(length := length, risk := risk), (src, dst)) AS v FROM links WHERE src <> dst GROUP BY 1, 2),
+inner_ AS (SELECT id FROM (SELECT a AS id FROM piece UNION ALL SELECT b FROM piece) GROUP BY id HAVING count(*) = 2),
+joint AS (SELECT a AS x, b AS y FROM piece WHERE a IN (SELECT id FROM inner_) AND b IN (SELECT id FROM inner_)), both_ AS (SELECT x, y FROM joint UNION ALL SELECT y, x FROM joint),
+label(id, component) USING KEY (id) AS (SELECT id, id FROM inner_ UNION SELECT n.y, min(p.component) FROM label p JOIN both_ n ON n.x = p.id JOIN recurring.label q ON q.id = n.y WHERE p.component < q.component GROUP BY n.y),
+keyed AS (SELECT piece.*, coalesce(p.component, q.component) AS component FROM piece LEFT JOIN label p ON p.id = a LEFT JOIN label q ON q.id = b)
+SELECT coalesce('c' || component, 'e-' || a || '-' || b) AS line, count(*) AS pieces, round(sum(v.length), 4) AS length, round(sum(v.length * v.risk) / sum(v.length), 6) AS risk, count(*) + 1 AS vertices FROM keyed GROUP BY 1""")
 def merged_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers' roads merged to polylines: their ends, pieces, length and vertices."""
     rows = links(spark, sf_dir).where("src <> dst")
@@ -400,6 +405,46 @@ def merged_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line", "pieces", F.round("length", 4).alias("length"), F.round("risk", 6).alias("risk"), F.size("points").cast("long").alias("vertices"))
 
 
+#: Short roads that cross, touch and overlap without shared nodes, in whole places of a ten-millionth of a degree: every seventh one lies on the one before and goes on for its length.
+SHORT_SQL = """short AS (SELECT k, f, base, 760000000 + base * 37 % 500 * 10000 AS x, 110000000 + base * 53 % 400 * 10000 AS y FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS f, CASE WHEN c_custkey % 7 = 0 THEN c_custkey - 1 ELSE c_custkey END AS base FROM customer)),
+segment AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT struct_pack(x := x, y := y) AS p, struct_pack(x := x + (base * 31 % 7 - 3) * 50030 * f, y := y + (base * 17 % 5 - 2) * 50030 * f) AS q FROM short) WHERE p <> q),
+pair AS (SELECT s.a AS a, s.b AS b, o.a AS c, o.b AS d, s.b.x - s.a.x AS dx, s.b.y - s.a.y AS dy, o.b.x - o.a.x AS ex, o.b.y - o.a.y AS ey, o.a.x - s.a.x AS cx, o.a.y - s.a.y AS cy FROM segment s JOIN segment o ON (s.a, s.b) <> (o.a, o.b)
+  AND o.a.x <= s.b.x AND o.b.x >= s.a.x AND least(o.a.y, o.b.y) <= greatest(s.a.y, s.b.y) AND greatest(o.a.y, o.b.y) >= least(s.a.y, s.b.y)),
+crossed AS (SELECT *, sign(dx * ey - dy * ex)::BIGINT AS g, dx * ey - dy * ex AS den, cx * ey - cy * ex AS t, cx * dy - cy * dx AS u FROM pair),
+turned AS (SELECT a, b, c, d, dx, dy, CASE WHEN g < 0 THEN -den ELSE den END AS den, CASE WHEN g < 0 THEN -t ELSE t END AS t, CASE WHEN g < 0 THEN -u ELSE u END AS u FROM crossed),
+cut AS (SELECT a, b, CASE WHEN t = 0 THEN a WHEN t = den THEN b WHEN u = 0 THEN c WHEN u = den THEN d ELSE struct_pack(x := a.x + floor(t::DOUBLE / den::DOUBLE * dx + 0.5e0)::BIGINT, y := a.y + floor(t::DOUBLE / den::DOUBLE * dy + 0.5e0)::BIGINT) END AS p FROM turned WHERE den <> 0 AND t BETWEEN 0 AND den AND u BETWEEN 0 AND den AND (a, b) < (c, d)
+  UNION SELECT c, d, CASE WHEN t = 0 THEN a WHEN t = den THEN b WHEN u = 0 THEN c WHEN u = den THEN d ELSE struct_pack(x := a.x + floor(t::DOUBLE / den::DOUBLE * dx + 0.5e0)::BIGINT, y := a.y + floor(t::DOUBLE / den::DOUBLE * dy + 0.5e0)::BIGINT) END FROM turned WHERE den <> 0 AND t BETWEEN 0 AND den AND u BETWEEN 0 AND den AND (a, b) < (c, d)
+  UNION SELECT a, b, c FROM turned WHERE den = 0 AND u = 0 UNION SELECT a, b, d FROM turned WHERE den = 0 AND u = 0),
+stop AS (SELECT a, b, p FROM cut WHERE p > a AND p < b UNION SELECT a, b, a FROM segment UNION SELECT a, b, b FROM segment),
+piece AS (SELECT DISTINCT least(p, q) AS p, greatest(p, q) AS q FROM (SELECT p, lead(p) OVER (PARTITION BY a, b ORDER BY (p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y), p) AS q FROM stop) WHERE q IS NOT NULL AND p <> q)"""
+
+
+def short_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short road for each customer, as a line of lon and lat."""
+    k = F.col("c_custkey")
+    base, f = k - F.when(k % 7 == 0, 1).otherwise(0), F.when(k % 7 == 0, 2).otherwise(1)
+    x, y = F.lit(760000000) + base * 37 % 500 * 10000, F.lit(110000000) + base * 53 % 400 * 10000
+    spot = lambda a, b: F.struct((a / 10000000.0).alias("x"), (b / 10000000.0).alias("y"))
+    return table(spark, sf_dir, "customer").select(F.array(spot(x, y), spot(x + (base * 31 % 7 - 3) * 50030 * f, y + (base * 17 % 5 - 2) * 50030 * f)).alias("points"))
+
+
+@query(f"WITH {SHORT_SQL} SELECT p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM piece")
+def noded_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noding.noded(noding.segments(short_roads(spark, sf_dir))).withColumnRenamed("by", "by_")
+
+
+@query(f"""WITH RECURSIVE {SHORT_SQL}, ends AS (SELECT p AS n FROM piece UNION ALL SELECT q FROM piece), inner_ AS (SELECT n FROM ends GROUP BY n HAVING count(*) = 2),
+both_ AS (SELECT p AS x, q AS y FROM piece WHERE p IN (SELECT n FROM inner_) AND q IN (SELECT n FROM inner_) UNION ALL SELECT q, p FROM piece WHERE p IN (SELECT n FROM inner_) AND q IN (SELECT n FROM inner_)),
+label(n, component) USING KEY (n) AS (SELECT n, n FROM inner_ UNION SELECT b.y, min(l.component) FROM label l JOIN both_ b ON b.x = l.n JOIN recurring.label r ON r.n = b.y WHERE l.component < r.component GROUP BY b.y),
+keyed AS (SELECT p, q, coalesce(l.component, r.component) AS component, {_M.format(0, 1)} AS metres FROM (SELECT p, q, p.x / 10000000e0 AS lon0, p.y / 10000000e0 AS lat0, q.x / 10000000e0 AS lon1, q.y / 10000000e0 AS lat1 FROM piece) r LEFT JOIN label l ON l.n = r.p LEFT JOIN label r2 ON r2.n = r.q)
+SELECT pieces, vertices, round(length, 3) AS length FROM (SELECT count(*) AS pieces, count(*) + 1 AS vertices, sum(metres) AS length FROM keyed GROUP BY component, CASE WHEN component IS NULL THEN p END, CASE WHEN component IS NULL THEN q END)""".replace("coalesce(l.component, r.component)", "coalesce(l.component, r2.component)"))
+def merged_noded_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines between the places where not just two pieces meet."""
+    pieces = noding.noded(noding.segments(short_roads(spark, sf_dir)))
+    lines = roads.merged_lines(noding.as_edges(pieces))
+    return lines.select("pieces", F.size("points").cast("long").alias("vertices"), F.round("length", 3).alias("length"))
+
+
 @query(f"{LATTICE_SQL}, {POINTS_SQL} SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(sum(length), 2) FROM edges) AS metres FROM nodes")
 def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Lattice(spark, sf_dir)

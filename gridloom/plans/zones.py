@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 from gridloom.functions.geo import cell_centre
-from gridloom.operators import outlines, zones
+from gridloom.operators import outlines, polygons, zones
 from gridloom.plans.layers import BANDS, GRID, rounded
 from gridloom.plans.registry import query
 from gridloom.plans.scoring import RISK_SQL, risk_classes
+from gridloom.session import table
 from gridloom.sources import surrogates as S
 
 COMP_SQL = RISK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, top AS (SELECT r, c, r * 50 + c AS id, risk, exposure, area FROM classes WHERE class = 5),
@@ -60,6 +61,39 @@ def hotspot_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.groupBy("component").agg(F.sum("cells").cast("long").alias("cells"), F.round(F.sum(length)).cast("long").alias("sides"))
 
 
+#: A polygon for each supplier, in cells: a star that crosses itself, so that its middle is outside, a triangle beside it, and a hole in one point of the star.
+RINGS = (((0.13, -6.07), (3.61, 4.93), (-5.77, -1.87), (5.83, -1.91), (-3.59, 5.03)), ((8.03, 0.11), (11.07, 1.13), (9.01, 4.21)), ((0.21, -4.97), (0.91, -3.03), (-0.83, -2.97)))
+POLYGON_SQL = "corner AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {x}e0, {y}e0, {ring[(i + 1) % len(ring)][0]}e0, {ring[(i + 1) % len(ring)][1]}e0)" for r, ring in enumerate(RINGS) for i, (x, y) in enumerate(ring)) + """) t(ring, x0, y0, x1, y1)),
+side AS (SELECT s_suppkey AS polygon, x0 + s_suppkey * 7 % 53 + 0.0371e0 AS ax, y0 + s_suppkey * 11 % 43 + 0.0293e0 AS ay, x1 + s_suppkey * 7 % 53 + 0.0371e0 AS bx, y1 + s_suppkey * 11 % 43 + 0.0293e0 AS by_ FROM supplier, corner)"""
+
+
+def supplier_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' polygons, a row for each ring."""
+    k = F.col("s_suppkey")
+    x, y = k * 7 % 53 + F.lit(0.0371), k * 11 % 43 + F.lit(0.0293)
+    rings = F.array(*[F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ring]) for ring in RINGS])
+    moved = F.transform(F.col("ring"), lambda p: F.struct((p["x"] + x).alias("x"), (p["y"] + y).alias("y")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(rings).alias("ring")).select(k.alias("polygon"), moved.alias("points"))
+
+
+@query(f"""{RISK_SQL}, {POLYGON_SQL}, hit AS (SELECT polygon, r, c FROM classes JOIN side ON (ay > r + 0.5e0) <> (by_ > r + 0.5e0) AND c + 0.5e0 < (bx - ax) * (r + 0.5e0 - ay) / (by_ - ay) + ax GROUP BY polygon, r, c HAVING count(*) % 2 = 1),
+label AS (SELECT r, c, max(polygon) AS polygon FROM hit GROUP BY r, c)
+SELECT polygon, count(*) AS cells, round(sum(area), 6) AS area_km2, round(avg(coalesce(risk, 0e0)), 6) AS mean_risk, round(max(coalesce(risk, 0e0)), 6) AS max_risk, round(sum(coalesce(exposure, 0e0) * area), 6) AS built_km2 FROM classes JOIN label USING (r, c) GROUP BY polygon""")
+def polygon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the cells that each supplier's polygon covers; where several do the later one."""
+    grid, _ = risk_classes(spark, sf_dir)
+    return rounded(polygons.polygon_statistics(grid, polygons.rasterised(supplier_rings(spark, sf_dir), S.ROWS, S.COLS)))
+
+
+@query(f"""WITH {POLYGON_SQL}, spot AS (SELECT p_partkey AS id, p_partkey * 17 % 500 / 10e0 + 0.0317e0 AS x, p_partkey * 13 % 400 / 10e0 + 0.0413e0 AS y FROM part)
+SELECT id, polygon FROM spot JOIN side ON (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax GROUP BY id, polygon HAVING count(*) % 2 = 1""")
+def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' polygons that hold each part's point."""
+    k = F.col("p_partkey")
+    spots = table(spark, sf_dir, "part").select(k.alias("id"), (k * 17 % 500 / 10.0 + 0.0317).alias("x"), (k * 13 % 400 / 10.0 + 0.0413).alias("y"))
+    return polygons.in_polygons(spots, supplier_rings(spark, sf_dir))
+
+
 POINTS = (("verified", 76.2, 11.6), ("reported", 76.31, 11.52), ("outside", 79.0, 12.9))
 POINTS_SQL = "pts AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)" for n, x, y in POINTS) + ") t(label, plon, plat))"
 ZONE_SQL = f"""{RISK_SQL}, {POINTS_SQL}, zone AS (

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.projections import TransverseMercator
 from gridloom.functions.cells import dequantise, rescale
 from gridloom.operators.quantiles import quantiles
 from gridloom.session import written
@@ -282,10 +283,15 @@ class Grid:
         return spark.range(self.rows * self.columns).select(F.floor(F.col("id") / self.columns).cast("long").alias("r"), (F.col("id") % self.columns).alias("c"))
 
 
-def resample(cells: DataFrame, value: str, source: Grid, target: Grid) -> DataFrame:
-    """``r``, ``c`` and the value at the centres of the target's cells, bilinear between the source's; edges are held half a cell beyond the outer centres, null further out."""
-    x = (F.lit(target.west) + (F.col("c") + 0.5) * target.dx - F.lit(source.west)) / source.dx - 0.5
-    y = (F.lit(source.north) - (F.lit(target.north) - (F.col("r") + 0.5) * target.dy)) / source.dy - 0.5
+def resample(cells: DataFrame, value: str, source: Grid, target: Grid, plane: TransverseMercator | None = None) -> DataFrame:
+    """``r``, ``c`` and the value at the centres of the target's cells, bilinear between the source's; edges are held half a cell beyond the outer centres, null further out.
+
+    With a ``plane`` the target lies on it, in metres, and the source in degrees.
+    """
+    lon, lat = F.lit(target.west) + (F.col("c") + 0.5) * target.dx, F.lit(target.north) - (F.col("r") + 0.5) * target.dy
+    if plane is not None:
+        lon, lat = plane.inverse(lon, lat)
+    x, y = (lon - F.lit(source.west)) / source.dx - 0.5, (F.lit(source.north) - lat) / source.dy - 0.5
 
     def held(place: Column, n: int) -> Column:
         return F.when((place >= -0.5) & (place <= n - 0.5), F.least(F.greatest(place, F.lit(0.0)), F.lit(float(n - 1))))

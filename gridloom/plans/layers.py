@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import cells as fc
 from gridloom.functions import constants as K
+from gridloom.functions import projections
 from gridloom.functions.geo import cell_area_km2
 from gridloom.operators import rasters
 from gridloom.plans.registry import query
@@ -174,6 +175,48 @@ def resampled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rasters.resample(normalised(spark, sf_dir), "flood", GRID, TARGET))
 
 
+#: The plane that areas and distances in metres are taken on, and a grid on it.
+PLANE, PLANE_GRID = projections.zone(43), rasters.Grid(608_100.0, 1_305_900.0, 1_310.0, 1_290.0, 36, 41)
+#: The series of the projection in SQL, in the third flattening n.
+TM_SQL = """tm0 AS (SELECT (1 / 298.257223563e0) / (2 - 1 / 298.257223563e0) AS n), tm AS (SELECT n, 0.9996e0 * 6378137e0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS u, 2 * sqrt(n) / (1 + n) AS k,
+  [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] AS a,
+  [n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360, n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440, 17 * n ** 3 / 480 - 37 * n ** 4 / 840, 4397 * n ** 4 / 161280] AS b,
+  [2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45, 7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45, 56 * n ** 3 / 15 - 136 * n ** 4 / 35, 4279 * n ** 4 / 630] AS d FROM tm0)"""
+
+
+def _back_sql(x: str, y: str, rows: str) -> str:
+    """``rows`` with the degrees ``lon`` and ``lat`` of metres on the plane."""
+    turn = " + ".join("b[{0}] * {1}({2} * xi) * {3}({2} * eta)".replace("{0}", str(j)).replace("{2}", str(2 * j)) for j in range(1, 5))
+    u, v = turn.replace("{1}", "cos").replace("{3}", "sinh"), turn.replace("{1}", "sin").replace("{3}", "cosh")
+    lat = " + ".join(f"d[{j}] * sin({2 * j} * chi)" for j in range(1, 5))
+    return f"""(SELECT *, degrees(atan2(sinh(uu), cos(vv))) + 75 AS lon, degrees(chi + {lat}) AS lat FROM (SELECT *, asin(sin(vv) / cosh(uu)) AS chi FROM (SELECT *, eta - ({u}) AS uu, xi - ({v}) AS vv FROM (SELECT *, ({x} - 500000e0) / u AS eta, {y} / u AS xi FROM {rows}, tm))))"""
+
+
+@query(f"""WITH {TM_SQL}, spot AS (SELECT p_partkey AS id, {S.WEST}e0 + (p_partkey * 17 % 500 / 10e0 + 0.0317e0) * {S.STEP}e0 AS lon0, {S.NORTH}e0 - (p_partkey * 13 % 400 / 10e0 + 0.0413e0) * {S.STEP}e0 AS lat0 FROM part),
+conformal AS (SELECT *, sinh(atanh(sin(radians(lat0))) - k * atanh(k * sin(radians(lat0)))) AS t, radians(lon0 - 75) AS w FROM spot, tm),
+plane0 AS (SELECT *, atan2(t, cos(w)) AS p, asinh(sin(w) / sqrt(t * t + cos(w) * cos(w))) AS q FROM conformal),
+plane AS (SELECT id, 500000 + u * (q + {" + ".join(f"a[{j}] * cos({2 * j} * p) * sinh({2 * j} * q)" for j in range(1, 5))}) AS x, u * (p + {" + ".join(f"a[{j}] * sin({2 * j} * p) * cosh({2 * j} * q)" for j in range(1, 5))}) AS y FROM plane0)
+SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM {_back_sql("x", "y", "plane")}""")
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' points in metres on the plane, and back in degrees."""
+    k = F.col("p_partkey")
+    x, y = PLANE.forward(F.lit(S.WEST) + (k * 17 % 500 / 10.0 + 0.0317) * S.STEP, F.lit(S.NORTH) - (k * 13 % 400 / 10.0 + 0.0413) * S.STEP)
+    placed = table(spark, sf_dir, "part").select(k.alias("id"), x.alias("x"), y.alias("y"))
+    lon, lat = PLANE.inverse(F.col("x"), F.col("y"))
+    return placed.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query(f"""{WITH_NORM}, {TM_SQL}, m AS (SELECT r, c, {PLANE_GRID.west}e0 + (c + 0.5e0) * {PLANE_GRID.dx}e0 AS mx, {PLANE_GRID.north}e0 - (r + 0.5e0) * {PLANE_GRID.dy}e0 AS my FROM range({PLANE_GRID.rows}) a_(r), range({PLANE_GRID.columns}) b_(c)),
+t AS (SELECT r, c, (lon - {S.WEST}e0) / {S.STEP}e0 - 0.5e0 AS x, ({S.NORTH}e0 - lat) / {S.STEP}e0 - 0.5e0 AS y FROM {_back_sql("mx", "my", "m")}),
+h AS (SELECT r, c, CASE WHEN x >= -0.5e0 AND x <= {S.COLS - 0.5}e0 THEN least(greatest(x, 0e0), {S.COLS - 1}e0) END AS x, CASE WHEN y >= -0.5e0 AND y <= {S.ROWS - 0.5}e0 THEN least(greatest(y, 0e0), {S.ROWS - 1}e0) END AS y FROM t),
+k_ AS (SELECT h.*, CAST(floor(y) AS BIGINT) + i AS cr, CAST(floor(x) AS BIGINT) + j AS cc FROM h, range(2) p(i), range(2) q(j)),
+w_ AS (SELECT k_.r, k_.c, (1 - abs(y - cr)) * (1 - abs(x - cc)) AS w, flood FROM k_ LEFT JOIN norm ON norm.r = cr AND norm.c = cc)
+SELECT r, c, CASE WHEN count(w) > 0 AND count(*) FILTER (WHERE w > 0 AND flood IS NULL) = 0 THEN round(sum(w * coalesce(flood, 0e0)), 6) END AS flood FROM w_ GROUP BY r, c""")
+def projected_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flood layer on a grid in metres."""
+    return rounded(rasters.resample(normalised(spark, sf_dir), "flood", GRID, PLANE_GRID, PLANE))
+
+
 @query(f"{WITH_NORM} SELECT r, c, round((flood - fire) / nullif(flood + fire, 0), 6) AS nd FROM norm WHERE CAST(floor(exposure * 12) AS BIGINT) NOT IN (3, 8, 9, 10, 11)")
 def normalised_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     clear = normalised(spark, sf_dir).where(~F.floor(F.col("exposure") * 12).isin(*K.CLOUD_CLASSES))

@@ -40,6 +40,18 @@ def pairwise_weights(matrix: Sequence[Sequence[float]], max_ratio: float = K.MAX
     return {"weights": w.tolist(), "lambda_max": value, "ci": index, "cr": ratio}
 
 
+def group_matrix(judgements: DataFrame, n: int) -> list[list[float]]:
+    """The judgement matrix of a group: the geometric mean of all judges' values (``i`` < ``j`` from 0, ``value`` > 0) for each pair, and its mirror image.
+
+    Judgements are averaged where they lie; n (n - 1) / 2 means reach the driver. Null or non-positive values don't count; a pair that nobody judged is an error.
+    """
+    means = judgements.where("value > 0").groupBy("i", "j").agg(F.exp(F.avg(F.log("value"))).alias("value")).collect()
+    found = {(r["i"], r["j"]): r["value"] for r in means}
+    if missing := [(i, j) for i in range(n) for j in range(i + 1, n) if (i, j) not in found]:
+        raise ValueError(f"no judgement of {missing}")
+    return [[1.0 if i == j else found[i, j] if i < j else 1 / found[j, i] for j in range(n)] for i in range(n)]
+
+
 def entropy_weights(cells: DataFrame, criteria: Sequence[str]) -> DataFrame:
     """``criterion`` and ``weight`` by diversity of values, from one aggregation; equal weights where there is none."""
     aggs = [F.count("*").alias("n")]

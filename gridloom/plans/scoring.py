@@ -10,7 +10,7 @@ from gridloom.functions.geo import cell_area_km2
 from gridloom.operators import weights as wt
 from gridloom.plans.layers import BANDS, WITH_NORM, normalised, rounded
 from gridloom.plans.registry import query
-from gridloom.session import written
+from gridloom.session import table, written
 from gridloom.sources import surrogates as S
 
 AHP = wt.pairwise_weights(K.PAIRWISE)
@@ -52,9 +52,23 @@ def risk_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return wt.classified(scored, "risk", breaks).withColumn("area", cell_area_km2(F.col("r"), S.NORTH, S.STEP, S.STEP)), breaks
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', round({w!r}e0, 6), round({AHP['lambda_max']!r}e0, 6), round({AHP['cr']!r}e0, 6))" for c, w in zip(BANDS, AHP["weights"], strict=True)) + ") t(criterion, weight, lambda_max, cr)")
+#: Each supplier judges the criteria pair by pair: the group's base value, a little more or less.
+_BASE_SQL = ", ".join(f"({i}, {j}, {K.PAIRWISE[i][j]!r}e0)" for i in range(len(BANDS)) for j in range(i + 1, len(BANDS)))
+_NAMED_SQL = ", ".join(f"({i}, '{c}')" for i, c in enumerate(BANDS))
+
+
+@query(f"""WITH RECURSIVE base AS (SELECT * FROM (VALUES {_BASE_SQL}) t(i, j, v)), named AS (SELECT * FROM (VALUES {_NAMED_SQL}) t(i, criterion)),
+mean AS (SELECT i, j, exp(avg(ln(v * (80 + s_suppkey * (i + 1) * (j + 2) % 41) / 100e0))) AS v FROM base, supplier GROUP BY i, j),
+m AS (SELECT i, j, v FROM mean UNION ALL SELECT j, i, 1 / v FROM mean UNION ALL SELECT i, i, 1e0 FROM named),
+power(k, i, w) AS (SELECT 0, i, 1e0 / {len(BANDS)} FROM named UNION ALL SELECT k + 1, i, x / sum(x) OVER () FROM (SELECT k, m.i AS i, sum(v * w) AS x FROM power JOIN m ON m.j = power.i WHERE k < 200 GROUP BY k, m.i)),
+w AS (SELECT i, w FROM power WHERE k = 200), value AS (SELECT avg(x / w.w) AS top FROM (SELECT m.i AS i, sum(v * w.w) AS x FROM m JOIN w ON w.i = m.j GROUP BY m.i) y JOIN w ON w.i = y.i)
+SELECT criterion, round(w, 6) AS weight, round(top, 6) AS lambda_max, round((top - {len(BANDS)}) / {len(BANDS) - 1} / {K.RANDOM_INDEX[len(BANDS)]}e0, 6) AS cr FROM w JOIN named USING (i), value""")
 def ahp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = wt.pairwise_weights(K.PAIRWISE)
+    """Weights of the criteria from the judgements of all suppliers."""
+    k, n = F.col("s_suppkey"), len(BANDS)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(K.PAIRWISE[i][j])).alias("v")) for i in range(n) for j in range(i + 1, n)]))
+    judged = table(spark, sf_dir, "supplier").select(k, pairs.alias("p")).select("p.i", "p.j", (F.col("p.v") * (k * (F.col("p.i") + 1) * (F.col("p.j") + 2) % 41 + 80) / 100.0).alias("value"))
+    found = wt.pairwise_weights(wt.group_matrix(judged, n))
     return rounded(spark.createDataFrame([(c, w, found["lambda_max"], found["cr"]) for c, w in zip(BANDS, found["weights"], strict=True)], "criterion string, weight double, lambda_max double, cr double"))
 
 

@@ -184,26 +184,31 @@ def category_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query", "category").agg(F.count("*").alias("n"))
 
 
+def _candidates(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Each different ``q`` and its ``words`` beside the names (``gram`` and other columns of ``held``) that hold the first letters, three at most, of that word of it which the fewest names can answer."""
+    begun = asked.distinct().select("q", F.explode(F.transform(F.split("q", r"\s+"), lambda w: F.substr(w, F.lit(1), F.lit(3)))).alias("gram")).where("gram <> ''")
+    fewest = begun.join(held.groupBy("gram").agg(F.count("*").alias("names")), "gram").groupBy("q").agg(F.min(F.struct("names", "gram")).alias("m"))
+    return fewest.select("q", F.split("q", r"\s+").alias("words"), "m.gram").join(held, "gram")
+
+
 def resolved(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``texts`` (``id``, ``text``, optional chosen ``x`` and ``y``) with a place: the chosen point, else coordinates in the text, else the best name; ``x``, ``y`` and ``label`` null if none.
 
-    ``names`` are ``id``, ``name``, ``is_place``, ``x``, ``y``. All texts are matched in one join on the first three letters of their longest
-    word, so a name is only looked at for texts that it can answer; words of two letters are matched by those.
+    ``names`` are ``id``, ``name``, ``is_place``, ``x``, ``y``. Texts that ask the same share one answer. All different ones are matched in one join on the first three
+    letters of any word (words of one or two letters: by those) that the fewest names hold, so a name is only looked at for texts that it can answer.
     """
     from gridloom.operators import places
 
     chosen = [F.col(c) if c in texts.columns else F.lit(None).cast("double") for c in ("x", "y")]
     point = places.coordinates(F.col("text"))
-    rows = written(texts.select("id", "text", chosen[0].alias("cx"), chosen[1].alias("cy"), point.alias("p"), F.trim(places.plain(F.trim("text"))).alias("q")), "search-texts")
-    open_ = rows.where("cx IS NULL AND p IS NULL AND length(q) >= 2").withColumn("words", F.split("q", r"\s+"))
-    longest = F.reduce("words", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    asked = open_.withColumn("gram", F.substr(longest, F.lit(1), F.lit(3)))
+    read = texts.select("id", "text", chosen[0].alias("cx"), chosen[1].alias("cy"), point.alias("p"), F.trim(places.plain(F.trim("text"))).alias("q"))
+    rows = written(read.withColumn("q", F.when(F.col("cx").isNull() & F.col("p").isNull() & (F.length("q") >= 2), F.col("q"))), "search-texts")
     plain = names.withColumn("n", places.plain(F.col("name"))).where("length(n) > 0")
     starts = F.sequence(F.lit(1), F.length("n"))
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(starts, lambda i: F.substr(F.col("n"), i, k)))))
-    near = asked.join(plain.select(F.col("id").alias("name_id"), "name", "n", "is_place", "x", "y", F.explode(grams).alias("gram")), "gram")
-    near = near.where(F.forall("words", lambda w: F.contains(F.col("n"), w)))
-    best = near.groupBy("id").agg(F.min(F.struct(places.name_score(F.col("n"), F.col("q"), F.col("is_place")).alias("score"), "name_id", "name", "x", "y")).alias("m"))
-    found = rows.join(best, "id", "left")
+    held = written(plain.select(F.col("id").alias("name_id"), "name", "n", "is_place", "x", "y", F.explode(grams).alias("gram")), "search-grams")
+    near = _candidates(rows.where("q IS NOT NULL").select("q"), held).where(F.forall("words", lambda w: F.contains(F.col("n"), w)))
+    best = near.groupBy("q").agg(F.min(F.struct(places.name_score(F.col("n"), F.col("q"), F.col("is_place")).alias("score"), "name_id", "name", "x", "y")).alias("m"))
+    found = rows.join(best, "q", "left")
     label = F.when(F.col("cx").isNotNull(), F.col("text")).when(F.col("p").isNotNull(), F.format_string("%.4f, %.4f", F.col("p.lat"), F.col("p.lon"))).otherwise(F.col("m.name"))
     return found.select("id", F.coalesce("cx", "p.lon", "m.x").alias("x"), F.coalesce("cy", "p.lat", "m.y").alias("y"), label.alias("label"))

@@ -179,6 +179,28 @@ def along(found: DataFrame, roads: DataFrame, places: DataFrame, buffer: float)
     return network.corridor(ways, places.select("id", "x", "y"), buffer, key="query").join(places.select("id", "category"), "id").select("query", "id", "category", "distance", "along", "position")
 
 
+def one_each(queries: DataFrame) -> DataFrame:
+    """Of the queries (``id``, ``ax``, ``ay``, ``bx``, ``by``) between the same two places the one of least id."""
+    return written(queries.groupBy("ax", "ay", "bx", "by").agg(F.min("id").alias("id")).select("id", "ax", "ay", "bx", "by"), "search-different")
+
+
+def for_all(found: DataFrame, different: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
+    """Rows found for one_each() of the queries (their id in ``key``), for each query between the same places."""
+    places = ["ax", "ay", "bx", "by"]
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"q.{c}")) for c in places]
+    answered = different.withColumnRenamed("id", key).join(found, key).select(*places, *[F.col(c).alias(f"__{c}") for c in found.columns if c != key])
+    return queries.select("id", *places).alias("q").join(answered.alias("o"), same).select(F.col("q.id").alias(key), *[F.col(f"o.__{c}").alias(c) for c in found.columns if c != key])
+
+
+def categories_along(found: DataFrame, roads: DataFrame, places: DataFrame, buffer: float) -> DataFrame:
+    """category_hits() of along(). Places of one spot are measured once for a way, and added up by category."""
+    spots = written(places.groupBy("x", "y", "category").agg(F.count("*").alias("places")), "search-spots")
+    one = written(spots.select("x", "y").distinct().withColumn("id", F.monotonically_increasing_id()), "search-places")
+    ways = lines(found, roads).select(F.col("id").alias("query"), "points")
+    near = network.corridor(ways, one.select("id", "x", "y"), buffer, key="query").select("query", "id").join(one, "id").join(spots, ["x", "y"])
+    return near.groupBy("query", "category").agg(F.sum("places").alias("n"))
+
+
 def category_hits(hits: DataFrame) -> DataFrame:
     """``query``, ``category`` and ``n`` of corridor hits."""
     return hits.groupBy("query", "category").agg(F.count("*").alias("n"))

@@ -379,7 +379,9 @@ def search_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = road_segments(Lattice(spark, sf_dir))
     k = F.col("s_suppkey")
     ends = table(spark, sf_dir, "supplier").select(k.alias("id"), (F.lit(WEST) + (k * 7 % 50 + 0.3) * STEP).alias("ax"), (F.lit(NORTH) - (k * 3 % 40 + 0.2) * STEP).alias("ay"), F.lit(TARGET[0]).alias("bx"), F.lit(TARGET[1]).alias("by"))
-    return search.category_hits(search.along(written(search.search(ends, segments, K.ALPHA), "ways"), segments, points(spark, sf_dir), 1000.0))
+    different = search.one_each(ends)
+    ways = written(search.search(different, segments, K.ALPHA), "ways")
+    return search.for_all(search.categories_along(ways, segments, points(spark, sf_dir), 1000.0), different, ends, "query")
 
 
 @query(f"""{LATTICE_SQL} SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN 'primary' ELSE 'secondary' END AS highway, round(risk, 3) AS risk, CAST(2 AS BIGINT) AS vertices FROM edges WHERE (src + dst) % 3 < 2""")

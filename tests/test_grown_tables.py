@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import search
+from gridloom.operators import network, search
 
 
 def test_equal_texts_and_frequent_letters_are_looked_up_once(spark):
@@ -21,3 +21,24 @@ def test_equal_texts_and_frequent_letters_are_looked_up_once(spark):
     assert all(got[i] == best((text or "?").lower().split()) for i, text in asked if i not in (5001, 5003)) and got[5001] == (None, None) and got[5003][0] == 75.5
     held = names.select(F.col("id").alias("name_id"), F.lower("name").alias("n")).withColumn("gram", F.explode(F.expr("transform(sequence(1, length(n)), i -> substr(n, i, 3))"))).distinct()
     assert search._candidates(spark.createDataFrame([("supplier 077",)] * 300, "q string"), held).count() < 20
+
+
+def _crossing(spark):
+    """Segments of a small cross, and queries of which most are repeated."""
+    spots = {0: (76.0, 11.5), 1: (76.01, 11.5), 2: (76.02, 11.5), 3: (76.01, 11.51), 4: (76.01, 11.49)}
+    links = [(0, 1), (1, 2), (1, 3), (1, 4)]
+    rows = [(k, a, b, 1000.0 + k, 0.1 * k, [{"x": spots[n][0], "y": spots[n][1]} for n in (a, b)]) for k, (a, b) in enumerate(links)]
+    segments = spark.createDataFrame(rows, f"edge long, a long, b long, length double, risk double, points {network.POINTS}")
+    asked = [(76.0, 11.5, 76.02, 11.5), (76.0001, 11.5, 76.02, 11.5), (76.01, 11.51, 76.0, 11.5), (77.0, 12.0, 76.0, 11.5), (76.0, 11.5, 76.0, 11.5)]
+    queries = spark.createDataFrame([(i, *asked[i % 5]) for i in range(100)], "id long, ax double, ay double, bx double, by double")
+    return segments, queries
+
+
+def test_categories_along_equal_ways(spark):
+    segments, queries = _crossing(spark)
+    places = spark.createDataFrame([(i, 76.0 + 0.004 * (i % 6), 11.5 + 0.003 * (i % 4), "ab"[i % 2]) for i in range(240)], "id long, x double, y double, category string")
+    different = search.one_each(queries)
+    assert {r.id for r in different.collect()} == {0, 1, 2, 3, 4}
+    got = search.for_all(search.categories_along(search.search(different, segments, 3.0), segments, places, 1000.0), different, queries, "query").collect()
+    want = search.category_hits(search.along(search.search(queries, segments, 3.0), segments, places, 1000.0)).collect()
+    assert {(r.query, r.category, r.n) for r in got} == {(r.query, r.category, r.n) for r in want} and len(got) == len(want) > 100

@@ -301,28 +301,41 @@ def _around(places: DataFrame, limit: float, columns: Sequence[str | Column]) ->
     return rows.withColumn("slot", F.explode(F.sequence(at - 1, at + 1))).select("band", "slot", *columns)
 
 
+def nearest_spots(points: DataFrame, places: DataFrame, limit: float, out: str, metres=planar_m) -> DataFrame:
+    """``x``, ``y``, ``out`` and ``distance`` of nearest() for each different spot of the points that finds a place.
+
+    The least distance is found first and the smaller id at it then: numbers that a hash table holds, so no task sorts pairs of points and places.
+    """
+    one = places.groupBy("x", "y").agg(F.min("id").alias("id"))
+    there = _around(one, limit, [F.col("id").alias(out), F.col("x").alias("px"), F.col("y").alias("py")])
+
+    def near(spots: DataFrame) -> DataFrame:
+        here = spots.withColumn("band", band(F.col("y"), limit)).withColumn("slot", F.floor(F.col("x") / band_width(F.col("band"), limit)).cast("long"))
+        return here.join(there, ["band", "slot"]).withColumn("d", metres(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+
+    least = written(near(points.select("x", "y").distinct()).where(F.col("d") <= limit).groupBy("x", "y").agg(F.min("d").alias("distance")), "nearest-least")
+    return written(near(least).where("d = distance").groupBy("x", "y", "distance").agg(F.min(out).alias(out)).select("x", "y", out, "distance"), "nearest-spots")
+
+
 def nearest(points: DataFrame, places: DataFrame, limit: float, out: str, metres=planar_m) -> DataFrame:
     """``points`` (``id``, ``x`` lon, ``y`` lat) with the id ``out`` of the nearest place (``id``, ``x``, ``y``) within ``limit`` metres and its ``distance``; else null.
 
-    A range join on buckets of the limit's height and, by latitude, its width. Ties go to the smaller id. ``metres`` measures: on the plane at the mean latitude, or haversine_m.
+    A range join of different spots on buckets of the limit's height and, by latitude, its width. Ties go to the smaller id. ``metres`` measures: on the plane at the mean latitude, or haversine_m.
     """
-    there = _around(places, limit, [F.col("id").alias(out), F.col("x").alias("px"), F.col("y").alias("py")])
-    here = points.select("id", "x", "y", band(F.col("y"), limit).alias("band")).withColumn("slot", F.floor(F.col("x") / band_width(F.col("band"), limit)).cast("long"))
-    best = here.join(there, ["band", "slot"]).withColumn("d", metres(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).where(F.col("d") <= limit).groupBy("id").agg(F.min(F.struct("d", out)).alias("m"))
-    return points.select("id").join(best, "id", "left").select("id", F.col(f"m.{out}").alias(out), F.col("m.d").alias("distance"))
+    return points.select("id", "x", "y").join(nearest_spots(points, places, limit, out, metres), ["x", "y"], "left").select("id", out, "distance")
 
 
 def nearest_any(points: DataFrame, places: DataFrame, out: str, first: float = 2_000.0, metres=haversine_m) -> DataFrame:
-    """nearest() without a limit: points that found none look again within four times the distance, until all have one."""
+    """nearest() without a limit: spots that found no place look again within four times the distance, until all have one."""
     if places.isEmpty():
         return points.select("id", F.lit(None).cast(places.schema["id"].dataType).alias(out), F.lit(None).cast("double").alias("distance"))
-    left, limit, done = written(points.select("id", "x", "y"), "nearest"), first, []
+    left, limit, done = written(points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct(), "nearest"), first, []
     while True:
-        found = written(nearest(left, places, limit, out, metres), "nearest-found")
-        done.append(found.where(F.col(out).isNotNull()))
-        left = left.join(found.where(F.col(out).isNull()).select("id"), "id", "left_semi")
+        found = nearest_spots(left, places, limit, out, metres)
+        done.append(found)
+        left = left.join(found, ["x", "y"], "left_anti")
         if limit > 21_000_000 or left.isEmpty():
-            return functools.reduce(DataFrame.union, done)
+            return points.select("id", "x", "y").join(functools.reduce(DataFrame.union, done), ["x", "y"], "left").select("id", out, "distance")
         limit *= 4
 
 

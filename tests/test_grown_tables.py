@@ -42,3 +42,15 @@ def test_categories_along_equal_ways(spark):
     got = search.for_all(search.categories_along(search.search(different, segments, 3.0), segments, places, 1000.0), different, queries, "query").collect()
     want = search.category_hits(search.along(search.search(queries, segments, 3.0), segments, places, 1000.0)).collect()
     assert {(r.query, r.category, r.n) for r in got} == {(r.query, r.category, r.n) for r in want} and len(got) == len(want) > 100
+
+
+def test_nearest_places_of_equal_spots(spark):
+    places = spark.createDataFrame([(i, 76.0 + 0.01 * (i % 5), 11.5 + 0.01 * (i % 3)) for i in range(60)], "id long, x double, y double")
+    points = spark.createDataFrame([(i, 76.003 + 0.01 * (i % 4), 11.5) for i in range(200)] + [(900, 80.0, 14.0), (901, None, 11.5)], "id long, x double, y double")
+    spots = network.nearest_spots(points, places, 2000.0, "place").collect()
+    assert len(spots) == 4
+    got = {r.id: r for r in network.nearest(points, places, 2000.0, "place").collect()}
+    assert len(got) == 202 and got[900].place is None and got[901].place is None
+    assert all(got[i].place == min(p for p in range(60) if p % 5 == i % 4 and p % 3 == 0) for i in range(200))
+    anywhere = {r.id: r for r in network.nearest_any(points, places, "place", 500.0).collect()}
+    assert len(anywhere) == 202 and anywhere[900].place == min(p for p in range(60) if p % 5 == 4 and p % 3 == 2) and anywhere[901].place is None

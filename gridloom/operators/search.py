@@ -28,11 +28,12 @@ def snap(points: DataFrame, roads: DataFrame, limit: float = K.SNAP_LIMIT_M) ->
     Offsets are the polyline's own, scaled to the segment's length. Ties go to the smaller segment, then vertex.
     """
     spots = roads.select("edge", F.posexplode("points").alias("v", "p")).select(F.struct("edge", "v").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    found = network.nearest(points, spots, limit, "spot").select("id", "spot.edge", "spot.v", "distance")
+    found = network.nearest_spots(points, spots, limit, "spot").select("x", "y", "spot.edge", "spot.v", "distance")
     lengths = points_between(F.col("points"))
     whole, upto = summed(lengths), summed(F.slice(lengths, F.lit(1), F.col("v")))
     scale = F.when(whole > 0, F.col("length") / whole).otherwise(1.0)
-    return found.join(roads, "edge", "left").select("id", "edge", "v", "distance", "a", "b", F.col("length").alias("edge_length"), F.col("risk").alias("edge_risk"), (upto * scale).alias("to_a"), ((whole - upto) * scale).alias("to_b"))
+    placed = found.join(roads, "edge").select("x", "y", "edge", "v", "distance", "a", "b", F.col("length").alias("edge_length"), F.col("risk").alias("edge_risk"), (upto * scale).alias("to_a"), ((whole - upto) * scale).alias("to_b"))
+    return points.select("id", "x", "y").join(written(placed, "snapped"), ["x", "y"], "left").drop("x", "y")
 
 
 def _ends(queries: DataFrame, roads: DataFrame, limit: float) -> DataFrame:

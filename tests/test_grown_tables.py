@@ -54,3 +54,14 @@ def test_nearest_places_of_equal_spots(spark):
     assert all(got[i].place == min(p for p in range(60) if p % 5 == i % 4 and p % 3 == 0) for i in range(200))
     anywhere = {r.id: r for r in network.nearest_any(points, places, "place", 500.0).collect()}
     assert len(anywhere) == 202 and anywhere[900].place == min(p for p in range(60) if p % 5 == 4 and p % 3 == 2) and anywhere[901].place is None
+
+
+def test_snapping_of_equal_spots(spark, monkeypatch):
+    segments, queries = _crossing(spark)
+    seen = []
+    real = network.nearest_spots
+    monkeypatch.setattr(network, "nearest_spots", lambda *a: seen.append(real(*a)) or seen[-1])
+    points = queries.select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
+    got = {r.id: r for r in search.snap(points, segments).collect()}
+    assert seen[0].count() == 3 and len(got) == 100 and got[3].edge is None and got[98].edge is None
+    assert all((got[i].edge, got[i].v, got[i].to_a) == (0, 0, 0.0) for i in range(100) if i % 5 in (0, 1, 4)) and all((got[i].edge, got[i].v) == (2, 1) for i in range(2, 100, 5))

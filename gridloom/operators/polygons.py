@@ -64,20 +64,36 @@ def hotspot_polygons(cells: DataFrame, top: int, grid: Grid, tolerance_m: float,
     return named, kept.join(stats, "hotspot_id", "left").fillna(0, ["cells"])
 
 
+def same_shapes(rings: DataFrame) -> DataFrame:
+    """``polygon`` and ``shape``: the least polygon of the same rings, told by digests of their points."""
+    digests = rings.where("polygon IS NOT NULL").groupBy("polygon").agg(F.array_join(F.sort_array(F.collect_list(F.sha2(F.col("points").cast("string"), 256))), ",").alias("rings")).select("polygon", F.sha2("rings", 256).alias("digest"))
+    named = written(digests, "polygon-digests")
+    return written(named.join(named.groupBy("digest").agg(F.min("polygon").alias("shape")), "digest").select("polygon", "shape"), "polygon-shapes")
+
+
 def in_polygons(points: DataFrame, rings: DataFrame) -> DataFrame:
     """``id`` and ``polygon`` for each point (``id``, ``x``, ``y``) and polygon that holds it.
 
-    A point meets the polygons whose box holds it, through buckets of about the mean size of a box, and of such a polygon only the edges in its slab; the crossings of a
+    Points of one spot and polygons of the same rings are tested once; what holds is then joined to all of them, so only rows of the result grow with both tables.
+    A spot meets the polygons whose box holds it, through buckets of about the mean size of a box, and of such a polygon only the edges in its slab; the crossings of a
     ray are counted by aggregation. No polygon is a literal of the plan.
     """
+    alike = same_shapes(rings)
+    inside = written(_spots_in(points.select("x", "y").distinct(), rings.join(alike.where("polygon = shape").select("polygon"), "polygon", "left_semi")), "polygon-spots")
+    holders = inside.withColumnRenamed("polygon", "shape").join(alike, "shape").select("x", "y", "polygon")
+    return points.select("id", "x", "y").join(holders, ["x", "y"]).select("id", "polygon")
+
+
+def _spots_in(spots: DataFrame, rings: DataFrame) -> DataFrame:
+    """``x``, ``y`` and ``polygon`` for each spot and polygon that holds it."""
     edges = written(ring_edges(rings), "polygon-edges")
     boxes = written(edges.groupBy("polygon").agg(*[f(g(f"a{c}", f"b{c}")).alias(f"{c}{n}") for c in "xy" for f, g, n in ((F.min, F.least, 0), (F.max, F.greatest, 1))]), "polygon-boxes")
     size = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
     cell = lambda x: F.floor(x / F.lit(size)).cast("long")
     spread = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    near = points.select("id", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).join(spread, ["cx", "cy"]).where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
+    near = spots.select("x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).join(spread, ["cx", "cy"]).where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
     slab = lambda y: F.least(F.lit(SLABS - 1), F.floor((y - F.col("y0")) / (F.col("y1") - F.col("y0")) * SLABS)).cast("int")
     cut = edges.join(boxes.select("polygon", "y0", "y1"), "polygon").withColumn("slab", F.explode(F.sequence(slab(F.least("ay", "by")), slab(F.greatest("ay", "by"))))).drop("y0", "y1")
-    met = near.withColumn("slab", slab(F.col("y"))).select("id", "x", "y", "polygon", "slab").join(cut, ["polygon", "slab"])
+    met = near.withColumn("slab", slab(F.col("y"))).select("x", "y", "polygon", "slab").join(cut, ["polygon", "slab"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
-    return met.groupBy("id", "polygon").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("id", "polygon")
+    return met.groupBy("x", "y", "polygon").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("x", "y", "polygon")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import network, search
+from gridloom.operators import network, polygons, search
 
 
 def test_equal_texts_and_frequent_letters_are_looked_up_once(spark):
@@ -65,3 +65,17 @@ def test_snapping_of_equal_spots(spark, monkeypatch):
     got = {r.id: r for r in search.snap(points, segments).collect()}
     assert seen[0].count() == 3 and len(got) == 100 and got[3].edge is None and got[98].edge is None
     assert all((got[i].edge, got[i].v, got[i].to_a) == (0, 0, 0.0) for i in range(100) if i % 5 in (0, 1, 4)) and all((got[i].edge, got[i].v) == (2, 1) for i in range(2, 100, 5))
+
+
+def test_points_of_one_spot_in_equal_polygons(spark, monkeypatch):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [(i, [{"x": x + 3.0 * (i % 2), "y": y} for x, y in square]) for i in range(40)] + [(i, [{"x": 1.0 + x / 4, "y": 1.0 + y / 4} for x, y in square]) for i in range(0, 40, 4)]
+    rings = spark.createDataFrame(rows, f"polygon long, points {network.POINTS}")
+    points = spark.createDataFrame([(i, (1.5, 3.5, 9.0)[i % 3], 1.5) for i in range(60)], "id long, x double, y double")
+    seen = []
+    real = polygons._spots_in
+    monkeypatch.setattr(polygons, "_spots_in", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = polygons.in_polygons(points, rings).collect()
+    want = {(i, p) for i in range(60) for p in range(40) if (i % 3 == 0 and p % 2 == 0 and p % 4) or i % 3 == 1}
+    assert len(got) == len(want) and {(r.id, r.polygon) for r in got} == want and seen[0].count() == 4
+    assert {(r.polygon, r["shape"]) for r in polygons.same_shapes(rings).collect()} == {(p, 1 if p % 2 else 0 if p % 4 == 0 else 2) for p in range(40)}

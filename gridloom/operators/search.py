@@ -132,15 +132,20 @@ def search(queries: DataFrame, roads: DataFrame, alpha: float, limit: float = K.
     """``queries`` (``id``, ``ax``, ``ay``, ``bx``, ``by``) with ``mode``, ``length`` (metres), ``mean_risk``, ``max_risk`` and the way taken (``s``, ``t``: snapped ends, ``nodes``, ``edges``).
 
     ``route`` where both ends snap and are connected, else ``straight`` with the straight distance and null risks. ``alpha`` weighs risk: 0 gives the shortest way.
-    ``ends``: what snapped_ends() found for the same queries, roads and limit.
+    Queries between the same two vertices share one way. ``ends``: what snapped_ends() found for the same queries, roads and limit.
     """
     ends = snapped_ends(queries, roads, limit) if ends is None else ends
     near = ends.where("s.edge = t.edge")
     metres = F.abs(F.col("s.to_a") - F.col("t.to_a"))
     on_one = F.when(metres > 0, F.col("s.edge_risk")).otherwise(0.0)
     same = near.select("id", metres.alias("length"), on_one.alias("mean_risk"), on_one.alias("max_risk"), F.array().cast("array<long>").alias("nodes"), F.array().cast("array<long>").alias("edges"))
+    vertices = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "st" for c in ("edge", "v")]
     far = ends.where("s.edge <> t.edge")
-    found = same.unionByName(_searched(far, roads, alpha) if roads.count() * 2 <= network.ADJACENCY_EDGES else _tiled(far, roads, alpha))
+    first = written(far.select("id", *vertices).groupBy("s_edge", "s_v", "t_edge", "t_v").agg(F.min("id").alias("id")), "search-first")
+    one = far.join(first.select("id"), "id", "left_semi")
+    ways = (_searched(one, roads, alpha) if roads.count() * 2 <= network.ADJACENCY_EDGES else _tiled(one, roads, alpha)).join(first, "id").drop("id")
+    shared = far.select("id", *vertices).join(written(ways, "search-ways"), ["s_edge", "s_v", "t_edge", "t_v"])
+    found = same.unionByName(shared.select(*same.columns))
     whole = queries.join(ends, "id").join(found, "id", "left")
     straight = planar_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return whole.select(*queries.columns, F.when(F.col("length").isNull(), "straight").otherwise("route").alias("mode"), F.coalesce("length", straight).alias("length"), "mean_risk", "max_risk", "s", "t", "nodes", "edges")

@@ -361,9 +361,10 @@ round(coalesce(b.len, {_planar_sql('p', 't')}), 3) AS shortest_m, round(b.mean_r
 def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point to point for every point: snapped to vertices, the least-risk and the shortest way, or a straight line where a point can't be snapped."""
     segments, wanted = road_segments(Lattice(spark, sf_dir)), search_ends(spark, sf_dir)
-    ends = search.snapped_ends(wanted, segments)
-    safe, short = (search.search(wanted, segments, alpha, ends=ends).select("id", "mode", F.col("length").alias(f"{n}_m"), F.col("mean_risk").alias(f"{n}_mean"), F.col("max_risk").alias(f"{n}_max")) for alpha, n in ((K.ALPHA, "least_risk"), (0.0, "shortest")))
-    both = safe.join(short.drop("mode"), "id")
+    different = search.one_each(wanted)
+    ends = search.snapped_ends(different, segments)
+    safe, short = (search.search(different, segments, alpha, ends=ends).select("id", "mode", F.col("length").alias(f"{n}_m"), F.col("mean_risk").alias(f"{n}_mean"), F.col("max_risk").alias(f"{n}_max")) for alpha, n in ((K.ALPHA, "least_risk"), (0.0, "shortest")))
+    both = search.for_all(safe.join(short.drop("mode"), "id"), different, wanted)
     return both.select("id", "mode", *[F.round(c, 3 if c.endswith("_m") else 6).alias(c) for c in both.columns[2:]])
 
 

@@ -18,7 +18,7 @@ joined by key, with their classes. Only class-level and bounded word-level stati
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,9 +107,9 @@ class Hot:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def units_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and unit of each key."""
-        at = self.find(keys)
+    def units_of(self, keys: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place and unit of each key; ``at``: the places, if known."""
+        at = self.find(keys) if at is None else at
         unit = np.where(at >= 0, self.units[at] if len(self.units) else 0, self.rare)
         return at, np.where(keys == END_KEY, 0, unit)
 
@@ -136,15 +136,29 @@ def hot_words(counts: DataFrame, limit: int, exchange: int) -> Hot:
     return Hot(keys[by_key], n[by_key], units[by_key], exchange, sum(r["tokens"] for r in steps), sum(r["words"] for r in steps), sum(r["words"] for r in steps if r["least"] == 1))
 
 
-def unit_pairs(train: DataFrame, hot: Hot, *, text_col: str = "text") -> np.ndarray:
-    """Counts of neighbouring units over all training tokens, a square matrix of bounded size."""
-    shared, size = train.sparkSession.sparkContext.broadcast(hot), hot.rare + 1
+def _read_from(train: DataFrame, text_col: str | None) -> DataFrame:
+    """What a reader of tokens needs: the texts, or the codes where ``text_col`` is None."""
+    return train.select("codes", "others") if text_col is None else train.select(text_col)
+
+
+def _placed(batch: pa.RecordBatch, hot: Hot, coded: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place among the frequent words and key of each token of a batch of texts or codes, in pieces of whole texts."""
+    if coded:
+        yield from _coded_tokens(batch, hot)
+    else:
+        for keys, _ in tokens(batch.column(0)):
+            yield hot.find(keys), keys
+
+
+def unit_pairs(train: DataFrame, hot: Hot, *, text_col: str | None = "text") -> np.ndarray:
+    """Counts of neighbouring units over all training tokens, a square matrix of bounded size. ``text_col``: None for rows of codes()."""
+    shared, size, coded = train.sparkSession.sparkContext.broadcast(hot), hot.rare + 1, text_col is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            for keys, _ in tokens(batch.column(0)):
-                _, unit = shared.value.units_of(keys)
+            for at, keys in _placed(batch, shared.value, coded):
+                _, unit = shared.value.units_of(keys, at)
                 total += np.bincount(np.concatenate([[0], unit[:-1]]) * size + unit, minlength=size * size)
         rows = total.reshape(size, size)
         some = np.flatnonzero(rows.any(axis=1))
@@ -160,7 +174,7 @@ def unit_pairs(train: DataFrame, hot: Hot, *, text_col: str = "text") -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array([r.tobytes() for r in total.values()], type=pa.binary())], names=["unit", "counts"])
 
     out, schema = np.zeros((size, size), dtype=np.int64), "unit int, counts binary"
-    for u, row in train.select(text_col).mapInArrow(run, schema).repartition("unit").mapInArrow(add, schema).collect():
+    for u, row in _read_from(train, text_col).mapInArrow(run, schema).repartition("unit").mapInArrow(add, schema).collect():
         out[u] = np.frombuffer(row, dtype="<i8")
     return out
 
@@ -222,13 +236,13 @@ def exchange_classes(pairs: np.ndarray, exchange: int, classes: int, sweeps: int
     return label
 
 
-def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.ndarray, *, text_col: str = "text") -> DataFrame:
+def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.ndarray, *, text_col: str | None = "text") -> DataFrame:
     """``bucket`` and packed ``key``, ``code``, ``n`` of every word that is not among the ``fixed`` keys (sorted) nor the end: how often it has a neighbour of a class.
 
     ``code`` is the class of the next token, or the number of classes and the class of the token before; the last code counts the word after itself. Summed in each task by slices.
     """
     shared, n_classes = train.sparkSession.sparkContext.broadcast((hot, label, fixed)), int(label[-1]) + 1
-    buckets, codes = max(16, hot.n_tokens // RANGE_TOKENS), 2 * n_classes + 1
+    buckets, codes, coded = max(16, hot.n_tokens // RANGE_TOKENS), 2 * n_classes + 1, text_col is None
 
     def packed(keys: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
         klass, fixed = shared.value[1][unit], shared.value[2]
@@ -258,8 +272,8 @@ def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.nd
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for keys, _ in tokens(batch.column(0)):
-                held.append((keys, shared.value[0].units_of(keys)[1]))
+            for at, keys in _placed(batch, shared.value[0], coded):
+                held.append((keys, shared.value[0].units_of(keys, at)[1]))
                 size += len(keys)
                 if size > 1 << 20:  # a slice ends with an end token, so slices follow on
                     yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -267,7 +281,7 @@ def neighbour_counts(train: DataFrame, hot: Hot, label: np.ndarray, fixed: np.nd
         if held:
             yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return train.select(text_col).mapInArrow(run, "bucket long, key binary, code binary, n binary")
+    return _read_from(train, text_col).mapInArrow(run, "bucket long, key binary, code binary, n binary")
 
 
 def _code_type(n_classes: int) -> type:
@@ -343,22 +357,21 @@ def best_classes(neighbours: DataFrame, table: np.ndarray, classes: int, hot: Ho
     return neighbours.groupBy("bucket").applyInArrow(run, "key long, klass int")
 
 
-def token_pairs(train: DataFrame, hot: Hot, size: int, *, text_col: str = "text") -> np.ndarray:
+def token_pairs(train: DataFrame, hot: Hot, size: int, *, text_col: str | None = "text") -> np.ndarray:
     """Counts of neighbouring classes over all training tokens, where the frequent words' units are their classes and all other words are of the last one."""
-    shared = train.sparkSession.sparkContext.broadcast(hot)
+    shared, coded = train.sparkSession.sparkContext.broadcast(hot), text_col is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            for keys, _ in tokens(batch.column(0)):
-                at = shared.value.find(keys)
+            for at, keys in _placed(batch, shared.value, coded):
                 klass = np.where(keys == END_KEY, 0, np.where(at >= 0, shared.value.units[at] if len(shared.value.units) else 0, size - 1))
                 total += np.bincount(np.concatenate([[0], klass[:-1]]) * size + klass, minlength=size * size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
     out = np.zeros(size * size)
-    for pair, n in train.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    for pair, n in _read_from(train, text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
         out[pair] = n
     return out.reshape(size, size)
 
@@ -385,12 +398,8 @@ class Model(Known):
     transition: np.ndarray
 
 
-def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """Rows with the columns ``keep`` and the ``codes`` of their tokens: the place of a frequent word, or below 0 the place (-1 the first) in ``found``.
-
-    ``found`` has ``j``, ``klass`` and ``n`` from the lexicon (``key``, ``klass``, ``n``) of the row's different words that are not frequent; unseen words are
-    missing. A text names such a word once. Where one of them stands in very many texts, the adaptive skew join splits its rows.
-    """
+def codes(docs: DataFrame, hot: Hot, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """Rows with the columns ``keep`` and the ``codes`` of their tokens: the place of a frequent word, or below 0 the place (-1 the first) of its key in ``others``; a ``__row`` numbers them. Written, so that texts are split into words once for all that reads them."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +422,28 @@ def coded(docs: DataFrame, hot: Hot, lexicon: DataFrame, keep: tuple[str, ...],
                 done += len(lengths)
 
     fields = [*(docs.schema[c] for c in keep), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
-    rows = written(docs.select(*keep, text_col).mapInArrow(run, T.StructType(fields)).withColumn("__row", F.monotonically_increasing_id()), "lm-codes")
+    return written(docs.select(*keep, text_col).mapInArrow(run, T.StructType(fields)).withColumn("__row", F.monotonically_increasing_id()), "lm-codes")
+
+
+def _coded_tokens(batch: pa.RecordBatch, hot: Hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place among the frequent words (-1: none) and key of each token of codes(), in pieces of whole texts."""
+    for piece in _pieces(batch, batch.column("codes").value_lengths().to_numpy(zero_copy_only=False)):
+        listed, others = piece.column("codes"), piece.column("others")
+        at = listed.flatten().to_numpy()
+        keys = np.append(hot.keys, 0)[np.maximum(at, -1)]
+        other = np.flatnonzero(at < 0)
+        if len(other):
+            text = np.repeat(np.arange(piece.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))[other]
+            base = np.concatenate([[0], np.cumsum(others.value_lengths().to_numpy(zero_copy_only=False))])
+            keys[other] = others.flatten().to_numpy()[base[text] - 1 - at[other]]
+        yield np.maximum(at, -1), keys
+
+
+def looked_up(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Rows of codes() with ``found`` instead of ``others``: ``j``, ``klass`` and ``n`` from the lexicon (``key``, ``klass``, ``n``) of the row's different words that are not frequent.
+
+    Unseen words are missing. A text names such a word once. Where one of them stands in very many texts, the adaptive skew join splits its rows.
+    """
     looked = rows.select("__row", F.posexplode("others").alias("j", "key")).join(lexicon, "key")
     found = looked.groupBy("__row").agg(F.collect_list(F.struct("j", "klass", "n")).alias("found"))
     return rows.drop("others").join(found, "__row", "left").drop("__row")
@@ -448,8 +478,8 @@ def _pieces(batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[pa.RecordBat
         yield batch.slice(a, b - a)
 
 
-def sequences(docs: DataFrame, known: Known, lexicon: DataFrame, keep: tuple[str, ...] = (), *, text_col: str = "text") -> DataFrame:
-    """Each row's columns ``keep``, ``n_tokens``, ``n_known``, ``base_score``, ``emission`` (log10) and packed ``classes`` of its tokens, written."""
+def sequences(docs: DataFrame, known: Known, lexicon: DataFrame, keep: tuple[str, ...] = (), *, text_col: str | None = "text") -> DataFrame:
+    """Of texts, or of their codes() by the frequent words of ``known`` (``text_col`` None), each row's columns ``keep``, ``n_tokens``, ``n_known``, ``base_score``, ``emission`` (log10) and packed ``classes`` of its tokens, written."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     names, kind = ["n_tokens", "n_known", "base_score", "emission", "classes"], _class_type(known.rare)
 
@@ -471,7 +501,8 @@ def sequences(docs: DataFrame, known: Known, lexicon: DataFrame, keep: tuple[str
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *columns], names=[*keep, *names])
 
     fields = [*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in zip(names, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BinaryType()), strict=True))]
-    return written(coded(docs, known.hot, lexicon, keep, text_col).mapInArrow(run, T.StructType(fields)), "lm-rows")
+    rows = docs if text_col is None else codes(docs, known.hot, keep, text_col)
+    return written(looked_up(rows, lexicon).select(*keep, "codes", "found").mapInArrow(run, T.StructType(fields)), "lm-rows")
 
 
 def _class_type(rare: int) -> type:
@@ -512,15 +543,17 @@ def _with_classes(hot: Hot, lexicon: DataFrame, rare: int) -> Hot:
     return Hot(hot.keys, hot.counts, units, rare - 1 - OCTAVES, hot.n_tokens, hot.n_types, hot.n_once)  # words that aren't frequent: the class of rare ones
 
 
-def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 20, sweeps: int = 10, moves: int = 1) -> tuple[Known, DataFrame]:
+def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32, exchange_words: int = 512, hot_limit: int = 1 << 20, sweeps: int = 10, moves: int = 1, coder: Callable[[Hot], DataFrame] | None = None) -> tuple[Known, DataFrame]:
     """What is known of the training words, and the written lexicon of all of them: ``key``, ``n`` and ``klass``.
 
     The ``exchange_words`` most frequent words are settled by ``sweeps`` of exchange in one process. Every other recurring word then takes its best class, and
-    may move again in ``moves`` distributed sweeps, in which all of them are weighed against the classes that the sweep began with.
+    may move again in ``moves`` distributed sweeps, in which all of them are weighed against the classes that the sweep began with. ``coder`` gives the codes() of the
+    training texts by the frequent words; without it they are made here.
     """
     counts = written(word_counts(train, text_col=text_col), "word-counts")
     hot = hot_words(counts, hot_limit, exchange_words)
-    pairs = unit_pairs(train, hot, text_col=text_col)
+    rows = codes(train, hot, (), text_col) if coder is None else coder(hot)
+    pairs = unit_pairs(rows, hot, text_col=None)
     rare = classes + 1
     label = np.minimum(exchange_classes(pairs, exchange_words, classes, sweeps), rare)  # all other words: one class until they have theirs
     member = np.zeros((len(label), rare + 1))
@@ -531,13 +564,13 @@ def word_classes(train: DataFrame, *, text_col: str = "text", classes: int = 32,
     seeds = train.sparkSession.createDataFrame(pa.table({"key": pa.array(fixed), "seed": pa.array(label[hot.units[moved]].astype(np.int32))}))
     now, lexicon = hot, counts.withColumn("klass", F.lit(None).cast("int"))
     for k in range(moves + 1):
-        assigned = best_classes(neighbour_counts(train, now, label, fixed, text_col=text_col), table, classes, now, label).withColumnRenamed("klass", "best")
+        assigned = best_classes(neighbour_counts(rows, now, label, fixed, text_col=None), table, classes, now, label).withColumnRenamed("klass", "best")
         kept = lexicon.join(assigned, "key", "left").join(F.broadcast(seeds), "key", "left")
         klass = F.when(F.col("key") == END_KEY, 0).otherwise(F.coalesce("seed", F.when(F.col("n") > 1, F.coalesce("best", "klass")), F.lit(rare)))
         lexicon = written(kept.select("key", "n", klass.cast("int").alias("klass")), "lexicon")
         now = _with_classes(hot, lexicon, rare)
         if k < moves:
-            label, table = np.arange(rare + 1), token_pairs(train, now, rare + 1, text_col=text_col)
+            label, table = np.arange(rare + 1), token_pairs(rows, now, rare + 1, text_col=None)
     hot, units = now, now.units
     in_class = np.zeros(rare + 1, dtype=np.int64)
     for k, n in lexicon.groupBy("klass").agg(F.sum("n")).collect():
@@ -602,6 +635,14 @@ def score(docs: DataFrame, model: Model, lexicon: DataFrame, *, id_col: str = "d
 
 def fit_and_score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 16.0, **options) -> DataFrame:
     """score() of all ``docs`` by the model that fit() finds on the rows where ``train`` holds; the words of a text are looked up once for both."""
-    known, lexicon = word_classes(docs.where(train), text_col=text_col, **options)
-    rows = sequences(docs.select(id_col, text_col, train.alias("__train")), known, lexicon, (id_col, "__train"), text_col=text_col)
+    made: dict[str, DataFrame] = {}
+    flagged = docs.select(id_col, text_col, train.alias("__train"))
+
+    def coder(hot: Hot) -> DataFrame:
+        made["rows"], made["words"] = codes(flagged, hot, (id_col, "__train"), text_col), len(hot.keys)
+        return made["rows"].where("__train")
+
+    known, lexicon = word_classes(docs.where(train), text_col=text_col, coder=coder, **options)
+    same = len(known.hot.keys) == made["words"]  # else the end, which few texts have, came in and moved the places
+    rows = sequences(made["rows"] if same else flagged, known, lexicon, (id_col, "__train"), text_col=None if same else text_col)
     return scored(rows, with_transitions(known, class_pairs(rows.where("__train"), known.rare), prior), id_col)

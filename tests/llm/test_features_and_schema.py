@@ -198,3 +198,19 @@ def test_counters_are_handed_on_before_they_grow(spark, monkeypatch):
     own = json_schema.Counters()
     own.add(0, {"a": [1, None], "b": {}}, 3)
     assert {("/".join(s), t): n for s, t, n in zip(*(own.batch().column(i).to_pylist() for i in range(3)))} == {("", "object"): 3, (".a", "array"): 3, (".a/[]", "integer"): 3, (".a/[]", "null"): 3, (".b", "object"): 3}
+
+
+def test_class_model_splits_texts_into_words_twice(spark, monkeypatch):
+    """Once to count words and once to code them: all that is learned reads the codes, and they give the keys of the texts."""
+    from gridloom.llm import class_lm
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23}" for k in range(i % 9)) if i % 5 else None) for i in range(60)], "doc_id long, text string")
+    made = []
+    real = class_lm.codes
+    monkeypatch.setattr(class_lm, "codes", lambda *a: made.append(real(*a)) or made[-1])
+    assert class_lm.fit_and_score(docs, ~class_lm.held_out("doc_id"), hot_limit=16, exchange_words=4, classes=3).count() == 60 and len(made) == 1
+    hot = class_lm.hot_words(class_lm.word_counts(docs), 16, 4)
+    batches = real(docs, hot, (), "text").coalesce(1).toArrow().combine_chunks().to_batches()
+    got = [k for b in batches for _, keys in class_lm._coded_tokens(b, hot) for k in keys.tolist()]
+    want = [k for (text,) in docs.select("text").collect() for k in class_lm._keys([*(w.encode() for w in (text or "").split()), class_lm.END]).tolist()]
+    assert sorted(got) == sorted(want) and class_lm.unit_pairs(real(docs, hot, (), "text"), hot, text_col=None).tolist() == class_lm.unit_pairs(docs, hot).tolist()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from gridloom.functions import constants as K
 from gridloom.functions.geo import KM_LAT, KM_LON
 from gridloom.operators import network, noding, places
 from gridloom.operators.components import connected_components
+from gridloom.operators.skew import shuffled
 from gridloom.session import written
 
 
@@ -23,46 +24,60 @@ def one_way_each(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*pair).agg(F.min_by(F.struct("src", "dst", *others), F.struct("src", "dst", F.size("points"))).alias("e")).select("e.*")
 
 
-def joined_line(rows: pd.DataFrame) -> list[dict]:
-    """The polyline of a chain's pieces (``src``, ``dst``, ``points``): from its end of smaller node, or round from the least node of a ring."""
+def joined_line(pieces: list[dict]) -> list[dict]:
+    """The polyline of a chain's pieces (``src``, ``dst``, ``points``; in the order of their ends): from its end of smaller node, or round from the least node of a ring."""
     at: dict[int, list[int]] = {}
-    for k, (a, b) in enumerate(zip(rows["src"], rows["dst"], strict=True)):
-        at.setdefault(int(a), []).append(k)
-        at.setdefault(int(b), []).append(k)
+    for k, p in enumerate(pieces):
+        at.setdefault(p["src"], []).append(k)
+        at.setdefault(p["dst"], []).append(k)
     ends = [n for n, ks in at.items() if len(ks) == 1]
     node, used, line = min(ends or at), set(), []
     while (todo := [k for k in at[node] if k not in used]):
         k = min(todo)
         used.add(k)
-        a, b, points = int(rows["src"].iloc[k]), int(rows["dst"].iloc[k]), list(rows["points"].iloc[k])
-        node, points = (b, points) if node == a else (a, points[::-1])
+        p = pieces[k]
+        node, points = (p["dst"], p["points"]) if node == p["src"] else (p["src"], p["points"][::-1])
         line += points[1:] if line else points
-    return [{"x": p["x"], "y": p["y"]} for p in line]
+    return line
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the line of their ``pieces`` as ``points``."""
+    for batch in batches:
+        pieces = batch.column("pieces")
+        lines = pa.array([joined_line(p) for p in pieces.to_pylist()], type=pieces.type.value_type.field("points").type)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("line", "length", "risk", "n")), lines], names=["line", "length", "risk", "n", "points"])
 
 
 def merged_lines(edges: DataFrame) -> DataFrame:
-    """``line`` (a key), ``points``, ``length`` and length-weighted ``risk`` of the roads that edges (``src``, ``dst``, ``points``, ``length``, ``risk``) make.
+    """``line`` (a key), ``points``, ``length``, length-weighted ``risk`` and number of ``pieces`` of the roads that edges (``src``, ``dst``, ``points``, ``length``, ``risk``) make.
 
     Pieces join where just two of them meet; a ring without a junction is one closed line. Loops at a junction stay lines of their own. A line is put together in
-    one task, which holds that line's pieces only.
+    one task, which holds that line's pieces only; a piece that joins no other one is a line as it is. Lengths and risks that are missing count as 0.
     """
     pieces = written(one_way_each(edges), "road-pieces")
     ends = pieces.select(F.explode(F.array("src", "dst")).alias("id"))
     inner = written(ends.groupBy("id").count().where("count = 2").select("id"), "road-joints")
-    marked = pieces.join(inner.select(F.col("id").alias("src"), F.lit(True).alias("ia")), "src", "left").join(inner.select(F.col("id").alias("dst"), F.lit(True).alias("ib")), "dst", "left")
+    marked = pieces.join(shuffled(inner.select(F.col("id").alias("src"), F.lit(True).alias("ia"))), "src", "left").join(shuffled(inner.select(F.col("id").alias("dst"), F.lit(True).alias("ib"))), "dst", "left")
+    points = F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points")
+    marked = written(marked.select("src", "dst", points, F.col("length").cast("double"), F.col("risk").cast("double"), F.coalesce("ia", F.lit(False)).alias("ia"), F.coalesce("ib", F.lit(False)).alias("ib")), "road-marked")
     inside = marked.where("ia AND ib").select("src", "dst")
     chains = connected_components(inside.union(inner.select("id", "id")))
-    keyed = marked.withColumn("node", F.when(F.col("ia"), F.col("src")).when(F.col("ib"), F.col("dst"))).join(chains, "node", "left")
-    key = F.when(F.col("component").isNotNull(), F.concat(F.lit("c"), "component")).otherwise(F.concat_ws("-", F.lit("e"), F.least("src", "dst"), F.greatest("src", "dst")))
-    rows = keyed.select(key.alias("line"), "src", "dst", "points", F.col("length").cast("double"), F.col("risk").cast("double"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["src", "dst"])
-        length = group["length"].sum()
-        risk = (group["length"] * group["risk"]).sum() / length if length else 0.0
-        return pd.DataFrame({"line": [group["line"].iloc[0]], "points": [joined_line(group)], "length": [length], "risk": [risk], "pieces": [len(group)]})
-
-    return rows.groupBy("line").applyInPandas(run, f"line string, points {network.POINTS}, length double, risk double, pieces long")
+    keyed = marked.where("ia OR ib").withColumn("node", F.when(F.col("ia"), F.col("src")).otherwise(F.col("dst"))).join(shuffled(chains), "node")
+    gathered = keyed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "points", "length", "risk"))).alias("pieces"))
+
+    known = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    total = lambda of: F.aggregate("pieces", F.lit(0.0), lambda s, p: s + known(of(p)))
+    mean = lambda x: F.when(F.col("length") != 0, x / F.col("length")).otherwise(0.0)
+    summed = gathered.withColumns({"length": total(lambda p: p["length"]), "risk": total(lambda p: p["length"] * p["risk"]), "n": F.size("pieces").cast("long")})
+    way = F.transform("pieces", lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst"), p["points"].alias("points")))
+    chained = summed.select(F.concat(F.lit("c"), "component").alias("line"), way.alias("pieces"), "length", mean(F.col("risk")).alias("risk"), "n").mapInArrow(_joined, f"line string, length double, risk double, n long, points {network.POINTS}")
+
+    own = marked.where("NOT ia AND NOT ib").withColumns({"length": known(F.col("length")), "risk": known(F.col("length") * F.col("risk"))})
+    key = F.concat_ws("-", F.lit("e"), F.least("src", "dst"), F.greatest("src", "dst"))
+    ahead = F.when(F.col("src") > F.col("dst"), F.reverse("points")).otherwise(F.col("points"))
+    alone = own.select(key.alias("line"), "length", mean(F.col("risk")).alias("risk"), F.lit(1).cast("long").alias("n"), ahead.alias("points"))
+    return chained.unionByName(alone).select("line", "points", "length", "risk", F.col("n").alias("pieces"))
 
 
 def noded_lines(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins of a table with frequent keys to a table that has a key once."""
+"""Joins of a table with frequent keys to a table that has a key once, joins that stay off the driver, and positions in an order."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def join_to_unique(many: DataFrame, unique: DataFrame, key: str, least: int = 10
     return many.join(frequent, key).unionByName(others)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: shuffled and merged at any size, as a broadcast would go through the driver, and in rounds of joins many of them add up."""
+    return side.hint("merge")
+
+
 def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     """``df`` with its position (from 1) in a total order: sorted by ranges, numbered in each, and moved on by the sizes of the ranges before; no task sorts all rows."""
     sorted_rows = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import network, polygons, search
+from gridloom.operators import network, polygons, roads, search
 
 
 def test_equal_texts_and_frequent_letters_are_looked_up_once(spark):
@@ -79,3 +79,18 @@ def test_points_of_one_spot_in_equal_polygons(spark, monkeypatch):
     want = {(i, p) for i in range(60) for p in range(40) if (i % 3 == 0 and p % 2 == 0 and p % 4) or i % 3 == 1}
     assert len(got) == len(want) and {(r.id, r.polygon) for r in got} == want and seen[0].count() == 4
     assert {(r.polygon, r["shape"]) for r in polygons.same_shapes(rings).collect()} == {(p, 1 if p % 2 else 0 if p % 4 == 0 else 2) for p in range(40)}
+
+
+def test_roads_that_join_no_other_one_are_lines_as_they_are(spark, monkeypatch):
+    """Only pieces that join others go through Python, and no line is a group of its own there."""
+    at = lambda i: (float(i), 0.5 * (i % 3))
+    star = [(0, i, 10.0 + i, 0.25) if i % 2 else (i, 0, 10.0 + i, 0.25) for i in range(1, 300)]
+    others = [(1, 1, 7.0, 0.5), (400, 401, 3.0, 0.1), (402, 401, 1.0, 0.5), (402, 403, 2.0, None), (500, 500, 4.0, 0.5), (2, 600, None, 0.5), (602, 600, 6.0, 0.75), (2, 602, 2.0, 0.25), (700, 701, 0.0, 0.5)]
+    edges = spark.createDataFrame([(a, b, n, r, [at(a), at(b)]) for a, b, n, r in star + others], f"src long, dst long, length double, risk double, points {network.POINTS}")
+    got = {r.line: ([tuple(p) for p in r.points], r.length, None if r.risk is None else round(r.risk, 9), r.pieces) for r in roads.merged_lines(edges).collect()}
+    want = {f"e-0-{i}": ([at(0), at(i)], 10.0 + i, 0.25, 1) for i in range(1, 300)}
+    want |= {"e-1-1": ([at(1), at(1)], 7.0, 0.5, 1), "e-700-701": ([at(700), at(701)], 0.0, 0.0, 1), "c500": ([at(500), at(500)], 4.0, 0.5, 1)}
+    want |= {"c401": ([at(400), at(401), at(402), at(403)], 6.0, round(0.8 / 6, 9), 3), "c600": ([at(2), at(600), at(602), at(2)], 8.0, 0.625, 3)}
+    assert got == want
+    monkeypatch.setattr(roads, "_joined", lambda batches: (b.slice(0, 0) for b in batches if False))
+    assert {r.line for r in roads.merged_lines(edges).collect()} == {k for k in want if k.startswith("e")}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.skew import shuffled
 from gridloom.session import written
 
 #: Different edges up to which one task joins the sets itself: a table of a few hundred kilobytes, whose size is checked.
@@ -46,7 +47,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _to_minimum(arcs: DataFrame) -> DataFrame:
     """``arcs`` (u, v) with ``m``: the least of u and all its v. The minimum is aggregated before the shuffle; a hub's rows can be split in the join."""
-    return arcs.join(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+    return arcs.join(shuffled(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "u")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:

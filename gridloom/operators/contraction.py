@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import places
 from gridloom.operators.components import connected_components
 from gridloom.operators.network import POINTS, simplify
-from gridloom.operators.skew import numbered
+from gridloom.operators.skew import numbered, shuffled
 from gridloom.session import written
 
 _PIECE = f"a long, b long, length double, risk double, rank int, segments long, points {POINTS}"
@@ -73,11 +73,11 @@ def collapsed(pieces: list) -> tuple:
 
 def _round(now: DataFrame, inner: DataFrame) -> DataFrame:
     """All chains of the nodes ``inner`` as edges, and of parallel edges the shortest; of equal ones the edge that stood there, then the chain that ends first."""
-    marked = now.join(inner.select(F.col("id").alias("a"), F.lit(True).alias("ia")), "a", "left").join(inner.select(F.col("id").alias("b"), F.lit(True).alias("ib")), "b", "left")
+    marked = now.join(shuffled(inner.select(F.col("id").alias("a"), F.lit(True).alias("ia"))), "a", "left").join(shuffled(inner.select(F.col("id").alias("b"), F.lit(True).alias("ib"))), "b", "left")
     marked = written(marked.fillna(False, ["ia", "ib"]), "contract-marked")
     inside = marked.where("ia AND ib").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     chains = connected_components(inside.union(inner.select("id", "id")))
-    keyed = marked.where("ia OR ib").withColumn("node", F.when(F.col("ia"), F.col("a")).otherwise(F.col("b"))).join(chains, "node")
+    keyed = marked.where("ia OR ib").withColumn("node", F.when(F.col("ia"), F.col("a")).otherwise(F.col("b"))).join(shuffled(chains), "node")
     gathered = keyed.groupBy("component").agg(F.collect_list(F.struct(*now.columns, "ia", "ib")).alias("pieces")).select("pieces")
 
     names = [*now.columns, "last"]
@@ -114,7 +114,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
     """The edges (``a``, ``b``) of the connected component of most nodes; of equal ones that of the least node."""
     parts = written(connected_components(edges, "a", "b"), "largest-parts")
     best = parts.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
-    return edges.join(parts.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    return edges.join(shuffled(parts.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a"))), "a", "left_semi")
 
 
 def web_graph(edges: DataFrame, tolerance: float, scale: float = 1e5) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +126,8 @@ def web_graph(edges: DataFrame, tolerance: float, scale: float = 1e5) -> tuple[D
     ids = numbered(kept.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "place")
     nodes = written(ids.select((F.col("place") - 1).alias("node"), "id"), "web-nodes")
     lines = simplify(kept.select(F.struct("a", "b").alias("line"), "points"), tolerance)
-    both = kept.drop("points").join(lines, (F.col("line.a") == F.col("a")) & (F.col("line.b") == F.col("b")))
-    ended = both.join(nodes.select(F.col("id").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("id").alias("b"), F.col("node").alias("v")), "b")
+    both = kept.drop("points").join(shuffled(lines), (F.col("line.a") == F.col("a")) & (F.col("line.b") == F.col("b")))
+    ended = both.join(shuffled(nodes.select(F.col("id").alias("a"), F.col("node").alias("u"))), "a").join(shuffled(nodes.select(F.col("id").alias("b"), F.col("node").alias("v"))), "b")
     whole = lambda x: F.round(x * scale).cast("int")
     rows = ended.select(
         "u", "v", F.round("length").cast("long").alias("length"), F.greatest(F.lit(0), F.least(F.lit(254), F.round(F.col("risk") * 254).cast("int"))).alias("risk"), places.class_code(F.col("rank")).alias("class"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import network, polygons, roads, search
+from gridloom.operators import components, contraction, network, polygons, roads, search, skew
 
 
 def test_equal_texts_and_frequent_letters_are_looked_up_once(spark):
@@ -94,3 +94,28 @@ def test_roads_that_join_no_other_one_are_lines_as_they_are(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(roads, "_joined", lambda batches: (b.slice(0, 0) for b in batches if False))
     assert {r.line for r in roads.merged_lines(edges).collect()} == {k for k in want if k.startswith("e")}
+
+
+def test_tables_that_grow_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Of the joins of a web graph only the component's row and the offsets of ranges are broadcast, of those of merged roads none, however small the tables are."""
+    plans = []
+    real = contraction.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return real(df, name)
+
+    for module in (components, contraction, roads, skew):
+        monkeypatch.setattr(module, "written", seen)
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", 0)
+    pairs = [(i, i + 1) for i in range(12)] + [(0, 20), (0, 21), (12, 22), (12, 23), (30, 31)]
+    rows = [(a, b, 1.0 + a, 0.5, 1, [(float(a), 0.0), (float(b), 1.0)]) for a, b in pairs]
+    edges = spark.createDataFrame(rows, f"a long, b long, length double, risk double, rank int, points {network.POINTS}")
+    nodes, found = contraction.web_graph(contraction.contract(edges), 0.0)
+    assert sorted((r.u, r.v, r.length) for r in found.collect()) == [(0, 1, 78), (0, 2, 1), (0, 3, 1), (1, 4, 13), (1, 5, 13)]
+    merged = roads.merged_lines(edges.withColumnsRenamed({"a": "src", "b": "dst"}))
+    plans.append(("lines", merged._jdf.queryExecution().sparkPlan().toString()))
+    assert merged.count() == 6
+    joins = [(name, plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) for name, plan in plans]
+    assert {(n, b) for n, b, _ in joins if b} == {("web-edges", 1), ("web-nodes", 1)}
+    assert {n for n, _, m in joins if m} == {"components", "contract-marked", "contract", "road-marked", "lines", "web-edges", "numbered"}
